@@ -1,0 +1,19 @@
+"""Broadcast only behind a checked size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows. Reads at most
+    ``max_rows + 1`` rows (the limit stops the scan early)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast only when its row count is under the bound;
+    otherwise leave the choice to the planner and AQE (shuffle join, or a
+    runtime broadcast if the measured shuffle output turns out small)."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
