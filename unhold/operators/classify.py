@@ -163,39 +163,49 @@ def assert_unique_versions(inv: DataFrame) -> None:
             f"offending groups: {[r.asDict() for r in bad]}")
 
 
-def classify_versions_joined(inv: DataFrame) -> DataFrame:
-    """C1, literal joined form (J1, J2, U1, A1 to A3): the test oracle and the
-    fallback for inputs with NULL or repeated version ids."""
+def _joined_parts(inv: DataFrame):
     base = inv.select(*KEY, "version_id", "is_latest", "is_delete_marker",
                       "object_lock_event_hold_status", "object_lock_mode", LMD,
                       "object_lock_retain_until_date")
     ts = base.select(*KEY, LMD).distinct()
-    ts = ts.withColumn("next_lmd", F.lead(LMD).over(Window.partitionBy(*KEY).orderBy(F.col(LMD).asc_nulls_last())))
+    ts = ts.withColumn("next_lmd", F.lead(LMD).over(
+        Window.partitionBy(*KEY).orderBy(F.col(LMD).asc_nulls_last())))
     gnc = base.groupBy(*KEY, LMD).agg(
         F.max(F.when(F.col("is_latest") == F.lit(False), 1).otherwise(0)).alias("has_nc"))
-    cb = base.where(candidate_predicate())
-    c = cb.alias("c")
+    return base, ts, gnc
+
+
+def possible_superseders(inv: DataFrame) -> DataFrame:
+    """J1 + J2 + U1 (literal form): one row per (candidate, possible
+    superseder) with the superseder's delete-marker flag and whether it is a
+    tied noncurrent peer. Bag semantics (UNION ALL)."""
+    base, ts, gnc = _joined_parts(inv)
+    c = base.where(candidate_predicate()).alias("c")
     p = base.alias("p")
-    tied = (c.join(p, [F.col(f"c.{k}") == F.col(f"p.{k}") for k in KEY + [LMD]]
-                   + [F.col("p.version_id") != F.col("c.version_id")])
+    on = lambda a, b, cols: [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in cols]
+    tied = (c.join(p, on("c", "p", KEY + [LMD]) + [F.col("p.version_id") != F.col("c.version_id")])
             .select(*[F.col(f"c.{k}") for k in KEY], F.col("c.version_id"),
-                    F.col("p.is_delete_marker").alias("sidm"),
-                    F.when(F.col("p.is_latest") == F.lit(False), 1).otherwise(0).alias("via_tied")))
-    t = ts.alias("t")
-    s = base.alias("s")
-    g = gnc.alias("g")
-    nxt = (c.join(t, [F.col(f"c.{k}") == F.col(f"t.{k}") for k in KEY + [LMD]])
-           .join(s, [F.col(f"s.{k}") == F.col(f"c.{k}") for k in KEY]
-                 + [F.col(f"s.{LMD}") == F.col("t.next_lmd")])
-           .join(g, [F.col(f"g.{k}") == F.col(f"s.{k}") for k in KEY + [LMD]])
+                    F.col("p.is_delete_marker").alias("superseder_is_delete_marker"),
+                    F.when(F.col("p.is_latest") == F.lit(False), 1).otherwise(0).alias("via_tied_noncurrent_peer")))
+    nxt = (c.join(ts.alias("t"), on("c", "t", KEY + [LMD]))
+           .join(base.alias("s"), on("s", "c", KEY) + [F.col(f"s.{LMD}") == F.col("t.next_lmd")])
+           .join(gnc.alias("g"), on("g", "s", KEY + [LMD]))
            .where((F.col("s.is_latest") == F.lit(False)) | (F.col("g.has_nc") == 0))
            .select(*[F.col(f"c.{k}") for k in KEY], F.col("c.version_id"),
-                   F.col("s.is_delete_marker").alias("sidm"), F.lit(0).alias("via_tied")))
-    ps = tied.unionByName(nxt)
-    sc = ps.groupBy(*KEY, "version_id").agg(
-        F.count_distinct("sidm").alias("superseder_kinds"),
-        F.min("sidm").alias("superseder_is_delete_marker"),
-        F.max("via_tied").alias("has_tied_noncurrent_peer"))
+                   F.col("s.is_delete_marker").alias("superseder_is_delete_marker"),
+                   F.lit(0).alias("via_tied_noncurrent_peer")))
+    return tied.unionByName(nxt)
+
+
+def classify_versions_joined(inv: DataFrame) -> DataFrame:
+    """C1, literal joined form (J1, J2, U1, A1 to A3): the test oracle and the
+    fallback for inputs with NULL or repeated version ids."""
+    base, ts, _ = _joined_parts(inv)
+    cb = base.where(candidate_predicate())
+    sc = possible_superseders(inv).groupBy(*KEY, "version_id").agg(
+        F.count_distinct("superseder_is_delete_marker").alias("superseder_kinds"),
+        F.min("superseder_is_delete_marker").alias("superseder_is_delete_marker"),
+        F.max("via_tied_noncurrent_peer").alias("has_tied_noncurrent_peer"))
     out = (cb.join(sc, KEY + ["version_id"], "left")
            .join(ts.select(*KEY, LMD, "next_lmd"), KEY + [LMD], "left"))
     k = F.coalesce(F.col("superseder_kinds"), F.lit(0))
