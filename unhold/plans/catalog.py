@@ -174,3 +174,52 @@ def q_manifest_rows(spark, d):
     "   AND superseder_class IN ('delete', 'overwrite', 'withheld', 'unclassified'))")))
 def q_partition_invariant(spark, d):
     return E.partition_check(_inv(spark, d))
+
+
+# --- decisions (D1 to D3, A7, J6) --------------------------------------------
+
+from ..operators import decide as D  # noqa: E402
+from . import runs as R  # noqa: E402
+
+DEC_COLS = ["run_id", "bucket", "dt", "mode", "outcome", "reason", "verified_count", "query_count",
+            "trigger_count", "safety_threshold", "report_only", "manifest_key", "decision_token", "job_id"]
+
+
+def _decisions(spark, d):
+    inv = _inv(spark, d)
+    elig = E.eligible(inv, "delete")
+    return D.decide(R.decision_inputs(inv, elig, R.fixture_config(inv)))
+
+
+@register("decide", O.with_ctes(O.INV, O.CLS, O.decision_ctes(), body=f"SELECT {', '.join(DEC_COLS)} FROM decisions"))
+def q_decide(spark, d):
+    return _decisions(spark, d).select(*DEC_COLS)
+
+
+@register("run_summary", O.run_summary_sql())
+def q_run_summary(spark, d):
+    return D.run_summary(_decisions(spark, d))
+
+
+@register("count_reconciliation", O.with_ctes(O.INV, O.CLS, O.decision_ctes(), body=(
+    "SELECT run_id, mode, trigger_count, verified_count, trigger_count = verified_count AS count_matches FROM inp")))
+def q_count_reconciliation(spark, d):
+    inv = _inv(spark, d)
+    elig = E.eligible(inv, "delete")
+    runs = R.run_ids(inv)
+    expected = (E.eligible_counts(inv, elig).join(runs, ["bucket", "dt"])
+                .select("run_id", F.col("object_lock_mode").alias("mode"), F.col("eligible_count").alias("trigger_count")))
+    man = E.manifest_rows(elig).join(runs, ["bucket", "dt"]).select("run_id", "mode")
+    rec = D.count_reconciliation(expected, man)
+    return rec.select("run_id", "mode", "trigger_count",
+                      F.coalesce("verified_count", F.lit(0).cast("bigint")).alias("verified_count"),
+                      (F.col("trigger_count") == F.coalesce("verified_count", F.lit(0))).alias("count_matches"))
+
+
+@register("class_histogram", O.with_ctes(O.INV, O.CLS, body=(
+    "SELECT bucket, dt, object_lock_mode, superseder_class, count(*) AS versions FROM classified "
+    "GROUP BY bucket, dt, object_lock_mode, superseder_class")))
+def q_class_histogram(spark, d):
+    return (C.classify_versions(_inv(spark, d))
+            .groupBy("bucket", "dt", "object_lock_mode", "superseder_class")
+            .agg(F.count(F.lit(1)).alias("versions")))

@@ -114,3 +114,106 @@ suppressed AS (
   SELECT e.* FROM cur_elig e
   WHERE EXISTS (SELECT 1 FROM pm WHERE pm.bucket = e.bucket AND pm.mode = e.object_lock_mode
                 AND pm.key = {enc('e.key')} AND pm.version_id = e.version_id))"""
+
+
+def decision_ctes() -> str:
+    """Runs per (bucket, dt), fixture config, counts, ladder inputs and
+    decisions (DuckDB twin of plans.runs.decision_inputs + decide)."""
+    return f"""
+elig AS ({_elig('delete')}),
+runs AS (SELECT DISTINCT bucket, dt, substr(sha256(bucket || '/' || dt), 1, 16) AS run_id FROM inv),
+modes(mode) AS (VALUES ('COMPLIANCE'), ('GOVERNANCE')),
+cnt AS (SELECT bucket, dt, object_lock_mode AS mode, count(*) AS n FROM elig GROUP BY bucket, dt, object_lock_mode),
+inp AS (
+  SELECT r.run_id, r.bucket, r.dt, m.mode, coalesce(c.n, 0) AS trigger_count,
+         'q-' || r.run_id || '-' || m.mode AS count_query_id,
+         sha256(r.run_id || '/' || m.mode || '/count') AS count_hash,
+         coalesce(c.n, 0) AS verified_count, coalesce(c.n, 0) > 0 AS manifest_listed,
+         'manifests/combined/' || r.run_id || '/' || m.mode || '/manifest.csv' AS manifest_key,
+         true AS manifest_exists, CAST(NULL AS VARCHAR) AS submit_error,
+         r.bucket = 'bucket-2' AS report_only,
+         CAST(CASE WHEN r.bucket = 'bucket-1' THEN 100 ELSE 1000 END AS BIGINT) AS safety_threshold
+  FROM runs r CROSS JOIN modes m
+  LEFT JOIN cnt c ON c.bucket = r.bucket AND c.dt = r.dt AND c.mode = m.mode),
+lad AS (
+  SELECT *,
+    CASE WHEN count_query_id IS NULL OR count_query_id = '' OR count_hash IS NULL OR count_hash = ''
+              OR trigger_count IS NULL OR trigger_count < 0 THEN 'withheld'
+         WHEN verified_count IS NULL THEN 'withheld'
+         WHEN trigger_count <> verified_count THEN 'withheld'
+         WHEN verified_count = 0 THEN 'skipped'
+         WHEN NOT report_only AND verified_count > safety_threshold THEN 'withheld'
+         WHEN NOT coalesce(manifest_listed, false) THEN 'withheld'
+         WHEN manifest_key IS NULL OR NOT starts_with(manifest_key, 'manifests/combined/' || run_id || '/' || mode || '/')
+              OR contains(manifest_key, '..') THEN 'withheld'
+         WHEN NOT coalesce(manifest_exists, false) THEN 'withheld'
+         WHEN submit_error IS NOT NULL THEN 'withheld'
+         WHEN report_only THEN 'suspended' ELSE 'created' END AS outcome,
+    CASE WHEN count_query_id IS NULL OR count_query_id = '' OR count_hash IS NULL OR count_hash = ''
+              OR trigger_count IS NULL OR trigger_count < 0 THEN 'missing_or_invalid_count_metadata'
+         WHEN verified_count IS NULL THEN 'count_query_verification_failed'
+         WHEN trigger_count <> verified_count THEN 'count_mismatch'
+         WHEN verified_count = 0 THEN NULL
+         WHEN NOT report_only AND verified_count > safety_threshold THEN 'safety_threshold_exceeded'
+         WHEN NOT coalesce(manifest_listed, false) THEN 'positive_count_without_manifest'
+         WHEN manifest_key IS NULL OR NOT starts_with(manifest_key, 'manifests/combined/' || run_id || '/' || mode || '/')
+              OR contains(manifest_key, '..') THEN 'invalid_manifest_key'
+         WHEN NOT coalesce(manifest_exists, false) THEN 'manifest_not_found'
+         WHEN submit_error = 'event_hold_unsupported' THEN 'event_hold_unsupported_by_runtime'
+         WHEN submit_error IS NOT NULL THEN 'create_job_failed'
+         ELSE NULL END AS reason,
+    sha256(bucket || '/' || run_id || '/' || dt || '/' || mode) AS decision_token
+  FROM inp),
+decisions AS (
+  SELECT run_id, bucket, dt, mode, outcome, reason,
+         CASE WHEN reason IS NULL OR reason NOT IN ('missing_or_invalid_count_metadata',
+              'count_query_verification_failed', 'count_mismatch') THEN verified_count END AS verified_count,
+         verified_count AS query_count, trigger_count, safety_threshold, report_only, manifest_key, decision_token,
+         CASE WHEN outcome IN ('created', 'suspended') THEN 'job-' || substr(decision_token, 1, 12) END AS job_id
+  FROM lad)"""
+
+
+def _pl(n: str, word: str) -> str:
+    return f"(CAST({n} AS VARCHAR) || ' {word}' || CASE WHEN {n} <> 1 THEN 's' ELSE '' END)"
+
+
+def run_summary_sql() -> str:
+    n = "coalesce(verified_count, 0)"
+    line = f"""CASE
+      WHEN outcome = 'created' THEN mode || ': released ' || {_pl(n, 'event hold')} || ' (job ' || job_id || ').'
+      WHEN outcome = 'suspended' THEN mode || ': found ' || {_pl(n, 'eligible version')} || ', job ' || job_id
+           || ' created suspended for review (report-only) -- nothing released.'
+      WHEN outcome = 'skipped' THEN mode || ': no eligible versions this run.'
+      WHEN reason = 'safety_threshold_exceeded' THEN mode || ': WITHHELD -- ' || CAST(verified_count AS VARCHAR)
+           || ' eligible versions exceeds SafetyThreshold (' || CAST(safety_threshold AS VARCHAR)
+           || '); no job created, review and re-run to proceed.'
+      WHEN reason = 'count_mismatch' THEN mode || ': WITHHELD -- eligibility count mismatch (query '
+           || coalesce(CAST(query_count AS VARCHAR), 'None') || ' vs manifest '
+           || coalesce(CAST(trigger_count AS VARCHAR), 'None') || '); no job created.'
+      ELSE mode || ': WITHHELD -- ' || coalesce(reason, 'unknown') || '.' END"""
+    ordk = "CASE outcome WHEN 'created' THEN 0 WHEN 'suspended' THEN 1 WHEN 'skipped' THEN 2 ELSE 3 END"
+    return with_ctes(INV, CLS, decision_ctes(), f"""
+g AS (
+  SELECT run_id, bucket, dt, bool_or(report_only) AS report_only,
+         count(*) FILTER (WHERE outcome = 'created') AS jobs_created,
+         count(*) FILTER (WHERE outcome = 'suspended') AS jobs_pending,
+         count(*) FILTER (WHERE outcome = 'withheld') AS jobs_withheld,
+         CAST(sum(CASE WHEN outcome IN ('suspended', 'withheld') THEN coalesce(verified_count, 0) ELSE 0 END) AS BIGINT) AS versions,
+         coalesce(string_agg(CASE WHEN outcome = 'skipped' THEN mode END, ',' ORDER BY mode), '') AS modes_skipped,
+         coalesce(string_agg(CASE WHEN outcome = 'withheld' THEN mode || '=' || reason END, ','
+                             ORDER BY mode || '=' || reason), '') AS modes_withheld,
+         string_agg({line}, ' ' ORDER BY {ordk}, mode) AS lines
+  FROM decisions GROUP BY run_id, bucket, dt)""", body=f"""
+SELECT run_id, bucket, dt, report_only, jobs_created, jobs_pending, jobs_withheld, versions, modes_skipped, modes_withheld,
+  CASE WHEN jobs_pending > 0 OR jobs_withheld > 0 THEN
+         concat_ws(', ',
+           CASE WHEN jobs_pending > 0 THEN {_pl('jobs_pending', 'job')} || ' pending'
+                ELSE {_pl('jobs_withheld', 'job')} || ' withheld' END,
+           CASE WHEN jobs_pending > 0 AND jobs_withheld > 0 THEN CAST(jobs_withheld AS VARCHAR) || ' withheld' END,
+           CASE WHEN versions > 0 THEN format('{{:,}}', versions) || ' version' || CASE WHEN versions <> 1 THEN 's' ELSE '' END END)
+       WHEN length(modes_skipped) > 0 THEN 'nothing eligible' ELSE 'no modes evaluated' END
+    || CASE WHEN report_only THEN ' [Report-Only]' ELSE '' END AS headline,
+  'Run ' || run_id || ' against ' || bucket || ' (inventory ' || dt || '), '
+    || CASE WHEN report_only THEN 'report-only' ELSE 'active' END || ' mode.'
+    || CASE WHEN lines IS NULL THEN ' No modes were evaluated for this run.' ELSE ' ' || lines END AS summary
+FROM g""")

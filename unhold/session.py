@@ -32,6 +32,7 @@ def build_session(master: str | None = None, app: str = "unhold",
         b = b.master(master)
     conf = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
         "spark.sql.shuffle.partitions": str(shuffle_partitions or 8),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
