@@ -103,7 +103,7 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _run_id(F.col("l_orderkey")).alias("run_id"),
         F.when(F.col("l_orderkey") % 2 == 0, "GOVERNANCE").otherwise("COMPLIANCE").alias("mode"),
         F.concat(F.lit("job-"), F.col("l_orderkey").cast("string")).alias("job_id"),
-        F.lit("bucket-0").alias("bucket"),
+        F.concat(F.lit("bucket-"), (F.floor(F.col("l_orderkey") / 2) % 3).cast("string")).alias("bucket"),
         url_encode_key(F.concat(F.lit("order "), F.col("l_orderkey").cast("string"),
                                 F.lit("/line~"), F.col("l_linenumber").cast("string"))).alias("key"),
         F.col("l_linenumber").cast("string").alias("version_id"),
@@ -113,8 +113,7 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run records (the active-jobs record): every run except those with
-    ``run % 50 = 0``; expected jobs are the run's jobs."""
-    j = job_rows(spark, sf_dir)
+    ``run % 50 = 0``; the record lists the run's jobs."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     runs = (o.groupBy(F.floor(F.col("o_orderkey") / 2).alias("run_num"))
             .agg(F.count(F.lit(1)).alias("jobs_expected"),
@@ -125,14 +124,45 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "jobs_expected", "snapshot_ts"))
 
 
+def record_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, job_id, mode) listed by each run record."""
+    rec = run_records(spark, sf_dir).select("run_id")
+    return job_rows(spark, sf_dir).select("run_id", "job_id", "mode").join(rec, "run_id", "left_semi")
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authoritative job state: status by o_orderstatus, task totals from the
+    completion report (A8), the creator tag (foreign for every 11th order) and
+    the run tag (not hex for every 13th)."""
+    from .operators.completion import report_totals
+    j = job_rows(spark, sf_dir)
+    totals = report_totals(report_rows(spark, sf_dir))
+    return (j.join(totals, "job_id", "left").select(
+        "job_id", "status",
+        F.coalesce("succeeded", F.lit(0).cast("bigint")).alias("succeeded"),
+        F.coalesce("failed", F.lit(0).cast("bigint")).alias("failed"),
+        F.coalesce("total", F.lit(0).cast("bigint")).alias("total"),
+        F.when(F.col("status") != "Complete", F.col("status")).alias("failure_reason"),
+        F.when(F.col("o_orderkey") % 11 == 0, "someone-else").otherwise(OUR_TAG).alias("tag_created_by"),
+        F.when(F.col("o_orderkey") % 13 == 0, F.lit("not-a-hex-id")).otherwise(F.col("run_id")).alias("tag_run_id"),
+        F.concat(F.lit("bucket-"), (F.floor(F.col("o_orderkey") / 2) % 3).cast("string")).alias("bucket"),
+    ))
+
+
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job status events, at least once: a duplicate for every 7th order, a
-    foreign creator tag for every 11th, a non-hex run tag for every 13th."""
+    """Job status events, at least once: one per order at its order date, a
+    repeat one minute later for every 7th order; every 17th event claims
+    'Complete' whatever the job's real status (a stale event)."""
     j = job_rows(spark, sf_dir)
     base = j.select(
-        "job_id", "status", "o_orderkey", "event_time",
-        F.when(F.col("o_orderkey") % 11 == 0, "someone-else").otherwise("unhold").alias("tag_created_by"),
-        F.when(F.col("o_orderkey") % 13 == 0, F.lit("not-a-hex-id")).otherwise(F.col("run_id")).alias("tag_run_id"),
+        "job_id",
+        F.when(F.col("o_orderkey") % 17 == 0, F.lit("Complete")).otherwise(F.col("status")).alias("event_status"),
+        "event_time",
+        F.concat(F.lit("bucket-"), (F.floor(F.col("o_orderkey") / 2) % 3).cast("string")).alias("bucket"),
+        F.col("o_orderkey"),
     )
     dup = base.where(F.col("o_orderkey") % 7 == 0).withColumn("event_time", F.col("event_time") + F.expr("INTERVAL 1 MINUTE"))
-    return base.unionByName(dup)
+    return base.unionByName(dup).drop("o_orderkey")
+
+
+OUR_TAG = "unhold"

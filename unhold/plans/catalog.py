@@ -223,3 +223,74 @@ def q_class_histogram(spark, d):
     return (C.classify_versions(_inv(spark, d))
             .groupBy("bucket", "dt", "object_lock_mode", "superseder_class")
             .agg(F.count(F.lit(1)).alias("versions")))
+
+
+# --- job events and completion (T-3 to T-9, A6, A8, W4) ---------------------
+
+from ..operators import completion as J  # noqa: E402
+
+
+def _routed(spark, d):
+    return J.route_events(fx.job_events(spark, d), fx.jobs(spark, d), fx.run_records(spark, d),
+                          fx.record_jobs(spark, d), fx.OUR_TAG)
+
+
+@register("terminal_events", O.with_ctes(O.EVENTS, body=(
+    "SELECT job_id, event_status, event_time FROM evs WHERE job_id IS NOT NULL "
+    "AND event_status IN ('Complete', 'Cancelled', 'Failed')")))
+def q_terminal_events(spark, d):
+    return J.terminal_events(fx.job_events(spark, d)).select("job_id", "event_status", "event_time")
+
+
+@register("job_event_routing", O.with_ctes(O.EVENTS, body=(
+    "SELECT job_id, event_time, event_status, job_status, run_id, route FROM routed")))
+def q_job_event_routing(spark, d):
+    return _routed(spark, d).select("job_id", "event_time", "event_status", "job_status", "run_id", "route")
+
+
+@register("status_disagreement", O.with_ctes(O.EVENTS, body=(
+    "SELECT job_id, event_time, event_status, job_status FROM routed "
+    "WHERE event_status IN ('Complete', 'Cancelled', 'Failed') AND job_status IS NOT NULL "
+    "AND event_status <> job_status")))
+def q_status_disagreement(spark, d):
+    return J.status_disagreement(_routed(spark, d))
+
+
+@register("first_terminal", O.with_ctes(O.EVENTS, body=(
+    "SELECT run_id, job_id, event_time, first_route AS route FROM firsts")))
+def q_first_terminal(spark, d):
+    return J.first_terminal(_routed(spark, d)).select("run_id", "job_id", "event_time", "route")
+
+
+@register("run_outcome", O.run_outcome_sql())
+def q_run_outcome(spark, d):
+    acc = J.first_terminal(_routed(spark, d)).where(F.col("route") == "accepted")
+    return J.run_outcome(acc, fx.run_records(spark, d))
+
+
+@register("report_totals", O.with_ctes(O.EVENTS, body="SELECT job_id, succeeded, failed, total FROM rt"))
+def q_report_totals(spark, d):
+    return J.report_totals(fx.report_rows(spark, d))
+
+
+@register("missing_record_alarm", O.with_ctes(O.EVENTS, body=(
+    "SELECT time_bucket(INTERVAL '5 minutes', event_time) AS period_start, "
+    "time_bucket(INTERVAL '5 minutes', event_time) + INTERVAL '5 minutes' AS period_end, "
+    "count(*) AS missing_record_events FROM routed WHERE route = 'no_active_jobs_record' GROUP BY 1, 2")))
+def q_missing_record_alarm(spark, d):
+    return J.missing_record_alarm(_routed(spark, d))
+
+
+@register("backlog_alarm", O.with_ctes(O.EVENTS, """
+f AS (SELECT e.bucket, e.job_id, min(e.event_time) AS t FROM evs e
+      WHERE e.job_id IN (SELECT job_id FROM jobs WHERE status = 'Failed') GROUP BY e.bucket, e.job_id),
+s AS (SELECT bucket, t AS sample_time, 1 AS depth FROM f UNION ALL
+      SELECT bucket, t + INTERVAL 1 DAY, 0 FROM f),
+p AS (SELECT bucket, time_bucket(INTERVAL '5 minutes', sample_time) AS period_start, max(depth) AS max_depth
+      FROM s GROUP BY 1, 2),
+st AS (SELECT *, CASE WHEN max_depth > 0 THEN 'ALARM' ELSE 'OK' END AS state FROM p),
+tr AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY bucket ORDER BY period_start), 'OK') AS previous_state FROM st)""",
+    body="SELECT bucket, period_start, max_depth, state, previous_state FROM tr WHERE state <> previous_state"))
+def q_backlog_alarm(spark, d):
+    jb = fx.jobs(spark, d)
+    return J.backlog_alarm(J.backlog_samples(jb, fx.job_events(spark, d)))

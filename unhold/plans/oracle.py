@@ -217,3 +217,96 @@ SELECT run_id, bucket, dt, report_only, jobs_created, jobs_pending, jobs_withhel
     || CASE WHEN report_only THEN 'report-only' ELSE 'active' END || ' mode.'
     || CASE WHEN lines IS NULL THEN ' No modes were evaluated for this run.' ELSE ' ' || lines END AS summary
 FROM g""")
+
+
+EVENTS = """
+jr AS (
+  SELECT lpad(lower(hex(o_orderkey // 2)), 8, '0') AS run_id,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'GOVERNANCE' ELSE 'COMPLIANCE' END AS mode,
+         'job-' || CAST(o_orderkey AS VARCHAR) AS job_id,
+         CASE o_orderstatus WHEN 'F' THEN 'Complete' WHEN 'O' THEN 'Failed' ELSE 'Active' END AS status,
+         o_orderkey, o_orderdate AS event_time,
+         'bucket-' || CAST((o_orderkey // 2) % 3 AS VARCHAR) AS bucket
+  FROM orders),
+rep AS (
+  SELECT lpad(lower(hex(l_orderkey // 2)), 8, '0') AS run_id,
+         CASE WHEN l_orderkey % 2 = 0 THEN 'GOVERNANCE' ELSE 'COMPLIANCE' END AS mode,
+         'job-' || CAST(l_orderkey AS VARCHAR) AS job_id,
+         'bucket-' || CAST((l_orderkey // 2) % 3 AS VARCHAR) AS bucket,
+         'order+' || CAST(l_orderkey AS VARCHAR) || '%2Fline%7E' || CAST(l_linenumber AS VARCHAR) AS key,
+         CAST(l_linenumber AS VARCHAR) AS version_id,
+         CASE WHEN l_returnflag = 'R' THEN 'PermanentFailure' ELSE 'Succeeded' END AS task_status
+  FROM lineitem),
+rt AS (
+  SELECT job_id, count(*) FILTER (WHERE task_status = 'Succeeded') AS succeeded,
+         count(*) FILTER (WHERE task_status IN ('PermanentFailure', 'TemporaryFailure')) AS failed,
+         count(*) AS total
+  FROM rep GROUP BY job_id),
+jobs AS (
+  SELECT jr.job_id, jr.status, coalesce(rt.succeeded, 0) AS succeeded, coalesce(rt.failed, 0) AS failed,
+         coalesce(rt.total, 0) AS total, CASE WHEN jr.status <> 'Complete' THEN jr.status END AS failure_reason,
+         CASE WHEN jr.o_orderkey % 11 = 0 THEN 'someone-else' ELSE 'unhold' END AS tag_created_by,
+         CASE WHEN jr.o_orderkey % 13 = 0 THEN 'not-a-hex-id' ELSE jr.run_id END AS tag_run_id,
+         jr.bucket
+  FROM jr LEFT JOIN rt ON rt.job_id = jr.job_id),
+recs AS (
+  SELECT lpad(lower(hex(o_orderkey // 2)), 8, '0') AS run_id,
+         'bucket-' || CAST((o_orderkey // 2) % 3 AS VARCHAR) AS bucket,
+         count(*) AS jobs_expected, min(o_orderdate) AS snapshot_ts
+  FROM orders GROUP BY o_orderkey // 2 HAVING (o_orderkey // 2) % 50 <> 0),
+recjobs AS (SELECT run_id, job_id, mode FROM jr WHERE run_id IN (SELECT run_id FROM recs)),
+evs AS (
+  SELECT job_id, CASE WHEN o_orderkey % 17 = 0 THEN 'Complete' ELSE status END AS event_status, event_time, bucket FROM jr
+  UNION ALL
+  SELECT job_id, CASE WHEN o_orderkey % 17 = 0 THEN 'Complete' ELSE status END, event_time + INTERVAL 1 MINUTE, bucket
+  FROM jr WHERE o_orderkey % 7 = 0),
+routed AS (
+  SELECT e.job_id, e.event_status, e.event_time, e.bucket, j.status AS job_status, j.succeeded, j.failed, j.total,
+         j.failure_reason, j.tag_created_by, j.tag_run_id AS run_id,
+         CASE WHEN e.job_id IS NULL OR e.event_status NOT IN ('Complete', 'Cancelled', 'Failed') THEN 'non_terminal_event'
+              WHEN j.status IS NULL THEN 'job_not_found'
+              WHEN j.status NOT IN ('Complete', 'Cancelled', 'Failed') THEN 'job_not_terminal'
+              WHEN j.tag_created_by IS DISTINCT FROM 'unhold' THEN 'not_this_solution'
+              WHEN j.tag_run_id IS NULL OR j.tag_run_id = '' THEN 'missing_run_id_tag'
+              WHEN NOT regexp_full_match(j.tag_run_id, '[0-9A-Fa-f]{1,64}') THEN 'invalid_run_id_tag'
+              WHEN r.run_id IS NULL THEN 'no_active_jobs_record'
+              WHEN rj.job_id IS NULL THEN 'job_not_in_record'
+              ELSE 'accepted' END AS route
+  FROM evs e LEFT JOIN jobs j ON j.job_id = e.job_id
+  LEFT JOIN recs r ON r.run_id = j.tag_run_id
+  LEFT JOIN recjobs rj ON rj.run_id = j.tag_run_id AND rj.job_id = e.job_id),
+firsts AS (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY run_id, job_id ORDER BY event_time) = 1
+                 THEN 'accepted' ELSE 'duplicate_event' END AS first_route
+  FROM routed WHERE route = 'accepted')"""
+
+
+def _fmt(n: str) -> str:
+    return f"format('{{:,}}', {n})"
+
+
+def run_outcome_sql() -> str:
+    outcome = f"""CASE WHEN length(concat_ws(', ',
+        CASE WHEN released + failed > 0 THEN
+          CASE WHEN failed > 0 THEN {_fmt('released')} || ' of ' || {_fmt('released + failed')} || ' version'
+                    || CASE WHEN released + failed <> 1 THEN 's' ELSE '' END || ' released, ' || {_fmt('failed')} || ' failed'
+               ELSE {_fmt('released')} || ' version' || CASE WHEN released <> 1 THEN 's' ELSE '' END || ' released' END END,
+        CASE WHEN jobs_not_complete > 0 THEN {_pl('jobs_not_complete', 'job')} || ' did not complete' END)) > 0
+      THEN concat_ws(', ',
+        CASE WHEN released + failed > 0 THEN
+          CASE WHEN failed > 0 THEN {_fmt('released')} || ' of ' || {_fmt('released + failed')} || ' version'
+                    || CASE WHEN released + failed <> 1 THEN 's' ELSE '' END || ' released, ' || {_fmt('failed')} || ' failed'
+               ELSE {_fmt('released')} || ' version' || CASE WHEN released <> 1 THEN 's' ELSE '' END || ' released' END END,
+        CASE WHEN jobs_not_complete > 0 THEN {_pl('jobs_not_complete', 'job')} || ' did not complete' END)
+      ELSE 'finished, nothing released' END"""
+    return with_ctes(EVENTS, """
+g AS (
+  SELECT run_id, count(*) AS jobs_terminal,
+         CAST(sum(CASE WHEN job_status = 'Complete' THEN succeeded ELSE 0 END) AS BIGINT) AS released,
+         CAST(sum(CASE WHEN job_status = 'Complete' THEN failed ELSE 0 END) AS BIGINT) AS failed,
+         count(*) FILTER (WHERE job_status IN ('Cancelled', 'Failed')) AS jobs_not_complete
+  FROM firsts WHERE first_route = 'accepted' GROUP BY run_id),
+o AS (SELECT r.run_id, r.bucket, r.jobs_expected, g.jobs_terminal, g.released, g.failed,
+             g.released + g.failed AS total, g.jobs_not_complete, g.jobs_terminal >= r.jobs_expected AS complete
+      FROM recs r JOIN g ON g.run_id = r.run_id)""",
+                     body=f"SELECT *, CASE WHEN complete THEN {outcome} END AS outcome FROM o")
