@@ -294,3 +294,225 @@ tr AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY bucket ORDER BY period_s
 def q_backlog_alarm(spark, d):
     jb = fx.jobs(spark, d)
     return J.backlog_alarm(J.backlog_samples(jb, fx.job_events(spark, d)))
+
+
+# --- verification and projections (V1 to V6, W2) -----------------------------
+
+from ..operators import verify as V  # noqa: E402
+
+
+@register("verify_release", O.with_ctes(O.INV, O.CLS, O.eligible_dedup_ctes("delete"), body=f"""
+SELECT pm.bucket, s.key AS key, pm.version_id, pm.mode, s.dt AS later_dt,
+       CASE WHEN s.dt IS NULL THEN 'gone' WHEN s.object_lock_event_hold_status = 'ON' THEN 'still_held'
+            WHEN s.object_lock_event_hold_status = 'OFF' THEN 'released' ELSE 'unknown' END AS release_status,
+       s.object_lock_retain_until_date
+FROM pm LEFT JOIN (SELECT * FROM inv WHERE dt = '{fx.CUR_DT}') s
+  ON s.bucket = pm.bucket AND {O.enc('s.key')} = pm.key AND s.version_id = pm.version_id"""))
+def q_verify_release(spark, d):
+    inv = _inv(spark, d)
+    return V.verify_release(previous_manifest(inv, "delete"), fx.snapshot(inv, fx.CUR_DT))
+
+
+@register("rolling_retention", O.with_ctes(O.INV, body=f"""
+SELECT b.bucket, b.key, b.version_id, b.object_lock_event_hold_status AS hold_before,
+       a.object_lock_event_hold_status AS hold_after, b.object_lock_retain_until_date AS retain_before,
+       a.object_lock_retain_until_date AS retain_after,
+       CASE WHEN b.object_lock_event_hold_status = 'ON' AND a.object_lock_event_hold_status = 'ON' THEN
+              CASE WHEN a.object_lock_retain_until_date > b.object_lock_retain_until_date THEN 'rolling' ELSE 'not_advancing' END
+            WHEN b.object_lock_event_hold_status = 'ON' AND a.object_lock_event_hold_status = 'OFF' THEN 'released'
+            WHEN b.object_lock_event_hold_status = 'OFF' AND a.object_lock_event_hold_status = 'OFF' THEN
+              CASE WHEN a.object_lock_retain_until_date = b.object_lock_retain_until_date THEN 'settled' ELSE 'changed_after_release' END
+            WHEN b.object_lock_event_hold_status = 'OFF' AND a.object_lock_event_hold_status = 'ON' THEN 'hold_reapplied'
+            ELSE 'no_hold' END AS retention_status
+FROM (SELECT * FROM inv WHERE dt = '{fx.PREV_DT}') b
+JOIN (SELECT * FROM inv WHERE dt = '{fx.CUR_DT}') a ON a.bucket = b.bucket AND a.key = b.key AND a.version_id = b.version_id
+WHERE b.object_lock_event_hold_status IS NOT NULL OR a.object_lock_event_hold_status IS NOT NULL"""))
+def q_rolling_retention(spark, d):
+    inv = _inv(spark, d)
+    return V.rolling_retention(fx.snapshot(inv, fx.PREV_DT), fx.snapshot(inv, fx.CUR_DT))
+
+
+@register("release_effect", O.with_ctes(O.INV, O.CLS, f"elig AS ({O._elig('delete')})", body=f"""
+SELECT e.bucket, e.dt, e.key, e.version_id, e.object_lock_mode, c.object_lock_retain_until_date,
+       greatest(c.object_lock_retain_until_date, TIMESTAMP '{O.RELEASE_TIME}' + INTERVAL {O.HOLD_DAYS} DAY) AS retain_until_after_release
+FROM elig e JOIN classified c ON c.bucket = e.bucket AND c.dt = e.dt AND c.key = e.key AND c.version_id = e.version_id"""))
+def q_release_effect(spark, d):
+    inv = _inv(spark, d)
+    cls = C.classify_versions(inv)
+    elig = (cls.where((F.col("superseder_kinds") == 1) & F.col("superseder_is_delete_marker"))
+            .where(F.col("object_lock_mode").isin("COMPLIANCE", "GOVERNANCE")))
+    return V.release_effect(elig, O.RELEASE_TIME, O.HOLD_DAYS)
+
+
+BECAME_COLS = ["bucket", "dt", "key", "version_id", "superseder_class", "noncurrent_since_min", "noncurrent_since_max"]
+
+
+@register("became_noncurrent", O.with_ctes(O.INV, O.CLS, O.BECAME, body=f"SELECT {', '.join(BECAME_COLS)} FROM became"))
+def q_became_noncurrent(spark, d):
+    return V.became_noncurrent(C.classify_versions(_inv(spark, d))).select(*BECAME_COLS)
+
+
+@register("expiry_projection", O.with_ctes(O.INV, O.CLS, O.BECAME, body=f"""
+SELECT bucket, dt, key, version_id, noncurrent_since_max, object_lock_retain_until_date AS retain_until,
+       noncurrent_since_max + INTERVAL {O.NONCURRENT_DAYS} DAY AS lifecycle_at,
+       greatest(noncurrent_since_max + INTERVAL {O.NONCURRENT_DAYS} DAY, object_lock_retain_until_date) AS earliest_expiry,
+       CASE WHEN noncurrent_since_max IS NULL THEN NULL
+            WHEN object_lock_retain_until_date IS NULL
+              OR noncurrent_since_max + INTERVAL {O.NONCURRENT_DAYS} DAY >= object_lock_retain_until_date THEN 'lifecycle'
+            ELSE 'retention' END AS binding
+FROM became"""))
+def q_expiry_projection(spark, d):
+    return V.expiry_projection(C.classify_versions(_inv(spark, d)), O.NONCURRENT_DAYS)
+
+
+def _runs_released(spark, d):
+    li = fx.table(spark, d, "lineitem").groupBy(
+        F.lpad(F.lower(F.hex(F.floor(F.col("l_orderkey") / 2))), 8, "0").alias("run_id")).agg(
+        F.max("l_shipdate").alias("released_at"))
+    return fx.run_records(spark, d).join(li, "run_id")
+
+
+@register("evidence_age", O.with_ctes(O.EVENTS, body=f"""
+SELECT r.run_id, r.snapshot_ts, l.released_at, datediff('day', r.snapshot_ts, l.released_at) AS evidence_age_days,
+       datediff('day', r.snapshot_ts, l.released_at) > {O.EVIDENCE_MAX_DAYS} AS stale_evidence
+FROM recs r JOIN (SELECT lpad(lower(hex(l_orderkey // 2)), 8, '0') AS run_id, max(l_shipdate) AS released_at
+                  FROM lineitem GROUP BY 1) l ON l.run_id = r.run_id"""))
+def q_evidence_age(spark, d):
+    return V.evidence_age(_runs_released(spark, d), O.EVIDENCE_MAX_DAYS)
+
+
+def _reported(spark, d):
+    jb = fx.jobs(spark, d).where(F.col("status").isin("Complete", "Failed")).select("job_id")
+    return fx.report_rows(spark, d).join(jb, "job_id", "left_semi")
+
+
+@register("audit_trail", O.with_ctes(O.EVENTS, body="""
+SELECT coalesce(m.run_id, r.run_id) AS run_id, coalesce(m.mode, r.mode) AS mode, coalesce(m.bucket, r.bucket) AS bucket,
+       coalesce(m.key, r.key) AS key, coalesce(m.version_id, r.version_id) AS version_id, r.task_status,
+       CASE WHEN m.key IS NULL THEN 'unexpected_report_row' WHEN r.task_status IS NULL THEN 'not_reported'
+            WHEN r.task_status = 'Succeeded' THEN 'released' ELSE 'failed' END AS audit_status,
+       coalesce(coalesce(m.run_id, r.run_id) IN (SELECT run_id FROM recs), false) AS decision_present
+FROM rep m
+FULL OUTER JOIN (SELECT * FROM rep WHERE job_id IN (SELECT job_id FROM jobs WHERE status IN ('Complete', 'Failed'))) r
+  ON r.run_id = m.run_id AND r.mode = m.mode AND r.bucket = m.bucket AND r.key = m.key AND r.version_id = m.version_id"""))
+def q_audit_trail(spark, d):
+    manifest = fx.report_rows(spark, d).drop("task_status", "job_id")
+    return V.audit_trail(manifest, _reported(spark, d), fx.run_records(spark, d))
+
+
+# --- reviews (C7 to C9, P5) ---------------------------------------------------
+
+from ..operators import review as RV  # noqa: E402
+
+_NO_NC_DM = "inv_nodm AS (SELECT * FROM inv WHERE NOT (is_delete_marker = true AND is_latest = false))"
+_NO_NC_DM = "inv_nodm AS (SELECT * FROM inv WHERE is_delete_marker IS DISTINCT FROM true OR is_latest IS DISTINCT FROM false)"
+
+
+@register("withheld_remedy", O.with_ctes(O.INV, O.CLS, _NO_NC_DM, O.cls_on("inv_nodm", "b"), body="""
+SELECT c.bucket, c.dt, c.key, c.version_id, c.object_lock_mode, b.superseder_class AS class_after,
+       CASE WHEN b.superseder_class IN ('delete', 'overwrite') THEN 'self_heals' ELSE 'stuck' END AS remedy
+FROM classified c LEFT JOIN classified_b b ON b.bucket = c.bucket AND b.dt = c.dt AND b.key = c.key AND b.version_id = c.version_id
+WHERE c.superseder_class = 'withheld'"""))
+def q_withheld_remedy(spark, d):
+    return RV.withheld_remedy(_inv(spark, d))
+
+
+@register("reclassification_hazard", O.with_ctes(O.INV, O.CLS, _NO_NC_DM, O.cls_on("inv_nodm", "b"), body="""
+SELECT c.bucket, c.dt, c.key, c.version_id, c.object_lock_mode, c.superseder_class AS class_before, b.superseder_class AS class_after
+FROM classified c JOIN classified_b b ON b.bucket = c.bucket AND b.dt = c.dt AND b.key = c.key AND b.version_id = c.version_id
+WHERE c.superseder_class = 'delete' AND b.superseder_class = 'overwrite'"""))
+def q_reclassification_hazard(spark, d):
+    return RV.reclassification_hazard(_inv(spark, d))
+
+
+@register("write_once_anomalies", O.with_ctes(O.INV, O.CLS, body=(
+    "SELECT bucket, dt, key, version_id, object_lock_mode, last_modified_date, next_lmd FROM classified "
+    "WHERE superseder_class = 'overwrite' AND (" + " OR ".join(f"starts_with(key, '{p}')" for p in O.WRITE_ONCE_PREFIXES) + ")")))
+def q_write_once_anomalies(spark, d):
+    return RV.write_once_anomalies(C.classify_versions(_inv(spark, d)), O.WRITE_ONCE_PREFIXES)
+
+
+@register("prefix_shards", O.with_ctes(O.INV, O.CLS, """
+scopes AS (SELECT DISTINCT bucket, regexp_extract(key, '^([^/]*/)', 1) AS prefix FROM inv
+           WHERE regexp_extract(key, '^([^/]*/)', 1) <> '')""", body="""
+SELECT c.bucket, s.prefix AS shard, count(*) AS candidates,
+       (SELECT count(*) FROM scopes a JOIN scopes b ON a.bucket = b.bucket AND a.prefix <> b.prefix
+          AND starts_with(a.prefix, b.prefix)) AS overlapping_scopes
+FROM cand c JOIN scopes s ON s.bucket = c.bucket AND starts_with(c.key, s.prefix)
+GROUP BY c.bucket, s.prefix"""))
+def q_prefix_shards(spark, d):
+    inv = _inv(spark, d)
+    scopes = RV.top_level_scopes(inv)
+    overlaps = RV.prefix_overlaps(scopes).agg(F.count(F.lit(1)).alias("overlapping_scopes"))
+    counts = (RV.prefix_shards(C.candidates(inv), scopes)
+              .groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("candidates")))
+    return counts.crossJoin(overlaps)
+
+
+# --- artifacts, cost, sampling (J8, A10, O3) ----------------------------------
+
+from ..operators import artifacts as AR  # noqa: E402
+from ..schemas import RATE_CARD, RETENTION_RULES  # noqa: E402
+
+
+def _values(rows, cols):
+    def lit(v):
+        return "NULL" if v is None else (f"'{v}'" if isinstance(v, str) else repr(v))
+    return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows) + f") AS t({cols})"
+
+
+@register("artifact_retention", O.with_ctes(O.EVENTS, f"""
+rules AS (SELECT * FROM {_values(RETENTION_RULES, 'rule_prefix, expire_days')}),
+arts AS (
+  SELECT unnest([
+    'inventory/' || bucket || '/inv/' || strftime(snapshot_ts, '%Y-%m-%dT%H-%MZ') || '/manifest.json',
+    'athena-results/' || run_id || '.csv',
+    'manifests/parts/' || run_id || '/_query_complete.json',
+    'diagnostics/withheld-candidates/dt=' || strftime(snapshot_ts, '%Y-%m-%dT%H-%MZ') || '/' || run_id || '.csv']) AS path,
+    snapshot_ts AS created_at FROM recs
+  UNION ALL
+  SELECT unnest([
+    'manifests/combined/' || j.run_id || '/' || j.mode || '/manifest.csv',
+    'reports/' || j.run_id || '/' || j.mode || '/report.csv',
+    'manifests/previous/' || j.mode || '/' || j.run_id || '.csv']) AS path, r.snapshot_ts AS created_at
+  FROM recjobs j JOIN recs r ON r.run_id = j.run_id),
+m AS (SELECT a.path, a.created_at, r.rule_prefix, r.expire_days,
+             row_number() OVER (PARTITION BY a.path, a.created_at ORDER BY length(r.rule_prefix) DESC NULLS LAST) AS rn
+      FROM arts a LEFT JOIN rules r ON starts_with(a.path, r.rule_prefix))""", body="""
+SELECT path, created_at, rule_prefix, expire_days,
+       CASE WHEN expire_days IS NOT NULL THEN created_at + to_days(expire_days) END AS expires_at
+FROM m WHERE rn = 1"""))
+def q_artifact_retention(spark, d):
+    arts = AR.run_artifacts(fx.run_records(spark, d), fx.record_jobs(spark, d))
+    return AR.artifact_retention(arts, AR.retention_rules(spark))
+
+
+@register("cost_estimate", O.with_ctes(O.INV, O.CLS, f"elig AS ({O._elig('delete')})", f"""
+rates AS (SELECT * FROM {_values(RATE_CARD, 'line_item, unit, rate_usd')}),
+usage AS (
+  SELECT u.bucket, u.dt, u.versions_listed, coalesce(e.n, 0) AS versions_released, coalesce(e.jobs, 0) AS jobs
+  FROM (SELECT bucket, dt, count(*) AS versions_listed FROM inv GROUP BY bucket, dt) u
+  LEFT JOIN (SELECT bucket, dt, count(*) AS n, count(DISTINCT object_lock_mode) AS jobs FROM elig GROUP BY bucket, dt) e
+    ON e.bucket = u.bucket AND e.dt = u.dt),
+q AS (
+  SELECT bucket, dt, 'inventory_listing' AS line_item, versions_listed / 1e6 AS quantity FROM usage UNION ALL
+  SELECT bucket, dt, 'query_scan', versions_listed * 80 / 1000000000000 FROM usage UNION ALL
+  SELECT bucket, dt, 'batch_job', CAST(jobs AS DOUBLE) FROM usage UNION ALL
+  SELECT bucket, dt, 'batch_objects', versions_released / 1e6 FROM usage UNION ALL
+  SELECT bucket, dt, 'put_requests', versions_released / 1e3 FROM usage)""", body="""
+SELECT q.bucket, q.dt, q.line_item, CAST(floor(q.quantity * r.rate_usd * 1e6 + 0.5) AS BIGINT) AS cost_micro_usd
+FROM q JOIN rates r ON r.line_item = q.line_item"""))
+def q_cost_estimate(spark, d):
+    inv = _inv(spark, d)
+    elig = E.eligible(inv, "delete")
+    usage = (inv.groupBy("bucket", "dt").agg(F.count(F.lit(1)).alias("versions_listed"))
+             .join(elig.groupBy("bucket", "dt").agg(F.count(F.lit(1)).alias("versions_released"),
+                                                     F.count_distinct("object_lock_mode").alias("jobs")),
+                   ["bucket", "dt"], "left")
+             .fillna(0, ["versions_released", "jobs"]))
+    return AR.cost_estimate(usage, AR.rate_card(spark))
+
+
+@register("sample_keys", None)
+def q_sample_keys(spark, d):
+    return AR.sample_keys(fx.snapshot(_inv(spark, d), fx.CUR_DT), 25, seed=42)

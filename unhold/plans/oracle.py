@@ -310,3 +310,39 @@ o AS (SELECT r.run_id, r.bucket, r.jobs_expected, g.jobs_terminal, g.released, g
              g.released + g.failed AS total, g.jobs_not_complete, g.jobs_terminal >= r.jobs_expected AS complete
       FROM recs r JOIN g ON g.run_id = r.run_id)""",
                      body=f"SELECT *, CASE WHEN complete THEN {outcome} END AS outcome FROM o")
+
+
+# Parameters shared by the projection queries (the originals collect none).
+RELEASE_TIME = "2024-02-02 00:00:00"
+HOLD_DAYS = 400
+NONCURRENT_DAYS = 30
+EVIDENCE_MAX_DAYS = 60
+WRITE_ONCE_PREFIXES = ["team0/", "team2/"]
+
+# W2 interval bounds over the joined-form classification (tied flags from the
+# group counts).
+BECAME = f"""
+ties AS (
+  SELECT bucket, dt, key, last_modified_date, count(*) AS g_all,
+         count(*) FILTER (WHERE is_latest = false) AS g_nc
+  FROM inv WHERE last_modified_date IS NOT NULL GROUP BY bucket, dt, key, last_modified_date),
+became AS (
+  SELECT c.*, t.g_all - 1 > 0 AS has_tied_peer, t.g_nc - 1 > 0 AS has_tied_noncurrent,
+         CASE WHEN c.superseder_class = 'unclassified' THEN NULL
+              WHEN t.g_all - 1 > 0 THEN c.last_modified_date ELSE c.next_lmd END AS noncurrent_since_min,
+         CASE WHEN c.superseder_class = 'unclassified' THEN NULL
+              WHEN c.next_lmd IS NOT NULL AND (NOT (t.g_all - 1 > 0) OR t.g_nc - 1 > 0) THEN c.next_lmd
+              ELSE c.last_modified_date END AS noncurrent_since_max
+  FROM classified c LEFT JOIN ties t ON t.bucket = c.bucket AND t.dt = c.dt AND t.key = c.key
+   AND t.last_modified_date = c.last_modified_date)"""
+
+
+def cls_on(src: str, name: str) -> str:
+    """The joined-form classification CTEs over another inventory CTE ``src``,
+    with every CTE name suffixed by ``name``."""
+    body = CLS
+    for t in ("tso", "grp", "cand", "poss", "sclass", "classified"):
+        body = body.replace(f"{t} AS (", f"{t}_{name} AS (").replace(f"FROM {t}", f"FROM {t}_{name}") \
+            .replace(f"JOIN {t} ", f"JOIN {t}_{name} ")
+    body = body.replace("FROM inv", f"FROM {src}").replace("JOIN inv ", f"JOIN {src} ")
+    return body
