@@ -516,3 +516,157 @@ def q_cost_estimate(spark, d):
 @register("sample_keys", None)
 def q_sample_keys(spark, d):
     return AR.sample_keys(fx.snapshot(_inv(spark, d), fx.CUR_DT), 25, seed=42)
+
+
+# --- sources and sinks: schema drift, records, round trips
+
+import uuid  # noqa: E402
+
+from ..session import checkpoint_dir  # noqa: E402
+from ..sources import records as SR  # noqa: E402
+from ..sources import sinks as K  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder for a round trip."""
+    return f"{checkpoint_dir(spark)}/roundtrip/{name}-{uuid.uuid4().hex}"
+
+
+def delivery_manifests(inv: DataFrame) -> DataFrame:
+    """One delivery manifest per (bucket, dt) snapshot, derived from the
+    inventory, with drift injected: bucket-2's prev delivery lacks the hold
+    column, bucket-1 lacks `size` and carries an undeclared column, bucket-0's
+    cur delivery is not Parquet."""
+    fields = F.array(*[F.lit(f) for f in O.DELIVERY_FIELDS])
+    snaps = inv.select("bucket", "dt").distinct()
+    b, dt = F.col("bucket"), F.col("dt")
+    chosen = (F.when((b == "bucket-2") & (dt == fx.PREV_DT),
+                     F.filter(fields, lambda f: ~f.contains(" object_lock_event_hold_status")))
+              .when(b == "bucket-1", F.concat(F.filter(fields, lambda f: ~f.contains(" size;")),
+                                              F.array(F.lit(O.EXTRA_FIELD))))
+              .otherwise(fields))
+    return snaps.select(
+        "bucket", "dt",
+        F.when((b == "bucket-0") & (dt == fx.CUR_DT), "CSV").otherwise("Parquet").alias("fileFormat"),
+        F.concat(F.lit("message s3.inventory { "), F.array_join(chosen, " "), F.lit(" }")).alias("fileSchema"))
+
+
+@register("schema_drift", O.schema_drift_sql())
+def q_schema_drift(spark, d):
+    return SR.schema_drift(delivery_manifests(_inv(spark, d)))
+
+
+def _decision_history(spark, d):
+    """Two passes over every run: the scheduled one, and a replay a day later
+    after bucket-1's threshold was raised (the documented remedy)."""
+    inv = _inv(spark, d)
+    elig = E.eligible(inv, "delete")
+    out = None
+    for p, thr, off in ((1, 100, 0), (2, 100000, 1)):
+        dec = (D.decide(R.decision_inputs(inv, elig, R.fixture_config(inv, thr)))
+               .withColumn("pass", F.lit(p))
+               .withColumn("decision_id", F.concat(F.col("run_id"), F.lit(f"-{p}")))
+               .withColumn("decided_at", F.to_timestamp_ntz(F.regexp_replace("dt", r"^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$", "$1 $2:$3:00"))
+                           + F.make_dt_interval(F.lit(off))))
+        out = dec if out is None else out.unionByName(dec)
+    return out
+
+
+@register("latest_decision", O.with_ctes(O.INV, O.CLS, O.decision_ctes(((1, 100, 0), (2, 100000, 1))), body="""
+SELECT run_id, mode, decision_id, outcome, reason, decided_at FROM (
+  SELECT run_id, mode, run_id || '-' || CAST(pass AS VARCHAR) AS decision_id, outcome, reason,
+         strptime(dt, '%Y-%m-%d-%H-%M') + to_days(day_offset) AS decided_at,
+         row_number() OVER (PARTITION BY run_id, mode ORDER BY strptime(dt, '%Y-%m-%d-%H-%M') + to_days(day_offset) DESC,
+                            run_id || '-' || CAST(pass AS VARCHAR) DESC) AS rn
+  FROM decisions) WHERE rn = 1"""))
+def q_latest_decision(spark, d):
+    return D.latest_decision(_decision_history(spark, d)).select(
+        "run_id", "mode", "decision_id", "outcome", "reason", "decided_at")
+
+
+@register("scan_previous_manifest", O.with_ctes(O.INV, O.CLS, O.eligible_dedup_ctes("delete"),
+                                                body="SELECT bucket, key, version_id, mode FROM pm"))
+def q_scan_previous_manifest(spark, d):
+    """K1 writer + S4 reader round trip: the previous snapshot's manifest is
+    written as headerless CSV and read back positionally."""
+    path = _scratch(spark, "previous_manifest")
+    pm = previous_manifest(_inv(spark, d), "delete")
+    K.assert_csv_safe(pm, ["bucket", "key", "version_id"])
+    (pm.withColumn("target", F.col("bucket")).write.option("header", False).option("compression", "none")
+     .partitionBy("target", "mode").csv(path))
+    return SR.read_previous_manifest(spark, path)
+
+
+_RAW_DT = r"regexp_replace(dt, '^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$', '\1T\2-\3Z')"
+
+
+@register("withheld_history", O.with_ctes(O.INV, O.CLS, body=(
+    f"SELECT {O.enc('key')} AS key, version_id, object_lock_mode, "
+    "strftime(last_modified_date, '%Y-%m-%d %H:%M:%S.%g') AS last_modified_date, "
+    "CASE WHEN has_tied_noncurrent_peer = 1 THEN 'tied_noncurrent_peer' ELSE 'ambiguous_successor_classification' END AS reason, "
+    f"{_RAW_DT} AS dt FROM classified WHERE superseder_kinds > 1")))
+def q_withheld_history(spark, d):
+    """K2 writer + S5 reader round trip over the raw-dt partitions."""
+    path = _scratch(spark, "withheld")
+    wh = E.withheld(_inv(spark, d)).withColumn(
+        "dt_raw", F.regexp_replace("dt", r"^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$", "$1T$2-$3Z"))
+    K.write_withheld(wh, path)
+    dts = [fx.PREV_DT, fx.CUR_DT]
+    raw = [f"{x[:10]}T{x[11:13]}-{x[14:16]}Z" for x in dts]
+    return SR.read_withheld_history(spark, path, raw)
+
+
+@register("next_previous_manifest", O.with_ctes(O.INV, O.CLS, O.decision_ctes(), """
+latest AS (
+  SELECT run_id, bucket, dt, mode FROM (
+    SELECT *, row_number() OVER (PARTITION BY bucket, mode ORDER BY dt DESC, run_id DESC) AS rn
+    FROM decisions WHERE outcome = 'created') WHERE rn = 1)""", body=f"""
+SELECT e.bucket, {O.enc('e.key')} AS key, e.version_id, e.object_lock_mode AS mode
+FROM elig e JOIN latest l ON l.bucket = e.bucket AND l.dt = e.dt AND l.mode = e.object_lock_mode"""))
+def q_next_previous_manifest(spark, d):
+    """K4: publish the dedup pointer from decisions and read it back."""
+    path = _scratch(spark, "previous")
+    inv = _inv(spark, d)
+    elig = E.eligible(inv, "delete")
+    dec = D.decide(R.decision_inputs(inv, elig, R.fixture_config(inv)))
+    man = E.manifest_rows(elig).join(R.run_ids(inv), ["bucket", "dt"])
+    K.publish_previous_manifest(man, dec, path)
+    return SR.read_previous_manifest(spark, path)
+
+
+def run_record_json(inv: DataFrame) -> DataFrame:
+    """Query-complete records as JSON text, one per (bucket, dt) run, derived
+    from the eligible counts. bucket-1's records lack the GOVERNANCE count;
+    bucket-2's prev record is truncated (corrupt)."""
+    elig = E.eligible(inv, "delete")
+    counts = E.eligible_counts(inv, elig)
+    runs = R.run_ids(inv)
+    per_run = (counts.groupBy("bucket", "dt").agg(
+        F.map_from_entries(F.collect_list(F.struct("object_lock_mode", "eligible_count"))).alias("rc")))
+    rc = F.when(F.col("bucket") == "bucket-1", F.map_filter("rc", lambda k, v: k != "GOVERNANCE")).otherwise(F.col("rc"))
+    rec = per_run.join(runs, ["bucket", "dt"]).select(
+        "bucket", "dt",
+        F.to_json(F.struct(
+            F.col("run_id"),
+            F.regexp_replace("dt", r"^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$", "$1T$2-$3Z").alias("dt"),
+            F.col("bucket").alias("target_bucket"), F.lit("inv").alias("inventory_id"),
+            F.array(F.lit("COMPLIANCE"), F.lit("GOVERNANCE")).alias("modes_succeeded"),
+            rc.alias("row_counts"))).alias("json"))
+    bad = (F.col("bucket") == "bucket-2") & (F.col("dt") == fx.PREV_DT)
+    return rec.select(F.when(bad, F.substring("json", 1, 20)).otherwise(F.col("json")).alias("value"))
+
+
+@register("validate_run_records", O.with_ctes(O.INV, body=f"""
+SELECT CASE WHEN corrupt THEN NULL ELSE run_id END AS run_id, CASE WHEN corrupt THEN NULL ELSE {_RAW_DT} END AS dt,
+       NOT corrupt AND bucket <> 'bucket-1' AS valid,
+       CASE WHEN corrupt THEN 'corrupt_record,invalid_run_id,invalid_dt,missing_target_bucket,missing_mode_count'
+            WHEN bucket = 'bucket-1' THEN 'missing_mode_count' ELSE '' END AS problems
+FROM (SELECT DISTINCT bucket, dt, substr(sha256(bucket || '/' || dt), 1, 16) AS run_id,
+             bucket = 'bucket-2' AND dt = '{fx.PREV_DT}' AS corrupt FROM inv)"""))
+def q_validate_run_records(spark, d):
+    """S6 round trip: records written as JSON text, read PERMISSIVE with an
+    explicit schema, checked rule by rule."""
+    path = _scratch(spark, "records")
+    run_record_json(_inv(spark, d)).write.text(path)
+    v = SR.validate_run_records(SR.read_run_records(spark, path))
+    return v.select("run_id", "dt", "valid", F.array_join("problems", ",").alias("problems"))

@@ -116,24 +116,27 @@ suppressed AS (
                 AND pm.key = {enc('e.key')} AND pm.version_id = e.version_id))"""
 
 
-def decision_ctes() -> str:
+def decision_ctes(passes=((1, 100, 0),)) -> str:
     """Runs per (bucket, dt), fixture config, counts, ladder inputs and
-    decisions (DuckDB twin of plans.runs.decision_inputs + decide)."""
+    decisions (DuckDB twin of plans.runs.decision_inputs + decide). Each pass
+    (pass, bucket-1 threshold, day offset) decides every run once."""
+    pv = ", ".join(f"({p}, {t}, {o})" for p, t, o in passes)
     return f"""
 elig AS ({_elig('delete')}),
 runs AS (SELECT DISTINCT bucket, dt, substr(sha256(bucket || '/' || dt), 1, 16) AS run_id FROM inv),
 modes(mode) AS (VALUES ('COMPLIANCE'), ('GOVERNANCE')),
+passes(pass, b1_threshold, day_offset) AS (VALUES {pv}),
 cnt AS (SELECT bucket, dt, object_lock_mode AS mode, count(*) AS n FROM elig GROUP BY bucket, dt, object_lock_mode),
 inp AS (
-  SELECT r.run_id, r.bucket, r.dt, m.mode, coalesce(c.n, 0) AS trigger_count,
+  SELECT p.pass, p.day_offset, r.run_id, r.bucket, r.dt, m.mode, coalesce(c.n, 0) AS trigger_count,
          'q-' || r.run_id || '-' || m.mode AS count_query_id,
          sha256(r.run_id || '/' || m.mode || '/count') AS count_hash,
          coalesce(c.n, 0) AS verified_count, coalesce(c.n, 0) > 0 AS manifest_listed,
          'manifests/combined/' || r.run_id || '/' || m.mode || '/manifest.csv' AS manifest_key,
          true AS manifest_exists, CAST(NULL AS VARCHAR) AS submit_error,
          r.bucket = 'bucket-2' AS report_only,
-         CAST(CASE WHEN r.bucket = 'bucket-1' THEN 100 ELSE 1000 END AS BIGINT) AS safety_threshold
-  FROM runs r CROSS JOIN modes m
+         CAST(CASE WHEN r.bucket = 'bucket-1' THEN p.b1_threshold ELSE 1000 END AS BIGINT) AS safety_threshold
+  FROM runs r CROSS JOIN modes m CROSS JOIN passes p
   LEFT JOIN cnt c ON c.bucket = r.bucket AND c.dt = r.dt AND c.mode = m.mode),
 lad AS (
   SELECT *,
@@ -165,7 +168,7 @@ lad AS (
     sha256(bucket || '/' || run_id || '/' || dt || '/' || mode) AS decision_token
   FROM inp),
 decisions AS (
-  SELECT run_id, bucket, dt, mode, outcome, reason,
+  SELECT pass, day_offset, run_id, bucket, dt, mode, outcome, reason,
          CASE WHEN reason IS NULL OR reason NOT IN ('missing_or_invalid_count_metadata',
               'count_query_verification_failed', 'count_mismatch') THEN verified_count END AS verified_count,
          verified_count AS query_count, trigger_count, safety_threshold, report_only, manifest_key, decision_token,
@@ -346,3 +349,51 @@ def cls_on(src: str, name: str) -> str:
             .replace(f"JOIN {t} ", f"JOIN {t}_{name} ")
     body = body.replace("FROM inv", f"FROM {src}").replace("JOIN inv ", f"JOIN {src} ")
     return body
+
+
+# Parquet message-schema fields of a full delivery, in delivery order.
+DELIVERY_FIELDS = [
+    "required binary bucket (STRING);",
+    "required binary key (STRING);",
+    "optional binary version_id (STRING);",
+    "optional boolean is_latest;",
+    "optional boolean is_delete_marker;",
+    "optional int64 size;",
+    "optional int64 last_modified_date (TIMESTAMP(MILLIS,true));",
+    "optional int64 object_lock_retain_until_date (TIMESTAMP(MILLIS,true));",
+    "optional binary object_lock_mode (STRING);",
+    "optional binary object_lock_legal_hold_status (STRING);",
+    "optional binary object_lock_event_hold_status (STRING);",
+]
+EXTRA_FIELD = "optional binary checksum_algorithm (STRING);"
+
+
+def schema_drift_sql() -> str:
+    fields = "[" + ", ".join(f"'{f}'" for f in DELIVERY_FIELDS) + "]"
+    req = "['key', 'version_id', 'is_latest', 'is_delete_marker', 'last_modified_date', 'object_lock_mode', 'object_lock_event_hold_status']"
+    opt = "['bucket', 'size', 'object_lock_retain_until_date', 'object_lock_legal_hold_status']"
+    return with_ctes(INV, f"""
+dl AS (
+  SELECT bucket, dt,
+         CASE WHEN bucket = 'bucket-0' AND dt = '{CUR_DT}' THEN 'CSV' ELSE 'Parquet' END AS fileFormat,
+         'message s3.inventory {{ ' || array_to_string(
+           CASE WHEN bucket = 'bucket-2' AND dt = '{PREV_DT}'
+                  THEN list_filter({fields}, lambda f: NOT contains(f, ' object_lock_event_hold_status'))
+                WHEN bucket = 'bucket-1'
+                  THEN list_concat(list_filter({fields}, lambda f: NOT contains(f, ' size;')), ['{EXTRA_FIELD}'])
+                ELSE {fields} END, ' ') || ' }}' AS fileSchema
+  FROM (SELECT DISTINCT bucket, dt FROM inv)),
+p AS (SELECT *, list_distinct(regexp_extract_all(coalesce(fileSchema, ''), '\\b(required|optional|repeated)\\s+(\\w+)\\s+(\\w+)', 3)) AS cols FROM dl),
+s AS (SELECT *,
+        list_sort(list_filter({req}, lambda x: NOT list_contains(cols, x))) AS mreq,
+        list_sort(list_filter({opt}, lambda x: NOT list_contains(cols, x))) AS mopt,
+        list_sort(list_filter(cols, lambda x: NOT list_contains(list_concat({req}, {opt}), x))) AS und
+      FROM p)""", body="""
+SELECT bucket, dt, fileFormat, array_to_string(list_sort(cols), ',') AS delivered_columns,
+       array_to_string(mreq, ',') AS missing_required, array_to_string(mopt, ',') AS missing_optional,
+       array_to_string(und, ',') AS undeclared_columns,
+       coalesce(fileFormat = 'Parquet', false) AND len(cols) > 0 AND len(mreq) = 0 AS ok,
+       CASE WHEN NOT coalesce(fileFormat = 'Parquet', false) THEN 'not_parquet'
+            WHEN len(cols) = 0 THEN 'unparseable_schema'
+            WHEN len(mreq) > 0 THEN 'missing_required_columns' ELSE 'ok' END AS verdict
+FROM s""")

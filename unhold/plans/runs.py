@@ -26,7 +26,7 @@ def run_ids(inv: DataFrame) -> DataFrame:
             .withColumn("run_id", F.substring(F.sha2(F.concat_ws("/", "bucket", "dt"), 256), 1, 16)))
 
 
-def fixture_config(inv: DataFrame) -> DataFrame:
+def fixture_config(inv: DataFrame, bucket1_threshold: int = 100) -> DataFrame:
     """Per-bucket configuration of the fixture: bucket-2 runs report-only,
     bucket-1 has a low threshold, the rest the default of 1,000."""
     b = inv.select("bucket").distinct()
@@ -34,7 +34,7 @@ def fixture_config(inv: DataFrame) -> DataFrame:
         "bucket",
         F.lit("delete").alias("release_mode"),
         (F.col("bucket") == "bucket-2").alias("report_only"),
-        F.when(F.col("bucket") == "bucket-1", F.lit(100)).otherwise(F.lit(1000)).cast("bigint").alias("safety_threshold"),
+        F.when(F.col("bucket") == "bucket-1", F.lit(bucket1_threshold)).otherwise(F.lit(1000)).cast("bigint").alias("safety_threshold"),
     )
 
 

@@ -63,9 +63,10 @@ def read_previous_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Headerless positional CSV (bucket, key, version_id) under
     ``mode=<MODE>/`` folders. The three-field schema is load-bearing: a
     shorter one would bind bucket as key and silently match nothing."""
-    schema = T.StructType(MANIFEST_CSV.fields + [T.StructField("mode", T.StringType())])
+    schema = T.StructType(MANIFEST_CSV.fields + [T.StructField("target", T.StringType()),
+                                                 T.StructField("mode", T.StringType())])
     return (spark.read.schema(schema).option("header", False).csv(path)
-            .where(F.col("mode").isin(LOCK_MODES)))
+            .where(F.col("mode").isin(LOCK_MODES)).drop("target"))
 
 
 def read_withheld_history(spark: SparkSession, path: str, dts: list[str]) -> DataFrame:

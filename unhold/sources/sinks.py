@@ -71,16 +71,23 @@ def combine_manifest(spark: SparkSession, parts_path: str, out_path: str,
 
 
 def publish_previous_manifest(manifest_rows: DataFrame, decisions: DataFrame, path: str) -> None:
-    """K4: overwrite a mode's dedup pointer only for modes whose decision is
-    ``created``; other modes keep their old pointer (dynamic partition
-    overwrite replaces exactly the partitions written)."""
-    created = decisions.where(F.col("outcome") == "created").select("run_id", "bucket", "mode")
-    rows = manifest_rows.join(created, ["run_id", "bucket", "mode"], "left_semi")
+    """K4: overwrite a (bucket, mode) dedup pointer only where a decision is
+    ``created``, with that bucket's latest created run; other pointers keep
+    their old content (dynamic partition overwrite replaces exactly the
+    partitions written). Folders are ``target=<bucket>/mode=<mode>/`` (the
+    CSV itself keeps its positional bucket column)."""
+    from pyspark.sql import Window
+    created = decisions.where(F.col("outcome") == "created").select("run_id", "bucket", "dt", "mode")
+    w = Window.partitionBy("bucket", "mode").orderBy(F.col("dt").desc(), F.col("run_id").desc())
+    latest = created.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).select("run_id", "bucket", "mode")
+    rows = manifest_rows.join(latest, ["run_id", "bucket", "mode"], "left_semi")
     spark = manifest_rows.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        _csv(rows.select("bucket", "key", "version_id", "mode")).mode("overwrite").partitionBy("mode").csv(path)
+        _csv(rows.select("bucket", "key", "version_id", F.col("bucket").alias("target"), "mode")
+             .repartition("target", "mode", "key")) \
+            .mode("overwrite").partitionBy("target", "mode").csv(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
