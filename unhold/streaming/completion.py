@@ -25,7 +25,7 @@ from ..operators import completion as J
 EVENT_SCHEMA = T.StructType([
     T.StructField("job_id", T.StringType()),
     T.StructField("event_status", T.StringType()),
-    T.StructField("event_time", T.TimestampNTZType()),
+    T.StructField("event_time", T.TimestampType()),  # watermarks need TIMESTAMP (session zone is UTC)
     T.StructField("bucket", T.StringType()),
 ])
 
@@ -57,7 +57,7 @@ def completion_batch(spark: SparkSession, batch: DataFrame, records: DataFrame,
 
 
 def start(spark: SparkSession, events_path: str, jobs: DataFrame, records: DataFrame, record_jobs: DataFrame,
-          out_root: str, our_tag: str, watermark: str = "90 days", available_now: bool = True):
+          out_root: str, our_tag: str, available_now: bool = True):
     """Start both streaming queries; returns them (call ``awaitTermination``)."""
     events = spark.readStream.schema(EVENT_SCHEMA).json(events_path)
     routed = J.route_events(events, jobs, records, record_jobs, our_tag)
@@ -66,9 +66,10 @@ def start(spark: SparkSession, events_path: str, jobs: DataFrame, records: DataF
              .writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", f"{out_root}/_ckpt/alarm")
              .trigger(**trig).start(f"{out_root}/missing_record_alarm"))
-    deduped = (routed.withWatermark("event_time", watermark)
-               .dropDuplicatesWithinWatermark(["job_id", "event_time", "event_status"]))
-    comp = (deduped.writeStream
+    # No watermark on this path: first-wins is enforced exactly by the sink's
+    # anti join, so an event arriving any time later is still folded in (a
+    # watermark would drop it silently, which the original never does).
+    comp = (routed.writeStream
             .foreachBatch(lambda df, _bid: completion_batch(spark, df, records, out_root))
             .option("checkpointLocation", f"{out_root}/_ckpt/completion")
             .trigger(**trig).start())
