@@ -24,10 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def snapshot_spec(spark: SparkSession, snapshots=SNAPSHOTS) -> DataFrame:
-    """One row per snapshot: its dt and cut time. Size = len(snapshots)."""
-    return spark.createDataFrame(
-        [(dt, cut) for dt, cut in snapshots], "dt string, cut string"
-    ).select("dt", F.to_timestamp_ntz(F.col("cut")).alias("cut"))
+    """One row per snapshot: its dt and cut time. Size = len(snapshots); a
+    local relation, so the planner sees its exact size."""
+    values = ", ".join(f"('{dt}', TIMESTAMP_NTZ '{cut}')" for dt, cut in snapshots)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS s(dt, cut)")
 
 
 def inventory(spark: SparkSession, sf_dir: str, snapshots=SNAPSHOTS) -> DataFrame:

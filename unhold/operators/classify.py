@@ -86,9 +86,10 @@ def timestamp_order(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> D
     g = timestamp_groups(inv, segment_seconds)
     w_in = Window.partitionBy(*KEY, "seg").orderBy(LMD)
     nxt = F.struct(F.col(LMD).alias("lmd"), "first_dm", "first_data", "first_all")
-    g = g.withColumn("_n", F.lead(nxt).over(w_in))
-    # first group of every segment, then the next non-empty segment's first
-    seg_first = (g.groupBy(*KEY, "seg").agg(F.min(nxt).alias("_f")))
+    g = g.withColumn("_n", F.lead(nxt).over(w_in)).withColumn("_rn", F.row_number().over(w_in))
+    # first group of every segment (same window, no extra sort or shuffle),
+    # then the next non-empty segment's first group: one row per segment
+    seg_first = g.where(F.col("_rn") == 1).select(*KEY, "seg", nxt.alias("_f"))
     w_seg = Window.partitionBy(*KEY).orderBy("seg")
     seg_next = seg_first.select(*KEY, "seg", F.lead("_f").over(w_seg).alias("_sn"))
     g = g.join(seg_next, KEY + ["seg"], "left")
