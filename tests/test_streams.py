@@ -62,6 +62,6 @@ def test_delivery_stream_runs_once_per_delivery(spark, tmp):
     runs = spark.read.parquet(f"{out}/runs")
     assert runs.count() == 2
     man = spark.read.schema("bucket string, key string, version_id string, run_id string, mode string") \
-        .csv(f"{out}/bucket-0/manifests")
+        .csv(f"{out}/manifests")
     from unhold.operators.eligibility import eligible
     assert man.count() == eligible(inv, "delete").count()

@@ -73,8 +73,10 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
     D.validate_config(config)
     if validate:
         C.assert_unique_versions(inv)
-    C.classify_versions(inv).write.mode("overwrite").partitionBy("dt").parquet(f"{out_root}/classified")
-    cls = spark.read.parquet(f"{out_root}/classified")
+    (C.classify_versions(inv).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("dt").parquet(f"{out_root}/classified"))
+    snaps = [r.dt for r in inv.select("dt").distinct().collect()]  # one row per snapshot
+    cls = spark.read.parquet(f"{out_root}/classified").where(F.col("dt").isin(snaps))
     release = config.select("bucket", "release_mode")
     runs = run_ids(inv)
     # each bucket's own release mode; `either` needs no classification
@@ -87,12 +89,12 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
         elig = E.dedup(elig, previous_manifest)
     man = E.manifest_rows(elig).join(runs, ["bucket", "dt"])
     K.write_manifest(man, f"{out_root}/manifests")
-    written = spark.read.schema("bucket string, key string, version_id string, run_id string, mode string") \
-        .csv(f"{out_root}/manifests")
+    written = (spark.read.schema("bucket string, key string, version_id string, run_id string, mode string")
+               .csv(f"{out_root}/manifests").join(runs.select("run_id"), "run_id", "left_semi"))
     inputs = decision_inputs(inv, elig, config, manifests=written)
     decisions = D.decide(inputs).withColumn("decided_at", F.current_timestamp().cast("timestamp_ntz"))
     K.append_decisions(decisions, f"{out_root}/decisions")
-    dec = spark.read.parquet(f"{out_root}/decisions")
+    dec = spark.read.parquet(f"{out_root}/decisions").join(runs.select("run_id"), "run_id", "left_semi")
     wh = E.withheld(inv, cls).withColumn(
         "dt_raw", F.regexp_replace("dt", r"^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$", "$1T$2-$3Z"))
     K.write_withheld(wh, f"{out_root}/withheld")

@@ -41,7 +41,9 @@ def write_manifest(rows: DataFrame, path: str, run_id_col: str = "run_id") -> No
     out = (rows.select("bucket", "key", "version_id", F.col(run_id_col).alias("run_id"), "mode")
            .repartition("run_id", "mode", "key")
            .sortWithinPartitions("bucket", "key", "version_id"))
-    _csv(out).mode("append").partitionBy("run_id", "mode").csv(path)
+    # dynamic overwrite: a replayed run replaces exactly its own folders
+    _csv(out).mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("run_id", "mode").csv(path)
 
 
 def write_withheld(rows: DataFrame, path: str) -> None:
@@ -51,7 +53,7 @@ def write_withheld(rows: DataFrame, path: str) -> None:
         F.url_encode("key").alias("key"), "version_id", "object_lock_mode",
         F.date_format("last_modified_date", WITHHELD_TS_FORMAT).alias("last_modified_date"),
         "reason", F.col("dt_raw").alias("dt"))
-    _csv(out).mode("append").partitionBy("dt").csv(path)
+    _csv(out).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").csv(path)
 
 
 def combine_manifest(spark: SparkSession, parts_path: str, out_path: str,
@@ -81,15 +83,9 @@ def publish_previous_manifest(manifest_rows: DataFrame, decisions: DataFrame, pa
     w = Window.partitionBy("bucket", "mode").orderBy(F.col("dt").desc(), F.col("run_id").desc())
     latest = created.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).select("run_id", "bucket", "mode")
     rows = manifest_rows.join(latest, ["run_id", "bucket", "mode"], "left_semi")
-    spark = manifest_rows.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        _csv(rows.select("bucket", "key", "version_id", F.col("bucket").alias("target"), "mode")
-             .repartition("target", "mode", "key")) \
-            .mode("overwrite").partitionBy("target", "mode").csv(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    _csv(rows.select("bucket", "key", "version_id", F.col("bucket").alias("target"), "mode")
+         .repartition("target", "mode", "key")) \
+        .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target", "mode").csv(path)
 
 
 def mark_complete(spark: SparkSession, runs_path: str, run_rows: DataFrame) -> None:
@@ -101,5 +97,8 @@ def mark_complete(spark: SparkSession, runs_path: str, run_rows: DataFrame) -> N
 
 
 def append_decisions(decisions: DataFrame, path: str) -> None:
-    """K6: append-only decision history."""
-    decisions.write.mode("append").partitionBy("run_id").parquet(path)
+    """K6: decision history, one folder per run; every decision of a run
+    carries its own decision_id and time, and a replay of the same run
+    replaces that run's folder rather than duplicating it."""
+    decisions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("run_id").parquet(path)

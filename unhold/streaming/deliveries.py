@@ -11,11 +11,13 @@ restarts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_valid_raw_dt, raw_dt_to_dashed
-from ..plans.runs import run_ids, run_snapshot
+from ..plans.runs import run_snapshot
 from ..schemas import DELIVERY_MANIFEST
 from ..sources.inventory import read_inventory
 from ..sources.records import require_schema_ok, schema_drift
@@ -43,14 +45,18 @@ def delivery_batch(spark: SparkSession, batch: DataFrame, data_root: str, config
         todo = todo.join(done, ["bucket", "dt"], "left_anti")
     except Exception:  # noqa: BLE001 - no run completed yet
         pass
-    # one row per delivery: the list is small metadata
+    # one row per delivery (small metadata); all deliveries of the batch are
+    # then classified and decided together in one run_snapshot job
     snaps = [(r.bucket, r.dt) for r in todo.collect()]
+    if not snaps:
+        return
+    frames = []
     for bucket in sorted({b for b, _ in snaps}):
         dts = sorted(dt for b, dt in snaps if b == bucket)
-        inv = read_inventory(spark, f"{data_root}/{bucket}", dts, bucket=bucket)
-        inv = inv.withColumn("bucket", F.lit(bucket))
-        run_snapshot(spark, inv, config.where(F.col("bucket") == bucket), f"{out_root}/{bucket}")
-        run_ids(inv).select("bucket", "dt", "run_id").write.mode("append").parquet(runs_path)
+        frames.append(read_inventory(spark, f"{data_root}/{bucket}", dts, bucket=bucket)
+                      .withColumn("bucket", F.lit(bucket)))
+    inv = reduce(DataFrame.unionByName, frames)
+    run_snapshot(spark, inv, config, out_root)
 
 
 def start(spark: SparkSession, manifest_root: str, data_root: str, config: DataFrame, out_root: str,
