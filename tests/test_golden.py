@@ -28,9 +28,9 @@ def test_golden_counts(spark):
     assert {r.reason: r["count"] for r in w.groupBy("reason").count().collect()} == {
         "tied_noncurrent_peer": 23, "ambiguous_successor_classification": 10}
     assert unclassified(cur, cls).count() == 0
-    assert by_mode(eligible_dedup(inv, "delete")) == {"COMPLIANCE": 22, "GOVERNANCE": 15}
-    assert by_mode(eligible_dedup(inv, "overwrite")) == {"COMPLIANCE": 120, "GOVERNANCE": 121}
-    assert by_mode(eligible_dedup(inv, "either")) == {"COMPLIANCE": 149, "GOVERNANCE": 150}
+    assert by_mode(eligible_dedup(inv, "delete", SF)) == {"COMPLIANCE": 22, "GOVERNANCE": 15}
+    assert by_mode(eligible_dedup(inv, "overwrite", SF)) == {"COMPLIANCE": 120, "GOVERNANCE": 121}
+    assert by_mode(eligible_dedup(inv, "either", SF)) == {"COMPLIANCE": 149, "GOVERNANCE": 150}
     assert partition_check(inv).count() == 0
 
 

@@ -70,6 +70,48 @@ def inventory(spark: SparkSession, sf_dir: str, snapshots=SNAPSHOTS) -> DataFram
     )
 
 
+def _committed(spark: SparkSession, path: str) -> bool:
+    """True when a Spark write to ``path`` committed (its _SUCCESS marker)."""
+    try:
+        spark.read.text(f"{path}/_SUCCESS").count()
+        return True
+    except Exception:  # noqa: BLE001 - AnalysisException: path not found
+        return False
+
+
+def fixture_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder for a stored fixture in the shared checkpoint folder, keyed by
+    the input tables (path, size, time) and the fixture's name/parameters."""
+    import hashlib
+    import os
+
+    from .session import checkpoint_dir
+    stamp = []
+    for t in ("events", "orders", "lineitem"):
+        src = f"{sf_dir}/{t}.parquet"
+        if os.path.exists(src):
+            st = os.stat(src)
+            stamp.append(f"{st.st_size}-{int(st.st_mtime)}")
+    digest = hashlib.sha256(f"{os.path.abspath(sf_dir)}|{stamp}|{name}".encode()).hexdigest()[:16]
+    label = name.split("|")[0]
+    return f"{checkpoint_dir(spark)}/fixtures/{label}-{digest}"
+
+
+def inventory_table(spark: SparkSession, sf_dir: str, snapshots=SNAPSHOTS) -> DataFrame:
+    """The inventory fixture as a stored table, like a real deployment's.
+
+    Built once per input (keyed by the events file and the snapshot spec) as a
+    Parquet table partitioned by (bucket, dt) in the shared checkpoint folder,
+    then read back with partition pruning and filter pushdown. A write that
+    did not commit is redone.
+    """
+    from .sources.inventory import read_inventory_table, write_inventory_table
+    path = fixture_path(spark, sf_dir, f"inventory|{snapshots}")
+    if not _committed(spark, path):
+        write_inventory_table(inventory(spark, sf_dir, snapshots), path)
+    return read_inventory_table(spark, path)
+
+
 def snapshot(inv: DataFrame, dt: str) -> DataFrame:
     """Select one snapshot (partition pruning on a partitioned table)."""
     return inv.where(F.col("dt") == F.lit(dt))

@@ -49,7 +49,11 @@ def candidates(inv: DataFrame) -> DataFrame:
 
 
 def _segment(seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(LMD).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
+    """Time bucket of the timestamp. Non-nullable (coalesced), so the planner
+    infers no extra filter on it and both uses of the group aggregate stay
+    identical: their shuffle is computed once and reused."""
+    seg = F.floor(F.unix_micros(F.col(LMD).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
+    return F.coalesce(seg, F.lit(-1).cast("bigint"))
 
 
 def timestamp_groups(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
@@ -83,13 +87,19 @@ def timestamp_groups(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) ->
 def timestamp_order(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
     """Each group with the next greater timestamp of its key and that
     group's possibly-first counts (NULL next for the key's last group)."""
-    g = timestamp_groups(inv, segment_seconds)
-    w_in = Window.partitionBy(*KEY, "seg").orderBy(LMD)
+    g0 = timestamp_groups(inv, segment_seconds)
     nxt = F.struct(F.col(LMD).alias("lmd"), "first_dm", "first_data", "first_all")
-    g = g.withColumn("_n", F.lead(nxt).over(w_in)).withColumn("_rn", F.row_number().over(w_in))
-    # first group of every segment (same window, no extra sort or shuffle),
-    # then the next non-empty segment's first group: one row per segment
-    seg_first = g.where(F.col("_rn") == 1).select(*KEY, "seg", nxt.alias("_f"))
+    # both branches start from the same aggregate, so its shuffle is reused
+    g = g0.withColumn("_n", F.lead(nxt).over(Window.partitionBy(*KEY, "seg").orderBy(LMD)))
+    # first group of every segment, then the next non-empty segment's first
+    # group: one row per segment
+    # (min / min_by on fixed-width columns keep this a hash aggregate; the
+    # timestamp is unique within a segment, so min_by is deterministic)
+    seg_first = g0.groupBy(*KEY, "seg").agg(F.struct(
+        F.min(LMD).alias("lmd"),
+        F.min_by("first_dm", LMD).alias("first_dm"),
+        F.min_by("first_data", LMD).alias("first_data"),
+        F.min_by("first_all", LMD).alias("first_all")).alias("_f"))
     w_seg = Window.partitionBy(*KEY).orderBy("seg")
     seg_next = seg_first.select(*KEY, "seg", F.lead("_f").over(w_seg).alias("_sn"))
     g = g.join(seg_next, KEY + ["seg"], "left")

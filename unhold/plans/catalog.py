@@ -28,7 +28,9 @@ def register(name: str, sql: str | None):
 
 
 def _inv(spark, sf_dir):
-    return fx.inventory(spark, sf_dir)
+    """The inventory every query starts from: a stored, partitioned table
+    (written once from ``events``), scanned with pruning and pushdown."""
+    return fx.inventory_table(spark, sf_dir)
 
 
 def previous_manifest(inv: DataFrame, release_mode: str) -> DataFrame:
@@ -38,9 +40,24 @@ def previous_manifest(inv: DataFrame, release_mode: str) -> DataFrame:
     return E.manifest_rows(prev).select("bucket", "key", "version_id", "mode")
 
 
-def eligible_dedup(inv: DataFrame, release_mode: str, how: str = "left_anti") -> DataFrame:
+def stored_previous_manifest(inv: DataFrame, release_mode: str, sf_dir: str) -> DataFrame:
+    """The dedup pointer as it exists in a deployment: a small headerless CSV
+    table (written once per input through the pointer layout, then read back
+    with the positional reader, S4)."""
+    from ..sources.records import read_previous_manifest
+    spark = inv.sparkSession
+    path = fx.fixture_path(spark, sf_dir, f"previous_manifest|{release_mode}|{fx.SNAPSHOTS}")
+    if not fx._committed(spark, path):
+        (previous_manifest(inv, release_mode).withColumn("target", F.col("bucket"))
+         .select("bucket", "key", "version_id", "target", "mode")
+         .write.mode("overwrite").option("header", False).option("compression", "none")
+         .partitionBy("target", "mode").csv(path))
+    return read_previous_manifest(spark, path)
+
+
+def eligible_dedup(inv: DataFrame, release_mode: str, sf_dir: str, how: str = "left_anti") -> DataFrame:
     cur = E.eligible(fx.snapshot(inv, fx.CUR_DT), release_mode)
-    return E.dedup(cur, previous_manifest(inv, release_mode), how)
+    return E.dedup(cur, stored_previous_manifest(inv, release_mode, sf_dir), how)
 
 
 CAND_COLS = ["bucket", "dt", "key", "version_id", "object_lock_mode", "last_modified_date"]
@@ -101,10 +118,10 @@ for _m in ("delete", "overwrite"):
     register(f"eligible_{_m}", O.with_ctes(O.INV, O.CLS, body=O._elig(_m)))(
         (lambda m: lambda spark, d: E.eligible(_inv(spark, d), m))(_m))
     register(f"eligible_{_m}_dedup", O.with_ctes(O.INV, O.CLS, O.eligible_dedup_ctes(_m), body=f"SELECT {ELIG} FROM deduped"))(
-        (lambda m: lambda spark, d: eligible_dedup(_inv(spark, d), m))(_m))
+        (lambda m: lambda spark, d: eligible_dedup(_inv(spark, d), m, d))(_m))
 
 register("eligible_either", O.with_ctes(O.INV, O.CLS, O.eligible_dedup_ctes("either"), body=f"SELECT {ELIG} FROM deduped"))(
-    lambda spark, d: eligible_dedup(_inv(spark, d), "either"))
+    lambda spark, d: eligible_dedup(_inv(spark, d), "either", d))
 
 
 def _suppressed_sql():
@@ -120,7 +137,7 @@ def q_dedup_suppressed(spark, d):
     inv = _inv(spark, d)
     out = None
     for m in ("delete", "overwrite", "either"):
-        part = eligible_dedup(inv, m, "left_semi").select(F.lit(m).alias("release_mode"), *E.ELIGIBLE_COLS)
+        part = eligible_dedup(inv, m, d, "left_semi").select(F.lit(m).alias("release_mode"), *E.ELIGIBLE_COLS)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -164,7 +181,7 @@ def q_eligible_counts(spark, d):
 @register("manifest_rows", O.with_ctes(O.INV, O.CLS, O.eligible_dedup_ctes("delete"), body=(
     f"SELECT bucket, {O.enc('key')} AS key, version_id, dt, object_lock_mode AS mode FROM deduped")))
 def q_manifest_rows(spark, d):
-    return E.manifest_rows(eligible_dedup(_inv(spark, d), "delete"))
+    return E.manifest_rows(eligible_dedup(_inv(spark, d), "delete", d))
 
 
 @register("partition_invariant", O.with_ctes(O.INV, O.CLS, body=(
@@ -310,7 +327,7 @@ FROM pm LEFT JOIN (SELECT * FROM inv WHERE dt = '{fx.CUR_DT}') s
   ON s.bucket = pm.bucket AND {O.enc('s.key')} = pm.key AND s.version_id = pm.version_id"""))
 def q_verify_release(spark, d):
     inv = _inv(spark, d)
-    return V.verify_release(previous_manifest(inv, "delete"), fx.snapshot(inv, fx.CUR_DT))
+    return V.verify_release(stored_previous_manifest(inv, "delete", d), fx.snapshot(inv, fx.CUR_DT))
 
 
 @register("rolling_retention", O.with_ctes(O.INV, body=f"""
