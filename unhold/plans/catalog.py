@@ -687,3 +687,16 @@ def q_validate_run_records(spark, d):
     run_record_json(_inv(spark, d)).write.text(path)
     v = SR.validate_run_records(SR.read_run_records(spark, path))
     return v.select("run_id", "dt", "valid", F.array_join("problems", ",").alias("problems"))
+
+
+@register("scan_delivery", O.with_ctes(O.INV, body=f"SELECT {', '.join(INV_COLS)} FROM inv"))
+def q_scan_delivery(spark, d):
+    """S1 round trip: both snapshots written in the delivery layout (flat data
+    folders plus a per-dt listing), then read back in one Parquet scan with
+    each row's dt restored from its file."""
+    from ..sources.inventory import read_inventory, write_delivery
+    root = _scratch(spark, "delivery")
+    inv = _inv(spark, d)
+    for dt in (fx.PREV_DT, fx.CUR_DT):
+        write_delivery(fx.snapshot(inv, dt), root, dt)
+    return read_inventory(spark, root, [fx.PREV_DT, fx.CUR_DT]).select(*INV_COLS)
