@@ -33,14 +33,18 @@ def snapshot_spec(spark: SparkSession, snapshots=SNAPSHOTS) -> DataFrame:
 def inventory(spark: SparkSession, sf_dir: str, snapshots=SNAPSHOTS) -> DataFrame:
     """Version-level inventory rows for every snapshot in ``snapshots``.
 
-    One scan of ``events``; the snapshot table is broadcast (its size is the
-    number of snapshots, a parameter). `is_latest` comes from a per-key
+    One scan of ``events``; each event is exploded into the snapshots whose
+    cut follows it (their number is a parameter). `is_latest` comes from a per-key
     max over a partial aggregation joined back, not a window, so a key holding
     a third of all rows does not land in one task.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    snaps = F.broadcast(snapshot_spec(spark, snapshots))
-    rows = ev.join(snaps, ev.ts < snaps.cut, "inner")
+    # each event belongs to every snapshot cut after it: a per-row explode over
+    # the (few) snapshots, no join
+    specs = F.array(*[F.struct(F.lit(dt).alias("dt"), F.lit(cut).cast("timestamp_ntz").alias("cut"))
+                      for dt, cut in snapshots])
+    rows = (ev.withColumn("_s", F.explode(F.filter(specs, lambda s: F.col("ts") < s["cut"])))
+            .select("event_id", "ts", "user_id", "event_type", "value", "_s.dt", "_s.cut"))
     latest = (rows.groupBy("dt", "user_id")
               .agg(F.max(F.struct("ts", "event_id")).alias("_latest")))
     rows = rows.join(latest, ["dt", "user_id"], "inner")

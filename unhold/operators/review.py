@@ -65,21 +65,35 @@ def top_level_scopes(inv: DataFrame) -> DataFrame:
             .where(F.col("prefix") != "").distinct())
 
 
+def _proper_prefixes(col: str):
+    """Every proper prefix of a string column (lengths 1 .. n-1)."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 1, F.lit(1))),
+                       lambda i: F.substring(F.col(col), 1, i))
+
+
 def prefix_overlaps(scopes: DataFrame) -> DataFrame:
-    """P5 check: pairs of scopes in the same bucket where one prefix contains
-    the other (equi join on bucket; scopes are small)."""
-    a, b = scopes.alias("a"), scopes.alias("b")
-    return (a.join(b, (F.col("a.bucket") == F.col("b.bucket"))
-                   & (F.col("a.prefix") != F.col("b.prefix"))
-                   & F.col("a.prefix").startswith(F.col("b.prefix")))
-            .select(F.col("a.bucket").alias("bucket"), F.col("a.prefix").alias("prefix"),
-                    F.col("b.prefix").alias("contained_in")))
+    """P5 check: scopes of the same bucket where one prefix contains another.
+    Each scope's proper prefixes are exploded and equi-joined with the scope
+    set: linear in scopes x prefix length, never all pairs of scopes."""
+    own = scopes.select("bucket", "prefix").distinct()
+    cand = (own.where(F.length("prefix") > 1)
+            .select("bucket", "prefix", F.explode(_proper_prefixes("prefix")).alias("contained_in"))
+            .distinct())
+    return cand.join(own.select("bucket", F.col("prefix").alias("contained_in")), ["bucket", "contained_in"]) \
+        .select("bucket", "prefix", "contained_in")
 
 
 def prefix_shards(rows: DataFrame, scopes: DataFrame) -> DataFrame:
-    """P5: rows assigned to their (bucket, prefix) shard. The scope table is
-    broadcast behind a checked row bound; the join is an equi join on bucket
-    with the prefix test as residual, so each row probes only its bucket's
-    scopes."""
+    """P5: rows assigned to their (bucket, prefix) shard by an equi join.
+
+    The distinct prefix lengths (at most the key length limit, a few values in
+    practice) are gathered; each row's key is cut at those lengths and joined
+    on (bucket, prefix). With non-overlapping scopes a row matches at most one
+    shard. The scope table is broadcast only behind a checked row bound."""
+    lengths = sorted(r.n for r in scopes.select(F.length("prefix").alias("n")).distinct().collect())
+    if not lengths:
+        return rows.withColumn("shard", F.lit(None).cast("string")).limit(0)
     s = broadcast_if_small(scopes.select(F.col("bucket").alias("_sb"), F.col("prefix").alias("shard")), MAX_SCOPES)
-    return rows.join(s, (rows.bucket == s._sb) & rows.key.startswith(s.shard)).drop("_sb")
+    cut = rows.withColumn("_p", F.explode(F.array_distinct(F.array(*[F.substring("key", 1, n) for n in lengths]))))
+    return (cut.join(s, (cut.bucket == s._sb) & (cut._p == s.shard))
+            .where(F.length("key") >= F.length("shard")).drop("_sb", "_p"))

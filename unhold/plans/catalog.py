@@ -449,21 +449,33 @@ def q_write_once_anomalies(spark, d):
     return RV.write_once_anomalies(C.classify_versions(_inv(spark, d)), O.WRITE_ONCE_PREFIXES)
 
 
-@register("prefix_shards", O.with_ctes(O.INV, O.CLS, """
+_SCOPES = """
 scopes AS (SELECT DISTINCT bucket, regexp_extract(key, '^([^/]*/)', 1) AS prefix FROM inv
-           WHERE regexp_extract(key, '^([^/]*/)', 1) <> '')""", body="""
-SELECT c.bucket, s.prefix AS shard, count(*) AS candidates,
-       (SELECT count(*) FROM scopes a JOIN scopes b ON a.bucket = b.bucket AND a.prefix <> b.prefix
-          AND starts_with(a.prefix, b.prefix)) AS overlapping_scopes
+           WHERE regexp_extract(key, '^([^/]*/)', 1) <> '')"""
+
+
+@register("prefix_shards", O.with_ctes(O.INV, O.CLS, _SCOPES, body="""
+SELECT c.bucket, s.prefix AS shard, count(*) AS candidates
 FROM cand c JOIN scopes s ON s.bucket = c.bucket AND starts_with(c.key, s.prefix)
 GROUP BY c.bucket, s.prefix"""))
 def q_prefix_shards(spark, d):
     inv = _inv(spark, d)
     scopes = RV.top_level_scopes(inv)
-    overlaps = RV.prefix_overlaps(scopes).agg(F.count(F.lit(1)).alias("overlapping_scopes"))
-    counts = (RV.prefix_shards(C.candidates(inv), scopes)
-              .groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("candidates")))
-    return counts.crossJoin(overlaps)
+    return (RV.prefix_shards(C.candidates(inv), scopes)
+            .groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("candidates")))
+
+
+@register("prefix_overlaps", O.with_ctes(O.INV, _SCOPES, """
+nested AS (SELECT bucket, key AS prefix FROM inv UNION SELECT bucket, prefix FROM scopes)""", body="""
+SELECT a.bucket, a.prefix, b.prefix AS contained_in
+FROM nested a JOIN nested b ON a.bucket = b.bucket AND a.prefix <> b.prefix AND starts_with(a.prefix, b.prefix)"""))
+def q_prefix_overlaps(spark, d):
+    """P5 overlap check over a scope set that does overlap: the top-level
+    folders plus every full key as its own scope (each key lies inside its
+    folder's scope)."""
+    inv = _inv(spark, d)
+    scopes = RV.top_level_scopes(inv).unionByName(inv.select("bucket", F.col("key").alias("prefix"))).distinct()
+    return RV.prefix_overlaps(scopes)
 
 
 # --- artifacts, cost, sampling (J8, A10, O3) ----------------------------------
