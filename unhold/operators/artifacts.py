@@ -21,19 +21,19 @@ def rate_card(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RATE_CARD, "line_item string, unit string, rate_usd double")
 
 
-def artifact_retention(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
+def artifact_retention(artifacts: DataFrame, rules=RETENTION_RULES) -> DataFrame:
     """Each artifact (path, created_at) with the rule of its longest
-    matching prefix and its expiry (NULL = kept until replaced). The rule
-    table is a handful of rows, broadcast behind a bound check."""
-    r = broadcast_if_small(rules.select(F.col("prefix").alias("rule_prefix"), "expire_days"), 10_000)
-    j = artifacts.join(r, artifacts.path.startswith(r.rule_prefix), "left")
-    best = j.groupBy("path", "created_at").agg(
-        F.max_by(F.struct("rule_prefix", "expire_days"), F.length("rule_prefix")).alias("_r"))
-    return best.select(
-        "path", "created_at", F.col("_r.rule_prefix").alias("rule_prefix"),
-        F.col("_r.expire_days").alias("expire_days"),
-        F.when(F.col("_r.expire_days").isNotNull(),
-               F.col("created_at") + F.make_dt_interval(F.col("_r.expire_days"))).alias("expires_at"))
+    matching prefix and its expiry (NULL = kept until replaced).
+
+    The rule list is fixed and short, so it is a literal array: matching and
+    longest-prefix choice are per-row expressions (no join, no shuffle)."""
+    arr = F.array(*[F.struct(F.lit(len(p)).alias("n"), F.lit(p).alias("rule_prefix"),
+                             F.lit(d).cast("int").alias("expire_days")) for p, d in rules])
+    best = F.array_max(F.filter(arr, lambda r: F.col("path").startswith(r["rule_prefix"])))
+    return artifacts.select(
+        "path", "created_at", best["rule_prefix"].alias("rule_prefix"), best["expire_days"].alias("expire_days"),
+        F.when(best["expire_days"].isNotNull(),
+               F.col("created_at") + F.make_dt_interval(best["expire_days"])).alias("expires_at"))
 
 
 def run_artifacts(records: DataFrame, record_jobs: DataFrame) -> DataFrame:
@@ -52,7 +52,8 @@ def run_artifacts(records: DataFrame, record_jobs: DataFrame) -> DataFrame:
             F.concat(F.lit("reports/"), F.col("run_id"), F.lit("/"), F.col("mode"), F.lit("/report.csv")),
             F.concat(F.lit("manifests/previous/"), F.col("mode"), F.lit("/"), F.col("run_id"), F.lit(".csv")),
         )).alias("path"), F.col("snapshot_ts").alias("created_at"))
-    return per_run.unionByName(per_job)
+    # runs of one bucket and date share their inventory artifact: one object
+    return per_run.unionByName(per_job).distinct()
 
 
 def cost_estimate(usage: DataFrame, rates: DataFrame) -> DataFrame:

@@ -513,7 +513,7 @@ SELECT path, created_at, rule_prefix, expire_days,
 FROM m WHERE rn = 1"""))
 def q_artifact_retention(spark, d):
     arts = AR.run_artifacts(fx.run_records(spark, d), fx.record_jobs(spark, d))
-    return AR.artifact_retention(arts, AR.retention_rules(spark))
+    return AR.artifact_retention(arts)
 
 
 @register("cost_estimate", O.with_ctes(O.INV, O.CLS, f"elig AS ({O._elig('delete')})", f"""
