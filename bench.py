@@ -4,8 +4,7 @@ Runs the headline queries on $BENCH_SF_DIR (default /root/testdata/sf0.1)
 with local[$BENCH_CPUS]. Each query is fully executed through the `noop`
 sink (whole plan, no collect). Also times the end-to-end batch job
 (`run_snapshot`: classify once, manifests, diagnostics, decisions, dedup
-pointer, sentinel) and, as our own baseline, the literal joined form of the
-classification next to the one-pass form.
+pointer, sentinel).
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from unhold import fixtures as fx  # noqa: E402
-from unhold.operators.classify import classify_versions_joined  # noqa: E402
 from unhold.plans.catalog import REGISTRY  # noqa: E402
 from unhold.plans.runs import fixture_config, run_snapshot  # noqa: E402
 from unhold.session import build_session  # noqa: E402
@@ -61,9 +59,6 @@ def main() -> None:
             best = dt if best is None else min(best, dt)
         times[name] = round(best, 3)
     t = time.perf_counter()
-    run(classify_versions_joined(inv))
-    times["classify_joined_form"] = round(time.perf_counter() - t, 3)
-    t = time.perf_counter()
     run_snapshot(spark, inv, fixture_config(inv), f"{scratch}/run")
     times["run_snapshot_end_to_end"] = round(time.perf_counter() - t, 3)
     rows = inv.count()

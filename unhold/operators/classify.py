@@ -19,8 +19,9 @@ Plan (one-pass form):
      over its segments instead of landing in one window task.
   3. one equi join of candidates back to their group.
 The literal joined form (self joins + UNION ALL) is kept as
-``classify_versions_joined``: it is the independent formulation the tests
-compare against.
+``classify_versions_joined``: the independent, brute-force formulation the
+tests compare against on small fixtures (it pairs candidates with their tied
+peers, so it is never used on whole tables).
 """
 
 from __future__ import annotations
@@ -151,6 +152,23 @@ def classify_versions(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) ->
     )
 
 
+def superseder_counts(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
+    """J1 + J2 + U1, aggregated: per candidate with at least one possible
+    superseder, how many are delete markers, how many data versions, and how
+    many are tied noncurrent peers. Computed from the group counts, so no
+    candidate x peer pairs are ever formed (a hot timestamp group stays
+    linear)."""
+    cand = (candidates(inv)
+            .select(*KEY, "version_id", LMD, _segment(segment_seconds).alias("seg")))
+    j = cand.join(timestamp_order(inv, segment_seconds), KEY + ["seg", LMD])
+    n_poss = (F.col("g_all") - 1) + F.col("n_all")
+    return j.where(n_poss > 0).select(
+        *KEY, "version_id",
+        (F.col("g_dm") + F.col("n_dm")).alias("delete_marker_superseders"),
+        (F.col("g_data") - 1 + F.col("n_data")).alias("data_version_superseders"),
+        (F.col("g_nc") - 1).alias("tied_noncurrent_peers"))
+
+
 def withheld_reason() -> Column:
     """F8: reason text of a withheld candidate."""
     return (F.when(F.col("has_tied_noncurrent_peer") == 1, F.lit(REASON_TIED_PEER))
@@ -189,7 +207,10 @@ def _joined_parts(inv: DataFrame):
 def possible_superseders(inv: DataFrame) -> DataFrame:
     """J1 + J2 + U1 (literal form): one row per (candidate, possible
     superseder) with the superseder's delete-marker flag and whether it is a
-    tied noncurrent peer. Bag semantics (UNION ALL)."""
+    tied noncurrent peer. Bag semantics (UNION ALL). It forms candidate x peer
+    pairs inside a timestamp group, so it is only the brute-force oracle of
+    the tests, run on small fixtures; ``superseder_counts`` is the scalable
+    form."""
     base, ts, gnc = _joined_parts(inv)
     c = base.where(candidate_predicate()).alias("c")
     p = base.alias("p")
@@ -209,8 +230,8 @@ def possible_superseders(inv: DataFrame) -> DataFrame:
 
 
 def classify_versions_joined(inv: DataFrame) -> DataFrame:
-    """C1, literal joined form (J1, J2, U1, A1 to A3): the test oracle and the
-    fallback for inputs with NULL or repeated version ids."""
+    """C1, literal joined form (J1, J2, U1, A1 to A3): the brute-force oracle
+    the tests compare the one-pass form with, on small fixtures only."""
     base, ts, _ = _joined_parts(inv)
     cb = base.where(candidate_predicate())
     sc = possible_superseders(inv).groupBy(*KEY, "version_id").agg(

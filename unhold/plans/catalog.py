@@ -99,10 +99,11 @@ def q_timestamp_groups(spark, d):
 
 
 @register("possible_superseders", O.with_ctes(O.INV, O.CLS, body=(
-    "SELECT bucket, dt, key, version_id, sdm AS superseder_is_delete_marker, "
-    "via AS via_tied_noncurrent_peer FROM poss")))
+    "SELECT bucket, dt, key, version_id, count(*) FILTER (WHERE sdm) AS delete_marker_superseders, "
+    "count(*) FILTER (WHERE NOT sdm) AS data_version_superseders, "
+    "CAST(sum(via) AS BIGINT) AS tied_noncurrent_peers FROM poss GROUP BY bucket, dt, key, version_id")))
 def q_possible_superseders(spark, d):
-    return C.possible_superseders(_inv(spark, d))
+    return C.superseder_counts(_inv(spark, d))
 
 
 @register("classify_versions", O.with_ctes(O.INV, O.CLS, body=f"SELECT {', '.join(CLS_COLS)} FROM classified"))
