@@ -192,60 +192,58 @@ def assert_unique_versions(inv: DataFrame) -> None:
             f"offending groups: {[r.asDict() for r in bad]}")
 
 
-def _joined_parts(inv: DataFrame):
-    base = inv.select(*KEY, "version_id", "is_latest", "is_delete_marker",
-                      "object_lock_event_hold_status", "object_lock_mode", LMD,
-                      "object_lock_retain_until_date")
-    ts = base.select(*KEY, LMD).distinct()
-    ts = ts.withColumn("next_lmd", F.lead(LMD).over(
-        Window.partitionBy(*KEY).orderBy(F.col(LMD).asc_nulls_last())))
-    gnc = base.groupBy(*KEY, LMD).agg(
-        F.max(F.when(F.col("is_latest") == F.lit(False), 1).otherwise(0)).alias("has_nc"))
-    return base, ts, gnc
+def _stamps(inv: DataFrame):
+    """Brute-force helpers of the test oracle: each (key, timestamp) with the
+    smallest later timestamp of its key (a self join on the key with an
+    inequality: quadratic per key), and the timestamps holding a noncurrent
+    row."""
+    st = inv.where(F.col(LMD).isNotNull()).select(*KEY, F.col(LMD).alias("t")).distinct()
+    a, b = st.alias("a"), st.alias("b")
+    succ = (a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in KEY] + [F.col("b.t") > F.col("a.t")], "left")
+            .groupBy(*[F.col(f"a.{k}") for k in KEY], F.col("a.t")).agg(F.min("b.t").alias("t_next")))
+    nc = inv.where(F.col("is_latest") == F.lit(False)).select(*KEY, F.col(LMD).alias("t")).distinct()
+    return succ, nc
 
 
 def possible_superseders(inv: DataFrame) -> DataFrame:
-    """J1 + J2 + U1 (literal form): one row per (candidate, possible
+    """J1 + J2 + U1 (literal, pairwise form): one row per (candidate, possible
     superseder) with the superseder's delete-marker flag and whether it is a
-    tied noncurrent peer. Bag semantics (UNION ALL). It forms candidate x peer
-    pairs inside a timestamp group, so it is only the brute-force oracle of
-    the tests, run on small fixtures; ``superseder_counts`` is the scalable
-    form."""
-    base, ts, gnc = _joined_parts(inv)
-    c = base.where(candidate_predicate()).alias("c")
-    p = base.alias("p")
-    on = lambda a, b, cols: [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in cols]
-    tied = (c.join(p, on("c", "p", KEY + [LMD]) + [F.col("p.version_id") != F.col("c.version_id")])
-            .select(*[F.col(f"c.{k}") for k in KEY], F.col("c.version_id"),
-                    F.col("p.is_delete_marker").alias("superseder_is_delete_marker"),
-                    F.when(F.col("p.is_latest") == F.lit(False), 1).otherwise(0).alias("via_tied_noncurrent_peer")))
-    nxt = (c.join(ts.alias("t"), on("c", "t", KEY + [LMD]))
-           .join(base.alias("s"), on("s", "c", KEY) + [F.col(f"s.{LMD}") == F.col("t.next_lmd")])
-           .join(gnc.alias("g"), on("g", "s", KEY + [LMD]))
-           .where((F.col("s.is_latest") == F.lit(False)) | (F.col("g.has_nc") == 0))
-           .select(*[F.col(f"c.{k}") for k in KEY], F.col("c.version_id"),
-                   F.col("s.is_delete_marker").alias("superseder_is_delete_marker"),
-                   F.lit(0).alias("via_tied_noncurrent_peer")))
-    return tied.unionByName(nxt)
+    tied noncurrent peer. Bag semantics (UNION ALL). It pairs candidates with
+    their tied peers, so it is only the brute-force oracle of the tests, run on
+    small fixtures; ``superseder_counts`` is the scalable form."""
+    succ, nc = _stamps(inv)
+    c = candidates(inv).select(*KEY, "version_id", F.col(LMD).alias("t"))
+    others = inv.select(*KEY, F.col("version_id").alias("v2"), F.col(LMD).alias("t"),
+                        F.col("is_latest").alias("l2"), F.col("is_delete_marker").alias("sdm"))
+    peers = (c.join(others, KEY + ["t"]).where(F.col("v2") != F.col("version_id"))
+             .select(*KEY, "version_id", "sdm",
+                     F.coalesce(F.col("l2") == F.lit(False), F.lit(False)).alias("peer_nc")))
+    # rows of the next timestamp that may come first: noncurrent ones, or all
+    # of them when that timestamp holds no noncurrent row
+    first_rows = (others.join(nc.withColumn("_has_nc", F.lit(True)), KEY + ["t"], "left")
+                  .where((F.col("l2") == F.lit(False)) | F.col("_has_nc").isNull())
+                  .select(*KEY, F.col("t").alias("t_next"), "sdm"))
+    nxt = (c.join(succ, KEY + ["t"]).join(first_rows, KEY + ["t_next"])
+           .select(*KEY, "version_id", "sdm", F.lit(False).alias("peer_nc")))
+    return peers.unionByName(nxt)
 
 
 def classify_versions_joined(inv: DataFrame) -> DataFrame:
     """C1, literal joined form (J1, J2, U1, A1 to A3): the brute-force oracle
     the tests compare the one-pass form with, on small fixtures only."""
-    base, ts, _ = _joined_parts(inv)
-    cb = base.where(candidate_predicate())
-    sc = possible_superseders(inv).groupBy(*KEY, "version_id").agg(
-        F.count_distinct("superseder_is_delete_marker").alias("superseder_kinds"),
-        F.min("superseder_is_delete_marker").alias("superseder_is_delete_marker"),
-        F.max("via_tied_noncurrent_peer").alias("has_tied_noncurrent_peer"))
-    out = (cb.join(sc, KEY + ["version_id"], "left")
-           .join(ts.select(*KEY, LMD, "next_lmd"), KEY + [LMD], "left"))
-    k = F.coalesce(F.col("superseder_kinds"), F.lit(0))
+    succ, _ = _stamps(inv)
+    verdict = possible_superseders(inv).groupBy(*KEY, "version_id").agg(
+        F.count_distinct("sdm").alias("k"),
+        F.when(F.bool_or(~F.col("sdm")), F.lit(False)).when(F.bool_or("sdm"), F.lit(True)).alias("superseder_is_delete_marker"),
+        F.max(F.col("peer_nc").cast("int")).alias("has_tied_noncurrent_peer"))
+    out = (candidates(inv).join(verdict, KEY + ["version_id"], "left")
+           .join(succ.withColumnRenamed("t", LMD), KEY + [LMD], "left"))
+    k = F.coalesce(F.col("k"), F.lit(0).cast("bigint"))
     return out.select(
         *KEY, "version_id", "object_lock_mode", LMD, "object_lock_retain_until_date",
         k.alias("superseder_kinds"), "superseder_is_delete_marker", "has_tied_noncurrent_peer",
         F.when(k == 0, "unclassified").when(k > 1, "withheld")
          .when(F.col("superseder_is_delete_marker"), "delete").otherwise("overwrite")
          .alias("superseder_class"),
-        "next_lmd",
+        F.col("t_next").alias("next_lmd"),
     )

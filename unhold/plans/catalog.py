@@ -87,13 +87,14 @@ def q_prefix_scope(spark, d):
 
 
 @register("timestamp_order", O.with_ctes(O.INV, O.CLS, body=(
-    "SELECT bucket, dt, key, last_modified_date, next_lmd FROM tso WHERE last_modified_date IS NOT NULL")))
+    "SELECT bucket, dt, key, t AS last_modified_date, t_next AS next_lmd FROM succ")))
 def q_timestamp_order(spark, d):
     return C.timestamp_order(_inv(spark, d)).select("bucket", "dt", "key", "last_modified_date", "next_lmd")
 
 
 @register("timestamp_groups", O.with_ctes(O.INV, O.CLS, body=(
-    "SELECT bucket, dt, key, last_modified_date, has_nc FROM grp WHERE last_modified_date IS NOT NULL")))
+    "SELECT s.bucket, s.dt, s.key, s.t AS last_modified_date, CASE WHEN n.t IS NULL THEN 0 ELSE 1 END AS has_nc "
+    "FROM stamps s LEFT JOIN nc_stamps n ON n.bucket = s.bucket AND n.dt = s.dt AND n.key = s.key AND n.t = s.t")))
 def q_timestamp_groups(spark, d):
     return C.timestamp_groups(_inv(spark, d)).select("bucket", "dt", "key", "last_modified_date", "has_nc")
 
@@ -101,7 +102,7 @@ def q_timestamp_groups(spark, d):
 @register("possible_superseders", O.with_ctes(O.INV, O.CLS, body=(
     "SELECT bucket, dt, key, version_id, count(*) FILTER (WHERE sdm) AS delete_marker_superseders, "
     "count(*) FILTER (WHERE NOT sdm) AS data_version_superseders, "
-    "CAST(sum(via) AS BIGINT) AS tied_noncurrent_peers FROM poss GROUP BY bucket, dt, key, version_id")))
+    "count(*) FILTER (WHERE peer_nc) AS tied_noncurrent_peers FROM poss GROUP BY bucket, dt, key, version_id")))
 def q_possible_superseders(spark, d):
     return C.superseder_counts(_inv(spark, d))
 

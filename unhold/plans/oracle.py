@@ -40,50 +40,53 @@ inv AS (
          dt
   FROM ev)"""
 
-# Joined form of the classification, widened to (bucket, dt, key).
+# Brute-force classification (an independent formulation, not the one-pass
+# plan): the next timestamp of a key is the minimum over all its later
+# timestamps; "the next group has a noncurrent row" is an EXISTS test.
 CLS = """
-tso AS (
-  SELECT bucket, dt, key, last_modified_date,
-         lead(last_modified_date) OVER (PARTITION BY bucket, dt, key ORDER BY last_modified_date) AS next_lmd
-  FROM (SELECT DISTINCT bucket, dt, key, last_modified_date FROM inv)),
-grp AS (
-  SELECT bucket, dt, key, last_modified_date,
-         max(CASE WHEN is_latest = false THEN 1 ELSE 0 END) AS has_nc
-  FROM inv GROUP BY bucket, dt, key, last_modified_date),
+stamps AS (SELECT DISTINCT bucket, dt, key, last_modified_date AS t FROM inv WHERE last_modified_date IS NOT NULL),
+succ AS (
+  SELECT a.bucket, a.dt, a.key, a.t, min(b.t) AS t_next
+  FROM stamps a LEFT JOIN stamps b
+    ON b.bucket = a.bucket AND b.dt = a.dt AND b.key = a.key AND b.t > a.t
+  GROUP BY a.bucket, a.dt, a.key, a.t),
+nc_stamps AS (SELECT DISTINCT bucket, dt, key, last_modified_date AS t FROM inv WHERE is_latest = false),
 cand AS (
   SELECT * FROM inv
   WHERE is_latest = false AND is_delete_marker = false AND object_lock_event_hold_status = 'ON'),
-poss AS (
+peer_rows AS (
   SELECT c.bucket, c.dt, c.key, c.version_id, p.is_delete_marker AS sdm,
-         CASE WHEN p.is_latest = false THEN 1 ELSE 0 END AS via
+         coalesce(p.is_latest = false, false) AS peer_nc
   FROM cand c JOIN inv p
-    ON p.bucket = c.bucket AND p.dt = c.dt AND p.key = c.key
-   AND p.last_modified_date = c.last_modified_date AND p.version_id <> c.version_id
-  UNION ALL
-  SELECT c.bucket, c.dt, c.key, c.version_id, s.is_delete_marker, 0
+    ON p.bucket = c.bucket AND p.dt = c.dt AND p.key = c.key AND p.last_modified_date = c.last_modified_date
+   AND p.version_id <> c.version_id),
+next_rows AS (
+  SELECT c.bucket, c.dt, c.key, c.version_id, s.is_delete_marker AS sdm, false AS peer_nc
   FROM cand c
-  JOIN tso t ON t.bucket = c.bucket AND t.dt = c.dt AND t.key = c.key AND t.last_modified_date = c.last_modified_date
-  JOIN inv s ON s.bucket = c.bucket AND s.dt = c.dt AND s.key = c.key AND s.last_modified_date = t.next_lmd
-  JOIN grp g ON g.bucket = s.bucket AND g.dt = s.dt AND g.key = s.key AND g.last_modified_date = s.last_modified_date
-  WHERE s.is_latest = false OR g.has_nc = 0),
-sclass AS (
+  JOIN succ x ON x.bucket = c.bucket AND x.dt = c.dt AND x.key = c.key AND x.t = c.last_modified_date
+  JOIN inv s ON s.bucket = c.bucket AND s.dt = c.dt AND s.key = c.key AND s.last_modified_date = x.t_next
+  WHERE s.is_latest = false
+     OR NOT EXISTS (SELECT 1 FROM nc_stamps n
+                    WHERE n.bucket = s.bucket AND n.dt = s.dt AND n.key = s.key AND n.t = s.last_modified_date)),
+poss AS (SELECT * FROM peer_rows UNION ALL SELECT * FROM next_rows),
+verdict AS (
   SELECT bucket, dt, key, version_id,
-         count(DISTINCT sdm) AS superseder_kinds,
-         bool_and(sdm) AS superseder_is_delete_marker,
-         max(via) AS has_tied_noncurrent_peer
+         count(DISTINCT sdm) AS kinds,
+         CASE WHEN bool_or(NOT sdm) THEN false WHEN bool_or(sdm) THEN true END AS sdm_all,
+         max(CASE WHEN peer_nc THEN 1 ELSE 0 END) AS nc_peer
   FROM poss GROUP BY bucket, dt, key, version_id),
 classified AS (
   SELECT c.bucket, c.dt, c.key, c.version_id, c.object_lock_mode, c.last_modified_date,
          c.object_lock_retain_until_date,
-         coalesce(s.superseder_kinds, 0) AS superseder_kinds,
-         s.superseder_is_delete_marker, s.has_tied_noncurrent_peer,
-         CASE WHEN coalesce(s.superseder_kinds, 0) = 0 THEN 'unclassified'
-              WHEN s.superseder_kinds > 1 THEN 'withheld'
-              WHEN s.superseder_is_delete_marker THEN 'delete' ELSE 'overwrite' END AS superseder_class,
-         t.next_lmd
+         coalesce(v.kinds, 0) AS superseder_kinds,
+         v.sdm_all AS superseder_is_delete_marker, v.nc_peer AS has_tied_noncurrent_peer,
+         CASE WHEN coalesce(v.kinds, 0) = 0 THEN 'unclassified'
+              WHEN v.kinds > 1 THEN 'withheld'
+              WHEN v.sdm_all THEN 'delete' ELSE 'overwrite' END AS superseder_class,
+         x.t_next AS next_lmd
   FROM cand c
-  LEFT JOIN sclass s ON s.bucket = c.bucket AND s.dt = c.dt AND s.key = c.key AND s.version_id = c.version_id
-  LEFT JOIN tso t ON t.bucket = c.bucket AND t.dt = c.dt AND t.key = c.key AND t.last_modified_date = c.last_modified_date)"""
+  LEFT JOIN verdict v ON v.bucket = c.bucket AND v.dt = c.dt AND v.key = c.key AND v.version_id = c.version_id
+  LEFT JOIN succ x ON x.bucket = c.bucket AND x.dt = c.dt AND x.key = c.key AND x.t = c.last_modified_date)"""
 
 
 def _elig(release_mode: str, src: str = "classified") -> str:
@@ -341,14 +344,13 @@ became AS (
 
 
 def cls_on(src: str, name: str) -> str:
-    """The joined-form classification CTEs over another inventory CTE ``src``,
-    with every CTE name suffixed by ``name``."""
+    """The classification CTEs over another inventory CTE ``src``, with every
+    CTE name suffixed by ``name``."""
+    import re
     body = CLS
-    for t in ("tso", "grp", "cand", "poss", "sclass", "classified"):
-        body = body.replace(f"{t} AS (", f"{t}_{name} AS (").replace(f"FROM {t}", f"FROM {t}_{name}") \
-            .replace(f"JOIN {t} ", f"JOIN {t}_{name} ")
-    body = body.replace("FROM inv", f"FROM {src}").replace("JOIN inv ", f"JOIN {src} ")
-    return body
+    for t in ("stamps", "succ", "nc_stamps", "cand", "peer_rows", "next_rows", "poss", "verdict", "classified"):
+        body = re.sub(rf"\b{t}\b", f"{t}_{name}", body)
+    return re.sub(r"\binv\b", src, body)
 
 
 # Parquet message-schema fields of a full delivery, in delivery order.
