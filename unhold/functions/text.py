@@ -52,6 +52,16 @@ def identity_token(*parts) -> Column:
     return F.sha2(F.concat_ws("/", *[_c(p) for p in parts]), 256)
 
 
+def plural_s(n) -> Column:
+    """'s' unless the count is exactly 1."""
+    return F.when(_c(n) != 1, F.lit("s")).otherwise(F.lit(""))
+
+
+def fmt(template: str, *cols) -> Column:
+    """Fill a printf-style fixed text format with columns."""
+    return F.format_string(template, *[_c(c) for c in cols])
+
+
 def plural(n, word: str) -> Column:
     """'1 version' / '2 versions'."""
     n = _c(n)

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_valid_run_id, plural, thousands
+from .. import schemas as X
+from ..functions.text import fmt, is_valid_run_id, plural_s, thousands
 from ..schemas import TERMINAL_STATUSES
 from .sizing import broadcast_if_small
 
@@ -79,15 +80,13 @@ def first_terminal(routed: DataFrame) -> DataFrame:
 
 def _completion_outcome(released: Column, failed: Column, incomplete: Column) -> Column:
     total = released + failed
-    vers = (F.when(total > 0,
-                   F.when(failed > 0, F.concat(thousands(released), F.lit(" of "), thousands(total), F.lit(" version"),
-                                               F.when(total != 1, F.lit("s")).otherwise(F.lit("")),
-                                               F.lit(" released, "), thousands(failed), F.lit(" failed")))
-                   .otherwise(F.concat(thousands(released), F.lit(" version"),
-                                       F.when(released != 1, F.lit("s")).otherwise(F.lit("")), F.lit(" released")))))
-    inc = F.when(incomplete > 0, F.concat(plural(incomplete, "job"), F.lit(" did not complete")))
+    vers = F.when(total > 0, F.when(
+        failed > 0, fmt(X.TEXT_RELEASED_WITH_FAILURES, thousands(released), thousands(total), plural_s(total),
+                        thousands(failed)))
+        .otherwise(fmt(X.TEXT_RELEASED, thousands(released), plural_s(released))))
+    inc = F.when(incomplete > 0, fmt(X.TEXT_JOBS_NOT_COMPLETE, incomplete, plural_s(incomplete)))
     parts = F.concat_ws(", ", vers, inc)
-    return F.when(F.length(parts) > 0, parts).otherwise(F.lit("finished, nothing released"))
+    return F.when(F.length(parts) > 0, parts).otherwise(F.lit(X.TEXT_NOTHING_RELEASED))
 
 
 def run_outcome(accepted: DataFrame, records: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import identity_token, plural, thousands
+from .. import schemas as X
+from ..functions.text import fmt, identity_token, plural_s, thousands
 
 # Inputs per (run_id, mode):
 #   bucket, dt, trigger_count, count_query_id, count_hash, verified_count
@@ -92,22 +93,17 @@ def decide(inputs: DataFrame) -> DataFrame:
 def _line() -> Column:
     m, n = F.col("mode"), F.coalesce(F.col("verified_count"), F.lit(0))
     reason = F.col("reason")
+    none = F.lit("None")
     return (
-        F.when(F.col("outcome") == "created",
-               F.concat(m, F.lit(": released "), plural(n, "event hold"), F.lit(" (job "), F.col("job_id"), F.lit(").")))
-        .when(F.col("outcome") == "suspended",
-              F.concat(m, F.lit(": found "), plural(n, "eligible version"), F.lit(", job "), F.col("job_id"),
-                       F.lit(" created suspended for review (report-only) -- nothing released.")))
-        .when(F.col("outcome") == "skipped", F.concat(m, F.lit(": no eligible versions this run.")))
+        F.when(F.col("outcome") == "created", fmt(X.TEXT_MODE_CREATED, m, n, plural_s(n), "job_id"))
+        .when(F.col("outcome") == "suspended", fmt(X.TEXT_MODE_SUSPENDED, m, n, plural_s(n), "job_id"))
+        .when(F.col("outcome") == "skipped", fmt(X.TEXT_MODE_SKIPPED, m))
         .when(reason == "safety_threshold_exceeded",
-              F.concat(m, F.lit(": WITHHELD -- "), F.col("verified_count").cast("string"),
-                       F.lit(" eligible versions exceeds SafetyThreshold ("), F.col("safety_threshold").cast("string"),
-                       F.lit("); no job created, review and re-run to proceed.")))
+              fmt(X.TEXT_MODE_OVER_THRESHOLD, m, "verified_count", "safety_threshold"))
         .when(reason == "count_mismatch",
-              F.concat(m, F.lit(": WITHHELD -- eligibility count mismatch (query "),
-                       F.coalesce(F.col("verified_count_raw").cast("string"), F.lit("None")), F.lit(" vs manifest "),
-                       F.coalesce(F.col("trigger_count").cast("string"), F.lit("None")), F.lit("); no job created.")))
-        .otherwise(F.concat(m, F.lit(": WITHHELD -- "), F.coalesce(reason, F.lit("unknown")), F.lit(".")))
+              fmt(X.TEXT_MODE_COUNT_MISMATCH, m, F.coalesce(F.col("verified_count_raw").cast("string"), none),
+                  F.coalesce(F.col("trigger_count").cast("string"), none)))
+        .otherwise(fmt(X.TEXT_MODE_WITHHELD, m, F.coalesce(reason, F.lit("unknown"))))
     )
 
 
@@ -131,23 +127,22 @@ def run_summary(decisions: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("_ord", "mode", "_line"))).alias("_lines"),
     )
     pend, wh, v = F.col("jobs_pending"), F.col("jobs_withheld"), F.col("versions")
-    first = (F.when(pend > 0, F.concat(plural(pend, "job"), F.lit(" pending")))
-             .when(wh > 0, F.concat(plural(wh, "job"), F.lit(" withheld"))))
-    second = F.when((pend > 0) & (wh > 0), F.concat(wh.cast("string"), F.lit(" withheld")))
-    vers = F.when(v > 0, F.concat(thousands(v), F.lit(" version"), F.when(v != 1, F.lit("s")).otherwise(F.lit(""))))
+    first = (F.when(pend > 0, fmt(X.TEXT_JOBS_PENDING, pend, plural_s(pend)))
+             .when(wh > 0, fmt(X.TEXT_JOBS_WITHHELD_FIRST, wh, plural_s(wh))))
+    second = F.when((pend > 0) & (wh > 0), fmt(X.TEXT_JOBS_WITHHELD_MORE, wh))
+    vers = F.when(v > 0, fmt(X.TEXT_VERSIONS, thousands(v), plural_s(v)))
     outcome = (F.when((pend > 0) | (wh > 0), F.concat_ws(", ", first, second, vers))
-               .when(F.length("modes_skipped") > 0, F.lit("nothing eligible"))
-               .otherwise(F.lit("no modes evaluated")))
-    header = F.concat(F.lit("Run "), F.col("run_id"), F.lit(" against "), F.col("bucket"), F.lit(" (inventory "),
-                      F.col("dt"), F.lit("), "),
-                      F.when(F.col("report_only"), F.lit("report-only")).otherwise(F.lit("active")), F.lit(" mode."))
+               .when(F.length("modes_skipped") > 0, F.lit(X.TEXT_NOTHING_ELIGIBLE))
+               .otherwise(F.lit(X.TEXT_NO_MODES_EVALUATED)))
+    header = fmt(X.TEXT_RUN_HEADER, "run_id", "bucket", "dt",
+                 F.when(F.col("report_only"), F.lit("report-only")).otherwise(F.lit("active")))
     lines = F.transform("_lines", lambda s: s["_line"])
     text = F.when(F.size(lines) > 0, F.concat_ws(" ", header, F.array_join(lines, " "))) \
-        .otherwise(F.concat_ws(" ", header, F.lit("No modes were evaluated for this run.")))
+        .otherwise(F.concat_ws(" ", header, F.lit(X.TEXT_NO_MODES)))
     return g.select(
         "run_id", "bucket", "dt", "report_only", "jobs_created", "jobs_pending", "jobs_withheld", "versions",
         "modes_skipped", "modes_withheld",
-        F.concat(outcome, F.when(F.col("report_only"), F.lit(" [Report-Only]")).otherwise(F.lit(""))).alias("headline"),
+        F.concat(outcome, F.when(F.col("report_only"), F.lit(X.TEXT_REPORT_ONLY_TAG)).otherwise(F.lit(""))).alias("headline"),
         text.alias("summary"),
     )
 

@@ -28,7 +28,8 @@ OPTIONAL_INVENTORY_COLUMNS = [
 # regex `\Z` also accepts a trailing newline.
 DT_RAW_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}-[0-9]{2}Z\z"
 RUN_ID_PATTERN = r"^[0-9A-Fa-f]{1,64}\z"
-# Field declarations inside a Parquet message schema: the name is group 2.
+# Field declarations inside a Parquet message schema: repetition, type, name
+# (the name is the third group here).
 PARQUET_FIELD_PATTERN = r"\b(required|optional|repeated)\s+(\w+)\s+(\w+)"
 # Decision ladder outcomes and withheld reasons, in ladder order.
 LADDER_REASONS = [
@@ -60,6 +61,27 @@ RATE_CARD = [
     ("batch_objects", "per million objects processed", 1.00),
     ("put_requests", "per thousand requests", 0.005),
 ]
+# Text formats of the run summary and the completion outcome (printf style,
+# filled with format_string; a "%s" right after a noun is its plural "s").
+TEXT_RUN_HEADER = "Run %s against %s (inventory %s), %s mode."
+TEXT_NO_MODES = "No modes were evaluated for this run."
+TEXT_MODE_CREATED = "%s: released %s event hold%s (job %s)."
+TEXT_MODE_SUSPENDED = "%s: found %s eligible version%s, job %s created suspended for review (report-only) -- nothing released."
+TEXT_MODE_SKIPPED = "%s: no eligible versions this run."
+TEXT_MODE_OVER_THRESHOLD = "%s: WITHHELD -- %s eligible versions exceeds SafetyThreshold (%s); no job created, review and re-run to proceed."
+TEXT_MODE_COUNT_MISMATCH = "%s: WITHHELD -- eligibility count mismatch (query %s vs manifest %s); no job created."
+TEXT_MODE_WITHHELD = "%s: WITHHELD -- %s."
+TEXT_JOBS_PENDING = "%s job%s pending"
+TEXT_JOBS_WITHHELD_FIRST = "%s job%s withheld"
+TEXT_JOBS_WITHHELD_MORE = "%s withheld"
+TEXT_VERSIONS = "%s version%s"
+TEXT_NOTHING_ELIGIBLE = "nothing eligible"
+TEXT_NO_MODES_EVALUATED = "no modes evaluated"
+TEXT_REPORT_ONLY_TAG = " [Report-Only]"
+TEXT_RELEASED_WITH_FAILURES = "%s of %s version%s released, %s failed"
+TEXT_RELEASED = "%s version%s released"
+TEXT_JOBS_NOT_COMPLETE = "%s job%s did not complete"
+TEXT_NOTHING_RELEASED = "finished, nothing released"
 # ---------------------------------------------------------------------------
 
 INVENTORY = T.StructType([
