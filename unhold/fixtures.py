@@ -116,6 +116,15 @@ def inventory_table(spark: SparkSession, sf_dir: str, snapshots=SNAPSHOTS) -> Da
     return read_inventory_table(spark, path)
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived fixture table written once to the shared checkpoint folder
+    (keyed by the inputs) and read back; ``build(spark, sf_dir)`` makes it."""
+    path = fixture_path(spark, sf_dir, name)
+    if not _committed(spark, path):
+        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def snapshot(inv: DataFrame, dt: str) -> DataFrame:
     """Select one snapshot (partition pruning on a partitioned table)."""
     return inv.where(F.col("dt") == F.lit(dt))

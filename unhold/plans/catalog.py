@@ -249,16 +249,21 @@ def q_class_histogram(spark, d):
 from ..operators import completion as J  # noqa: E402
 
 
+def _ev(spark, d, name):
+    """Stored job/event/report fixtures (written once from orders/lineitem)."""
+    return fx.stored(spark, d, name, getattr(fx, name))
+
+
 def _routed(spark, d):
-    return J.route_events(fx.job_events(spark, d), fx.jobs(spark, d), fx.run_records(spark, d),
-                          fx.record_jobs(spark, d), fx.OUR_TAG)
+    return J.route_events(_ev(spark, d, "job_events"), _ev(spark, d, "jobs"), _ev(spark, d, "run_records"),
+                          _ev(spark, d, "record_jobs"), fx.OUR_TAG)
 
 
 @register("terminal_events", O.with_ctes(O.EVENTS, body=(
     "SELECT job_id, event_status, event_time FROM evs WHERE job_id IS NOT NULL "
     "AND event_status IN ('Complete', 'Cancelled', 'Failed')")))
 def q_terminal_events(spark, d):
-    return J.terminal_events(fx.job_events(spark, d)).select("job_id", "event_status", "event_time")
+    return J.terminal_events(_ev(spark, d, "job_events")).select("job_id", "event_status", "event_time")
 
 
 @register("job_event_routing", O.with_ctes(O.EVENTS, body=(
@@ -284,12 +289,12 @@ def q_first_terminal(spark, d):
 @register("run_outcome", O.run_outcome_sql())
 def q_run_outcome(spark, d):
     acc = J.first_terminal(_routed(spark, d)).where(F.col("route") == "accepted")
-    return J.run_outcome(acc, fx.run_records(spark, d))
+    return J.run_outcome(acc, _ev(spark, d, "run_records"))
 
 
 @register("report_totals", O.with_ctes(O.EVENTS, body="SELECT job_id, succeeded, failed, total FROM rt"))
 def q_report_totals(spark, d):
-    return J.report_totals(fx.report_rows(spark, d))
+    return J.report_totals(_ev(spark, d, "report_rows"))
 
 
 @register("missing_record_alarm", O.with_ctes(O.EVENTS, body=(
@@ -311,8 +316,7 @@ st AS (SELECT *, CASE WHEN max_depth > 0 THEN 'ALARM' ELSE 'OK' END AS state FRO
 tr AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY bucket ORDER BY period_start), 'OK') AS previous_state FROM st)""",
     body="SELECT bucket, period_start, max_depth, state, previous_state FROM tr WHERE state <> previous_state"))
 def q_backlog_alarm(spark, d):
-    jb = fx.jobs(spark, d)
-    return J.backlog_alarm(J.backlog_samples(jb, fx.job_events(spark, d)))
+    return J.backlog_alarm(J.backlog_samples(_ev(spark, d, "jobs"), _ev(spark, d, "job_events")))
 
 
 # --- verification and projections (V1 to V6, W2) -----------------------------
@@ -388,7 +392,7 @@ def _runs_released(spark, d):
     li = fx.table(spark, d, "lineitem").groupBy(
         F.lpad(F.lower(F.hex(F.floor(F.col("l_orderkey") / 2))), 8, "0").alias("run_id")).agg(
         F.max("l_shipdate").alias("released_at"))
-    return fx.run_records(spark, d).join(li, "run_id")
+    return _ev(spark, d, "run_records").join(li, "run_id")
 
 
 @register("evidence_age", O.with_ctes(O.EVENTS, body=f"""
@@ -401,8 +405,8 @@ def q_evidence_age(spark, d):
 
 
 def _reported(spark, d):
-    jb = fx.jobs(spark, d).where(F.col("status").isin("Complete", "Failed")).select("job_id")
-    return fx.report_rows(spark, d).join(jb, "job_id", "left_semi")
+    jb = _ev(spark, d, "jobs").where(F.col("status").isin("Complete", "Failed")).select("job_id")
+    return _ev(spark, d, "report_rows").join(jb, "job_id", "left_semi")
 
 
 @register("audit_trail", O.with_ctes(O.EVENTS, body="""
@@ -415,8 +419,8 @@ FROM rep m
 FULL OUTER JOIN (SELECT * FROM rep WHERE job_id IN (SELECT job_id FROM jobs WHERE status IN ('Complete', 'Failed'))) r
   ON r.run_id = m.run_id AND r.mode = m.mode AND r.bucket = m.bucket AND r.key = m.key AND r.version_id = m.version_id"""))
 def q_audit_trail(spark, d):
-    manifest = fx.report_rows(spark, d).drop("task_status", "job_id")
-    return V.audit_trail(manifest, _reported(spark, d), fx.run_records(spark, d))
+    manifest = _ev(spark, d, "report_rows").drop("task_status", "job_id")
+    return V.audit_trail(manifest, _reported(spark, d), _ev(spark, d, "run_records"))
 
 
 # --- reviews (C7 to C9, P5) ---------------------------------------------------
@@ -514,7 +518,7 @@ SELECT path, created_at, rule_prefix, expire_days,
        CASE WHEN expire_days IS NOT NULL THEN created_at + to_days(expire_days) END AS expires_at
 FROM m WHERE rn = 1"""))
 def q_artifact_retention(spark, d):
-    arts = AR.run_artifacts(fx.run_records(spark, d), fx.record_jobs(spark, d))
+    arts = AR.run_artifacts(_ev(spark, d, "run_records"), _ev(spark, d, "record_jobs"))
     return AR.artifact_retention(arts)
 
 
