@@ -85,7 +85,8 @@ def _committed(spark: SparkSession, path: str) -> bool:
 
 def fixture_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     """Folder for a stored fixture in the shared checkpoint folder, keyed by
-    the input tables (path, size, time) and the fixture's name/parameters."""
+    the input tables (path, size, time), the fixture's name/parameters and the
+    fixture code."""
     import hashlib
     import os
 
@@ -96,7 +97,11 @@ def fixture_path(spark: SparkSession, sf_dir: str, name: str) -> str:
         if os.path.exists(src):
             st = os.stat(src)
             stamp.append(f"{st.st_size}-{int(st.st_mtime)}")
-    digest = hashlib.sha256(f"{os.path.abspath(sf_dir)}|{stamp}|{name}".encode()).hexdigest()[:16]
+    # the fixture code itself is part of the key: a changed definition is
+    # never served from an older stored copy
+    with open(__file__, "rb") as fh:
+        code = hashlib.sha256(fh.read()).hexdigest()[:12]
+    digest = hashlib.sha256(f"{os.path.abspath(sf_dir)}|{stamp}|{name}|{code}".encode()).hexdigest()[:16]
     label = name.split("|")[0]
     return f"{checkpoint_dir(spark)}/fixtures/{label}-{digest}"
 

@@ -67,12 +67,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # noqa: BLE001 - no classic SparkContext (e.g. Connect)
+            d = None
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder: a machine-local "
                                "scratch folder is not visible to the executors of a cluster")
         d = tempfile.mkdtemp(prefix="unhold-ckpt-", dir=os.environ.get("UNHOLD_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 - Connect sessions have no SparkContext
+        pass
     return d
