@@ -40,13 +40,26 @@ def previous_manifest(inv: DataFrame, release_mode: str) -> DataFrame:
     return E.manifest_rows(prev).select("bucket", "key", "version_id", "mode")
 
 
+def _code_hash() -> str:
+    """Hash of the code that derives the previous manifest (a stored copy
+    made by older code is never reused)."""
+    import hashlib
+    h = hashlib.sha256()
+    for mod in (C, E):
+        with open(mod.__file__, "rb") as fh:
+            h.update(fh.read())
+    with open(__file__, "rb") as fh:
+        h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
 def stored_previous_manifest(inv: DataFrame, release_mode: str, sf_dir: str) -> DataFrame:
     """The dedup pointer as it exists in a deployment: a small headerless CSV
     table (written once per input through the pointer layout, then read back
     with the positional reader, S4)."""
     from ..sources.records import read_previous_manifest
     spark = inv.sparkSession
-    path = fx.fixture_path(spark, sf_dir, f"previous_manifest|{release_mode}|{fx.SNAPSHOTS}")
+    path = fx.fixture_path(spark, sf_dir, f"previous_manifest|{release_mode}|{fx.SNAPSHOTS}|{_code_hash()}")
     if not fx._committed(spark, path):
         (previous_manifest(inv, release_mode).withColumn("target", F.col("bucket"))
          .select("bucket", "key", "version_id", "target", "mode")
