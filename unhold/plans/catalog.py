@@ -527,12 +527,15 @@ arts AS (
 m AS (SELECT a.path, a.created_at, r.rule_prefix, r.expire_days,
              row_number() OVER (PARTITION BY a.path, a.created_at ORDER BY length(r.rule_prefix) DESC NULLS LAST) AS rn
       FROM arts a LEFT JOIN rules r ON starts_with(a.path, r.rule_prefix))""", body="""
-SELECT path, created_at, rule_prefix, expire_days,
+SELECT path, created_at, rule_prefix, expire_days IS NULL AS never_expires,
        CASE WHEN expire_days IS NOT NULL THEN created_at + to_days(expire_days) END AS expires_at
 FROM m WHERE rn = 1"""))
 def q_artifact_retention(spark, d):
+    # `never_expires` instead of a nullable day count: the no-expiry rule is
+    # a flag, not a number
     arts = AR.run_artifacts(_ev(spark, d, "run_records"), _ev(spark, d, "record_jobs"))
-    return AR.artifact_retention(arts)
+    return AR.artifact_retention(arts).select(
+        "path", "created_at", "rule_prefix", F.col("expire_days").isNull().alias("never_expires"), "expires_at")
 
 
 @register("cost_estimate", O.with_ctes(O.INV, O.CLS, f"elig AS ({O._elig('delete')})", f"""
