@@ -65,3 +65,25 @@ def test_delivery_stream_runs_once_per_delivery(spark, tmp):
         .csv(f"{out}/manifests")
     from unhold.operators.eligibility import eligible
     assert man.count() == eligible(inv, "delete").count()
+
+
+def test_decision_stream_matches_inline_and_replays_to_nothing(spark, tmp):
+    from unhold.plans.runs import fixture_config, run_snapshot
+    from unhold.streaming import decisions as SDec
+    inv = fx.inventory(spark, SF)
+    cfg = fixture_config(inv)
+    out = run_snapshot(spark, inv, cfg, f"{tmp}/batch", decide_inline=False)
+    dout = f"{tmp}/dec"
+    SDec.start(spark, out["records"], out["manifests"], cfg, dout).awaitTermination()
+    got = spark.read.parquet(f"{dout}/decisions")
+    inline = spark.read.parquet(run_snapshot(spark, inv, cfg, f"{tmp}/inline")["decisions"])
+    cols = ["decision_token", "run_id", "mode", "outcome", "verified_count"]
+    assert got.count() == 12
+    assert got.select(*cols).exceptAll(inline.select(*cols)).count() == 0
+    # the batch job replays (records written again): nothing new is decided
+    run_snapshot(spark, inv, cfg, f"{tmp}/batch", decide_inline=False)
+    SDec.start(spark, out["records"], out["manifests"], cfg, dout).awaitTermination()
+    assert spark.read.parquet(f"{dout}/decisions").count() == 12
+    from unhold.sources.records import read_previous_manifest
+    created = got.where(F.col("outcome") == "created").select("bucket", "mode").distinct().count()
+    assert read_previous_manifest(spark, f"{dout}/previous").select("bucket", "mode").distinct().count() == created

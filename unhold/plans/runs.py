@@ -62,8 +62,29 @@ def decision_inputs(inv: DataFrame, eligible_rows: DataFrame, config: DataFrame,
     ))
 
 
+def query_complete_records(runs: DataFrame, counts: DataFrame, withheld_counts: DataFrame) -> DataFrame:
+    """One query-complete record per run: counts per lock mode (a real 0
+    included), the withheld count, and the count evidence the ladder checks.
+    Per-run maps hold the two lock modes only."""
+    per_run = (counts.groupBy("bucket", "dt").agg(
+        F.map_from_entries(F.collect_list(F.struct("object_lock_mode", "eligible_count"))).alias("row_counts")))
+    ids = F.transform(F.map_keys("row_counts"), lambda m: F.struct(m, F.concat(F.lit("q-"), F.col("run_id"), F.lit("-"), m)))
+    hashes = F.transform(F.map_keys("row_counts"),
+                         lambda m: F.struct(m, F.sha2(F.concat_ws("/", F.col("run_id"), m, F.lit("count")), 256)))
+    return (per_run.join(runs, ["bucket", "dt"]).join(withheld_counts, ["bucket", "dt"], "left")
+            .select("run_id",
+                    F.regexp_replace("dt", r"^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$", "$1T$2-$3Z").alias("dt"),
+                    F.col("bucket").alias("target_bucket"), F.lit("inv").alias("inventory_id"),
+                    F.array_sort(F.map_keys("row_counts")).alias("modes_succeeded"), "row_counts",
+                    F.coalesce("withheld_count", F.lit(0).cast("bigint")).alias("withheld_candidate_count"),
+                    (F.coalesce("withheld_count", F.lit(0)) > 0).alias("withheld_manifest_written"),
+                    F.map_from_entries(ids).alias("count_query_execution_ids"),
+                    F.map_from_entries(hashes).alias("count_query_hashes")))
+
+
 def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_root: str,
-                 previous_manifest: DataFrame | None = None, validate: bool = True) -> dict:
+                 previous_manifest: DataFrame | None = None, validate: bool = True,
+                 decide_inline: bool = True) -> dict:
     """The batch job of one cadence over every bucket/snapshot in ``inv``.
 
     Writes under ``out_root``: classified/ (Parquet, the lineage cut),
@@ -91,15 +112,21 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
     K.write_manifest(man, f"{out_root}/manifests")
     written = (spark.read.schema("bucket string, key string, version_id string, run_id string, mode string")
                .csv(f"{out_root}/manifests").join(runs.select("run_id"), "run_id", "left_semi"))
-    inputs = decision_inputs(inv, elig, config, manifests=written)
-    decisions = D.decide(inputs).withColumn("decided_at", F.current_timestamp().cast("timestamp_ntz"))
-    K.append_decisions(decisions, f"{out_root}/decisions")
-    dec = spark.read.parquet(f"{out_root}/decisions").join(runs.select("run_id"), "run_id", "left_semi")
     wh = E.withheld(inv, cls).withColumn(
         "dt_raw", F.regexp_replace("dt", r"^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$", "$1T$2-$3Z"))
     K.write_withheld(wh, f"{out_root}/withheld")
-    K.publish_previous_manifest(written, dec, f"{out_root}/previous")
+    # the stage's query-complete records (entry point 2 starts from them)
+    counts = E.eligible_counts(inv, elig)
+    query_complete_records(runs, counts, E.withheld_count(inv, cls)) \
+        .write.mode("append").json(f"{out_root}/records")
+    if decide_inline:
+        inputs = decision_inputs(inv, elig, config, manifests=written)
+        decisions = D.decide(inputs).withColumn("decided_at", F.current_timestamp().cast("timestamp_ntz"))
+        K.append_decisions(decisions, f"{out_root}/decisions")
+        dec = spark.read.parquet(f"{out_root}/decisions").join(runs.select("run_id"), "run_id", "left_semi")
+        K.publish_previous_manifest(written, dec, f"{out_root}/previous")
     K.mark_complete(spark, f"{out_root}/runs", runs)
     return {"classified": f"{out_root}/classified", "manifests": f"{out_root}/manifests",
             "decisions": f"{out_root}/decisions", "withheld": f"{out_root}/withheld",
+            "records": f"{out_root}/records",
             "previous": f"{out_root}/previous", "runs": f"{out_root}/runs"}
