@@ -87,7 +87,8 @@ def test_run_snapshot_end_to_end_and_replay(spark, inv, tmp):
     prev = SR.read_previous_manifest(spark, out["previous"])
     created = dec.where(F.col("outcome") == "created").select("bucket", "mode").distinct().count()
     assert prev.select("bucket", "mode").distinct().count() == created
-    wh = spark.read.schema("key string, version_id string, object_lock_mode string, last_modified_date string, reason string, dt string").csv(out["withheld"])
+    wh = spark.read.schema("key string, version_id string, object_lock_mode string, last_modified_date string, "
+                           "reason string, target string, dt string").csv(out["withheld"])
     assert wh.count() > 0 and wh.where(~F.col("dt").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}-\d{2}Z$")).count() == 0
     # the same decisions on replay: tokens are deterministic
     out2 = run_snapshot(spark, inv, cfg, f"{tmp}/run2")
@@ -114,3 +115,15 @@ def test_run_snapshot_replay_is_idempotent(spark, inv, tmp):
     n1 = spark.read.csv(out["manifests"]).count()
     run_snapshot(spark, inv, cfg, f"{tmp}/same")
     assert spark.read.csv(out["manifests"]).count() == n1
+
+
+def test_runs_of_two_buckets_in_one_folder_keep_each_other(spark, inv, tmp):
+    cfg = fixture_config(inv)
+    root = f"{tmp}/shared"
+    for b in ("bucket-0", "bucket-1"):
+        run_snapshot(spark, inv.where(F.col("bucket") == b), cfg, root)
+    cls = spark.read.parquet(f"{root}/classified")
+    assert {r.bucket for r in cls.select("bucket").distinct().collect()} == {"bucket-0", "bucket-1"}
+    wh = SR.read_withheld_history(spark, f"{root}/withheld", ["2024-01-16T00-00Z", "2024-02-01T00-00Z"])
+    assert {r.bucket for r in wh.select("bucket").distinct().collect()} == {"bucket-0", "bucket-1"}
+    assert spark.read.parquet(f"{root}/runs").count() == 4

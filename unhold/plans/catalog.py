@@ -655,7 +655,7 @@ _RAW_DT = r"regexp_replace(dt, '^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$', '\1T\2-\
     f"SELECT {O.enc('key')} AS key, version_id, object_lock_mode, "
     "strftime(last_modified_date, '%Y-%m-%d %H:%M:%S.%g') AS last_modified_date, "
     "CASE WHEN has_tied_noncurrent_peer = 1 THEN 'tied_noncurrent_peer' ELSE 'ambiguous_successor_classification' END AS reason, "
-    f"{_RAW_DT} AS dt FROM classified WHERE superseder_kinds > 1")))
+    f"{_RAW_DT} AS dt, bucket FROM classified WHERE superseder_kinds > 1")))
 def q_withheld_history(spark, d):
     """K2 writer + S5 reader round trip over the raw-dt partitions."""
     path = _scratch(spark, "withheld")

@@ -16,8 +16,13 @@ from ..functions.text import identity_token
 from ..operators import classify as C
 from ..operators import decide as D
 from ..operators import eligibility as E
+from ..operators.sizing import broadcast_if_small
+from ..schemas import LOCK_MODES
 from ..sources import sinks as K
 
+# Configuration rows are one per bucket.
+MAX_CONFIG_ROWS = 1_000_000
+
 
 def run_ids(inv: DataFrame) -> DataFrame:
     """One run per (bucket, dt) snapshot; the run id is 16 hex digits of a
@@ -94,18 +99,24 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
     D.validate_config(config)
     if validate:
         C.assert_unique_versions(inv)
+    # (bucket, dt) partitions: a run replaces exactly its own snapshots
     (C.classify_versions(inv).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dt").parquet(f"{out_root}/classified"))
-    snaps = [r.dt for r in inv.select("dt").distinct().collect()]  # one row per snapshot
-    cls = spark.read.parquet(f"{out_root}/classified").where(F.col("dt").isin(snaps))
-    release = config.select("bucket", "release_mode")
+     .partitionBy("bucket", "dt").parquet(f"{out_root}/classified"))
     runs = run_ids(inv)
-    # each bucket's own release mode; `either` needs no classification
-    parts = []
-    for mode in ("delete", "overwrite", "either"):
-        src = E.eligible(inv, mode) if mode == "either" else E.eligible(inv, mode, classified=cls)
-        parts.append(src.join(release.where(F.col("release_mode") == mode), "bucket", "left_semi"))
-    elig = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    snaps = [r.dt for r in inv.select("dt").distinct().collect()]  # one row per snapshot
+    cls = (spark.read.parquet(f"{out_root}/classified").where(F.col("dt").isin(snaps))  # partition pruning
+           .join(runs.select("bucket", "dt"), ["bucket", "dt"], "left_semi"))
+    # each bucket's own release mode, in one filter over the classified table
+    # (it holds every candidate, so `either` needs no classification columns);
+    # the per-bucket config is broadcast behind a checked row bound
+    release = broadcast_if_small(config.select("bucket", "release_mode"), MAX_CONFIG_ROWS)
+    rm = F.col("release_mode")
+    unanimous = F.col("superseder_kinds") == 1
+    selected = ((rm == "either")
+                | ((rm == "delete") & unanimous & (F.col("superseder_is_delete_marker") == F.lit(True)))
+                | ((rm == "overwrite") & unanimous & (F.col("superseder_is_delete_marker") == F.lit(False))))
+    elig = (cls.join(release, "bucket").where(selected & F.col("object_lock_mode").isin(LOCK_MODES))
+            .select(*E.ELIGIBLE_COLS))
     if previous_manifest is not None:
         elig = E.dedup(elig, previous_manifest)
     man = E.manifest_rows(elig).join(runs, ["bucket", "dt"])

@@ -70,12 +70,14 @@ def read_previous_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_withheld_history(spark: SparkSession, path: str, dts: list[str]) -> DataFrame:
-    """Withheld diagnostic history; a dt predicate is mandatory."""
+    """Withheld diagnostic history; a dt predicate is mandatory. The
+    bucket comes from the ``target=`` folder."""
     if not dts:
         raise ValueError("withheld history needs at least one dt")
-    schema = T.StructType(WITHHELD_CSV.fields + [T.StructField("dt", T.StringType())])
+    schema = T.StructType(WITHHELD_CSV.fields + [T.StructField("target", T.StringType()),
+                                                 T.StructField("dt", T.StringType())])
     return (spark.read.schema(schema).option("header", False).csv(path)
-            .where(F.col("dt").isin(dts)))
+            .where(F.col("dt").isin(dts)).withColumnRenamed("target", "bucket"))
 
 
 def validate_run_records(records: DataFrame) -> DataFrame:

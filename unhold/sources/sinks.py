@@ -48,12 +48,14 @@ def write_manifest(rows: DataFrame, path: str, run_id_col: str = "run_id") -> No
 
 def write_withheld(rows: DataFrame, path: str) -> None:
     """K2: withheld diagnostic rows; timestamp written with an explicit format
-    and the partition dt in its raw delivery spelling."""
+    and the partition dt in its raw delivery spelling. Folders are
+    ``target=<bucket>/dt=<raw dt>/``, so one bucket's run never replaces
+    another's diagnostic of the same dt."""
     out = rows.select(
         F.url_encode("key").alias("key"), "version_id", "object_lock_mode",
         F.date_format("last_modified_date", WITHHELD_TS_FORMAT).alias("last_modified_date"),
-        "reason", F.col("dt_raw").alias("dt"))
-    _csv(out).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").csv(path)
+        "reason", F.col("bucket").alias("target"), F.col("dt_raw").alias("dt"))
+    _csv(out).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target", "dt").csv(path)
 
 
 def combine_manifest(spark: SparkSession, parts_path: str, out_path: str,
