@@ -93,7 +93,7 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
     """The batch job of one cadence over every bucket/snapshot in ``inv``.
 
     Writes under ``out_root``: classified/ (Parquet, the lineage cut),
-    manifests/ (CSV per run/mode), withheld/ (CSV per raw dt), decisions/,
+    manifests/ (CSV per run/mode), withheld/ (CSV per bucket and raw dt), decisions/,
     previous/ (dedup pointer, created modes only), runs/ (sentinel, last).
     """
     D.validate_config(config)
