@@ -13,27 +13,42 @@ from pyspark.sql import functions as F
 
 from ..functions.text import url_decode_key
 from .classify import KEY, LMD
+from .sizing import broadcast_if_small
 
 
 def _days(n: int) -> Column:
     return F.expr(f"INTERVAL {int(n)} DAYS")
 
 
+# A manifest holds at most the safety threshold of versions per (bucket,
+# mode); broadcast it only under this checked bound.
+MANIFEST_BROADCAST_ROWS = 2_000_000
+
+
 def verify_release(manifest: DataFrame, later: DataFrame) -> DataFrame:
     """V1: each manifest row (bucket, url-encoded key, version_id, mode)
     against a later snapshot: ``released`` (hold now OFF), ``still_held``
-    (ON), ``gone`` (version absent). The manifest key is decoded, so the
-    large side is joined on its raw key without re-encoding every row."""
+    (ON), ``gone`` (version absent).
+
+    The large snapshot is streamed through an inner join with the manifest
+    (broadcast behind a checked bound, so the snapshot is not shuffled), and
+    the versions no longer listed come from an anti join between the two small
+    sides. The manifest key is decoded once, so the snapshot is joined on its
+    raw key without re-encoding every row."""
     m = manifest.select("bucket", url_decode_key("key").alias("key"), "version_id", "mode")
     s = later.select("bucket", "key", "version_id", "object_lock_event_hold_status",
                      "object_lock_retain_until_date", F.col("dt").alias("later_dt"))
-    j = m.join(s, ["bucket", "key", "version_id"], "left")
+    found = s.join(broadcast_if_small(m, MANIFEST_BROADCAST_ROWS), ["bucket", "key", "version_id"])
     st = F.col("object_lock_event_hold_status")
-    return j.select(
+    found = found.select(
         "bucket", "key", "version_id", "mode", "later_dt",
-        F.when(F.col("later_dt").isNull(), "gone").when(st == "ON", "still_held")
-         .when(st == "OFF", "released").otherwise("unknown").alias("release_status"),
+        F.when(st == "ON", "still_held").when(st == "OFF", "released").otherwise("unknown").alias("release_status"),
         "object_lock_retain_until_date")
+    gone = (m.join(found.select("bucket", "key", "version_id"), ["bucket", "key", "version_id"], "left_anti")
+            .select("bucket", "key", "version_id", "mode", F.lit(None).cast("string").alias("later_dt"),
+                    F.lit("gone").alias("release_status"),
+                    F.lit(None).cast("timestamp_ntz").alias("object_lock_retain_until_date")))
+    return found.unionByName(gone)
 
 
 def rolling_retention(before: DataFrame, after: DataFrame) -> DataFrame:
