@@ -86,3 +86,15 @@ def test_three_valued_logic(spark):
     rows = chain("k", [("v1", 0, V, None, "ON"), ("v2", 1, V, False, None), ("v3", 2, V, True, "ON")])
     inv = inventory_df(spark, rows)
     assert classify_versions(inv).count() == 0
+
+
+def test_remedy_with_stored_classification_restricts_keys(spark, tmp):
+    from unhold.operators.review import reclassification_hazard
+    rows = (chain("k6", CASES[5][1]) + chain("k7", CASES[6][1]) + chain("k1", CASES[0][1]))
+    inv = inventory_df(spark, rows)
+    classify_versions(inv).write.parquet(f"{tmp}/cls")
+    stored = spark.read.parquet(f"{tmp}/cls")
+    a = {(r.key, r.version_id, r.remedy) for r in withheld_remedy(inv, stored).collect()}
+    b = {(r.key, r.version_id, r.remedy) for r in withheld_remedy(inv).collect()}
+    assert a == b and len(a) == 3
+    assert reclassification_hazard(inv, stored).count() == reclassification_hazard(inv).count()

@@ -21,14 +21,27 @@ def without_noncurrent_markers(inv: DataFrame) -> DataFrame:
     return inv.where(~((F.col("is_delete_marker") == F.lit(True)) & (F.col("is_latest") == F.lit(False))))
 
 
+def _reclassify_keys(inv: DataFrame, rows: DataFrame, stored: bool) -> DataFrame:
+    """Classification of the snapshot without noncurrent delete markers.
+
+    With a stored classification (``stored``), only the keys of ``rows`` need
+    the second pass (classification is per key): a semi join restricts the
+    snapshot to them. Without one, restricting would compute the first
+    classification twice, so the whole snapshot is reclassified instead."""
+    sub = without_noncurrent_markers(inv)
+    if stored:
+        sub = sub.join(rows.select(*KEY).distinct(), KEY, "left_semi")
+    return classify_versions(sub).select(*KEY, "version_id", F.col("superseder_class").alias("class_after"))
+
+
 def withheld_remedy(inv: DataFrame, classified: DataFrame | None = None) -> DataFrame:
     """For each withheld candidate, ``self_heals`` when reclassifying the
     snapshot without its noncurrent delete markers gives a unanimous class,
-    else ``stuck``."""
+    else ``stuck``. Pass the stored classification (``run_snapshot`` writes
+    it) to reclassify only the affected keys."""
     before = classified if classified is not None else classify_versions(inv)
-    after = classify_versions(without_noncurrent_markers(inv)).select(
-        *KEY, "version_id", F.col("superseder_class").alias("class_after"))
     w = before.where(F.col("superseder_class") == "withheld").select(*KEY, "version_id", "object_lock_mode")
+    after = _reclassify_keys(inv, w, classified is not None)
     return (w.join(after, KEY + ["version_id"], "left")
             .select(*KEY, "version_id", "object_lock_mode", "class_after",
                     F.when(F.col("class_after").isin("delete", "overwrite"), "self_heals")
@@ -50,9 +63,9 @@ def reclassification_hazard(inv: DataFrame, classified: DataFrame | None = None)
     """Candidates delete-superseded now that become overwrite-superseded
     once noncurrent delete markers expire first."""
     before = classified if classified is not None else classify_versions(inv)
-    after = classify_versions(without_noncurrent_markers(inv)).select(
-        *KEY, "version_id", F.col("superseder_class").alias("class_after"))
-    return (before.where(F.col("superseder_class") == "delete")
+    dels = before.where(F.col("superseder_class") == "delete")
+    after = _reclassify_keys(inv, dels, classified is not None)
+    return (dels
             .join(after, KEY + ["version_id"])
             .where(F.col("class_after") == "overwrite")
             .select(*KEY, "version_id", "object_lock_mode", F.col("superseder_class").alias("class_before"),
