@@ -35,8 +35,8 @@ def inventory(spark: SparkSession, sf_dir: str, snapshots=SNAPSHOTS) -> DataFram
 
     One scan of ``events``; each event is exploded into the snapshots whose
     cut follows it (their number is a parameter). `is_latest` comes from a per-key
-    max over a partial aggregation joined back, not a window, so a key holding
-    a third of all rows does not land in one task.
+    max over a partial (hash) aggregation joined back, not a window, so a key
+    holding a third of all rows does not land in one task.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     # each event belongs to every snapshot cut after it: a per-row explode over
@@ -45,8 +45,14 @@ def inventory(spark: SparkSession, sf_dir: str, snapshots=SNAPSHOTS) -> DataFram
                       for dt, cut in snapshots])
     rows = (ev.withColumn("_s", F.explode(F.filter(specs, lambda s: F.col("ts") < s["cut"])))
             .select("event_id", "ts", "user_id", "event_type", "value", "_s.dt", "_s.cut"))
-    latest = (rows.groupBy("dt", "user_id")
-              .agg(F.max(F.struct("ts", "event_id")).alias("_latest")))
+    # latest = greatest (ts, event_id); packed into one decimal(38,0) so the
+    # per-key maximum is a hash aggregate (micros * 10^20 + event_id + 2^63:
+    # the offset id stays below 10^20, so it never crosses timestamps)
+    order = (F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)")
+             * F.lit(str(10 ** 20)).cast("decimal(38,0)")
+             + (F.col("event_id").cast("decimal(38,0)") + F.lit(str(2 ** 63)).cast("decimal(38,0)")))
+    rows = rows.withColumn("_order", order)
+    latest = rows.groupBy("dt", "user_id").agg(F.max("_order").alias("_latest"))
     rows = rows.join(latest, ["dt", "user_id"], "inner")
     is_error = F.col("event_type") == "error"
     hold = (F.when(is_error, F.lit(None).cast("string"))
@@ -58,7 +64,7 @@ def inventory(spark: SparkSession, sf_dir: str, snapshots=SNAPSHOTS) -> DataFram
         F.concat(F.lit("team"), (F.col("user_id") % 4).cast("string"), F.lit("/user "),
                  F.col("user_id").cast("string"), F.lit("/profile~v*.json")).alias("key"),
         F.col("event_id").cast("string").alias("version_id"),
-        (F.struct("ts", "event_id") == F.col("_latest")).alias("is_latest"),
+        (F.col("_order") == F.col("_latest")).alias("is_latest"),
         is_error.alias("is_delete_marker"),
         F.floor(F.col("value") * 100).cast("bigint").alias("size"),
         lmd.alias("last_modified_date"),
