@@ -113,7 +113,7 @@ def expiry_projection(classified: DataFrame, noncurrent_days: int) -> DataFrame:
 
 def evidence_age(runs: DataFrame, max_days: int) -> DataFrame:
     """V5: release time minus snapshot time per run, flagged above a bound."""
-    age = F.datediff(F.col("released_at"), F.col("snapshot_ts"))
+    age = F.datediff(F.col("released_at"), F.col("snapshot_ts")).cast("bigint")
     return runs.select("run_id", "snapshot_ts", "released_at", age.alias("evidence_age_days"),
                        (age > max_days).alias("stale_evidence"))
 
