@@ -199,7 +199,7 @@ def place(sized: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIEC
 def pack(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """Pieces with their ids, sequence and place: doc_id, piece, start, length,
     ids, sequence_id, offset."""
-    cut = stored(pieces(docs, length, **options).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    cut = stored(pieces(docs, length, **options).withColumn("uid", F.monotonically_increasing_id()), "pieces", "zstd")
     return cut.join(place(cut.select("uid", "length"), length), "uid").drop("uid")
 
 
