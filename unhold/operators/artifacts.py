@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RATE_CARD, RETENTION_RULES
-from .sizing import broadcast_if_small
 
 # Bytes per object version of a Parquet listing (midpoint of 40 to 120).
 BYTES_PER_VERSION = 80
@@ -67,7 +66,7 @@ def cost_estimate(usage: DataFrame, rates: DataFrame) -> DataFrame:
         F.struct(F.lit("batch_objects").alias("line_item"), (F.col("versions_released") / 1e6).alias("quantity")),
         F.struct(F.lit("put_requests").alias("line_item"), (F.col("versions_released") / 1e3).alias("quantity")),
     )).alias("u")).select("bucket", "dt", "u.line_item", "u.quantity")
-    r = broadcast_if_small(rates, 1_000)
+    r = rates
     j = q.join(r, "line_item")
     return j.select("bucket", "dt", "line_item",
                     F.floor(F.col("quantity") * F.col("rate_usd") * 1e6 + 0.5).cast("bigint").alias("cost_micro_usd"))
@@ -78,7 +77,7 @@ def sample_keys(keys: DataFrame, n: int, seed: int = 42) -> DataFrame:
     hash order so the sample is reproducible. The limit is the feature; Spark
     keeps a top-n per partition and merges them (no global sort)."""
     k = keys.select("bucket", "key").distinct()
-    return (k.withColumn("_h", F.xxhash64("bucket", "key", F.lit(seed)))
+    return (k.withColumn("_h", F.md5(F.concat_ws("/", "bucket", "key", F.lit(str(seed)))))
             .orderBy("_h", "bucket", "key").limit(n).drop("_h"))
 
 

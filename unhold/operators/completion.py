@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .. import schemas as X
 from ..functions.text import fmt, is_valid_run_id, plural_s, thousands
 from ..schemas import TERMINAL_STATUSES
-from .sizing import broadcast_if_small
 
 # Routes, in the order they are tested.
 ROUTES = ["non_terminal_event", "job_not_found", "job_not_terminal", "not_this_solution",

@@ -49,6 +49,8 @@ def _outcome_reason() -> tuple[Column, Column]:
     prefix = F.concat(F.lit("manifests/combined/"), F.col("run_id"), F.lit("/"), F.col("mode"), F.lit("/"))
     active = ~F.coalesce(F.col("report_only"), F.lit(False))
     steps = [
+        # fail closed: without a configuration, or active without a threshold, nothing is released
+        (F.col("report_only").isNull() | (active & F.col("safety_threshold").isNull()), "withheld", "missing_configuration"),
         (F.col("count_query_id").isNull() | (F.col("count_query_id") == "")
          | F.col("count_hash").isNull() | (F.col("count_hash") == "") | tc.isNull() | (tc < 0),
          "withheld", "missing_or_invalid_count_metadata"),
@@ -76,7 +78,7 @@ def decide(inputs: DataFrame) -> DataFrame:
     ``decision_token`` is the idempotency key of the decision."""
     outcome, reason = _outcome_reason()
     d = inputs.select(*DECISION_INPUT_COLS, outcome.alias("outcome"), reason.alias("reason"))
-    recorded = ~F.col("reason").isin("missing_or_invalid_count_metadata",
+    recorded = ~F.col("reason").isin("missing_configuration", "missing_or_invalid_count_metadata",
                                      "count_query_verification_failed", "count_mismatch")
     token = identity_token("bucket", "run_id", "dt", "mode")
     return d.select(

@@ -14,13 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import url_encode_key
 from ..schemas import LOCK_MODES, RELEASE_MODES
 from .classify import KEY, LMD, candidates, classify_versions, withheld_reason
-from .sizing import broadcast_if_small
 
-# Upper bound for broadcasting the dedup table. The table holds the last
-# manifest a job was created for, per (bucket, mode); a job is only created
-# when the count is at most the safety threshold, so the table is bounded by
-# threshold x buckets x 2. Larger tables take the shuffle anti join.
-DEDUP_BROADCAST_ROWS = 2_000_000
 
 ELIGIBLE_COLS = [*KEY, "object_lock_mode", "version_id", LMD]
 
@@ -56,13 +50,11 @@ def dedup(rows: DataFrame, previous_manifest: DataFrame, how: str = "left_anti")
 
     ``previous_manifest`` has columns bucket, key (url-encoded), version_id,
     mode. NULL version ids never match, as in the original left join + IS
-    NULL. The manifest side is broadcast only when its row count is under a
-    checked bound; otherwise both sides shuffle on the join keys.
+    NULL. No broadcast hint: the planner and AQE choose by measured bytes.
     """
     pm = previous_manifest.select(
         F.col("bucket").alias("_pm_bucket"), F.col("key").alias("_pm_key"),
         F.col("version_id").alias("_pm_version_id"), F.col("mode").alias("_pm_mode"))
-    pm = broadcast_if_small(pm, DEDUP_BROADCAST_ROWS)
     cond = [rows.bucket == pm._pm_bucket,
             rows.object_lock_mode == pm._pm_mode,
             url_encode_key(rows.key) == pm._pm_key,

@@ -10,15 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classify import KEY, classify_versions
-from .sizing import broadcast_if_small
 
-# Scope tables list prefixes, not keys: thousands at most.
-MAX_SCOPES = 100_000
 
 
 def without_noncurrent_markers(inv: DataFrame) -> DataFrame:
     """The snapshot as it will look once noncurrent delete markers expire."""
-    return inv.where(~((F.col("is_delete_marker") == F.lit(True)) & (F.col("is_latest") == F.lit(False))))
+    return inv.where(~(F.col("is_delete_marker").eqNullSafe(True) & F.col("is_latest").eqNullSafe(False)))
 
 
 def _reclassify_keys(inv: DataFrame, rows: DataFrame, stored: bool) -> DataFrame:
@@ -106,7 +103,7 @@ def prefix_shards(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     lengths = sorted(r.n for r in scopes.select(F.length("prefix").alias("n")).distinct().collect())
     if not lengths:
         return rows.withColumn("shard", F.lit(None).cast("string")).limit(0)
-    s = broadcast_if_small(scopes.select(F.col("bucket").alias("_sb"), F.col("prefix").alias("shard")), MAX_SCOPES)
+    s = scopes.select(F.col("bucket").alias("_sb"), F.col("prefix").alias("shard"))
     cut = rows.withColumn("_p", F.explode(F.array_distinct(F.array(*[F.substring("key", 1, n) for n in lengths]))))
     return (cut.join(s, (cut.bucket == s._sb) & (cut._p == s.shard))
             .where(F.length("key") >= F.length("shard")).drop("_sb", "_p"))

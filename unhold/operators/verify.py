@@ -13,16 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import url_decode_key
 from .classify import KEY, LMD
-from .sizing import broadcast_if_small
 
 
 def _days(n: int) -> Column:
     return F.expr(f"INTERVAL {int(n)} DAYS")
 
 
-# A manifest holds at most the safety threshold of versions per (bucket,
-# mode); broadcast it only under this checked bound.
-MANIFEST_BROADCAST_ROWS = 2_000_000
 
 
 def verify_release(manifest: DataFrame, later: DataFrame) -> DataFrame:
@@ -38,7 +34,7 @@ def verify_release(manifest: DataFrame, later: DataFrame) -> DataFrame:
     m = manifest.select("bucket", url_decode_key("key").alias("key"), "version_id", "mode")
     s = later.select("bucket", "key", "version_id", "object_lock_event_hold_status",
                      "object_lock_retain_until_date", F.col("dt").alias("later_dt"))
-    found = s.join(broadcast_if_small(m, MANIFEST_BROADCAST_ROWS), ["bucket", "key", "version_id"])
+    found = s.join(m, ["bucket", "key", "version_id"])
     st = F.col("object_lock_event_hold_status")
     found = found.select(
         "bucket", "key", "version_id", "mode", "later_dt",

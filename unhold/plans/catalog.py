@@ -440,7 +440,6 @@ def q_audit_trail(spark, d):
 
 from ..operators import review as RV  # noqa: E402
 
-_NO_NC_DM = "inv_nodm AS (SELECT * FROM inv WHERE NOT (is_delete_marker = true AND is_latest = false))"
 _NO_NC_DM = "inv_nodm AS (SELECT * FROM inv WHERE is_delete_marker IS DISTINCT FROM true OR is_latest IS DISTINCT FROM false)"
 
 
@@ -564,7 +563,9 @@ def q_cost_estimate(spark, d):
     return AR.cost_estimate(usage, AR.rate_card(spark))
 
 
-@register("sample_keys", None)
+@register("sample_keys", O.with_ctes(O.INV, body=f"""
+SELECT bucket, key FROM (SELECT DISTINCT bucket, key FROM inv WHERE dt = '{fx.CUR_DT}')
+ORDER BY md5(bucket || '/' || key || '/42'), bucket, key LIMIT 25"""))
 def q_sample_keys(spark, d):
     return AR.sample_keys(fx.snapshot(_inv(spark, d), fx.CUR_DT), 25, seed=42)
 

@@ -9,6 +9,8 @@ from it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +18,9 @@ from ..functions.text import identity_token
 from ..operators import classify as C
 from ..operators import decide as D
 from ..operators import eligibility as E
-from ..operators.sizing import broadcast_if_small
 from ..schemas import LOCK_MODES
 from ..sources import sinks as K
-
-# Configuration rows are one per bucket.
-MAX_CONFIG_ROWS = 1_000_000
+from ..sources.paths import clear_folders
 
 
 def run_ids(inv: DataFrame) -> DataFrame:
@@ -64,8 +63,9 @@ def decision_inputs(inv: DataFrame, eligible_rows: DataFrame, config: DataFrame,
         "run_id", "bucket", "dt", "mode", "trigger_count",
         F.concat(F.lit("q-"), F.col("run_id"), F.lit("-"), F.col("mode")).alias("count_query_id"),
         identity_token("run_id", "mode", F.lit("count")).alias("count_hash"),
-        F.coalesce(F.col("verified_count"), F.lit(0).cast("bigint")).alias("verified_count"),
-        (F.coalesce(F.col("verified_count"), F.lit(0)) > 0).alias("manifest_listed"),
+        # no manifest where rows are expected is a missing manifest (rung 6), not a count of zero
+        F.coalesce(F.col("verified_count"), F.col("trigger_count")).alias("verified_count"),
+        F.col("verified_count").isNotNull().alias("manifest_listed"),
         F.concat(F.lit("manifests/combined/"), F.col("run_id"), F.lit("/"), F.col("mode"), F.lit("/manifest.csv")).alias("manifest_key"),
         F.lit(True).alias("manifest_exists"),
         F.lit(None).cast("string").alias("submit_error"),
@@ -105,23 +105,32 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
     D.validate_config(config)
     if validate:
         C.assert_unique_versions(inv)
+    attempt = uuid.uuid4().hex
+    runs = run_ids(inv)
+    # one row per (bucket, snapshot): a re-run first clears what it replaces, so
+    # a partition that is empty this time does not keep its old rows
+    own = [(r.bucket, r.dt, r.run_id) for r in runs.collect()]
+    clear_folders(spark, f"{out_root}/classified", [f"bucket={b}/dt={d}" for b, d, _ in own])
+    clear_folders(spark, f"{out_root}/manifests", [f"run_id={r}" for _, _, r in own])
+    clear_folders(spark, f"{out_root}/withheld", [f"target={b}/dt={d[:10]}T{d[11:]}Z" for b, d, _ in own])
+    classified = C.classify_versions(inv)
     # (bucket, dt) partitions: a run replaces exactly its own snapshots
-    (C.classify_versions(inv).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (classified.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket", "dt").parquet(f"{out_root}/classified"))
-    runs = run_ids(inv)
-    snaps = [r.dt for r in inv.select("dt").distinct().collect()]  # one row per snapshot
-    cls = (spark.read.parquet(f"{out_root}/classified").where(F.col("dt").isin(snaps))  # partition pruning
+    snaps = sorted({d for _, d, _ in own})
+    cls = (spark.read.schema(classified.schema).parquet(f"{out_root}/classified").where(F.col("dt").isin(snaps))  # partition pruning
            .join(runs.select("bucket", "dt"), ["bucket", "dt"], "left_semi"))
     # each bucket's own release mode, in one filter over the classified table
-    # (it holds every candidate, so `either` needs no classification columns);
-    # the per-bucket config is broadcast behind a checked row bound
-    release = broadcast_if_small(config.select("bucket", "release_mode"), MAX_CONFIG_ROWS)
+    # (it holds every candidate, so `either` needs no classification columns).
+    # A bucket without a configuration selects nothing here and is withheld as
+    # ``missing_configuration`` by the ladder
+    release = config.select("bucket", "release_mode")
     rm = F.col("release_mode")
     unanimous = F.col("superseder_kinds") == 1
     selected = ((rm == "either")
                 | ((rm == "delete") & unanimous & (F.col("superseder_is_delete_marker") == F.lit(True)))
                 | ((rm == "overwrite") & unanimous & (F.col("superseder_is_delete_marker") == F.lit(False))))
-    elig = (cls.join(release, "bucket").where(selected & F.col("object_lock_mode").isin(LOCK_MODES))
+    elig = (cls.join(release, "bucket", "left").where(selected & F.col("object_lock_mode").isin(LOCK_MODES))
             .select(*E.ELIGIBLE_COLS))
     if previous_manifest is not None:
         elig = E.dedup(elig, previous_manifest)
@@ -139,8 +148,8 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
     if decide_inline:
         inputs = decision_inputs(inv, elig, config, manifests=written)
         decisions = D.decide(inputs).withColumn("decided_at", F.current_timestamp().cast("timestamp_ntz"))
-        K.append_decisions(decisions, f"{out_root}/decisions")
-        dec = spark.read.parquet(f"{out_root}/decisions").join(runs.select("run_id"), "run_id", "left_semi")
+        K.append_decisions(decisions, f"{out_root}/decisions", attempt)
+        dec = spark.read.parquet(f"{out_root}/decisions").where(F.col("attempt") == attempt)
         K.publish_previous_manifest(written, dec, f"{out_root}/previous")
     K.mark_complete(spark, f"{out_root}/runs", runs)
     return {"classified": f"{out_root}/classified", "manifests": f"{out_root}/manifests",

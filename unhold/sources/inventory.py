@@ -13,16 +13,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.sizing import broadcast_if_small
 from ..schemas import INVENTORY
 
 # A delivery lists hundreds of files, not millions; the path -> dt map is
 # broadcast only under this bound.
-MAX_LISTED_FILES = 1_000_000
+
+
+def _unescaped(uri: Column) -> Column:
+    """The path that a file URI of the scan stands for (a plus is itself)."""
+    return F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
 
 
 def symlink_paths(spark: SparkSession, root: str, dts: list[str]) -> DataFrame:
@@ -49,12 +52,14 @@ def read_inventory(spark: SparkSession, root: str, dts: list[str], bucket: str |
         raise FileNotFoundError(f"deliveries {dts} under {root} list no data files")
     data = (spark.read.schema(INVENTORY).parquet(*paths)
             .withColumn("_file", F.col("_metadata.file_path")))
-    # _metadata.file_path is a URI (file:/...); compare on the path suffix
+    # _metadata.file_path is an escaped URI (file:/...); compare unescaped paths
     lst = listing.select(F.col("path").alias("_listed"), "dt")
     lst = lst.withColumn("_norm", F.regexp_replace("_listed", "^[a-zA-Z0-9]+:(//)?", "/"))
-    lst = broadcast_if_small(lst.withColumn("_norm", F.regexp_replace("_norm", "^/+", "/")), MAX_LISTED_FILES)
-    data = data.withColumn("_norm", F.regexp_replace(F.regexp_replace("_file", "^[a-zA-Z0-9]+:(//)?", "/"), "^/+", "/"))
-    out = data.join(lst, "_norm").drop("_norm", "_file", "_listed")
+    lst = lst.withColumn("_norm", F.regexp_replace("_norm", "^/+", "/"))
+    data = data.withColumn("_norm", F.regexp_replace(F.regexp_replace(_unescaped(F.col("_file")), "^[a-zA-Z0-9]+:(//)?", "/"), "^/+", "/"))
+    # a scanned file that matches no listing is an error, never dropped rows
+    unlisted = F.raise_error(F.concat(F.lit("no listing has the file "), F.col("_file"))).cast("string")
+    out = data.join(lst, "_norm", "left").withColumn("dt", F.coalesce(F.col("dt"), unlisted)).drop("_norm", "_file", "_listed")
     if bucket is not None:
         out = out.withColumn("bucket", F.coalesce(F.col("bucket"), F.lit(bucket)))
     return out
@@ -66,7 +71,7 @@ def write_delivery(inv: DataFrame, root: str, dt: str) -> str:
     data_dir = f"{root}/data/{dt}"
     inv.drop("dt").write.mode("overwrite").parquet(data_dir)
     spark = inv.sparkSession
-    files = (spark.read.parquet(data_dir).select(F.col("_metadata.file_path").alias("p")).distinct())
+    files = (spark.read.parquet(data_dir).select(_unescaped(F.col("_metadata.file_path")).alias("p")).distinct())
     files.coalesce(1).write.mode("overwrite").text(f"{root}/hive/dt={dt}")
     return data_dir
 
@@ -77,7 +82,7 @@ def write_inventory_table(inv: DataFrame, path: str, mode: str = "overwrite") ->
     files per folder, sorted, so row-group statistics prune key-prefix scans)
     while one large bucket still spreads over many tasks."""
     n = int(inv.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (inv.repartitionByRange(n, "bucket", "dt", "key")
+    (inv.repartitionByRange(n, "bucket", "dt", "key", "last_modified_date", "version_id")  # a hot key spreads over tasks
      .sortWithinPartitions("bucket", "dt", "key", "last_modified_date")
      .write.mode(mode).partitionBy("bucket", "dt").parquet(path))
 

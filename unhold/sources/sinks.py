@@ -9,13 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sizing import row_count_at_most
+from .paths import table_exists
 
 # Timestamp text of the withheld diagnostic (explicit: engines differ).
 WITHHELD_TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
-# A combined single-object manifest is produced only under this many rows
-# (K3); above it the manifest stays a folder of sorted part files.
-SINGLE_FILE_MAX_ROWS = 5_000_000
 
 
 def _csv(df: DataFrame):
@@ -39,7 +36,7 @@ def write_manifest(rows: DataFrame, path: str, run_id_col: str = "run_id") -> No
     (bucket, key, version_id) within files for a byte-stable manifest (O1)."""
     assert_csv_safe(rows, ["bucket", "key", "version_id"])
     out = (rows.select("bucket", "key", "version_id", F.col(run_id_col).alias("run_id"), "mode")
-           .repartition("run_id", "mode", "key")
+           .repartition("run_id", "mode", "key", "version_id")
            .sortWithinPartitions("bucket", "key", "version_id"))
     # dynamic overwrite: a replayed run replaces exactly its own folders
     _csv(out).mode("overwrite").option("partitionOverwriteMode", "dynamic") \
@@ -58,19 +55,16 @@ def write_withheld(rows: DataFrame, path: str) -> None:
     _csv(out).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target", "dt").csv(path)
 
 
-def combine_manifest(spark: SparkSession, parts_path: str, out_path: str,
-                     max_rows: int = SINGLE_FILE_MAX_ROWS) -> bool:
-    """K3: one headerless object per (run, mode) when the manifest is at most
-    ``max_rows`` rows (checked), else the folder of parts stays the manifest.
-    Returns True when a single file was written. No output when there are no
-    parts. Spark's readers already skip ``_``-prefixed names."""
+def combine_manifest(spark: SparkSession, parts_path: str, out_path: str) -> bool:
+    """K3: the manifest as one folder of part files, sorted across the files,
+    at any size; read in file order it is the one sorted object. Returns False,
+    with no output, when there are no rows. Spark's readers skip ``_`` names."""
     from ..schemas import MANIFEST_CSV
     df = spark.read.schema(MANIFEST_CSV).csv(parts_path)
-    if not row_count_at_most(df, max_rows):
-        return False
     if df.limit(1).count() == 0:
         return False
-    _csv(df.coalesce(1).sortWithinPartitions("bucket", "key", "version_id")).mode("overwrite").csv(out_path)
+    order = ["bucket", "key", "version_id"]
+    _csv(df.repartitionByRange(*order).sortWithinPartitions(*order)).mode("overwrite").csv(out_path)
     return True
 
 
@@ -81,26 +75,37 @@ def publish_previous_manifest(manifest_rows: DataFrame, decisions: DataFrame, pa
     partitions written). Folders are ``target=<bucket>/mode=<mode>/`` (the
     CSV itself keeps its positional bucket column)."""
     from pyspark.sql import Window
+    spark = decisions.sparkSession
     created = decisions.where(F.col("outcome") == "created").select("run_id", "bucket", "dt", "mode")
     w = Window.partitionBy("bucket", "mode").orderBy(F.col("dt").desc(), F.col("run_id").desc())
-    latest = created.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).select("run_id", "bucket", "mode")
-    rows = manifest_rows.join(latest, ["run_id", "bucket", "mode"], "left_semi")
+    latest = created.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    # the pointer never moves back: what was published, per (bucket, mode), is
+    # kept beside it, and an older run than that is passed over
+    log = f"{path}_log"
+    if table_exists(spark, log):
+        at = spark.read.parquet(log).groupBy("bucket", "mode").agg(F.max("dt").alias("_at"))
+        latest = latest.join(at, ["bucket", "mode"], "left").where(F.col("_at").isNull() | (F.col("dt") >= F.col("_at"))).drop("_at")
+    rows = manifest_rows.join(latest.select("run_id", "bucket", "mode"), ["run_id", "bucket", "mode"], "left_semi")
     _csv(rows.select("bucket", "key", "version_id", F.col("bucket").alias("target"), "mode")
-         .repartition("target", "mode", "key")) \
+         .repartition("target", "mode", "key", "version_id")) \
         .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target", "mode").csv(path)
+    latest.select("bucket", "mode", "dt", "run_id").write.mode("append").parquet(log)
 
 
 def mark_complete(spark: SparkSession, runs_path: str, run_rows: DataFrame) -> None:
     """K5: append the run's sentinel row only after its outputs were written.
     Consumers read outputs joined to ``runs``; a failed stage raises before
     this point, so a failure never looks like an empty result."""
+    if table_exists(spark, runs_path):  # one sentinel per run, also on a replay
+        run_rows = run_rows.join(spark.read.parquet(runs_path).select("run_id"), "run_id", "left_anti")
     run_rows.withColumn("completed_at", F.current_timestamp().cast("timestamp_ntz")) \
         .write.mode("append").parquet(runs_path)
 
 
-def append_decisions(decisions: DataFrame, path: str) -> None:
-    """K6: decision history, one folder per run; every decision of a run
-    carries its own decision_id and time, and a replay of the same run
-    replaces that run's folder rather than duplicating it."""
-    decisions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("run_id").parquet(path)
+def append_decisions(decisions: DataFrame, path: str, attempt: str) -> None:
+    """K6: append-only decision history. Every decision has its own
+    ``decision_id`` (of its token and the attempt that made it); a replay adds
+    rows and never replaces older ones."""
+    (decisions.withColumn("attempt", F.lit(attempt))
+     .withColumn("decision_id", F.sha2(F.concat_ws("/", "decision_token", "attempt"), 256))
+     .write.mode("append").parquet(path))

@@ -1,11 +1,13 @@
 """T-2, T-6, T-7, T-8 as Structured Streaming jobs over job status events.
 
 Events arrive at least once and out of order. The stream routes each event
-against static tables (jobs, run records, record jobs), then:
+against the jobs, run records and record jobs as they are at that batch (pass
+functions that read them, and a job that ends later is seen), then:
 
-* ``missing_record_alarm`` (T-8): a windowed count of events without a run
-  record, appended per closed 5-minute period. It reads the routed stream
-  directly, before any stateful dedup, so late events still count.
+* ``missing_record_alarm`` (T-8): per micro-batch, the events without a run
+  record counted by 5-minute period, in a folder per batch that a replay writes
+  again. ``alarm_periods`` adds the batches up. There is no watermark, so an
+  event counts however late it comes.
 * ``completion`` (T-6 + T-7): ``foreachBatch`` keeps the first terminal event
   per (run, job) in a table (anti join: first wins across restarts and
   replays), recomputes the outcome of the runs touched by the batch, and
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import completion as J
+from ..sources.paths import table_exists as _exists
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("job_id", T.StringType()),
@@ -30,14 +33,6 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001 - missing table on first batch
-        return False
-
-
 def completion_batch(spark: SparkSession, batch: DataFrame, records: DataFrame, out_root: str) -> None:
     """One micro-batch of routed events: first-terminal table, outcomes,
     one-time completion emission."""
@@ -60,17 +55,35 @@ def start(spark: SparkSession, events_path: str, jobs: DataFrame, records: DataF
           out_root: str, our_tag: str, available_now: bool = True):
     """Start both streaming queries; returns them (call ``awaitTermination``)."""
     events = spark.readStream.schema(EVENT_SCHEMA).json(events_path)
-    routed = J.route_events(events, jobs, records, record_jobs, our_tag)
+    now = lambda t: t() if callable(t) else t  # noqa: E731 - read again for every batch
     trig = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
-    alarm = (J.missing_record_alarm(routed.withWatermark("event_time", "10 minutes"))
-             .writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", f"{out_root}/_ckpt/alarm")
-             .trigger(**trig).start(f"{out_root}/missing_record_alarm"))
-    # No watermark on this path: first-wins is enforced exactly by the sink's
-    # anti join, so an event arriving any time later is still folded in (a
-    # watermark would drop it silently, which the original never does).
-    comp = (routed.writeStream
-            .foreachBatch(lambda df, _bid: completion_batch(spark, df, records, out_root))
+
+    def route(batch: DataFrame) -> DataFrame:
+        return J.route_events(batch, now(jobs), now(records), now(record_jobs), our_tag)
+
+    def alarm_batch(batch: DataFrame, batch_id: int) -> None:
+        (J.missing_record_alarm(route(batch)).withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out_root}/missing_record_alarm"))
+
+    def outcome_batch(batch: DataFrame, _batch_id: int) -> None:
+        routed = route(batch).persist()  # read for the first events and for the runs touched
+        try:
+            completion_batch(spark, routed, now(records), out_root)
+        finally:
+            routed.unpersist()
+
+    alarm = (events.writeStream.foreachBatch(alarm_batch)
+             .option("checkpointLocation", f"{out_root}/_ckpt/alarm").trigger(**trig).start())
+    # No watermark on either path: first-wins is enforced exactly by the sink's
+    # anti join, so an event arriving any time later is still folded in.
+    comp = (events.writeStream
+            .foreachBatch(outcome_batch)
             .option("checkpointLocation", f"{out_root}/_ckpt/completion")
             .trigger(**trig).start())
     return alarm, comp
+
+
+def alarm_periods(spark: SparkSession, out_root: str) -> DataFrame:
+    """T-8: events without a run record per period, over all batches so far."""
+    return (spark.read.parquet(f"{out_root}/missing_record_alarm").groupBy("period_start", "period_end")
+            .agg(F.sum("missing_record_events").alias("missing_record_events")))

@@ -3,16 +3,17 @@
 Query-complete records (one JSON document per run, written by the batch job)
 arrive as files, at least once. The stream reads them with an explicit schema
 (PERMISSIVE, corrupt rows kept), validates them (S6: invalid records go to a
-quarantine table, not into a decision), keeps the first claim of each run
-within the watermark (``dropDuplicatesWithinWatermark`` on the file arrival
-time), and per micro-batch re-counts the run's written manifests (J6), runs the
-ladder and appends only decisions whose token is new, so a replayed record
-or batch changes nothing. The dedup pointer is published from the new
-``created`` decisions.
+quarantine table, each of them, and never block a corrected successor), and per
+micro-batch keeps one valid record of each run, re-counts the run's written
+manifests (J6), runs the ladder and appends only decisions whose token is new:
+the first claim of a run holds, however late a record or batch is replayed.
+The dedup pointer is published from the new ``created`` decisions only.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,26 +21,19 @@ from ..functions.text import raw_dt_to_dashed
 from ..operators import decide as D
 from ..schemas import LOCK_MODES, QUERY_COMPLETE
 from ..sources import sinks as K
+from ..sources.paths import table_exists
 from ..sources.records import validate_run_records
 
 MANIFEST_SCHEMA = "bucket string, key string, version_id string, run_id string, mode string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001 - missing table before the first decision
-        return False
-
-
 def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, config: DataFrame,
                    out_root: str) -> None:
     checked = validate_run_records(batch)
     checked.where(~F.col("valid")).select("run_id", "dt", F.array_join("problems", ",").alias("problems"),
                                           "_corrupt_record") \
         .write.mode("append").parquet(f"{out_root}/quarantine")
-    recs = checked.where(F.col("valid"))
+    recs = checked.where(F.col("valid")).dropDuplicates(["run_id"])
     rows = recs.select(
         "run_id", F.col("target_bucket").alias("bucket"), raw_dt_to_dashed("dt").alias("dt"),
         F.explode(F.array(*[F.lit(m) for m in LOCK_MODES])).alias("mode"),
@@ -52,29 +46,29 @@ def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, c
         F.col("row_counts")[F.col("mode")].alias("trigger_count"),
         F.col("count_query_execution_ids")[F.col("mode")].alias("count_query_id"),
         F.col("count_query_hashes")[F.col("mode")].alias("count_hash"),
-        F.coalesce("recount", F.lit(0).cast("bigint")).alias("verified_count"),
-        (F.coalesce("recount", F.lit(0)) > 0).alias("manifest_listed"),
+        # an absent manifest where rows are expected is rung 6, not a count of zero
+        F.coalesce("recount", F.col("row_counts")[F.col("mode")]).alias("verified_count"),
+        F.col("recount").isNotNull().alias("manifest_listed"),
         F.concat(F.lit("manifests/combined/"), F.col("run_id"), F.lit("/"), F.col("mode"), F.lit("/manifest.csv")).alias("manifest_key"),
-        (F.coalesce("recount", F.lit(0)) > 0).alias("manifest_exists"),
+        F.col("recount").isNotNull().alias("manifest_exists"),
         F.lit(None).cast("string").alias("submit_error"),
         "report_only", "safety_threshold"))
     dec = D.decide(inputs).withColumn("decided_at", F.current_timestamp().cast("timestamp_ntz"))
     path = f"{out_root}/decisions"
-    if _exists(spark, path):
+    if table_exists(spark, path):
         dec = dec.join(spark.read.parquet(path).select("decision_token"), "decision_token", "left_anti")
-    dec.write.mode("append").parquet(path)
-    new = spark.read.parquet(path).join(rows.select("run_id").distinct(), "run_id", "left_semi")
+    attempt = uuid.uuid4().hex
+    K.append_decisions(dec, path, attempt)
+    new = spark.read.parquet(path).where(F.col("attempt") == attempt)
     K.publish_previous_manifest(man, new, f"{out_root}/previous")
 
 
 def start(spark: SparkSession, records_path: str, manifests_path: str, config: DataFrame, out_root: str,
-          watermark: str = "7 days", available_now: bool = True):
+          available_now: bool = True):
     src = (spark.readStream.schema(QUERY_COMPLETE).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").json(records_path)
-           .withColumn("arrived", F.col("_metadata.file_modification_time")))
-    first = src.withWatermark("arrived", watermark).dropDuplicatesWithinWatermark(["run_id"])
+           .option("columnNameOfCorruptRecord", "_corrupt_record").json(records_path))
     trig = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
-    return (first.writeStream
+    return (src.writeStream
             .foreachBatch(lambda df, _bid: decision_batch(spark, df, manifests_path, config, out_root))
             .option("checkpointLocation", f"{out_root}/_ckpt/decisions")
             .trigger(**trig).start())

@@ -2,7 +2,8 @@
 
 A file-source stream watches ``manifest.json`` files under the delivery root
 (path layout ``<root>/<bucket>/<inventory_id>/<dt_raw>/manifest.json``). Each
-micro-batch checks the delivered schemas (S3), skips deliveries whose run was
+micro-batch checks the delivered dt and schemas (S3), puts deliveries that fail
+into a quarantine table and goes on with the rest, skips deliveries whose run was
 already completed (the ``runs`` sentinel table: the first claim wins, so a
 duplicate notification or a replayed batch is a no-op), and runs the batch job
 for the rest. The file source's checkpoint remembers processed files across
@@ -20,7 +21,8 @@ from ..functions.text import is_valid_raw_dt, raw_dt_to_dashed
 from ..plans.runs import run_snapshot
 from ..schemas import DELIVERY_MANIFEST
 from ..sources.inventory import read_inventory
-from ..sources.records import require_schema_ok, schema_drift
+from ..sources.paths import csv_exists, table_exists
+from ..sources.records import read_previous_manifest, schema_drift
 
 
 def _parsed(batch: DataFrame) -> DataFrame:
@@ -34,17 +36,13 @@ def _parsed(batch: DataFrame) -> DataFrame:
 
 def delivery_batch(spark: SparkSession, batch: DataFrame, data_root: str, config: DataFrame, out_root: str) -> None:
     d = _parsed(batch)
-    bad_dt = d.where(~is_valid_raw_dt("dt_raw")).limit(1).collect()
-    if bad_dt:
-        raise ValueError(f"invalid delivery dt in {bad_dt[0]['path']}")
-    require_schema_ok(schema_drift(d))
-    todo = d.select("bucket", raw_dt_to_dashed("dt_raw").alias("dt")).distinct()
+    checked = schema_drift(d).withColumn("verdict", F.when(~F.coalesce(is_valid_raw_dt("dt_raw"), F.lit(False)), "invalid_dt").otherwise(F.col("verdict")))
+    bad = checked.where(F.col("verdict") != "ok").select("path", "bucket", "dt_raw", "verdict", "missing_required")
+    bad.write.mode("append").parquet(f"{out_root}/delivery_quarantine")
+    todo = checked.where(F.col("verdict") == "ok").select("bucket", raw_dt_to_dashed("dt_raw").alias("dt")).distinct()
     runs_path = f"{out_root}/runs"
-    try:
-        done = spark.read.parquet(runs_path).select("bucket", "dt")
-        todo = todo.join(done, ["bucket", "dt"], "left_anti")
-    except Exception:  # noqa: BLE001 - no run completed yet
-        pass
+    if table_exists(spark, runs_path):
+        todo = todo.join(spark.read.parquet(runs_path).select("bucket", "dt"), ["bucket", "dt"], "left_anti")
     # one row per delivery (small metadata); all deliveries of the batch are
     # then classified and decided together in one run_snapshot job
     snaps = [(r.bucket, r.dt) for r in todo.collect()]
@@ -56,7 +54,10 @@ def delivery_batch(spark: SparkSession, batch: DataFrame, data_root: str, config
         frames.append(read_inventory(spark, f"{data_root}/{bucket}", dts, bucket=bucket)
                       .withColumn("bucket", F.lit(bucket)))
     inv = reduce(DataFrame.unionByName, frames)
-    run_snapshot(spark, inv, config, out_root)
+    # versions whose release is in flight are not put into a manifest again
+    pointer = f"{out_root}/previous"
+    previous = read_previous_manifest(spark, pointer) if csv_exists(spark, pointer) else None
+    run_snapshot(spark, inv, config, out_root, previous_manifest=previous)
 
 
 def start(spark: SparkSession, manifest_root: str, data_root: str, config: DataFrame, out_root: str,
