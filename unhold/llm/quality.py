@@ -8,7 +8,8 @@ linear score the products of all feature pairs through low-rank factors,
 
 in time linear in a text's features. It is fitted on a bounded sample of
 labelled rows (``SAMPLE`` rows, chosen by a hash of the id, with at most
-``WORDS + SHAPES + STATS`` features each); every row is scored.
+``WORDS + SHAPES + STATS`` features each) by one task, and only the model comes
+to the driver; every row is scored.
 
 Nulls: a null text is scored as an empty one; rows with a null label or id are
 not learned from; labels of repeated ids are each a row. Without any labelled
@@ -18,8 +19,9 @@ row every score is 0.5. Columns other than the id and the text are not read by
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,28 +174,31 @@ def scores(model: dict | None, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def _featured(batches):
+def _fitted(batches):
+    """One row, the model, from the rows (label, text) of a bounded sample."""
+    rows, feats, values, stats, labels = [], [], [], [], []
+    done = 0
     for batch in batches:
         texts = words.as_texts(batch.column(1))
-        for first, part in words.slices(texts):
-            row, feat, value, stats = features(part)
-            at = np.searchsorted(row, np.arange(len(part) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(part)), pa.array([feat[s:e].astype(np.int16) for s, e in zip(at[:-1], at[1:])], pa.list_(pa.int16())),
-                 pa.array([value[s:e].astype(np.float32) for s, e in zip(at[:-1], at[1:])], pa.list_(pa.float32())), pa.array(list(stats), pa.list_(pa.float64()))],
-                ["label", "feats", "vals", "stats"])
+        labels.append(batch.column(0).to_numpy())
+        for _, part in words.slices(texts):
+            row, feat, value, stat = features(part)
+            rows.append(row + done)
+            feats.append(feat)
+            values.append(value)
+            stats.append(stat)
+            done += len(part)
+    if done:
+        model = fit(*(np.concatenate(x) for x in (rows, feats, values, stats, labels)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict | None:
     """A model from at most ``sample`` labelled rows, those with the least hash of their id."""
     rows = labelled.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"), F.md5(F.col(id_col).cast("string")).alias("h"))
-    got = (rows.orderBy("h").limit(sample).select("label", "text").mapInArrow(_featured, "label int, feats array<smallint>, vals array<float>, stats array<double>").toPandas())
-    if not len(got):
-        return None
-    row = np.repeat(np.arange(len(got)), got["feats"].map(len))
-    flat = lambda c, t: np.concatenate([np.asarray(x, t) for x in got[c]])
-    return fit(row, flat("feats", np.int64), flat("vals", np.float64), np.stack(got["stats"].to_list()), got["label"].to_numpy(float))
+    got = rows.orderBy("h").limit(sample).select("label", "text").mapInArrow(_fitted, "model binary").collect()  # one row at most
+    return pickle.loads(got[0]["model"]) if got else None
 
 
 def _scored(model):
