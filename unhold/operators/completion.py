@@ -15,11 +15,6 @@ from .. import schemas as X
 from ..functions.text import fmt, is_valid_run_id, plural_s, thousands
 from ..schemas import TERMINAL_STATUSES
 
-# Routes, in the order they are tested.
-ROUTES = ["non_terminal_event", "job_not_found", "job_not_terminal", "not_this_solution",
-          "missing_run_id_tag", "invalid_run_id_tag", "no_active_jobs_record",
-          "job_not_in_record", "duplicate_event", "accepted"]
-
 
 def report_totals(report: DataFrame) -> DataFrame:
     """Per-job task totals from the per-version completion report."""

@@ -75,20 +75,19 @@ def top_level_scopes(inv: DataFrame) -> DataFrame:
             .where(F.col("prefix") != "").distinct())
 
 
-def _proper_prefixes(col: str):
-    """Every proper prefix of a string column (lengths 1 .. n-1)."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 1, F.lit(1))),
-                       lambda i: F.substring(F.col(col), 1, i))
+def _lengths(scopes: DataFrame) -> list[int]:
+    """The distinct prefix lengths of a scope set: at most the key length limit."""
+    return sorted(r.n for r in scopes.select(F.length("prefix").alias("n")).distinct().collect())
 
 
 def prefix_overlaps(scopes: DataFrame) -> DataFrame:
     """P5 check: scopes of the same bucket where one prefix contains another.
-    Each scope's proper prefixes are exploded and equi-joined with the scope
-    set: linear in scopes x prefix length, never all pairs of scopes."""
+    Each scope is cut at the shorter lengths that scopes have and equi-joined
+    with the scope set: never all pairs of scopes, nor every length of a key."""
     own = scopes.select("bucket", "prefix").distinct()
-    cand = (own.where(F.length("prefix") > 1)
-            .select("bucket", "prefix", F.explode(_proper_prefixes("prefix")).alias("contained_in"))
-            .distinct())
+    shorter = F.filter(F.array(*[F.lit(n) for n in _lengths(scopes)]).cast("array<int>"), lambda n: n < F.length("prefix"))
+    cand = (own.select("bucket", "prefix", F.explode(shorter).alias("_n"))
+            .select("bucket", "prefix", F.substring("prefix", F.lit(1), F.col("_n")).alias("contained_in")))
     return cand.join(own.select("bucket", F.col("prefix").alias("contained_in")), ["bucket", "contained_in"]) \
         .select("bucket", "prefix", "contained_in")
 
@@ -100,7 +99,7 @@ def prefix_shards(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     practice) are gathered; each row's key is cut at those lengths and joined
     on (bucket, prefix). With non-overlapping scopes a row matches at most one
     shard. The scope table is broadcast only behind a checked row bound."""
-    lengths = sorted(r.n for r in scopes.select(F.length("prefix").alias("n")).distinct().collect())
+    lengths = _lengths(scopes)
     if not lengths:
         return rows.withColumn("shard", F.lit(None).cast("string")).limit(0)
     s = scopes.select(F.col("bucket").alias("_sb"), F.col("prefix").alias("shard"))

@@ -217,10 +217,39 @@ DEC_COLS = ["run_id", "bucket", "dt", "mode", "outcome", "reason", "verified_cou
             "trigger_count", "safety_threshold", "report_only", "manifest_key", "decision_token", "job_id"]
 
 
-def _decisions(spark, d):
+def manifest_evidence(inv: DataFrame, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The manifests of every run as written by K1, and their manifests-ready
+    record, stored once per input and read back. Some are damaged, so that the
+    ladder's rungs have real evidence: bucket-0's prev COMPLIANCE manifest is
+    truncated, its prev GOVERNANCE one was never made and its cur GOVERNANCE
+    one is listed but gone; bucket-2's prev COMPLIANCE record names a foreign
+    key and its prev GOVERNANCE re-count failed."""
+    spark = inv.sparkSession
+    path = fx.fixture_path(spark, sf_dir, f"manifest_evidence|{fx.SNAPSHOTS}|{_code_hash()}")
+    if not fx._committed(spark, f"{path}/ready"):
+        rows = E.manifest_rows(E.eligible(inv, "delete")).join(R.run_ids(inv), ["bucket", "dt"])
+
+        def at(bucket, dt, mode):
+            return (F.col("bucket") == bucket) & (F.col("dt") == dt) & (F.col("mode") == mode)
+
+        never, gone = at("bucket-0", fx.PREV_DT, "GOVERNANCE"), at("bucket-0", fx.CUR_DT, "GOVERNANCE")
+        cut = at("bucket-0", fx.PREV_DT, "COMPLIANCE") & (F.substring(F.md5("version_id"), 1, 1) < "4")
+        K.write_manifest(rows.where(~never & ~gone & ~cut), f"{path}/manifests")
+        foreign, failed = at("bucket-2", fx.PREV_DT, "COMPLIANCE"), at("bucket-2", fx.PREV_DT, "GOVERNANCE")
+        (rows.where(~never).groupBy("bucket", "dt", "run_id", "mode").agg(F.count(F.lit(1)).alias("n")).select(
+            "run_id", "mode",
+            F.when(foreign, F.concat(F.lit("manifests/combined/elsewhere/"), F.col("mode"), F.lit("/manifest.csv")))
+             .otherwise(R.combined_key()).alias("manifest_key"),
+            (~gone).alias("manifest_exists"), (~failed).alias("recounted"))
+         .write.mode("overwrite").parquet(f"{path}/ready"))
+    return (spark.read.schema("bucket string, key string, version_id string, run_id string, mode string").csv(f"{path}/manifests"),
+            spark.read.schema("run_id string, mode string, manifest_key string, manifest_exists boolean, recounted boolean").parquet(f"{path}/ready"))
+
+
+def _decisions(spark, d, bucket1_threshold: int = 100):
     inv = _inv(spark, d)
     elig = E.eligible(inv, "delete")
-    return D.decide(R.decision_inputs(inv, elig, R.fixture_config(inv)))
+    return D.decide(R.decision_inputs(inv, elig, R.fixture_config(inv, bucket1_threshold), *manifest_evidence(inv, d)))
 
 
 @register("decide", O.with_ctes(O.INV, O.CLS, O.decision_ctes(), body=f"SELECT {', '.join(DEC_COLS)} FROM decisions"))
@@ -234,15 +263,14 @@ def q_run_summary(spark, d):
 
 
 @register("count_reconciliation", O.with_ctes(O.INV, O.CLS, O.decision_ctes(), body=(
-    "SELECT run_id, mode, trigger_count, verified_count, trigger_count = verified_count AS count_matches FROM inp")))
+    "SELECT run_id, mode, trigger_count, file_count AS verified_count, trigger_count = file_count AS count_matches FROM inp")))
 def q_count_reconciliation(spark, d):
     inv = _inv(spark, d)
     elig = E.eligible(inv, "delete")
     runs = R.run_ids(inv)
     expected = (E.eligible_counts(inv, elig).join(runs, ["bucket", "dt"])
                 .select("run_id", F.col("object_lock_mode").alias("mode"), F.col("eligible_count").alias("trigger_count")))
-    man = E.manifest_rows(elig).join(runs, ["bucket", "dt"]).select("run_id", "mode")
-    rec = D.count_reconciliation(expected, man)
+    rec = D.count_reconciliation(expected, manifest_evidence(inv, d)[0].select("run_id", "mode"))
     return rec.select("run_id", "mode", "trigger_count",
                       F.coalesce("verified_count", F.lit(0).cast("bigint")).alias("verified_count"),
                       (F.col("trigger_count") == F.coalesce("verified_count", F.lit(0))).alias("count_matches"))
@@ -611,11 +639,9 @@ def q_schema_drift(spark, d):
 def _decision_history(spark, d):
     """Two passes over every run: the scheduled one, and a replay a day later
     after bucket-1's threshold was raised (the documented remedy)."""
-    inv = _inv(spark, d)
-    elig = E.eligible(inv, "delete")
     out = None
     for p, thr, off in ((1, 100, 0), (2, 100000, 1)):
-        dec = (D.decide(R.decision_inputs(inv, elig, R.fixture_config(inv, thr)))
+        dec = (_decisions(spark, d, thr)
                .withColumn("pass", F.lit(p))
                .withColumn("decision_id", F.concat(F.col("run_id"), F.lit(f"-{p}")))
                .withColumn("decided_at", F.to_timestamp_ntz(F.regexp_replace("dt", r"^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$", "$1 $2:$3:00"))
@@ -679,17 +705,15 @@ def q_next_previous_manifest(spark, d):
     """K4: publish the dedup pointer from decisions and read it back."""
     path = _scratch(spark, "previous")
     inv = _inv(spark, d)
-    elig = E.eligible(inv, "delete")
-    dec = D.decide(R.decision_inputs(inv, elig, R.fixture_config(inv)))
-    man = E.manifest_rows(elig).join(R.run_ids(inv), ["bucket", "dt"])
-    K.publish_previous_manifest(man, dec, path)
+    K.publish_previous_manifest(manifest_evidence(inv, d)[0], _decisions(spark, d), path)
     return SR.read_previous_manifest(spark, path)
 
 
 def run_record_json(inv: DataFrame) -> DataFrame:
     """Query-complete records as JSON text, one per (bucket, dt) run, derived
     from the eligible counts. bucket-1's records lack the GOVERNANCE count;
-    bucket-2's prev record is truncated (corrupt)."""
+    bucket-2's prev record is truncated (corrupt); bucket-0's prev record was
+    delivered to another run's folder (``path_run_id``)."""
     elig = E.eligible(inv, "delete")
     counts = E.eligible_counts(inv, elig)
     runs = R.run_ids(inv)
@@ -697,7 +721,7 @@ def run_record_json(inv: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("object_lock_mode", "eligible_count"))).alias("rc")))
     rc = F.when(F.col("bucket") == "bucket-1", F.map_filter("rc", lambda k, v: k != "GOVERNANCE")).otherwise(F.col("rc"))
     rec = per_run.join(runs, ["bucket", "dt"]).select(
-        "bucket", "dt",
+        "bucket", "dt", "run_id",
         F.to_json(F.struct(
             F.col("run_id"),
             F.regexp_replace("dt", r"^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$", "$1T$2-$3Z").alias("dt"),
@@ -705,13 +729,16 @@ def run_record_json(inv: DataFrame) -> DataFrame:
             F.array(F.lit("COMPLIANCE"), F.lit("GOVERNANCE")).alias("modes_succeeded"),
             rc.alias("row_counts"))).alias("json"))
     bad = (F.col("bucket") == "bucket-2") & (F.col("dt") == fx.PREV_DT)
-    return rec.select(F.when(bad, F.substring("json", 1, 20)).otherwise(F.col("json")).alias("value"))
+    astray = (F.col("bucket") == "bucket-0") & (F.col("dt") == fx.PREV_DT)
+    return rec.select(F.when(bad, F.substring("json", 1, 20)).otherwise(F.col("json")).alias("value"),
+                      F.when(astray, "elsewhere").otherwise(F.col("run_id")).alias("path_run_id"))
 
 
 @register("validate_run_records", O.with_ctes(O.INV, body=f"""
 SELECT CASE WHEN corrupt THEN NULL ELSE run_id END AS run_id, CASE WHEN corrupt THEN NULL ELSE {_RAW_DT} END AS dt,
-       NOT corrupt AND bucket <> 'bucket-1' AS valid,
-       CASE WHEN corrupt THEN 'corrupt_record,invalid_run_id,invalid_dt,missing_target_bucket,missing_mode_count'
+       NOT corrupt AND bucket <> 'bucket-1' AND NOT (bucket = 'bucket-0' AND dt = '{fx.PREV_DT}') AS valid,
+       CASE WHEN corrupt THEN 'corrupt_record,invalid_run_id,invalid_dt,missing_target_bucket,missing_inventory_id,missing_modes_succeeded,missing_mode_count'
+            WHEN bucket = 'bucket-0' AND dt = '{fx.PREV_DT}' THEN 'run_id_mismatch'
             WHEN bucket = 'bucket-1' THEN 'missing_mode_count' ELSE '' END AS problems
 FROM (SELECT DISTINCT bucket, dt, substr(sha256(bucket || '/' || dt), 1, 16) AS run_id,
              bucket = 'bucket-2' AND dt = '{fx.PREV_DT}' AS corrupt FROM inv)"""))
@@ -719,8 +746,9 @@ def q_validate_run_records(spark, d):
     """S6 round trip: records written as JSON text, read PERMISSIVE with an
     explicit schema, checked rule by rule."""
     path = _scratch(spark, "records")
-    run_record_json(_inv(spark, d)).write.text(path)
-    v = SR.validate_run_records(SR.read_run_records(spark, path))
+    run_record_json(_inv(spark, d)).write.partitionBy("path_run_id").text(path)
+    v = SR.validate_run_records(SR.read_run_records(spark, path).withColumn(
+        "path_run_id", F.regexp_extract(F.col("_metadata.file_path"), "path_run_id=([^/]*)/", 1)).drop("_metadata"))
     return v.select("run_id", "dt", "valid", F.array_join("problems", ",").alias("problems"))
 
 

@@ -130,17 +130,32 @@ runs AS (SELECT DISTINCT bucket, dt, substr(sha256(bucket || '/' || dt), 1, 16)
 modes(mode) AS (VALUES ('COMPLIANCE'), ('GOVERNANCE')),
 passes(pass, b1_threshold, day_offset) AS (VALUES {pv}),
 cnt AS (SELECT bucket, dt, object_lock_mode AS mode, count(*) AS n FROM elig GROUP BY bucket, dt, object_lock_mode),
+file AS (
+  SELECT bucket, dt, object_lock_mode AS mode, count(*) AS n FROM elig
+  WHERE NOT (bucket = 'bucket-0' AND object_lock_mode = 'GOVERNANCE')
+    AND NOT (bucket = 'bucket-0' AND dt = '{PREV_DT}' AND object_lock_mode = 'COMPLIANCE' AND substr(md5(version_id), 1, 1) < '4')
+  GROUP BY bucket, dt, object_lock_mode),
+evid AS (
+  SELECT bucket, dt, mode, n, NOT (bucket = 'bucket-0' AND dt = '{CUR_DT}' AND mode = 'GOVERNANCE') AS there,
+         bucket = 'bucket-2' AND dt = '{PREV_DT}' AND mode = 'COMPLIANCE' AS foreign_key,
+         bucket = 'bucket-2' AND dt = '{PREV_DT}' AND mode = 'GOVERNANCE' AS failed
+  FROM cnt WHERE NOT (bucket = 'bucket-0' AND dt = '{PREV_DT}' AND mode = 'GOVERNANCE')),
 inp AS (
   SELECT p.pass, p.day_offset, r.run_id, r.bucket, r.dt, m.mode, coalesce(c.n, 0) AS trigger_count,
          'q-' || r.run_id || '-' || m.mode AS count_query_id,
          sha256(r.run_id || '/' || m.mode || '/count') AS count_hash,
-         coalesce(c.n, 0) AS verified_count, coalesce(c.n, 0) > 0 AS manifest_listed,
-         'manifests/combined/' || r.run_id || '/' || m.mode || '/manifest.csv' AS manifest_key,
-         true AS manifest_exists, CAST(NULL AS VARCHAR) AS submit_error,
+         coalesce(f.n, 0) AS file_count,
+         CASE WHEN NOT coalesce(e.there, false) THEN coalesce(c.n, 0) WHEN NOT e.failed THEN coalesce(f.n, 0) END AS verified_count,
+         e.bucket IS NOT NULL AS manifest_listed,
+         CASE WHEN e.foreign_key THEN 'manifests/combined/elsewhere/' || m.mode || '/manifest.csv'
+              WHEN e.bucket IS NOT NULL THEN 'manifests/combined/' || r.run_id || '/' || m.mode || '/manifest.csv' END AS manifest_key,
+         coalesce(e.there, false) AS manifest_exists, CAST(NULL AS VARCHAR) AS submit_error,
          r.bucket = 'bucket-2' AS report_only,
          CAST(CASE WHEN r.bucket = 'bucket-1' THEN p.b1_threshold ELSE 1000 END AS BIGINT) AS safety_threshold
   FROM runs r CROSS JOIN modes m CROSS JOIN passes p
-  LEFT JOIN cnt c ON c.bucket = r.bucket AND c.dt = r.dt AND c.mode = m.mode),
+  LEFT JOIN cnt c ON c.bucket = r.bucket AND c.dt = r.dt AND c.mode = m.mode
+  LEFT JOIN file f ON f.bucket = r.bucket AND f.dt = r.dt AND f.mode = m.mode
+  LEFT JOIN evid e ON e.bucket = r.bucket AND e.dt = r.dt AND e.mode = m.mode),
 lad AS (
   SELECT *,
     CASE WHEN count_query_id IS NULL OR count_query_id = '' OR count_hash IS NULL OR count_hash = ''
@@ -385,7 +400,7 @@ dl AS (
                   THEN list_concat(list_filter({fields}, lambda f: NOT contains(f, ' size;')), ['{EXTRA_FIELD}'])
                 ELSE {fields} END, ' ') || ' }}' AS fileSchema
   FROM (SELECT DISTINCT bucket, dt FROM inv)),
-p AS (SELECT *, list_distinct(regexp_extract_all(coalesce(fileSchema, ''), '\\b(required|optional|repeated)\\s+(\\w+)\\s+(\\w+)', 3)) AS cols FROM dl),
+p AS (SELECT *, list_distinct(regexp_extract_all(coalesce(fileSchema, ''), '\\b(?:required|optional|repeated)\\s+(\\w+)\\s+(\\w+)', 2)) AS cols FROM dl),
 s AS (SELECT *,
         list_sort(list_filter({req}, lambda x: NOT list_contains(cols, x))) AS mreq,
         list_sort(list_filter({opt}, lambda x: NOT list_contains(cols, x))) AS mopt,

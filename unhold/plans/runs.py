@@ -42,32 +42,40 @@ def fixture_config(inv: DataFrame, bucket1_threshold: int = 100) -> DataFrame:
     )
 
 
-def decision_inputs(inv: DataFrame, eligible_rows: DataFrame, config: DataFrame,
-                    manifests: DataFrame | None = None) -> DataFrame:
+def combined_key():
+    return F.concat(F.lit("manifests/combined/"), F.col("run_id"), F.lit("/"), F.col("mode"), F.lit("/manifest.csv"))
+
+
+def manifests_ready(manifests: DataFrame) -> DataFrame:
+    """The manifests-ready record of the manifests as written: one row per
+    (run, mode) that has one."""
+    return manifests.select("run_id", "mode").distinct().select(
+        "run_id", "mode", combined_key().alias("manifest_key"), F.lit(True).alias("manifest_exists"), F.lit(True).alias("recounted"))
+
+
+def decision_inputs(inv: DataFrame, eligible_rows: DataFrame, config: DataFrame, manifests: DataFrame,
+                    ready: DataFrame | None = None) -> DataFrame:
     """Rows for D1: trigger counts from A4, verified counts re-counted from
-    the manifest rows (J6), manifest key, per-bucket config."""
+    the manifests as written (J6), the manifests-ready record, per-bucket
+    config. Where a manifest is not listed or gone there is nothing to count
+    and its own rung reports it; a listed one whose re-count failed
+    (``recounted`` false) has a NULL verified count."""
     runs = run_ids(inv)
     counts = E.eligible_counts(inv, eligible_rows).withColumnRenamed("object_lock_mode", "mode")
     per_run = counts.join(runs, ["bucket", "dt"])
     expected = per_run.select("run_id", "bucket", "dt", "mode", F.col("eligible_count").alias("trigger_count"))
-    if manifests is not None:
-        # J6 against the manifests as written
-        rec = D.count_reconciliation(expected, manifests.select("run_id", "mode"))
-    else:
-        # no manifests written yet: the re-count is the count of the rows the
-        # manifest would hold, from the same aggregate (no second pass)
-        recount = per_run.where(F.col("eligible_count") > 0).select(
-            "run_id", "mode", F.col("eligible_count").alias("verified_count"))
-        rec = expected.join(recount, ["run_id", "mode"], "full_outer")
+    rec = (D.count_reconciliation(expected, manifests.select("run_id", "mode"))
+           .join(manifests_ready(manifests) if ready is None else ready, ["run_id", "mode"], "left"))
+    there = F.coalesce("manifest_exists", F.lit(False))  # false too where no row lists it
     return (rec.join(config, "bucket", "left").select(
         "run_id", "bucket", "dt", "mode", "trigger_count",
         F.concat(F.lit("q-"), F.col("run_id"), F.lit("-"), F.col("mode")).alias("count_query_id"),
         identity_token("run_id", "mode", F.lit("count")).alias("count_hash"),
-        # no manifest where rows are expected is a missing manifest (rung 6), not a count of zero
-        F.coalesce(F.col("verified_count"), F.col("trigger_count")).alias("verified_count"),
-        F.col("verified_count").isNotNull().alias("manifest_listed"),
-        F.concat(F.lit("manifests/combined/"), F.col("run_id"), F.lit("/"), F.col("mode"), F.lit("/manifest.csv")).alias("manifest_key"),
-        F.lit(True).alias("manifest_exists"),
+        F.when(~there, F.col("trigger_count")).when(F.col("recounted"), F.coalesce("verified_count", F.lit(0).cast("bigint")))
+         .alias("verified_count"),
+        F.col("manifest_exists").isNotNull().alias("manifest_listed"),
+        "manifest_key",
+        there.alias("manifest_exists"),
         F.lit(None).cast("string").alias("submit_error"),
         "report_only", "safety_threshold",
     ))

@@ -15,7 +15,6 @@ HOLD_ON = "ON"
 REASON_TIED_PEER = "tied_noncurrent_peer"
 REASON_AMBIGUOUS = "ambiguous_successor_classification"
 TERMINAL_STATUSES = ["Complete", "Cancelled", "Failed"]
-JOB_TAG_KEY = "job-created-by"
 REQUIRED_INVENTORY_COLUMNS = [
     "key", "version_id", "is_latest", "is_delete_marker",
     "last_modified_date", "object_lock_mode", "object_lock_event_hold_status",
@@ -29,20 +28,8 @@ OPTIONAL_INVENTORY_COLUMNS = [
 DT_RAW_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}-[0-9]{2}Z\z"
 RUN_ID_PATTERN = r"^[0-9A-Fa-f]{1,64}\z"
 # Field declarations inside a Parquet message schema: repetition, type, name
-# (the name is the third group here).
-PARQUET_FIELD_PATTERN = r"\b(required|optional|repeated)\s+(\w+)\s+(\w+)"
-# Decision ladder outcomes and withheld reasons, in ladder order.
-LADDER_REASONS = [
-    "missing_or_invalid_count_metadata",
-    "count_query_verification_failed",
-    "count_mismatch",
-    "safety_threshold_exceeded",
-    "positive_count_without_manifest",
-    "invalid_manifest_key",
-    "manifest_not_found",
-    "event_hold_unsupported_by_runtime",
-    "create_job_failed",
-]
+# (the name is group 2).
+PARQUET_FIELD_PATTERN = r"\b(?:required|optional|repeated)\s+(\w+)\s+(\w+)"
 # Retention of working artifacts by path prefix (days; None = never expires).
 RETENTION_RULES = [
     ("inventory/", 14),
@@ -69,6 +56,7 @@ TEXT_MODE_CREATED = "%s: released %s event hold%s (job %s)."
 TEXT_MODE_SUSPENDED = "%s: found %s eligible version%s, job %s created suspended for review (report-only) -- nothing released."
 TEXT_MODE_SKIPPED = "%s: no eligible versions this run."
 TEXT_MODE_OVER_THRESHOLD = "%s: WITHHELD -- %s eligible versions exceeds SafetyThreshold (%s); no job created, review and re-run to proceed."
+# our own wording: the re-count is of the manifest files, not of a query service
 TEXT_MODE_COUNT_MISMATCH = "%s: WITHHELD -- eligibility count mismatch (query %s vs manifest %s); no job created."
 TEXT_MODE_WITHHELD = "%s: WITHHELD -- %s."
 TEXT_JOBS_PENDING = "%s job%s pending"
@@ -138,17 +126,6 @@ QUERY_COMPLETE = T.StructType([
     T.StructField("_corrupt_record", T.StringType()),
 ])
 
-JOB = T.StructType([
-    T.StructField("job_id", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("succeeded", T.LongType()),
-    T.StructField("failed", T.LongType()),
-    T.StructField("total", T.LongType()),
-    T.StructField("failure_reason", T.StringType()),
-    T.StructField("tag_created_by", T.StringType()),
-    T.StructField("tag_run_id", T.StringType()),
-])
-
 JOB_EVENT = T.StructType([
     T.StructField("source", T.StringType()),
     T.StructField("detail-type", T.StringType()),
@@ -162,13 +139,3 @@ JOB_EVENT = T.StructType([
         ])),
     ])),
 ])
-
-REPORT = T.StructType([
-    T.StructField("run_id", T.StringType()),
-    T.StructField("mode", T.StringType()),
-    T.StructField("bucket", T.StringType()),
-    T.StructField("key", T.StringType()),
-    T.StructField("version_id", T.StringType()),
-    T.StructField("task_status", T.StringType()),
-    T.StructField("detail", T.StringType()),
-])

@@ -22,7 +22,7 @@ def schema_drift(deliveries: DataFrame) -> DataFrame:
     undeclared sets (sorted, comma-joined), plus ``ok``: Parquet, parseable,
     nothing required missing."""
     delivered = F.array_distinct(F.regexp_extract_all(F.coalesce("fileSchema", F.lit("")),
-                                                      F.lit(PARQUET_FIELD_PATTERN), 3))
+                                                      F.lit(PARQUET_FIELD_PATTERN), 2))
     req, opt = _arr(REQUIRED_INVENTORY_COLUMNS), _arr(OPTIONAL_INVENTORY_COLUMNS)
     d = deliveries.withColumn("_cols", delivered)
     missing_req = F.array_sort(F.array_except(req, F.col("_cols")))
@@ -82,17 +82,24 @@ def read_withheld_history(spark: SparkSession, path: str, dts: list[str]) -> Dat
 
 def validate_run_records(records: DataFrame) -> DataFrame:
     """Rule columns over query-complete records read PERMISSIVE; adds
-    ``problems`` (array of rule names) and ``valid``."""
+    ``problems`` (array of rule names) and ``valid``. Where the records carry
+    ``path_run_id`` (the run of the folder that delivered them), a record that
+    names another run is a ``run_id_mismatch``."""
     rc = F.col("row_counts")
     rules = [
         ("corrupt_record", F.col("_corrupt_record").isNotNull()),
         ("invalid_run_id", ~is_valid_run_id("run_id")),
         ("invalid_dt", ~is_valid_raw_dt("dt")),
         ("missing_target_bucket", F.col("target_bucket").isNull() | (F.col("target_bucket") == "")),
+        ("missing_inventory_id", F.col("inventory_id").isNull()),
+        ("missing_modes_succeeded", F.col("modes_succeeded").isNull()),
+        ("disallowed_mode", F.coalesce(F.exists("modes_succeeded", lambda m: m.isNull() | ~m.isin(LOCK_MODES)), F.lit(False))),
         ("missing_mode_count", F.coalesce(~F.forall(_arr(LOCK_MODES), lambda m: F.map_contains_key(rc, m)), F.lit(True))),
         ("negative_count", F.coalesce(F.exists(F.map_values(rc), lambda v: v.isNull() | (v < 0)), F.lit(False))),
         ("unknown_mode", F.coalesce(F.exists(F.map_keys(rc), lambda k: ~k.isin(LOCK_MODES)), F.lit(False))),
     ]
+    if "path_run_id" in records.columns:
+        rules.append(("run_id_mismatch", F.coalesce(F.col("run_id") != F.col("path_run_id"), F.lit(False))))
     problems = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]), lambda x: x.isNotNull())
     return records.withColumn("problems", problems).withColumn("valid", F.size("problems") == 0)
 
