@@ -44,6 +44,32 @@ def test_completion_stream_matches_batch(spark, tmp):
     assert alarm.count() > 0
 
 
+def test_decisions_to_completion(spark, tmp):
+    """Active jobs of a batch run and nested events end in one completion per run."""
+    from unhold.plans.catalog import nested_events
+    from unhold.plans.runs import run_snapshot
+    inv = fx.inventory(spark, SF).where(F.col("bucket") == "bucket-0")
+    cfg = spark.createDataFrame([("bucket-0", "delete", False, 1000)],
+                                "bucket string, release_mode string, report_only boolean, safety_threshold bigint")
+    for _ in range(2):  # a replay adds no job
+        paths = run_snapshot(spark, inv, cfg, f"{tmp}/batch")
+    active = spark.read.parquet(paths["active_jobs"])
+    n = active.count()
+    assert n > 0 and active.select("job_id").distinct().count() == n
+    jobs = active.select("job_id", F.lit("Complete").alias("status"), F.lit(3).cast("long").alias("succeeded"),
+                         F.lit(0).cast("long").alias("failed"), F.lit(3).cast("long").alias("total"),
+                         F.lit(None).cast("string").alias("failure_reason"), F.lit(fx.OUR_TAG).alias("tag_created_by"),
+                         F.col("run_id").alias("tag_run_id"))
+    events = active.select("job_id", F.lit("Complete").alias("event_status"), F.to_timestamp_ntz(F.lit("2024-02-02 00:00:00")).alias("event_time"))
+    nested_events(events).unionByName(spark.createDataFrame([("{broken",), ("{}",)], "value string")).write.text(f"{tmp}/events")
+    for q in SC.start(spark, f"{tmp}/events", jobs, lambda: J.active_records(active), lambda: active.select("run_id", "job_id"),
+                      f"{tmp}/out", fx.OUR_TAG, nested=True):
+        q.awaitTermination()
+    sent = spark.read.parquet(f"{tmp}/out/completion_sent")
+    assert {r.run_id for r in sent.collect()} == {r.run_id for r in active.collect()}
+    assert sent.agg(F.sum("released")).first()[0] == 3 * n
+
+
 def test_delivery_stream_runs_once_per_delivery(spark, tmp):
     inv = fx.inventory(spark, SF).where(F.col("bucket") == "bucket-0")
     data_root, man_root, out = f"{tmp}/data", f"{tmp}/manifests", f"{tmp}/out"

@@ -24,6 +24,21 @@ def report_totals(report: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"))
 
 
+def parse_job_events(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Nested job status events (JSON text) as flat rows: job_id, event_status,
+    event_time. A line that is no such event keeps its row with NULLs, which
+    routing reports as ``non_terminal_event``."""
+    e = F.from_json(F.col(col), X.JOB_EVENT)
+    details = e["detail"]["serviceEventDetails"]
+    return lines.select(details["jobId"].alias("job_id"), details["status"].alias("event_status"), e["time"].alias("event_time"))
+
+
+def active_records(active_jobs: DataFrame) -> DataFrame:
+    """The run records of completion (run_id, bucket, jobs_expected) from the
+    active-jobs table (run_id, bucket, mode, job_id)."""
+    return active_jobs.groupBy("run_id", "bucket").agg(F.count_distinct("job_id").alias("jobs_expected"))
+
+
 def terminal_events(events: DataFrame) -> DataFrame:
     """T-3: events whose status is terminal."""
     return events.where(F.col("job_id").isNotNull() & F.col("event_status").isin(TERMINAL_STATUSES))

@@ -149,6 +149,12 @@ def run_summary(decisions: DataFrame) -> DataFrame:
     )
 
 
+def active_jobs(decisions: DataFrame) -> DataFrame:
+    """The jobs that completion waits for: one row per ``created`` decision.
+    A suspended job waits for a review and is not one of them."""
+    return decisions.where(F.col("outcome") == "created").select("run_id", "bucket", "mode", "job_id")
+
+
 def latest_decision(history: DataFrame) -> DataFrame:
     """The latest decision row per (run, mode) by decision time."""
     w = Window.partitionBy("run_id", "mode").orderBy(F.col("decided_at").desc(), F.col("decision_id").desc())

@@ -262,6 +262,22 @@ def q_run_summary(spark, d):
     return D.run_summary(_decisions(spark, d))
 
 
+@register("active_jobs", O.with_ctes(O.INV, O.CLS, O.decision_ctes(), """
+jobs_made AS (SELECT run_id, bucket, mode, job_id FROM decisions WHERE outcome = 'created')""", body="""
+SELECT j.run_id, j.bucket, j.mode, j.job_id, n.jobs_expected
+FROM jobs_made j JOIN (SELECT run_id, count(*) AS jobs_expected FROM jobs_made GROUP BY run_id) n ON n.run_id = j.run_id"""))
+def q_active_jobs(spark, d):
+    """The active-jobs table that links decisions to completion, written twice
+    (a replay adds nothing) and read back with its run records."""
+    from ..operators import completion as J
+    from ..sources import sinks as K
+    path = _scratch(spark, "active_jobs")
+    for _ in range(2):
+        K.append_active_jobs(D.active_jobs(_decisions(spark, d)), path)
+    rows = spark.read.parquet(path)
+    return rows.join(J.active_records(rows), ["run_id", "bucket"]).select("run_id", "bucket", "mode", "job_id", "jobs_expected")
+
+
 @register("count_reconciliation", O.with_ctes(O.INV, O.CLS, O.decision_ctes(), body=(
     "SELECT run_id, mode, trigger_count, file_count AS verified_count, trigger_count = file_count AS count_matches FROM inp")))
 def q_count_reconciliation(spark, d):
@@ -300,6 +316,24 @@ def _routed(spark, d):
                           _ev(spark, d, "record_jobs"), fx.OUR_TAG)
 
 
+def nested_events(events: DataFrame) -> DataFrame:
+    """Job events as they are delivered: one nested JSON document a line."""
+    return events.select(F.to_json(F.struct(
+        F.lit("job-service").alias("source"), F.lit("Job status changed").alias("detail-type"),
+        F.col("event_time").alias("time"),
+        F.struct(F.lit("job-service").alias("eventSource"), F.lit("JobStatusChanged").alias("eventName"),
+                 F.struct(F.col("job_id").alias("jobId"), F.col("event_status").alias("status")).alias("serviceEventDetails"))
+         .alias("detail"))).alias("value"))
+
+
+@register("job_event_parsing", O.with_ctes(O.EVENTS, body="SELECT job_id, event_status, event_time FROM evs"))
+def q_job_event_parsing(spark, d):
+    """F12 round trip: nested events written as JSON text and parsed again."""
+    path = _scratch(spark, "job_events")
+    nested_events(_ev(spark, d, "job_events")).write.text(path)
+    return J.parse_job_events(spark.read.text(path))
+
+
 @register("terminal_events", O.with_ctes(O.EVENTS, body=(
     "SELECT job_id, event_status, event_time FROM evs WHERE job_id IS NOT NULL "
     "AND event_status IN ('Complete', 'Cancelled', 'Failed')")))

@@ -108,7 +108,8 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
 
     Writes under ``out_root``: classified/ (Parquet, the lineage cut),
     manifests/ (CSV per run/mode), withheld/ (CSV per bucket and raw dt), decisions/,
-    previous/ (dedup pointer, created modes only), runs/ (sentinel, last).
+    active_jobs/ (what completion waits for), previous/ (dedup pointer, created
+    modes only), runs/ (sentinel, last).
     """
     D.validate_config(config)
     if validate:
@@ -158,9 +159,10 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
         decisions = D.decide(inputs).withColumn("decided_at", F.current_timestamp().cast("timestamp_ntz"))
         K.append_decisions(decisions, f"{out_root}/decisions", attempt)
         dec = spark.read.parquet(f"{out_root}/decisions").where(F.col("attempt") == attempt)
+        K.append_active_jobs(D.active_jobs(dec), f"{out_root}/active_jobs")
         K.publish_previous_manifest(written, dec, f"{out_root}/previous")
     K.mark_complete(spark, f"{out_root}/runs", runs)
     return {"classified": f"{out_root}/classified", "manifests": f"{out_root}/manifests",
             "decisions": f"{out_root}/decisions", "withheld": f"{out_root}/withheld",
-            "records": f"{out_root}/records",
+            "records": f"{out_root}/records", "active_jobs": f"{out_root}/active_jobs",
             "previous": f"{out_root}/previous", "runs": f"{out_root}/runs"}

@@ -102,6 +102,14 @@ def mark_complete(spark: SparkSession, runs_path: str, run_rows: DataFrame) -> N
         .write.mode("append").parquet(runs_path)
 
 
+def append_active_jobs(active: DataFrame, path: str) -> None:
+    """Jobs that completion waits for, each once however often its decision is
+    replayed (a job id follows from its decision's token)."""
+    if table_exists(active.sparkSession, path):
+        active = active.join(active.sparkSession.read.parquet(path).select("job_id"), "job_id", "left_anti")
+    active.write.mode("append").parquet(path)
+
+
 def append_decisions(decisions: DataFrame, path: str, attempt: str) -> None:
     """K6: append-only decision history. Every decision has its own
     ``decision_id`` (of its token and the attempt that made it); a replay adds

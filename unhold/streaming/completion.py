@@ -52,9 +52,13 @@ def completion_batch(spark: SparkSession, batch: DataFrame, records: DataFrame,
 
 
 def start(spark: SparkSession, events_path: str, jobs: DataFrame, records: DataFrame, record_jobs: DataFrame,
-          out_root: str, our_tag: str, available_now: bool = True):
-    """Start both streaming queries; returns them (call ``awaitTermination``)."""
-    events = spark.readStream.schema(EVENT_SCHEMA).json(events_path)
+          out_root: str, our_tag: str, available_now: bool = True, nested: bool = False):
+    """Start both streaming queries; returns them (call ``awaitTermination``).
+    ``nested``: the files hold one nested job event a line, as delivered."""
+    if nested:
+        events = J.parse_job_events(spark.readStream.text(events_path))
+    else:
+        events = spark.readStream.schema(EVENT_SCHEMA).json(events_path)
     now = lambda t: t() if callable(t) else t  # noqa: E731 - read again for every batch
     trig = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
 

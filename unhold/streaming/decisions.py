@@ -60,6 +60,7 @@ def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, c
     attempt = uuid.uuid4().hex
     K.append_decisions(dec, path, attempt)
     new = spark.read.parquet(path).where(F.col("attempt") == attempt)
+    K.append_active_jobs(D.active_jobs(new), f"{out_root}/active_jobs")
     K.publish_previous_manifest(man, new, f"{out_root}/previous")
 
 
