@@ -5,9 +5,11 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import inventory_df
-from unhold.operators.classify import classify_versions, classify_versions_joined
+from unhold.operators.classify import classify_before_and_after, classify_versions, classify_versions_joined
+from unhold.operators.review import without_noncurrent_markers
 
 COLS = ["bucket", "dt", "key", "version_id", "superseder_kinds", "superseder_is_delete_marker",
         "has_tied_noncurrent_peer", "superseder_class", "next_lmd"]
@@ -41,3 +43,15 @@ def test_one_pass_equals_joined(spark, seed, segment):
     assert a.count() > 100
     assert a.exceptAll(b).count() == 0
     assert b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("seed,segment", [(4, 86_400), (5, 3_600), (6, 7 * 86_400)])
+def test_class_after_equals_a_second_classification(spark, seed, segment):
+    inv = inventory_df(spark, random_inventory(seed)).cache()
+    k = ["bucket", "dt", "key", "version_id"]
+    both = classify_before_and_after(inv, segment_seconds=segment).select(*k, "superseder_class", "class_after")
+    now = classify_versions_joined(inv).select(*k, "superseder_class")
+    after = classify_versions_joined(without_noncurrent_markers(inv)).select(*k, F.col("superseder_class").alias("class_after"))
+    want = now.join(after, k)
+    assert want.where("superseder_class != class_after").count() > 20
+    assert both.exceptAll(want).count() == 0 and want.exceptAll(both).count() == 0

@@ -82,7 +82,6 @@ def sample_keys(keys: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def sample_keys_pct(keys: DataFrame, pct: float, seed: int = 42) -> DataFrame:
-    """O3 percentage form: floor(total * pct / 100) keys."""
-    k = keys.select("bucket", "key").distinct()
-    total = k.count()
-    return sample_keys(k, int(total * pct // 100), seed)
+    """O3 percentage form: floor(distinct keys * pct / 100) keys in the same order."""
+    total = keys.select("bucket", "key").distinct().count()
+    return sample_keys(keys, int(total * pct // 100), seed)

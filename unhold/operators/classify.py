@@ -57,9 +57,20 @@ def _segment(seconds: int) -> Column:
     return F.coalesce(seg, F.lit(-1).cast("bigint"))
 
 
-def timestamp_groups(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
+def _first_rows(has_nc: Column, nc: tuple[Column, ...], every: tuple[Column, ...]) -> list[Column]:
+    """Counts (delete markers, data versions, all) of a group's possibly-first
+    rows: its noncurrent rows if any, otherwise every row (the current version
+    alone)."""
+    return [F.when(has_nc, a).otherwise(b).alias(n)
+            for a, b, n in zip(nc, every, ("first_dm", "first_data", "first_all"))]
+
+
+def timestamp_groups(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS, expired: bool = False) -> DataFrame:
     """A1 + A2: one row per (bucket, dt, key, timestamp) with the counts the
-    classification needs. Rows with a NULL timestamp are no one's superseder."""
+    classification needs. Rows with a NULL timestamp are no one's superseder.
+
+    With ``expired``, also ``rest``: the same counts of the group once its
+    noncurrent delete markers are gone, NULL when nothing else is in it."""
     nc = F.col("is_latest") == F.lit(False)
     dm = F.col("is_delete_marker") == F.lit(True)
     data = F.col("is_delete_marker") == F.lit(False)
@@ -73,22 +84,28 @@ def timestamp_groups(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) ->
               F.count_if(nc).alias("g_nc"),
               F.count_if(nc & dm).alias("nc_dm"),
               F.count_if(nc & data).alias("nc_data")))
-    has_nc = F.col("g_nc") > 0
+    c = F.col
+    has_nc = c("g_nc") > 0
+    more = []
+    if expired:
+        r_all, r_dm, r_nc = c("g_all") - c("nc_dm"), c("g_dm") - c("nc_dm"), c("g_nc") - c("nc_dm")
+        more = [F.when(r_all > 0, F.struct(
+            c(LMD).alias("lmd"), r_all.alias("g_all"), r_dm.alias("g_dm"), c("g_data").alias("g_data"),
+            *_first_rows(r_nc > 0, (F.lit(0).cast("bigint"), c("nc_data"), r_nc), (r_dm, c("g_data"), r_all)))).alias("rest")]
     return g.select(
         *KEY, "seg", LMD, "g_all", "g_dm", "g_data", "g_nc",
         (F.when(has_nc, 1).otherwise(0)).alias("has_nc"),
-        # possibly-first rows of the group: its noncurrent rows if any,
-        # otherwise every row (the current version alone)
-        F.when(has_nc, F.col("nc_dm")).otherwise(F.col("g_dm")).alias("first_dm"),
-        F.when(has_nc, F.col("nc_data")).otherwise(F.col("g_data")).alias("first_data"),
-        F.when(has_nc, F.col("g_nc")).otherwise(F.col("g_all")).alias("first_all"),
-    )
+        *_first_rows(has_nc, (c("nc_dm"), c("nc_data"), c("g_nc")), (c("g_dm"), c("g_data"), c("g_all"))),
+        *more)
 
 
-def timestamp_order(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
+def timestamp_order(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS, expired: bool = False) -> DataFrame:
     """Each group with the next greater timestamp of its key and that
-    group's possibly-first counts (NULL next for the key's last group)."""
-    g0 = timestamp_groups(inv, segment_seconds)
+    group's possibly-first counts (NULL next for the key's last group).
+
+    With ``expired``, also ``rest`` (see ``timestamp_groups``) and ``rest_next``:
+    the possibly-first counts of the next group that is not empty then."""
+    g0 = timestamp_groups(inv, segment_seconds, expired)
     nxt = F.struct(F.col(LMD).alias("lmd"), "first_dm", "first_data", "first_all")
     # both branches start from the same aggregate, so its shuffle is reused
     g = g0.withColumn("_n", F.lead(nxt).over(Window.partitionBy(*KEY, "seg").orderBy(LMD)))
@@ -96,13 +113,28 @@ def timestamp_order(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> D
     # group: one row per segment
     # (min / min_by on fixed-width columns keep this a hash aggregate; the
     # timestamp is unique within a segment, so min_by is deterministic)
-    seg_first = g0.groupBy(*KEY, "seg").agg(F.struct(
+    firsts = [F.struct(
         F.min(LMD).alias("lmd"),
         F.min_by("first_dm", LMD).alias("first_dm"),
         F.min_by("first_data", LMD).alias("first_data"),
-        F.min_by("first_all", LMD).alias("first_all")).alias("_f"))
+        F.min_by("first_all", LMD).alias("first_all")).alias("_f")]
     w_seg = Window.partitionBy(*KEY).orderBy("seg")
-    seg_next = seg_first.select(*KEY, "seg", F.lead("_f").over(w_seg).alias("_sn"))
+    nexts = [F.lead("_f").over(w_seg).alias("_sn")]
+    more = []
+    if expired:
+        # the same two steps over the groups that are not empty: a lead that
+        # passes over NULLs
+        keys = ", ".join(KEY)
+        g = g.withColumn("_rn", F.expr(f"lead(rest) IGNORE NULLS OVER (PARTITION BY {keys}, seg ORDER BY {LMD})"))
+        at = F.col("rest.lmd")
+        firsts.append(F.struct(F.min(at).alias("lmd"), *[
+            F.min_by(F.col(f"rest.{n}"), at).alias(n) for n in ("first_dm", "first_data", "first_all")]).alias("_rf"))
+        nexts.append(F.expr(f"lead(CASE WHEN _rf.lmd IS NOT NULL THEN _rf END) IGNORE NULLS "
+                            f"OVER (PARTITION BY {keys} ORDER BY seg)").alias("_rsn"))
+        r, rs = F.col("_rn"), F.col("_rsn")
+        more = ["rest", F.struct(*[F.when(r.isNotNull(), r[n]).otherwise(rs[n]).alias(n)
+                                   for n in ("lmd", "first_dm", "first_data", "first_all")]).alias("rest_next")]
+    seg_next = g0.groupBy(*KEY, "seg").agg(*firsts).select(*KEY, "seg", *nexts)
     g = g.join(seg_next, KEY + ["seg"], "left")
     n = F.coalesce(F.col("_n"), F.col("_sn"))
     return g.select(
@@ -112,7 +144,24 @@ def timestamp_order(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> D
         F.coalesce(n["first_dm"], F.lit(0)).alias("n_dm"),
         F.coalesce(n["first_data"], F.lit(0)).alias("n_data"),
         F.coalesce(n["first_all"], F.lit(0)).alias("n_all"),
-    )
+        *more)
+
+
+def _kinds(g_all: Column, g_dm: Column, g_data: Column, n_all: Column, n_dm: Column, n_data: Column):
+    """(some possible superseder, delete markers, data versions, kinds) of a
+    candidate: the peers at its timestamp minus itself, plus the next group's
+    possibly-first rows."""
+    a, b = g_dm + n_dm, (g_data - 1) + n_data
+    matched = g_all.isNotNull() & ((g_all - 1) + n_all > 0)
+    kinds = (F.when(a > 0, 1).otherwise(0) + F.when(b > 0, 1).otherwise(0)).cast("bigint")
+    return matched, a, b, kinds
+
+
+def _class(matched: Column, b: Column, kinds: Column) -> Column:
+    return (F.when(~matched | (kinds == 0), F.lit("unclassified"))
+            .when(kinds > 1, F.lit("withheld"))
+            .when(b > 0, F.lit("overwrite"))
+            .otherwise(F.lit("delete")))
 
 
 def classify_versions(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
@@ -128,13 +177,7 @@ def classify_versions(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) ->
                     "object_lock_retain_until_date", _segment(segment_seconds).alias("seg")))
     ts = timestamp_order(inv, segment_seconds)
     j = cand.join(ts, KEY + ["seg", LMD], "left")
-    # peers at the same timestamp minus the candidate itself, plus the next
-    # group's possibly-first rows
-    a = F.col("g_dm") + F.col("n_dm")
-    b = (F.col("g_data") - 1) + F.col("n_data")
-    n_poss = (F.col("g_all") - 1) + F.col("n_all")
-    matched = F.col("g_all").isNotNull() & (n_poss > 0)
-    kinds = (F.when(a > 0, 1).otherwise(0) + F.when(b > 0, 1).otherwise(0)).cast("bigint")
+    matched, a, b, kinds = _kinds(*[F.col(n) for n in ("g_all", "g_dm", "g_data", "n_all", "n_dm", "n_data")])
     tied_nc = F.col("g_nc") - 1 > 0
     return j.select(
         *KEY, "version_id", "object_lock_mode", LMD, "object_lock_retain_until_date",
@@ -142,16 +185,28 @@ def classify_versions(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) ->
         F.when(matched & (b > 0), F.lit(False)).when(matched & (a > 0), F.lit(True))
          .alias("superseder_is_delete_marker"),
         F.when(matched, F.when(tied_nc, 1).otherwise(0)).alias("has_tied_noncurrent_peer"),
-        F.when(~matched | (kinds == 0), F.lit("unclassified"))
-         .when(kinds > 1, F.lit("withheld"))
-         .when(b > 0, F.lit("overwrite"))
-         .otherwise(F.lit("delete")).alias("superseder_class"),
+        _class(matched, b, kinds).alias("superseder_class"),
         F.col("next_lmd"),
         F.coalesce(F.col("g_all") - 1 > 0, F.lit(False)).alias("has_tied_peer"),
         F.coalesce(tied_nc, F.lit(False)).alias("has_tied_noncurrent"),
     )
 
 
+def classify_before_and_after(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
+    """Each candidate's class now and once every noncurrent delete marker has
+    expired, in one pass over the same groups: the markers only take from the
+    group counts, and groups left empty are passed over by the second lead."""
+    cand = candidates(inv).select(*KEY, "version_id", "object_lock_mode", LMD, _segment(segment_seconds).alias("seg"))
+    j = cand.join(timestamp_order(inv, segment_seconds, expired=True), KEY + ["seg", LMD], "left")
+    now = _kinds(*[F.col(n) for n in ("g_all", "g_dm", "g_data", "n_all", "n_dm", "n_data")])
+    r, n = F.col("rest"), F.col("rest_next")
+    after = _kinds(r["g_all"], r["g_dm"], r["g_data"],
+                   *[F.coalesce(n[k], F.lit(0)) for k in ("first_all", "first_dm", "first_data")])
+    return j.select(*KEY, "version_id", "object_lock_mode",
+                    _class(now[0], now[2], now[3]).alias("superseder_class"),
+                    _class(after[0], after[2], after[3]).alias("class_after"))
+
+
 def superseder_counts(inv: DataFrame, segment_seconds: int = SEGMENT_SECONDS) -> DataFrame:
     """J1 + J2 + U1, aggregated: per candidate with at least one possible
     superseder, how many are delete markers, how many data versions, and how

@@ -1,7 +1,7 @@
 """Reviews a user runs before choosing a release mode.
 
-Each re-runs the classification on a filtered snapshot or joins it to a small
-scope table; none collects anything to the driver.
+Each reads one classification pass or joins rows to a small scope table; none
+collects rows to the driver.
 """
 
 from __future__ import annotations
@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .classify import KEY, classify_versions
-
+from .classify import KEY, classify_before_and_after
 
 
 def without_noncurrent_markers(inv: DataFrame) -> DataFrame:
@@ -18,31 +17,24 @@ def without_noncurrent_markers(inv: DataFrame) -> DataFrame:
     return inv.where(~(F.col("is_delete_marker").eqNullSafe(True) & F.col("is_latest").eqNullSafe(False)))
 
 
-def _reclassify_keys(inv: DataFrame, rows: DataFrame, stored: bool) -> DataFrame:
-    """Classification of the snapshot without noncurrent delete markers.
-
-    With a stored classification (``stored``), only the keys of ``rows`` need
-    the second pass (classification is per key): a semi join restricts the
-    snapshot to them. Without one, restricting would compute the first
-    classification twice, so the whole snapshot is reclassified instead."""
-    sub = without_noncurrent_markers(inv)
-    if stored:
-        sub = sub.join(rows.select(*KEY).distinct(), KEY, "left_semi")
-    return classify_versions(sub).select(*KEY, "version_id", F.col("superseder_class").alias("class_after"))
+def _both(inv: DataFrame, classified: DataFrame | None, now: str) -> DataFrame:
+    """Candidates of class ``now`` with their class once noncurrent delete
+    markers expire. With a stored classification, only the keys it gives that
+    class are read (classification is per key)."""
+    if classified is not None:
+        keys = classified.where(F.col("superseder_class") == now).select(*KEY).distinct()
+        inv = inv.join(keys, KEY, "left_semi")
+    return classify_before_and_after(inv).where(F.col("superseder_class") == now)
 
 
 def withheld_remedy(inv: DataFrame, classified: DataFrame | None = None) -> DataFrame:
-    """For each withheld candidate, ``self_heals`` when reclassifying the
-    snapshot without its noncurrent delete markers gives a unanimous class,
-    else ``stuck``. Pass the stored classification (``run_snapshot`` writes
-    it) to reclassify only the affected keys."""
-    before = classified if classified is not None else classify_versions(inv)
-    w = before.where(F.col("superseder_class") == "withheld").select(*KEY, "version_id", "object_lock_mode")
-    after = _reclassify_keys(inv, w, classified is not None)
-    return (w.join(after, KEY + ["version_id"], "left")
-            .select(*KEY, "version_id", "object_lock_mode", "class_after",
-                    F.when(F.col("class_after").isin("delete", "overwrite"), "self_heals")
-                     .otherwise("stuck").alias("remedy")))
+    """For each withheld candidate, ``self_heals`` when the snapshot without
+    its noncurrent delete markers gives a unanimous class, else ``stuck``. Pass
+    the stored classification (``run_snapshot`` writes it) to read only the
+    affected keys."""
+    return _both(inv, classified, "withheld").select(
+        *KEY, "version_id", "object_lock_mode", "class_after",
+        F.when(F.col("class_after").isin("delete", "overwrite"), "self_heals").otherwise("stuck").alias("remedy"))
 
 
 def write_once_anomalies(classified: DataFrame, prefixes: list[str]) -> DataFrame:
@@ -59,12 +51,7 @@ def write_once_anomalies(classified: DataFrame, prefixes: list[str]) -> DataFram
 def reclassification_hazard(inv: DataFrame, classified: DataFrame | None = None) -> DataFrame:
     """Candidates delete-superseded now that become overwrite-superseded
     once noncurrent delete markers expire first."""
-    before = classified if classified is not None else classify_versions(inv)
-    dels = before.where(F.col("superseder_class") == "delete")
-    after = _reclassify_keys(inv, dels, classified is not None)
-    return (dels
-            .join(after, KEY + ["version_id"])
-            .where(F.col("class_after") == "overwrite")
+    return (_both(inv, classified, "delete").where(F.col("class_after") == "overwrite")
             .select(*KEY, "version_id", "object_lock_mode", F.col("superseder_class").alias("class_before"),
                     "class_after"))
 
@@ -98,7 +85,7 @@ def prefix_shards(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     The distinct prefix lengths (at most the key length limit, a few values in
     practice) are gathered; each row's key is cut at those lengths and joined
     on (bucket, prefix). With non-overlapping scopes a row matches at most one
-    shard. The scope table is broadcast only behind a checked row bound."""
+    shard."""
     lengths = _lengths(scopes)
     if not lengths:
         return rows.withColumn("shard", F.lit(None).cast("string")).limit(0)

@@ -116,12 +116,13 @@ def evidence_age(runs: DataFrame, max_days: int) -> DataFrame:
 
 def audit_trail(manifest: DataFrame, report: DataFrame, decisions: DataFrame) -> DataFrame:
     """V6: every manifest row with its report row, rows missing on either
-    side kept (full outer), plus whether the run has a decision record."""
+    side kept (full outer), plus whether the run has a decision record (a run
+    with a decision per lock mode counts once)."""
     k = ["run_id", "mode", "bucket", "key", "version_id"]
     m = manifest.select(*k, F.lit(True).alias("_in_manifest"))
     r = report.select(*k, "task_status")
     j = m.join(r, k, "full_outer")
-    j = j.join(decisions.select("run_id", F.lit(True).alias("_decided")), "run_id", "left")
+    j = j.join(decisions.select("run_id").distinct().withColumn("_decided", F.lit(True)), "run_id", "left")
     status = (F.when(F.col("_in_manifest").isNull(), "unexpected_report_row")
               .when(F.col("task_status").isNull(), "not_reported")
               .when(F.col("task_status") == "Succeeded", "released")

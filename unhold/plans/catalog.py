@@ -199,15 +199,50 @@ def q_manifest_rows(spark, d):
     return E.manifest_rows(eligible_dedup(_inv(spark, d), "delete", d))
 
 
-@register("partition_invariant", O.with_ctes(O.INV, O.CLS, body=(
-    "SELECT bucket, dt, key, version_id, 'missing' AS violation FROM ("
-    " SELECT bucket, dt, key, version_id FROM cand WHERE object_lock_mode IN ('COMPLIANCE', 'GOVERNANCE')"
-    " EXCEPT ALL SELECT bucket, dt, key, version_id FROM classified WHERE object_lock_mode IN ('COMPLIANCE', 'GOVERNANCE')"
-    "   AND superseder_class IN ('delete', 'overwrite', 'withheld', 'unclassified'))")))
+@register("partition_invariant", O.with_ctes(O.INV, O.CLS, body=O.violations_sql("classified")))
 def q_partition_invariant(spark, d):
     return E.partition_check(_inv(spark, d))
 
 
+@register("partition_violations", O.with_ctes(O.INV, O.CLS, """
+h AS (SELECT *, substr(md5(version_id), 1, 1) AS c FROM classified),
+damaged AS (SELECT * FROM h WHERE c <> '0' AND c <> '2'
+            UNION ALL SELECT * FROM h WHERE c = '1'
+            UNION ALL SELECT * REPLACE ('elsewhere' AS bucket) FROM h WHERE c = '2')""", body=O.violations_sql("damaged")))
+def q_partition_violations(spark, d):
+    """U3 over a damaged classification: some rows are gone, some come twice,
+    some are of no candidate."""
+    inv = _inv(spark, d)
+    cls = C.classify_versions(inv)
+    c = F.substring(F.md5("version_id"), 1, 1)
+    bucket = F.when(c == "2", "elsewhere").otherwise(F.col("bucket"))
+    times = F.when(c == "0", 0).when(c == "1", 2).otherwise(1)
+    damaged = cls.withColumn("_t", F.explode(F.array_repeat(F.lit(1), times))).drop("_t").withColumn("bucket", bucket)
+    return E.partition_check(inv, damaged)
+
+
+# --- an inventory with gaps: current versions not listed, unknown flags ------
+
+def gaps(inv: DataFrame) -> DataFrame:
+    """The inventory as a faulty listing gives it: a quarter of the keys has no
+    current version, some rows have an unknown current or marker flag."""
+    v, k = F.substring(F.md5("version_id"), 1, 1), F.substring(F.md5("key"), 1, 1)
+    return (inv.where(~(F.col("is_latest") & (k < "4")))
+            .withColumn("is_latest", F.when(v != "1", F.col("is_latest")))
+            .withColumn("is_delete_marker", F.when(v != "0", F.col("is_delete_marker"))))
+
+
+@register("classify_gaps", O.with_ctes(O.INV, O.GAPS, O.cls_on("gaps", "g"), body=f"SELECT {', '.join(CLS_COLS)} FROM classified_g"))
+def q_classify_gaps(spark, d):
+    return C.classify_versions(gaps(_inv(spark, d))).select(*CLS_COLS)
+
+
+@register("unclassified_gaps", O.with_ctes(O.INV, O.GAPS, O.cls_on("gaps", "g"), body=(
+    f"SELECT {WH} FROM classified_g WHERE superseder_class = 'unclassified'")))
+def q_unclassified_gaps(spark, d):
+    return E.unclassified(gaps(_inv(spark, d)))
+
+
 # --- decisions (D1 to D3, A7, J6) --------------------------------------------
 
 from ..operators import decide as D  # noqa: E402
@@ -498,6 +533,30 @@ def q_audit_trail(spark, d):
     return V.audit_trail(manifest, _reported(spark, d), _ev(spark, d, "run_records"))
 
 
+@register("audit_trail_decided", O.with_ctes(O.INV, O.CLS, O.decision_ctes(), f"""
+h AS (SELECT r.run_id, e.object_lock_mode AS mode, e.bucket, e.dt, {O.enc('e.key')} AS key, e.version_id, substr(md5(e.version_id), 1, 1) AS c
+      FROM elig e JOIN runs r ON r.bucket = e.bucket AND r.dt = e.dt),
+m AS (SELECT * FROM h WHERE NOT (bucket = 'bucket-0' AND mode = 'GOVERNANCE')
+        AND NOT (bucket = 'bucket-0' AND dt = '{fx.PREV_DT}' AND mode = 'COMPLIANCE' AND c < '4')),
+r AS (SELECT *, CASE WHEN c < 'd' THEN 'Succeeded' ELSE 'PermanentFailure' END AS task_status FROM h WHERE c <> '5')""", body="""
+SELECT coalesce(m.run_id, r.run_id) AS run_id, coalesce(m.mode, r.mode) AS mode, coalesce(m.bucket, r.bucket) AS bucket,
+       coalesce(m.key, r.key) AS key, coalesce(m.version_id, r.version_id) AS version_id, r.task_status,
+       CASE WHEN m.key IS NULL THEN 'unexpected_report_row' WHEN r.task_status IS NULL THEN 'not_reported'
+            WHEN r.task_status = 'Succeeded' THEN 'released' ELSE 'failed' END AS audit_status,
+       coalesce(m.run_id, r.run_id) IN (SELECT run_id FROM decisions WHERE outcome = 'created') AS decision_present
+FROM m FULL OUTER JOIN r
+  ON r.run_id = m.run_id AND r.mode = m.mode AND r.bucket = m.bucket AND r.key = m.key AND r.version_id = m.version_id"""))
+def q_audit_trail_decided(spark, d):
+    """V6 over the manifests as written (some damaged) and the ladder's own
+    decisions; the report covers what was eligible, less some rows that were
+    never reported."""
+    inv = _inv(spark, d)
+    c = F.substring(F.md5("version_id"), 1, 1)
+    report = (E.manifest_rows(E.eligible(inv, "delete")).join(R.run_ids(inv), ["bucket", "dt"]).where(c != "5")
+              .withColumn("task_status", F.when(c < "d", "Succeeded").otherwise("PermanentFailure")))
+    return V.audit_trail(manifest_evidence(inv, d)[0], report, _decisions(spark, d).where(F.col("outcome") == "created"))
+
+
 # --- reviews (C7 to C9, P5) ---------------------------------------------------
 
 from ..operators import review as RV  # noqa: E402
@@ -522,6 +581,23 @@ def q_reclassification_hazard(spark, d):
     return RV.reclassification_hazard(_inv(spark, d))
 
 
+@register("withheld_remedy_gaps", O.with_ctes(O.INV, O.GAPS, O.cls_on("gaps", "g"), O.cls_on("gaps_nodm", "h"), body="""
+SELECT c.bucket, c.dt, c.key, c.version_id, c.object_lock_mode, b.superseder_class AS class_after,
+       CASE WHEN b.superseder_class IN ('delete', 'overwrite') THEN 'self_heals' ELSE 'stuck' END AS remedy
+FROM classified_g c LEFT JOIN classified_h b ON b.bucket = c.bucket AND b.dt = c.dt AND b.key = c.key AND b.version_id = c.version_id
+WHERE c.superseder_class = 'withheld'"""))
+def q_withheld_remedy_gaps(spark, d):
+    return RV.withheld_remedy(gaps(_inv(spark, d)))
+
+
+@register("reclassification_hazard_gaps", O.with_ctes(O.INV, O.GAPS, O.cls_on("gaps", "g"), O.cls_on("gaps_nodm", "h"), body="""
+SELECT c.bucket, c.dt, c.key, c.version_id, c.object_lock_mode, c.superseder_class AS class_before, b.superseder_class AS class_after
+FROM classified_g c JOIN classified_h b ON b.bucket = c.bucket AND b.dt = c.dt AND b.key = c.key AND b.version_id = c.version_id
+WHERE c.superseder_class = 'delete' AND b.superseder_class = 'overwrite'"""))
+def q_reclassification_hazard_gaps(spark, d):
+    return RV.reclassification_hazard(gaps(_inv(spark, d)))
+
+
 @register("write_once_anomalies", O.with_ctes(O.INV, O.CLS, body=(
     "SELECT bucket, dt, key, version_id, object_lock_mode, last_modified_date, next_lmd FROM classified "
     "WHERE superseder_class = 'overwrite' AND (" + " OR ".join(f"starts_with(key, '{p}')" for p in O.WRITE_ONCE_PREFIXES) + ")")))
@@ -632,6 +708,14 @@ def q_sample_keys(spark, d):
     return AR.sample_keys(fx.snapshot(_inv(spark, d), fx.CUR_DT), 25, seed=42)
 
 
+@register("sample_keys_pct", O.with_ctes(O.INV, f"""
+ks AS (SELECT DISTINCT bucket, key FROM inv WHERE dt = '{fx.CUR_DT}'),
+nth AS (SELECT bucket, key, row_number() OVER (ORDER BY md5(bucket || '/' || key || '/42'), bucket, key) AS n, count(*) OVER () AS total FROM ks)""", body="""
+SELECT bucket, key FROM nth WHERE n <= floor(total * 12.5 / 100)"""))
+def q_sample_keys_pct(spark, d):
+    return AR.sample_keys_pct(fx.snapshot(_inv(spark, d), fx.CUR_DT), 12.5, seed=42)
+
+
 # --- sources and sinks: schema drift, records, round trips
 
 import uuid  # noqa: E402

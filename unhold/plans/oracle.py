@@ -368,6 +368,29 @@ def cls_on(src: str, name: str) -> str:
     return re.sub(r"\binv\b", src, body)
 
 
+# The inventory with gaps: a quarter of the keys has no current version listed
+# and some flags are unknown (see catalog.gaps).
+GAPS = """
+gaps AS (
+  SELECT bucket, dt, key, version_id,
+         CASE WHEN substr(md5(version_id), 1, 1) = '1' THEN NULL ELSE is_latest END AS is_latest,
+         CASE WHEN substr(md5(version_id), 1, 1) = '0' THEN NULL ELSE is_delete_marker END AS is_delete_marker,
+         last_modified_date, object_lock_retain_until_date, object_lock_mode, object_lock_event_hold_status
+  FROM inv WHERE NOT (is_latest AND substr(md5(key), 1, 1) < '4')),
+gaps_nodm AS (SELECT * FROM gaps WHERE is_delete_marker IS DISTINCT FROM true OR is_latest IS DISTINCT FROM false)"""
+
+
+def violations_sql(parts: str, cand: str = "cand") -> str:
+    """U3 both ways: candidates missing from the parts, and rows of the parts
+    that are no candidate or come twice."""
+    k = "bucket, dt, key, version_id"
+    c = f"SELECT {k} FROM {cand} WHERE object_lock_mode IN ('COMPLIANCE', 'GOVERNANCE')"
+    p = (f"SELECT {k} FROM {parts} WHERE object_lock_mode IN ('COMPLIANCE', 'GOVERNANCE') "
+         "AND superseder_class IN ('delete', 'overwrite', 'withheld', 'unclassified')")
+    return (f"SELECT {k}, 'missing' AS violation FROM ({c} EXCEPT ALL {p})\nUNION ALL\n"
+            f"SELECT {k}, 'extra_or_overlap' AS violation FROM ({p} EXCEPT ALL {c})")
+
+
 # Parquet message-schema fields of a full delivery, in delivery order.
 DELIVERY_FIELDS = [
     "required binary bucket (STRING);",
