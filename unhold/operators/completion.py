@@ -117,6 +117,38 @@ def run_outcome(accepted: DataFrame, records: DataFrame) -> DataFrame:
          .alias("outcome"))
 
 
+def completion_recap(accepted: DataFrame, records: DataFrame, record_jobs: DataFrame,
+                     decisions: DataFrame | None = None) -> DataFrame:
+    """O2 at completion: the recap of every run whose jobs are all terminal.
+
+    ``accepted`` are first-terminal jobs, ``records`` (run_id, bucket, dt,
+    jobs_expected), ``record_jobs`` (run_id, job_id, mode). With ``decisions``
+    its modes that made no active job follow: suspended, skipped, withheld.
+    A group holds one run's jobs and decisions, a few rows."""
+    from .decide import mode_line
+    done, failed, total = F.col("succeeded"), F.col("failed"), F.col("total")
+    line = (F.when((F.col("job_status") == "Complete") & (failed == 0),
+                   fmt(X.TEXT_RECAP_RELEASED, "mode", done, total, plural_s(total), "job_id"))
+            .when(F.col("job_status") == "Complete",
+                  fmt(X.TEXT_RECAP_FAILURES, "mode", done, total, failed, "run_id", "mode", "job_id"))
+            .otherwise(fmt(X.TEXT_RECAP_ENDED, "mode", "job_id", "job_status",
+                           F.coalesce("failure_reason", F.lit(X.TEXT_RECAP_NO_REASON)))))
+    lines = (accepted.select("run_id", "job_id", "job_status", "succeeded", "failed", "total", "failure_reason")
+             .join(record_jobs.select("run_id", "job_id", "mode"), ["run_id", "job_id"])
+             .select("run_id", F.lit(0).alias("_ord"), "mode", "job_id", line.alias("line")))
+    if decisions is not None:
+        order = F.when(F.col("outcome") == "suspended", 1).when(F.col("outcome") == "skipped", 2).otherwise(3)
+        lines = lines.unionByName(decisions.where(F.col("outcome") != "created").select(
+            "run_id", order.alias("_ord"), "mode", F.col("job_id"), mode_line().alias("line")))
+    g = lines.groupBy("run_id").agg(
+        F.count_if(F.col("_ord") == 0).alias("jobs_terminal"),
+        F.array_sort(F.collect_list(F.struct("_ord", "mode", "job_id", "line"))).alias("_lines"))
+    text = F.concat_ws(" ", fmt(X.TEXT_RECAP_HEADER, "run_id", "bucket", "dt"), F.transform("_lines", lambda s: s["line"]))
+    return (records.select("run_id", "bucket", "dt", "jobs_expected").join(g, "run_id")
+            .where((F.col("jobs_terminal") > 0) & (F.col("jobs_terminal") >= F.col("jobs_expected")))
+            .select("run_id", "bucket", "dt", "jobs_terminal", text.alias("recap")))
+
+
 def missing_record_alarm(routed: DataFrame, period: str = "5 minutes") -> DataFrame:
     """T-8: per period, the number of events without a run record; only
     periods with a breach produce a row (an empty period is not breaching)."""

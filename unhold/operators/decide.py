@@ -85,14 +85,15 @@ def decide(inputs: DataFrame) -> DataFrame:
         "run_id", "bucket", "dt", "mode", "outcome", "reason",
         F.when(F.col("reason").isNull() | recorded, F.col("verified_count")).alias("verified_count"),
         F.col("verified_count").alias("query_count"),
-        "trigger_count", "safety_threshold", "report_only", "manifest_key",
+        "trigger_count", "safety_threshold", "report_only", "manifest_key", "submit_error",
         token.alias("decision_token"),
         F.when(F.col("outcome").isin("created", "suspended"),
                F.concat(F.lit("job-"), F.substring(token, 1, 12))).alias("job_id"),
     )
 
 
-def _line() -> Column:
+def mode_line() -> Column:
+    """O2: the sentence of one (run, mode) decision."""
     m, n = F.col("mode"), F.coalesce(F.col("verified_count"), F.lit(0))
     reason = F.col("reason")
     none = F.lit("None")
@@ -103,8 +104,10 @@ def _line() -> Column:
         .when(reason == "safety_threshold_exceeded",
               fmt(X.TEXT_MODE_OVER_THRESHOLD, m, "verified_count", "safety_threshold"))
         .when(reason == "count_mismatch",
-              fmt(X.TEXT_MODE_COUNT_MISMATCH, m, F.coalesce(F.col("verified_count_raw").cast("string"), none),
+              fmt(X.TEXT_MODE_COUNT_MISMATCH, m, F.coalesce(F.col("query_count").cast("string"), none),
                   F.coalesce(F.col("trigger_count").cast("string"), none)))
+        .when(reason == "event_hold_unsupported_by_runtime", fmt(X.TEXT_MODE_UNSUPPORTED, m))
+        .when(reason == "create_job_failed", fmt(X.TEXT_MODE_CREATE_FAILED, m, "submit_error"))
         .otherwise(fmt(X.TEXT_MODE_WITHHELD, m, F.coalesce(reason, F.lit("unknown"))))
     )
 
@@ -114,8 +117,7 @@ def run_summary(decisions: DataFrame) -> DataFrame:
     of a run, so the per-run arrays are bounded."""
     order = (F.when(F.col("outcome") == "created", 0).when(F.col("outcome") == "suspended", 1)
              .when(F.col("outcome") == "skipped", 2).otherwise(3))
-    d = decisions.withColumn("verified_count_raw", F.col("query_count")).withColumn("_ord", order) \
-        .withColumn("_line", _line())
+    d = decisions.withColumn("_ord", order).withColumn("_line", mode_line())
     counted = F.col("outcome").isin("suspended", "withheld")
     g = d.groupBy("run_id", "bucket", "dt").agg(
         F.max(F.col("report_only").cast("int")).cast("boolean").alias("report_only"),

@@ -402,6 +402,25 @@ def q_run_outcome(spark, d):
     return J.run_outcome(acc, _ev(spark, d, "run_records"))
 
 
+@register("completion_recap", O.with_ctes(O.EVENTS, """
+j AS (SELECT f.run_id, rj.mode, f.job_id, CASE
+        WHEN f.job_status = 'Complete' AND f.failed = 0 THEN rj.mode || ': released ' || f.succeeded || ' of ' || f.total || ' event hold'
+             || CASE WHEN f.total <> 1 THEN 's' ELSE '' END || ' (job ' || f.job_id || ').'
+        WHEN f.job_status = 'Complete' THEN rj.mode || ': released ' || f.succeeded || ' of ' || f.total || ' event holds, ' || f.failed
+             || ' failed -- see reports/' || f.run_id || '/' || rj.mode || '/ for details (job ' || f.job_id || ').'
+        ELSE rj.mode || ': job ' || f.job_id || ' ended ' || f.job_status || ' -- ' || coalesce(f.failure_reason, 'see job details') || '.' END AS line
+      FROM firsts f JOIN recjobs rj ON rj.run_id = f.run_id AND rj.job_id = f.job_id WHERE f.first_route = 'accepted'),
+n AS (SELECT run_id, count(*) AS jobs_terminal, string_agg(line, ' ' ORDER BY mode, job_id) AS lines FROM j GROUP BY run_id),
+o AS (SELECT r.run_id, r.bucket, strftime(r.snapshot_ts, '%Y-%m-%dT%H-%MZ') AS dt, n.jobs_terminal, n.lines
+      FROM recs r JOIN n ON n.run_id = r.run_id WHERE n.jobs_terminal >= r.jobs_expected)""", body="""
+SELECT run_id, bucket, dt, jobs_terminal,
+       'Run ' || run_id || ' against ' || bucket || ' (inventory ' || dt || ') -- active mode, all jobs finished. ' || lines AS recap FROM o"""))
+def q_completion_recap(spark, d):
+    acc = J.first_terminal(_routed(spark, d)).where(F.col("route") == "accepted")
+    records = _ev(spark, d, "run_records").withColumn("dt", F.date_format("snapshot_ts", "yyyy-MM-dd'T'HH-mm'Z'"))
+    return J.completion_recap(acc, records, _ev(spark, d, "record_jobs"))
+
+
 @register("report_totals", O.with_ctes(O.EVENTS, body="SELECT job_id, succeeded, failed, total FROM rt"))
 def q_report_totals(spark, d):
     return J.report_totals(_ev(spark, d, "report_rows"))

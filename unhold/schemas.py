@@ -56,8 +56,10 @@ TEXT_MODE_CREATED = "%s: released %s event hold%s (job %s)."
 TEXT_MODE_SUSPENDED = "%s: found %s eligible version%s, job %s created suspended for review (report-only) -- nothing released."
 TEXT_MODE_SKIPPED = "%s: no eligible versions this run."
 TEXT_MODE_OVER_THRESHOLD = "%s: WITHHELD -- %s eligible versions exceeds SafetyThreshold (%s); no job created, review and re-run to proceed."
-# our own wording: the re-count is of the manifest files, not of a query service
+# our own wording of these three: the re-count is of the manifest files, not of a query service
 TEXT_MODE_COUNT_MISMATCH = "%s: WITHHELD -- eligibility count mismatch (query %s vs manifest %s); no job created."
+TEXT_MODE_CREATE_FAILED = "%s: WITHHELD -- job creation failed (%s)."
+TEXT_MODE_UNSUPPORTED = "%s: WITHHELD -- the job service does not accept the event hold parameter, so no job was created; these versions stay eligible."
 TEXT_MODE_WITHHELD = "%s: WITHHELD -- %s."
 TEXT_JOBS_PENDING = "%s job%s pending"
 TEXT_JOBS_WITHHELD_FIRST = "%s job%s withheld"
@@ -70,6 +72,11 @@ TEXT_RELEASED_WITH_FAILURES = "%s of %s version%s released, %s failed"
 TEXT_RELEASED = "%s version%s released"
 TEXT_JOBS_NOT_COMPLETE = "%s job%s did not complete"
 TEXT_NOTHING_RELEASED = "finished, nothing released"
+TEXT_RECAP_HEADER = "Run %s against %s (inventory %s) -- active mode, all jobs finished."
+TEXT_RECAP_RELEASED = "%s: released %s of %s event hold%s (job %s)."
+TEXT_RECAP_FAILURES = "%s: released %s of %s event holds, %s failed -- see reports/%s/%s/ for details (job %s)."
+TEXT_RECAP_ENDED = "%s: job %s ended %s -- %s."
+TEXT_RECAP_NO_REASON = "see job details"
 # ---------------------------------------------------------------------------
 
 INVENTORY = T.StructType([
