@@ -100,7 +100,7 @@ def test_decision_stream_matches_inline_and_replays_to_nothing(spark, tmp):
     cfg = fixture_config(inv)
     out = run_snapshot(spark, inv, cfg, f"{tmp}/batch", decide_inline=False)
     dout = f"{tmp}/dec"
-    SDec.start(spark, out["records"], out["manifests"], cfg, dout).awaitTermination()
+    SDec.start(spark, out["records"], out["manifests"], cfg, dout, ready_path=out["ready"]).awaitTermination()
     got = spark.read.parquet(f"{dout}/decisions")
     inline = spark.read.parquet(run_snapshot(spark, inv, cfg, f"{tmp}/inline")["decisions"])
     cols = ["decision_token", "run_id", "mode", "outcome", "verified_count"]
@@ -108,8 +108,32 @@ def test_decision_stream_matches_inline_and_replays_to_nothing(spark, tmp):
     assert got.select(*cols).exceptAll(inline.select(*cols)).count() == 0
     # the batch job replays (records written again): nothing new is decided
     run_snapshot(spark, inv, cfg, f"{tmp}/batch", decide_inline=False)
-    SDec.start(spark, out["records"], out["manifests"], cfg, dout).awaitTermination()
+    SDec.start(spark, out["records"], out["manifests"], cfg, dout, ready_path=out["ready"]).awaitTermination()
     assert spark.read.parquet(f"{dout}/decisions").count() == 12
     from unhold.sources.records import read_previous_manifest
     created = got.where(F.col("outcome") == "created").select("bucket", "mode").distinct().count()
     assert read_previous_manifest(spark, f"{dout}/previous").select("bucket", "mode").distinct().count() == created
+
+
+def test_decisions_trust_listed_manifests_only(spark, tmp):
+    """Of one run's two manifests, one is not listed and the other listed under
+    a foreign key; of another run, both are listed but one is gone."""
+    from unhold.plans.runs import run_snapshot
+    from unhold.schemas import QUERY_COMPLETE
+    from unhold.streaming.decisions import decision_batch
+    inv = fx.inventory(spark, SF).where(F.col("bucket") == "bucket-0")
+    cfg = spark.createDataFrame([("bucket-0", "delete", False, 100000)],
+                                "bucket string, release_mode string, report_only boolean, safety_threshold bigint")
+    out = run_snapshot(spark, inv, cfg, f"{tmp}/batch", decide_inline=False)
+    ready = spark.read.schema("mode string, manifest_key string, run_id string").parquet(out["ready"])
+    first, second = sorted({r.run_id for r in ready.collect()})
+    damaged = ready.where(~((F.col("run_id") == first) & (F.col("mode") == "GOVERNANCE"))).withColumn(
+        "manifest_key", F.when(F.col("run_id") == first, "manifests/combined/elsewhere/manifest.csv").otherwise(F.col("manifest_key")))
+    damaged.write.partitionBy("run_id").parquet(f"{tmp}/ready")
+    man = spark.read.schema("bucket string, key string, version_id string, run_id string, mode string").csv(out["manifests"])
+    (man.where(~((F.col("run_id") == second) & (F.col("mode") == "COMPLIANCE"))).write.partitionBy("run_id", "mode").csv(f"{tmp}/manifests"))
+    recs = spark.read.schema(QUERY_COMPLETE).json(out["records"])
+    decision_batch(spark, recs, f"{tmp}/manifests", cfg, f"{tmp}/dec", f"{tmp}/ready")
+    got = {(r.run_id, r.mode): r.reason or r.outcome for r in spark.read.parquet(f"{tmp}/dec/decisions").collect()}
+    assert got == {(first, "GOVERNANCE"): "positive_count_without_manifest", (first, "COMPLIANCE"): "invalid_manifest_key",
+                   (second, "COMPLIANCE"): "manifest_not_found", (second, "GOVERNANCE"): "created"}

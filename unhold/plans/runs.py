@@ -107,7 +107,7 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
     """The batch job of one cadence over every bucket/snapshot in ``inv``.
 
     Writes under ``out_root``: classified/ (Parquet, the lineage cut),
-    manifests/ (CSV per run/mode), withheld/ (CSV per bucket and raw dt), decisions/,
+    manifests/ (CSV per run/mode), ready/ (which manifests are finished), withheld/ (CSV per bucket and raw dt), decisions/,
     active_jobs/ (what completion waits for), previous/ (dedup pointer, created
     modes only), runs/ (sentinel, last).
     """
@@ -121,6 +121,7 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
     own = [(r.bucket, r.dt, r.run_id) for r in runs.collect()]
     clear_folders(spark, f"{out_root}/classified", [f"bucket={b}/dt={d}" for b, d, _ in own])
     clear_folders(spark, f"{out_root}/manifests", [f"run_id={r}" for _, _, r in own])
+    clear_folders(spark, f"{out_root}/ready", [f"run_id={r}" for _, _, r in own])
     clear_folders(spark, f"{out_root}/withheld", [f"target={b}/dt={d[:10]}T{d[11:]}Z" for b, d, _ in own])
     classified = C.classify_versions(inv)
     # (bucket, dt) partitions: a run replaces exactly its own snapshots
@@ -147,6 +148,9 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
     K.write_manifest(man, f"{out_root}/manifests")
     written = (spark.read.schema("bucket string, key string, version_id string, run_id string, mode string")
                .csv(f"{out_root}/manifests").join(runs.select("run_id"), "run_id", "left_semi"))
+    # what the manifest stage finished: the decision stream trusts no manifest that is not listed here
+    (manifests_ready(written).select("mode", "manifest_key", "run_id").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{out_root}/ready"))
     wh = E.withheld(inv, cls).withColumn(
         "dt_raw", F.regexp_replace("dt", r"^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$", "$1T$2-$3Z"))
     K.write_withheld(wh, f"{out_root}/withheld")
@@ -164,5 +168,5 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
     K.mark_complete(spark, f"{out_root}/runs", runs)
     return {"classified": f"{out_root}/classified", "manifests": f"{out_root}/manifests",
             "decisions": f"{out_root}/decisions", "withheld": f"{out_root}/withheld",
-            "records": f"{out_root}/records", "active_jobs": f"{out_root}/active_jobs",
+            "records": f"{out_root}/records", "ready": f"{out_root}/ready", "active_jobs": f"{out_root}/active_jobs",
             "previous": f"{out_root}/previous", "runs": f"{out_root}/runs"}

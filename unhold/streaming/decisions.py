@@ -5,8 +5,9 @@ arrive as files, at least once. The stream reads them with an explicit schema
 (PERMISSIVE, corrupt rows kept), validates them (S6: invalid records go to a
 quarantine table, each of them, and never block a corrected successor), and per
 micro-batch keeps one valid record of each run, re-counts the run's written
-manifests (J6), runs the ladder and appends only decisions whose token is new:
-the first claim of a run holds, however late a record or batch is replayed.
+manifests (J6), takes their listing from the manifests-ready record, runs the
+ladder and appends only decisions whose token is new: the first claim of a run
+holds, however late a record or batch is replayed.
 The dedup pointer is published from the new ``created`` decisions only.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import raw_dt_to_dashed
 from ..operators import decide as D
+from ..plans.runs import manifests_ready
 from ..schemas import LOCK_MODES, QUERY_COMPLETE
 from ..sources import sinks as K
 from ..sources.paths import table_exists
@@ -27,8 +29,17 @@ from ..sources.records import validate_run_records
 MANIFEST_SCHEMA = "bucket string, key string, version_id string, run_id string, mode string"
 
 
+def _ready(spark: SparkSession, path: str | None, manifests: DataFrame) -> DataFrame:
+    """(run_id, mode, manifest_key) of the finished manifests; without a record
+    kept (``path`` None), those that have rows."""
+    if path is None:
+        return manifests_ready(manifests).select("run_id", "mode", "manifest_key")
+    schema = "mode string, manifest_key string, run_id string"
+    return spark.read.schema(schema).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, config: DataFrame,
-                   out_root: str) -> None:
+                   out_root: str, ready_path: str | None = None) -> None:
     checked = validate_run_records(batch)
     checked.where(~F.col("valid")).select("run_id", "dt", F.array_join("problems", ",").alias("problems"),
                                           "_corrupt_record") \
@@ -41,15 +52,18 @@ def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, c
     man = (spark.read.schema(MANIFEST_SCHEMA).csv(manifests_path)
            .join(rows.select("run_id").distinct(), "run_id", "left_semi"))
     recount = man.groupBy("run_id", "mode").agg(F.count(F.lit(1)).alias("recount"))
-    inputs = (rows.join(recount, ["run_id", "mode"], "left").join(config, "bucket", "left").select(
+    ready = _ready(spark, ready_path, man)
+    inputs = (rows.join(recount, ["run_id", "mode"], "left").join(ready, ["run_id", "mode"], "left")
+              .join(config, "bucket", "left").select(
         "run_id", "bucket", "dt", "mode",
         F.col("row_counts")[F.col("mode")].alias("trigger_count"),
         F.col("count_query_execution_ids")[F.col("mode")].alias("count_query_id"),
         F.col("count_query_hashes")[F.col("mode")].alias("count_hash"),
-        # an absent manifest where rows are expected is rung 6, not a count of zero
-        F.coalesce("recount", F.col("row_counts")[F.col("mode")]).alias("verified_count"),
-        F.col("recount").isNotNull().alias("manifest_listed"),
-        F.concat(F.lit("manifests/combined/"), F.col("run_id"), F.lit("/"), F.col("mode"), F.lit("/manifest.csv")).alias("manifest_key"),
+        # a manifest that is not listed, or gone, has nothing to count: its own rung reports it
+        F.coalesce(F.when(F.col("manifest_key").isNotNull(), F.col("recount")),
+                   F.col("row_counts")[F.col("mode")]).alias("verified_count"),
+        F.col("manifest_key").isNotNull().alias("manifest_listed"),
+        "manifest_key",
         F.col("recount").isNotNull().alias("manifest_exists"),
         F.lit(None).cast("string").alias("submit_error"),
         "report_only", "safety_threshold"))
@@ -65,11 +79,11 @@ def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, c
 
 
 def start(spark: SparkSession, records_path: str, manifests_path: str, config: DataFrame, out_root: str,
-          available_now: bool = True):
+          available_now: bool = True, ready_path: str | None = None):
     src = (spark.readStream.schema(QUERY_COMPLETE).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(records_path))
     trig = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
     return (src.writeStream
-            .foreachBatch(lambda df, _bid: decision_batch(spark, df, manifests_path, config, out_root))
+            .foreachBatch(lambda df, _bid: decision_batch(spark, df, manifests_path, config, out_root, ready_path))
             .option("checkpointLocation", f"{out_root}/_ckpt/decisions")
             .trigger(**trig).start())
