@@ -118,6 +118,14 @@ def test_personal_data(spark, odd_docs, no_docs):
     assert pii.digest(pii.find(no_docs)).count() == 0
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "000.1.2.3", "127.0.0.1, 192.168.0.10", "1.2.3.00", "0256.0.0.1", "1.0.0", "0.0.0.256", "host 10.20.30.0.", "00.00.00.000.0.0.0.0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.ip] for r in pii.find(df).collect()}
+    assert got == {i: [s[1:] for s in base_spans(t) if s[0] == "ip"] for i, t in enumerate(texts)}
+    assert pii.mask(df.where("doc_id = 3")).first().text == "[IP], [IP]"
+
+
 def test_long_runs_do_not_overflow(spark):
     rows = [(1, "a@b" + ".c" * 50000), (2, "1" * 100000), (3, "1 " * 50000), (4, "1." * 50000)]
     got = {r.doc_id: r.n_email for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
