@@ -132,6 +132,24 @@ def test_long_runs_do_not_overflow(spark):
     assert got == {1: 1, 2: 0, 3: 0, 4: 0}
 
 
+def test_added_spans_beside_other_text(spark):
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    cases = {f"IBAN {de} BIC COBADEFFXXX": "IBAN [IBAN] BIC COBADEFFXXX",
+             "IBAN DE89370400440532013000 2024": "IBAN [IBAN] 2024",
+             f"{de} {gb}": "[IBAN] [IBAN]",
+             f"REF AB12 CD34 {de}.": "REF AB12 CD34 [IBAN].",
+             f"{gb[:-1]}3 {de}": f"{gb[:-1]}3 [IBAN]",
+             "SSN: 123-45-6789, 234-56-7890": "SSN: [NIN], [NIN]",
+             "123-45-6789 (SSN)": "[NIN] (SSN)",
+             "SSNs " + ", ".join(["123-45-6789"] * 9): "SSNs " + ", ".join(["[NIN]"] * 9),
+             "ssn 123-45-6789, 000-45-6789 and 234-56-7890, code 123-45-6789": "ssn [NIN], 000-45-6789 and [NIN], code 123-45-6789",
+             "123-45-6789" + " x" * 40 + " ssn": "123-45-6789" + " x" * 40 + " ssn"}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.mask(df).collect()} == dict(enumerate(cases.values()))
+    long = spark.createDataFrame([(1, "ssn " + "123-45-6789, " * 1000), (2, "AB12 " * 3000)], "doc_id long, text string")
+    assert {r.doc_id: (len(r.nin), len(r.iban)) for r in pii.find(long).collect()} == {1: (1000, 0), 2: (0, 0)}
+
+
 def test_masking(spark, odd_docs, no_docs):
     masked = pii.mask(odd_docs)
     assert masked.columns == odd_docs.columns and masked.count() == odd_docs.count()
