@@ -2,7 +2,9 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from llm_fixtures import SF, no_docs, odd_docs  # noqa: F401
@@ -59,6 +61,42 @@ def test_nearest_neighbours(spark, odd_vectors):
         assert hit >= 0.9 * total
 
 
+def found_and_right(spark, x, asked, k):
+    """(rows found per query, share of the true nearest among them)."""
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = {int(q): set() for q in asked}
+    for r in ann.search(df, df.where(F.col("vec_id").isin([int(q) for q in asked])), k).collect():
+        got[r.query_id].add(r.vec_id)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-score, 1)[:, :k]
+    return [len(v) for v in got.values()], np.mean([len(got[int(q)] & set(b.tolist())) / k for q, b in zip(asked, best)])
+
+
+def test_tight_groups_find_all_k(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    x = unit(np.repeat(rng.normal(size=(40, 16)), 60, 0) + 0.3 * rng.normal(size=(2400, 16)))
+    tight = unit(np.repeat(rng.normal(size=(60, 16)), 10, 0) + 1e-4 * rng.normal(size=(600, 16)))
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    counts, right = found_and_right(spark, np.concatenate([x, tight]), np.arange(2400, 3000, 5), 20)
+    assert set(counts) == {20} and right >= 0.9
+
+
+def test_recall_where_lists_far_exceed_the_probes(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(12000, 24))
+    monkeypatch.setattr(ann, "LIST_ROWS", 6)  # 2,000 lists
+    counts, right = found_and_right(spark, x, np.arange(0, 12000, 80), 20)
+    assert set(counts) == {20} and right >= 0.9
+
+
+def test_a_query_reads_on_until_its_lists_hold_enough():
+    lists, d = np.array([[0, 1, 2, 3]] * 2), np.array([[0.0, 1.0, 1.5, 9.0]] * 2)
+    take, short = ann._taken(lists, d, 3, 1.45, np.array([9, 9, 50, 50]), 21)
+    assert take.tolist() == [[True, True, True, False]] * 2 and not short.any()
+    assert ann._taken(lists, d, 1, 1.45, np.array([9, 9, 1, 1]), 21)[1].all()
+
+
 def test_few_and_no_vectors(spark, odd_vectors):
     few, none = odd_vectors.where("vec_id < 3"), odd_vectors.limit(0)
     for search in (ann.search, topk.search):

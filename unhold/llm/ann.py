@@ -6,8 +6,12 @@ on a bounded sample by k-means with a penalty on a cluster's size, which keeps
 lists balanced; their number follows the table's size. A vector goes to its
 nearest list and, as a boundary vector, to others almost as near. The centroids
 are searched through a neighbour graph held in memory (best first, a beam of
-candidates); a query reads the lists whose distance is within a ratio of its
-nearest one. A list's rows and queries meet in blocks of bounded size.
+candidates); where a beam's walk would look at more centroids than there are,
+they are all ranked instead. A query reads lists, nearest first, until they hold
+k + 1 vectors, and from there those within a ratio of the distance reached, up
+to a number of probes that grows with the number of lists. So it finds k rows
+whenever there are k candidates. A list's rows and queries meet in blocks of
+bounded size.
 
 Rows whose vector is null, zero or has null or non-finite components take no
 part; equal vectors are searched once and keep their smallest ids; ties go to
@@ -30,8 +34,9 @@ SAMPLE = 32768  # vectors that centroids are fitted on, at most
 LIST_ROWS = 128  # aim for the vectors of a list
 MAX_LISTS = 8192  # bounds what each task holds of the centroids
 REPLICAS, CLOSE = 4, 1.15  # lists of a boundary vector, and how much farther than the nearest
-PROBES, RATIO = 48, 1.45  # lists that a query reads at most, and how much farther
-BEAM, NEIGHBOURS = 96, 24
+PROBES, RATIO = 48, 1.45  # lists that a query reads beyond k + 1 vectors, and how much farther
+PROBED_LISTS = 256  # with more lists than these, probes grow with the power 2/3 of the lists
+BEAM, NEIGHBOURS = 48, 24  # a query's beam is so much wider than its probes
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
 ROUNDS = 12
 
@@ -114,10 +119,41 @@ def nearest_lists(points: np.ndarray, centroids: np.ndarray, links: np.ndarray,
     return np.take_along_axis(best, order, 1), np.take_along_axis(dist, order, 1)
 
 
-def _assign(index: dict, most: int, ratio: float, beam: int):
-    """Rows of (list, key) for each row of (key, v): the lists within a ratio of the nearest."""
+def ranked(points: np.ndarray, centroids: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``nearest_lists``, from the distances to all centroids."""
+    beam = min(beam, len(centroids))
+    lists, dist = np.empty((len(points), beam), np.int64), np.empty((len(points), beam))
+    for s in range(0, len(points), 512):
+        d = _squared(points[s:s + 512], centroids)
+        near = np.argpartition(d, beam - 1, 1)[:, :beam]
+        d = np.take_along_axis(d, near, 1)
+        order = np.argsort(d, 1)
+        lists[s:s + 512], dist[s:s + 512] = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+    return lists, dist
+
+
+def probes_of(lists: int) -> int:
+    """Lists that a query reads at most beyond those that hold k + 1 vectors."""
+    return int(PROBES * max(1.0, lists / PROBED_LISTS) ** (2 / 3))
+
+
+def _taken(lists: np.ndarray, d: np.ndarray, most: int, ratio: float, home: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mask of the lists to take, rows whose lists hold fewer than ``need``
+    vectors): those up to ``need`` and, from there, within a ratio."""
+    held = np.cumsum(home[lists], 1)
+    reach = np.minimum((held < need).sum(1), d.shape[1] - 1)[:, None]
+    nth = np.arange(d.shape[1])[None]
+    near = d <= np.maximum(np.take_along_axis(d, reach, 1) * ratio * ratio, 1e-12)
+    return (nth <= reach) | ((nth < most) & near), held[:, -1] < need
+
+
+def _assign(index: dict, most: int, ratio: float, beam: int, home: np.ndarray | None = None, need: int = 0):
+    """Rows of (list, key) for each row of (key, v): the lists that hold ``need``
+    vectors, of ``home`` in each, and others within a ratio of them. A row's own
+    lists (without ``home``) tell its nearest one."""
     def run(frames):
-        c = index["centroids"]
+        c, links = index["centroids"], index["links"]
+        held = np.zeros(len(c), np.int64) if home is None else home
         for frame in frames:
             for s in range(0, len(frame), 2048):
                 part = frame.iloc[s:s + 2048]
@@ -127,12 +163,23 @@ def _assign(index: dict, most: int, ratio: float, beam: int):
                 else:  # a query's scale changes no order; at the rows' largest norm its ratios mean the same as theirs
                     p *= np.sqrt(index["norm2"] / np.maximum((p * p).sum(1, keepdims=True), 1e-300))
                     p = np.column_stack([p, np.zeros(len(p))])
-                lists, d = nearest_lists(p, c, index["links"], index["entry"], beam)
-                lists, d = lists[:, :most], d[:, :most]
-                take = d <= np.maximum(d[:, :1] * ratio * ratio, 1e-12)
+                lists, d = ranked(p, c, beam) if beam * links.shape[1] >= len(c) else nearest_lists(p, c, links, index["entry"], beam)
+                take, short = _taken(lists, d, most, ratio, held, need)
+                if lists.shape[1] < len(c) and short.any():  # the beam holds too little: all lists, in order
+                    take[short] = False
+                    again = np.flatnonzero(short)
+                    for t in range(0, len(again), 512):
+                        at = again[t:t + 512]
+                        far, e = ranked(p[at], c, len(c))
+                        row, col = np.nonzero(_taken(far, e, most, ratio, held, need)[0])
+                        out = part.iloc[at[row]].copy()
+                        out["list"] = far[row, col].astype(np.int32)
+                        yield out
                 row, col = np.nonzero(take)
                 out = part.iloc[row].copy()
                 out["list"] = lists[row, col].astype(np.int32)
+                if home is None:
+                    out["home"] = col == 0
                 yield out
     return run
 
@@ -175,10 +222,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     centroids = fit(p, lists)
     links, entry = graph(centroids)
     index = {"centroids": centroids, "links": links, "entry": entry, "norm2": norm2, "width": width, "lift": "row"}
-    posted = stored(table.mapInPandas(_assign(index, REPLICAS, CLOSE, max(REPLICAS, 24)), "key long, v array<double>, ids array<long>, list int"), "postings")
+    posted = stored(table.mapInPandas(_assign(index, REPLICAS, CLOSE, max(REPLICAS, 24)), "key long, v array<double>, ids array<long>, list int, home boolean"), "postings")
+    home = np.zeros(len(centroids), np.int64)  # vectors of which a list is the nearest, so that none counts twice
+    for r in posted.filter("home").groupBy("list").count().collect():  # bounded: one row per list
+        home[r["list"]] = r["count"]
+    probes = probes_of(len(centroids))
     once = stored(asked.select("key", "v").dropDuplicates(["key"]).mapInPandas(
-        _assign(index | {"lift": "query"}, PROBES, RATIO, BEAM), "key long, v array<double>, list int"), "probes")
-    left, right, at = vectors.in_blocks(posted, once, "list", BLOCK_ROWS, BLOCK_QUERIES)
+        _assign(index | {"lift": "query"}, probes, RATIO, probes + BEAM, home, k + 1), "key long, v array<double>, list int"), "probes")
+    left, right, at = vectors.in_blocks(posted.drop("home"), once, "list", BLOCK_ROWS, BLOCK_QUERIES)
     hits = (right.groupBy(*at).cogroup(left.groupBy(*at)).applyInPandas(_search(k), "key long, found long, ids array<long>, score double"))
     return vectors.expand(asked, hits.dropDuplicates(["key", "found"]), k)
 
