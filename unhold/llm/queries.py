@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, attribution, language, mixing, neardup, packing, pii, quality, topk, urlfilter
+from . import ann, attribution, exactdup, language, manifest, mixing, neardup, packing, pii, quality, resample, topk, urlfilter
 
 REGISTRY = {
     "op1_best_fit_packing": (packing.query, None),
@@ -15,4 +15,7 @@ REGISTRY = {
     "op8_source_mixing": (mixing.query, mixing.SQL),
     "op9_quality": (quality.query, None),
     "op10_url_rules": (urlfilter.query, urlfilter.SQL),
+    "op11_exact_duplicates": (exactdup.query, exactdup.SQL),
+    "op12_importance_resampling": (resample.query, resample.SQL),
+    "op13_merkle_manifest": (manifest.query, manifest.SQL),
 }
