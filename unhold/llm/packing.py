@@ -1,24 +1,27 @@
 """Best-fit packing of tokenised documents by swap-based local search.
 
 Documents are tokenised whole, an end id is added, and only documents longer
-than a sequence are cut (full pieces, the first may be shorter). Pieces are
-dealt by hash into shards of bounded size. In a shard, pieces are placed
+than a sequence are cut (full pieces, the first may be shorter). Shards of
+bounded size are windows of the input order. In a shard, pieces are placed
 best-fit in decreasing order, then underfull sequences exchange one piece for
-one, two for one, or move a piece, always raising the sum of squared fills,
-until sequences empty. The emptiest sequences of all shards then meet in fewer
-shards and are packed again, until one shard is left.
+one, two for one, or move one or two, until no exchange raises the sum of squared
+fills. The pieces of all badly filled sequences are dealt anew by hash, into
+shards of the same size, and packed again while that saves sequences.
 
-Nulls: a null text is empty and packs as its end id; a null doc_id stays null.
+Long texts: ids are made in pieces of bounded size, but a text's ids are held at
+once (some ten bytes for each byte of text). Nulls: a null text is empty and packs as its end id; a null doc_id stays null.
 Repeated rows are packed each. An empty table gives an empty result. Columns
 other than the id and the text are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens, words
@@ -26,10 +29,11 @@ from .base import stored
 
 LENGTH, END_ID = 2048, 0
 SHARD_PIECES = 16384
-OPEN_BINS = 24  # emptiest sequences that a shard hands on to be packed again
+BADLY_FILLED = 64  # sequences with more than 1/64 of their length free are packed again
+LEAST_GAIN = 256   # as long as that saves more than 1/256 of them
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids binary"
-PLACED = "uid long, length long, shard long, sequence_id long, offset long, open boolean"
+PLACED = "uid long, length long, sequence_id long, offset long, open boolean"
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
@@ -60,21 +64,16 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, id_col:
     return docs.mapInArrow(run, PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
-def local_search(sizes: np.ndarray, length: int, rounds: int = 4) -> np.ndarray:
-    """The bin of each piece: best fit in decreasing order, then exchanges.
-
-    An exchange between underfull bins a (fuller) and b raises fill(a) by some
-    d > 0 and lowers fill(b) by d; the sum of squares then grows, so the search
-    ends. Bins are found through the gap that an exchange has to close.
-    """
+def local_search(sizes: np.ndarray, length: int, passes: int | None = None) -> np.ndarray:
+    """The bin of each piece: best fit in decreasing order, then exchanges until
+    none raises the sum of squared fills (``passes``: so many times over the bins)."""
     n = len(sizes)
-    order = np.argsort(-sizes, kind="stable")
     where = np.empty(n, np.int64)
+    inside: list[dict[int, list[int]]] = []  # pieces of each bin by size
+    room: list[int] = []
     by_gap: list[list[int]] = [[] for _ in range(length + 1)]  # open bins by free room
     has = 0  # bit g is set while by_gap[g] is not empty
-    room: list[int] = []
-    inside: list[list[int]] = []
-    for i in order.tolist():
+    for i in np.argsort(-sizes, kind="stable").tolist():
         s = int(sizes[i])
         fits = has >> s
         if fits:
@@ -85,115 +84,176 @@ def local_search(sizes: np.ndarray, length: int, rounds: int = 4) -> np.ndarray:
         else:
             b, g = len(room), length
             room.append(length)
-            inside.append([])
+            inside.append({})
         room[b] = g - s
-        inside[b].append(i)
+        inside[b].setdefault(s, []).append(i)
         if room[b]:
             by_gap[room[b]].append(b)
             has |= 1 << room[b]
-    for _ in range(rounds):
-        under = sorted((b for b in range(len(room)) if 0 < room[b] < length), key=lambda b: room[b])
-        if len(under) < 2:
-            break
-        donors = under[-OPEN_BINS:]  # the emptiest are to be emptied
-        changed = False
-        for a in under:
-            if a in donors and a == donors[-1]:
-                continue
-            for b in reversed(donors):
-                if a == b or room[b] < room[a] or not inside[b] or room[a] == 0:
-                    continue
-                changed |= _exchange(a, b, room, inside, sizes, length)
-        if not changed:
-            break
+    turn = 0
+    while turn != passes and _improve(room, inside, length):
+        turn += 1
     kept = [b for b in range(len(room)) if inside[b]]
     for k, b in enumerate(kept):
-        where[inside[b]] = k
+        for own in inside[b].values():
+            where[own] = k
     return where
 
 
-def _exchange(a: int, b: int, room, inside, sizes, length: int) -> bool:
-    """Fills bin a from bin b by the best single move: a piece moved, one for
-    one, or two of b for one of a. False when none raises the sum of squares."""
-    best, how = 0, None
-    theirs = _few(inside[b], sizes, 2)  # two of a size may go together
-    ours = [(0, None), *_few(inside[a], sizes, 1)]
-    gap = room[a]
-    for so, o in ours:
-        for x, (s1, j1) in enumerate(theirs):
-            d = s1 - so
-            if best < d <= gap:
-                best, how = d, (o, (j1,))
-            if o is not None and d < gap:
-                for s2, j2 in theirs[x + 1:]:
-                    if best < d + s2 <= gap:
-                        best, how = d + s2, (o, (j1, j2))
-        if best == gap:
-            break
-    if not how:
-        return False
-    o, js = how
-    if o is not None:
-        inside[a].remove(o)
-        inside[b].append(o)
-    for j in js:
-        inside[b].remove(j)
-        inside[a].append(j)
-    room[a] -= best
-    room[b] += best
-    return True
-
-
-def _few(pieces_in, sizes, most: int) -> list[tuple[int, int]]:
-    """(size, piece), at most ``most`` pieces of one size: others change nothing."""
-    seen: dict[int, int] = {}
-    out = []
-    for i in pieces_in:
-        s = int(sizes[i])
-        seen[s] = seen.get(s, 0) + 1
-        if seen[s] <= most:
-            out.append((s, i))
-    return out
+class _Donors:
+    """Underfull bins by the size of each piece, or of each two pieces, that they
+    can give; the emptiest bin of a size comes first. Entries of a bin that has
+    changed since are passed over."""
+
+    def __init__(self, length: int):
+        self.heaps: list[list[int]] = [[] for _ in range(2 * length + 1)]
+        self.known = 0  # bit s is set while heap s may hold a bin
+
+    def add(self, size: int, entry: int) -> None:
+        heappush(self.heaps[size], entry)
+        self.known |= 1 << size
+
+    def best(self, above: int, most: int, taken: int, version: list[int]) -> tuple[int, int] | None:
+        """(size, bin) of the largest size with above < size <= most that an
+        exchange can take: the giving bin is less full than the taking one,
+        ``taken`` + size, then is."""
+        known = self.known & ((1 << (most + 1)) - 1)
+        while True:
+            size = known.bit_length() - 1
+            if size <= above:
+                return None
+            heap = self.heaps[size]
+            while heap:
+                b, v = heap[0] >> 32 & 0xFFFFFF, heap[0] & 0xFFFFFFFF
+                if version[b] == v:
+                    break
+                heappop(heap)
+            else:
+                self.known &= ~(1 << size)
+            if heap and heap[0] >> 56 < taken + size:
+                return size, b
+            known &= ~(1 << size)
+
+
+def _improve(room: list[int], inside: list[dict[int, list[int]]], length: int) -> bool:
+    """One pass over all underfull bins, the fullest first. Each takes pieces of
+    others by the exchange that fills it most - a piece or two moved, one for
+    one, two for one - until none raises the sum of squares, then rests until it
+    has given something itself.
 
+    With d more in the taking bin and d less in the giving one, the sum of squares
+    rises if the giving bin was less than d fuller. So passes come to an end."""
+    one, two = _Donors(length), _Donors(length)
+    version = [0] * len(room)
+    order: list[int] = []  # heap of underfull bins, the fullest first
 
-def _pack_shard(shift: int, length: int, last: bool):
+    def offer(b: int, rests: bool = False) -> None:
+        version[b] += 1
+        if not inside[b] or not room[b]:
+            return
+        entry = (length - room[b]) << 56 | b << 32 | version[b]
+        sizes = sorted(inside[b])
+        for x, s in enumerate(sizes):
+            one.add(s, entry)
+            if len(inside[b][s]) > 1:
+                two.add(2 * s, entry)
+            for s2 in sizes[x + 1:]:
+                two.add(s + s2, entry)
+        if not rests:
+            heappush(order, room[b] << 56 | b << 32 | version[b])
+
+    for b in range(len(room)):
+        offer(b)
+    changed = False
+    while order:
+        entry = heappop(order)
+        a = entry >> 32 & 0xFFFFFF
+        if version[a] != entry & 0xFFFFFFFF:
+            continue
+        version[a] += 1  # out of the donors while it takes
+        while room[a]:
+            gap, best = room[a], None
+            for o in (0, *inside[a]):
+                for kind, donors in ((0, one), (1, two)):
+                    hit = donors.best(o + (best[0] if best else 0), o + gap, length - gap - o, version)
+                    if hit:
+                        best = (hit[0] - o, o, kind, hit[0], hit[1])
+                if best and best[0] == gap:
+                    break
+            if not best:
+                break
+            d, o, kind, size, b = best
+            if kind:
+                first = next(s for s in inside[b] if size - s in inside[b] and (size != 2 * s or len(inside[b][s]) > 1))
+                given = (first, size - first)
+            else:
+                given = (size,)
+            _shift(inside[b], inside[a], given)
+            if o:
+                _shift(inside[a], inside[b], (o,))
+            room[a] -= d
+            room[b] += d
+            offer(b)
+            changed = True
+        offer(a, rests=True)
+    return changed
+
+
+def _shift(source: dict[int, list[int]], target: dict[int, list[int]], sizes: tuple[int, ...]) -> None:
+    for s in sizes:
+        target.setdefault(s, []).append(source[s].pop())
+        if not source[s]:
+            del source[s]
+
+
+def _pack_shard(length: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "uid"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        sizes = frame["length"].to_numpy()
+        sizes, uid = frame["length"].to_numpy(), frame["uid"].to_numpy()
         where = local_search(sizes, length)
         order = np.argsort(where, kind="stable")
+        first = np.searchsorted(where[order], np.arange(where.max() + 1))
         ends = np.cumsum(sizes[order])
         starts = ends - sizes[order]
-        first = np.searchsorted(where[order], np.arange(where.max() + 1))
         offset = np.empty(len(sizes), np.int64)
         offset[order] = starts - starts[first][where[order]]
-        fill = np.bincount(where, weights=sizes)
-        emptiest = np.zeros(len(fill), bool)
-        if not last:
-            low = np.argsort(fill, kind="stable")[:OPEN_BINS]
-            emptiest[low[fill[low] < length]] = True
-        shard = int(key[0])
-        return pd.DataFrame({"uid": frame["uid"], "length": sizes, "shard": shard,
-                             "sequence_id": (np.int64(shift) << 58) + (np.int64(shard) << 20) + where, "offset": offset, "open": emptiest[where]})
+        fill = np.add.reduceat(sizes[order], first)
+        named = np.minimum.reduceat(uid[order], first)  # a sequence is named by its first piece in input order
+        bad = (length - fill) * BADLY_FILLED > length
+        return pd.DataFrame({"uid": uid, "length": sizes, "sequence_id": named[where], "offset": offset, "open": bad[where]})
     return run
 
 
+def _windows(sized: DataFrame, shard_pieces: int) -> DataFrame:
+    """``sized`` with the number of its window of ``shard_pieces`` rows in uid order."""
+    part = F.shiftright("uid", 33)
+    # one row for each input partition
+    parts = sized.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.col("before") + F.col("uid").bitwiseAND((1 << 33) - 1)
+    return sized.withColumn("part", part).join(parts, "part").select("uid", "length", F.floor(place / shard_pieces).alias("shard"))
+
+
 def place(sized: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """(uid, sequence_id, offset) of rows (uid, length) with 0 < length <= ``length``."""
-    total = sized.agg(F.count("*")).first()[0]
-    done, turn = None, 0
-    shards = max(1, -(-total // shard_pieces))
-    todo = sized
+    """(uid, sequence_id, offset) of rows (uid, length) with 0 < length <= ``length``
+    and uid as monotonically_increasing_id() gives it to the stored rows. A
+    sequence is named by its smallest uid, so that sequences in order of their
+    ids follow the input, window by window."""
+    dealt, turn = _windows(sized, shard_pieces), 0
+    done = kept = None
     while True:
-        last = shards == 1
-        dealt = todo.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(shards)))
-        placed = stored(dealt.groupBy("shard").applyInPandas(_pack_shard(turn, length, last), PLACED), f"packing-{turn}")
-        closed = placed.filter(~F.col("open")).select("uid", "sequence_id", "offset")
-        done = closed if done is None else done.unionByName(closed)
-        if last:
-            return done
-        todo = placed.filter("open").select("uid", "length")
-        shards, turn = max(1, shards // 16), turn + 1
+        placed = stored(dealt.groupBy("shard").applyInPandas(_pack_shard(length), PLACED), f"packing-{turn}")
+        bins, shards, left, bad = placed.agg(F.count_distinct("sequence_id"), F.ceil(F.count("*") / shard_pieces), F.count_if("open"),
+                                             F.count_distinct(F.when(F.col("open"), F.col("sequence_id")))).first()
+        if turn and bins >= before:  # badly filled sequences packed anew became no fewer: they stay as they were
+            return done.unionByName(kept)
+        closed, kept = (placed.filter(F.col("open") == o).select("uid", "sequence_id", "offset") for o in (False, True))
+        done = done.unionByName(closed) if turn else closed
+        if shards <= 1 or bad < 2 or (turn and (before - bins) * LEAST_GAIN < before):
+            return done.unionByName(kept)
+        before, turn = bad, turn + 1
+        dealt = placed.filter("open").select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(-(-left // shard_pieces))).alias("shard"))
 
 
 def pack(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:

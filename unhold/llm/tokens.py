@@ -5,7 +5,11 @@ that follows a non-space always starts a new pre-token of that vocabulary, so
 a text is cut there, each distinct word of a batch is encoded once, and the
 words' ids are gathered back with Arrow. Distinct words within Latin ranges
 are encoded by ``tiktoken`` over the same ranks (equal ids, tested), all other
-words and all texts with runs of white space by ``tokenizers`` itself.
+words and all texts with runs of white space by ``tokenizers`` itself, in pieces
+of bounded size: no pre-token of the vocabulary goes on from a non-space to
+white space, from a letter to another kind of character, or from a digit to
+another kind, so a text may be cut there. Only a run without any such place is
+longer than a piece.
 """
 
 from __future__ import annotations
@@ -17,10 +21,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 VOCABULARY = "byte_bpe_50k"
 _PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]*\Z")
 _RUNS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
+_CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])")
+PIECE_CHARS = 1 << 16  # text that the tokenizer's own objects are held for at a time
 
 
 @lru_cache(2)
@@ -45,9 +52,43 @@ def byte_lengths(name: str = VOCABULARY) -> np.ndarray:
     return _encoders(name)[2]
 
 
+def _cut(text: str) -> list[str]:
+    """The text in pieces of about PIECE_CHARS, cut where pre-tokens end."""
+    out, at = [], 0
+    while len(text) - at > PIECE_CHARS:
+        end = _CUT.search(text, at + PIECE_CHARS)
+        if not end or end.start() == len(text):
+            break
+        out.append(text[at:end.start()])
+        at = end.start()
+    out.append(text[at:])
+    return out
+
+
 def _whole(texts: list[str], name: str) -> list[np.ndarray]:
+    """Ids of each text. The tokenizer's results hold some hundred bytes a token,
+    so they are turned into arrays after every PIECE_CHARS of text."""
     full = _encoders(name)[0]
-    return [np.array(e.ids, np.uint32) for e in full.encode_batch(texts, add_special_tokens=False)]
+    parts, of = [], []
+    batch, size, owners = [], 0, []
+
+    def flush():
+        parts.extend(np.array(e.ids, np.uint32) for e in full.encode_batch_fast(batch, add_special_tokens=False))
+        of.extend(owners)
+
+    for i, text in enumerate(texts):
+        for piece in _cut(text):
+            batch.append(piece)
+            owners.append(i)
+            size += len(piece)
+            if size >= PIECE_CHARS:
+                flush()
+                batch, size, owners = [], 0, []
+    flush()
+    if len(parts) == len(texts):
+        return parts
+    bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+    return [np.concatenate(parts[s:e]) for s, e in zip(bounds[:-1], bounds[1:])]
 
 
 def _distinct(words: list[str], name: str) -> list[np.ndarray]:
