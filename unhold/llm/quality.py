@@ -237,7 +237,7 @@ def labelled(spark, sf_dir: str, docs: DataFrame, sample: int = SAMPLE) -> DataF
     documents and no text is shuffled."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("of"), "quality").filter(F.crc32(F.col("of").cast("string")) % 5 != 0)
     few = labels.filter("quality IS NOT NULL").orderBy(F.md5(F.col("of").cast("string"))).limit(sample)
-    return docs.join(F.broadcast(few), F.col("doc_id") == F.col("of")).select("doc_id", "text", "quality")
+    return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("of")).select("doc_id", "text", "quality")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
