@@ -5,7 +5,7 @@ as Parquet and read again as the next one's ``docs``. All but the last return
 the columns of ``documents``:
 
 1. quality: rows that the classifier rejects go;
-2. near_duplicates: one document of each group stays;
+2. near_duplicates: one document of each group at a similarity of 0.80 stays;
 3. personal_data: spans are replaced by their kind, ``n_chars`` follows;
 4. mixing: all rows, sorted across files by the schedule of their sources;
 5. packing: pieces with their sequences (the columns of op1).
@@ -24,13 +24,16 @@ from unhold.llm import mixing, neardup, packing, pii, quality
 from unhold.llm.base import stored, table
 
 
+NEAR_DUPLICATE_PERCENT = 80
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.learn(quality.labelled(spark, sf_dir, table(spark, sf_dir, "documents")))
     return quality.keep_good(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, threshold=NEAR_DUPLICATE_PERCENT)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def test_each_stage_takes_effect(spark):
     good = quality.score(docs, model).where("predicted = 1").select("doc_id")
     assert first.columns == docs.columns and first.select("doc_id").exceptAll(good).count() == 0 and first.count() == good.count()
     second = stored(P.near_duplicate_stage(spark, first, SF), "t")
-    kept = neardup.digest(neardup.groups(first)).where("kept").select("doc_id")
+    kept = neardup.digest(neardup.groups(first, threshold=P.NEAR_DUPLICATE_PERCENT)).where("kept").select("doc_id")
     assert second.columns == docs.columns and second.select("doc_id").exceptAll(kept).count() == 0 and second.count() == kept.count()
     third = stored(P.personal_data_stage(spark, second, SF), "t")
     assert third.columns == docs.columns and third.count() == second.count()
@@ -29,6 +29,18 @@ def test_each_stage_takes_effect(spark):
     assert {r.doc_id for r in last.select("doc_id").collect()} == set(order)
 
 
+def test_a_pair_of_082_loses_one(spark):
+    """1,000 shingles each, 901 shared: 901 / 1,099 is 0.8198."""
+    base = [f"w{i}" for i in range(1004)]
+    other = base[:905] + [f"x{i}" for i in range(99)]
+    far = base[:880] + [f"y{i}" for i in range(124)]  # 876 / 1,124 is 0.78
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(f"z{i}" for i in range(500))), (4, " ".join(far))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.near_duplicate_stage(spark, df, SF).collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == [1, 2, 3, 4]
+    assert neardup.bands_for(80) == 29 and neardup.bands_for(85) == 20
+
+
 def test_odd_and_empty_documents(spark, tmp, odd_docs, no_docs):
     for name, df in (("odd", odd_docs), ("none", no_docs)):
         df.write.parquet(f"{tmp}/{name}/documents.parquet")

@@ -9,7 +9,8 @@ is checked against the smallest one on full sets; buckets whose nodes are not
 all linked by then are checked pair by pair, in blocks of bounded size sorted
 by set size, skipping blocks whose sizes rule a link out. So no link between
 nodes that share a bucket is lost, and a pair of similarity 0.85 shares none
-with probability (1 - 0.85**ROWS)**BANDS, below 1e-5.
+with probability (1 - 0.85**ROWS)**BANDS, below 1e-5; for other thresholds the
+number of bands follows from that bound (29 at 0.80).
 
 Nulls and empty texts have an empty set: n_shingles 0, linked with nothing,
 component_id their own doc_id, kept. A null doc_id counts as larger than any
@@ -32,6 +33,7 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 85  # words; percent
 BANDS, ROWS = 20, 5
 BINS = BANDS * ROWS
+MISSED = 1e-5  # the probability, at most, that a pair at the threshold shares no band
 BLOCK_HASHES = 1 << 19  # shingles of a block of a bucket that is checked pair by pair
 
 _U = np.uint64
@@ -62,6 +64,11 @@ def bands(sketch: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return words.mix(key + np.arange(n_bands, dtype=np.uint64)[None, :] * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def bands_for(threshold: int, rows: int = ROWS) -> int:
+    """Bands that keep the probability of a missed pair at MISSED, at least BANDS."""
+    return max(BANDS, int(np.ceil(np.log(MISSED) / np.log1p(-(threshold / 100) ** rows))))
+
+
 def fingerprints(sets: list[np.ndarray]) -> list[bytes | None]:
     """16 bytes that two different sets share with negligible probability."""
     out = []
@@ -73,17 +80,19 @@ def fingerprints(sets: list[np.ndarray]) -> list[bytes | None]:
     return out
 
 
-def _signatures(batches):
-    for batch in batches:
-        texts = words.as_texts(batch.column(2))
-        for first, part in words.slices(texts):
-            sets = words.shingle_sets(part, SHINGLE)
-            n = len(part)
-            keys = bands(sketches(sets))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(fingerprints(sets), pa.binary()),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))],
-                ["doc_id", "text_hash", "node", "n_shingles", "bands"])
+def _signatures(n_bands: int):
+    def run(batches):
+        for batch in batches:
+            texts = words.as_texts(batch.column(2))
+            for first, part in words.slices(texts):
+                sets = words.shingle_sets(part, SHINGLE)
+                n = len(part)
+                keys = bands(sketches(sets, n_bands * ROWS), n_bands)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(fingerprints(sets), pa.binary()),
+                     pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * n_bands), pa.array(keys.reshape(-1)))],
+                    ["doc_id", "text_hash", "node", "n_shingles", "bands"])
+    return run
 
 
 def _sets(batches):
@@ -96,45 +105,47 @@ def _sets(batches):
                                              ["node", "shingles"])
 
 
-def _cross_links(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """One link for every node and other component that it is linked with,
-    between the two blocks of a bucket that meet here."""
-    out = []
-    left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-    if len(left) and len(right):
-        sets = [np.asarray(s, np.int64) for s in right["shingles"]]
-        known, flat = np.unique(np.concatenate(sets), return_inverse=True)  # shingles numbered within the block
-        mark = np.zeros(len(known), np.int64)
-        ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-        size, root, nodes = np.diff(ends), right["root"].to_numpy(), right["node"].to_numpy()
-        for node, mine, shingles in zip(left["node"], left["root"], left["shingles"]):
-            own = np.searchsorted(known, shingles)
-            own = own[known[np.minimum(own, len(known) - 1)] == shingles]
-            if 100 * len(own) < THRESHOLD * len(shingles):  # what it shares with the whole block is too little for any link
-                continue
-            mark[own] = 1
-            same = np.add.reduceat(mark[flat], ends[:-1])
-            mark[own] = 0
-            hit = np.flatnonzero(100 * same >= THRESHOLD * (len(shingles) + size - same))
-            seen = {mine}
-            for j in hit:
-                if root[j] not in seen:
-                    seen.add(root[j])
-                    out.append((node, nodes[j]))
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-def _linked(a: str, b: str):
+def _cross_links(threshold: int):
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        """One link for every node and other component that it is linked with,
+        between the two blocks of a bucket that meet here."""
+        out = []
+        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        if len(left) and len(right):
+            sets = [np.asarray(s, np.int64) for s in right["shingles"]]
+            known, flat = np.unique(np.concatenate(sets), return_inverse=True)  # shingles numbered within the block
+            mark = np.zeros(len(known), np.int64)
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+            size, root, nodes = np.diff(ends), right["root"].to_numpy(), right["node"].to_numpy()
+            for node, mine, shingles in zip(left["node"], left["root"], left["shingles"]):
+                own = np.searchsorted(known, shingles)
+                own = own[known[np.minimum(own, len(known) - 1)] == shingles]
+                if 100 * len(own) < threshold * len(shingles):  # what it shares with the whole block is too little for any link
+                    continue
+                mark[own] = 1
+                same = np.add.reduceat(mark[flat], ends[:-1])
+                mark[own] = 0
+                hit = np.flatnonzero(100 * same >= threshold * (len(shingles) + size - same))
+                seen = {mine}
+                for j in hit:
+                    if root[j] not in seen:
+                        seen.add(root[j])
+                        out.append((node, nodes[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+    return run
+
+
+def _linked(a: str, b: str, threshold: int):
     same = F.size(F.array_intersect(a, b))
-    return same * 100 >= (F.size(a) + F.size(b) - same) * THRESHOLD
+    return same * 100 >= (F.size(a) + F.size(b) - same) * threshold
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, text_hash, node, n_shingles, component_id: one row per row of
-    ``docs``; the rows of a group share component_id."""
+    ``docs``; the rows of a group share component_id. ``threshold`` is in percent."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    signed = stored(rows.mapInArrow(_signatures, f"doc_id {id_type}, text_hash long, node binary, n_shingles long, bands array<long>"), "signed")
+    signed = stored(rows.mapInArrow(_signatures(bands_for(threshold)), f"doc_id {id_type}, text_hash long, node binary, n_shingles long, bands array<long>"), "signed")
 
     # a node: the smallest document that has its set (null last)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
@@ -148,13 +159,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     texts = rows.alias("r").join(wanted.alias("w"), (F.col("r.text_hash") == F.col("w.first.text_hash")) & F.col("r.doc_id").eqNullSafe(F.col("w.first.doc_id")))
     sets = stored(texts.select("w.node", "r.text").mapInArrow(_sets, "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
 
-    stars = (members.filter("node != lead").filter(F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * THRESHOLD)
+    stars = (members.filter("node != lead").filter(F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * threshold)
              .select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
              .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
              .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-             .filter(_linked("of_a", "of_b")).select("a", "b"))
+             .filter(_linked("of_a", "of_b", threshold)).select("a", "b"))
     forest = components(stars)
-    links = forest.select("a", F.col("root").alias("b")).unionByName(_missed(members, forest, sets))
+    links = forest.select("a", F.col("root").alias("b")).unionByName(_missed(members, forest, sets, threshold))
     found = components(links)
 
     # the smallest doc_id of a component, over the members of its nodes
@@ -166,7 +177,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             .withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))))
 
 
-def _missed(members: DataFrame, forest: DataFrame, sets: DataFrame) -> DataFrame:
+def _missed(members: DataFrame, forest: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) across the components of a bucket's nodes: all pairs of a
     node outside the bucket's largest component with any node of the bucket."""
     rooted = members.filter("size > 2").join(forest.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -177,26 +188,26 @@ def _missed(members: DataFrame, forest: DataFrame, sets: DataFrame) -> DataFrame
     step = F.floor(F.log2("n") * 8).cast("int")
     sized = open_.withColumn("step", step)
     need = sized.groupBy("band", "step").agg(F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias("parts"))
-    near = [0, 1, 2]  # a link needs sizes within 1/0.85, less than two steps of 2^(1/8) apart
+    reach = int(np.ceil(8 * np.log2(100 / threshold)))  # steps of 2^(1/8) that the sizes of a link are apart at most (2 at 0.85)
     blocks = sized.join(need, ["band", "step"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = need.select("band", F.col("step").alias("other_step"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other_part"))
-    left = (blocks.filter("NOT in_main").withColumn("other_step", F.explode(F.array(*[F.col("step") + d for d in [*near, -1, -2]])))
+    left = (blocks.filter("NOT in_main").withColumn("other_step", F.explode(F.array(*[F.col("step") + d for d in range(-reach, reach + 1)])))
             .join(other, ["band", "other_step"]))
     meets = left.select("band", "step", "part", "other_step", "other_part").distinct()
     right = blocks.select("band", F.col("step").alias("other_step"), F.col("part").alias("other_part"), "node", "root").join(meets, ["band", "other_step", "other_part"])
     at = ["band", "step", "part", "other_step", "other_part"]
     both = left.select(*at, "node", "root", F.lit(0).alias("side")).unionByName(right.select(*at, "node", "root", F.lit(1).alias("side")))
-    return both.join(sets, "node").groupBy(*at).applyInPandas(_cross_links, "a binary, b binary")
+    return both.join(sets, "node").groupBy(*at).applyInPandas(_cross_links(threshold), "a binary, b binary")
 
 
 def digest(grouped: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group: all columns, rows with an empty set
     all stay. Of repeated rows that would both stay, one does."""
-    found = stored(groups(docs, id_col, text_col), "groups")
+    found = stored(groups(docs, id_col, text_col, threshold), "groups")
     best = found.filter("node IS NOT NULL").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # one text where a repeated id has several in a group, and how often it is there
     one = best.groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("h"), F.count("*").alias("times"))
