@@ -49,16 +49,20 @@ def dedup(rows: DataFrame, previous_manifest: DataFrame, how: str = "left_anti")
     manifest of the same lock mode on (bucket, url-encoded key, version id).
 
     ``previous_manifest`` has columns bucket, key (url-encoded), version_id,
-    mode. NULL version ids never match, as in the original left join + IS
-    NULL. No broadcast hint: the planner and AQE choose by measured bytes.
+    mode. Where it also has ``dt``, each snapshot is compared with the rows of
+    its own dt only. NULL version ids never match, as in the original left join +
+    IS NULL. No broadcast hint: the planner and AQE choose by measured bytes.
     """
     pm = previous_manifest.select(
         F.col("bucket").alias("_pm_bucket"), F.col("key").alias("_pm_key"),
-        F.col("version_id").alias("_pm_version_id"), F.col("mode").alias("_pm_mode"))
+        F.col("version_id").alias("_pm_version_id"), F.col("mode").alias("_pm_mode"),
+        *([F.col("dt").alias("_pm_dt")] if "dt" in previous_manifest.columns else []))
     cond = [rows.bucket == pm._pm_bucket,
             rows.object_lock_mode == pm._pm_mode,
             url_encode_key(rows.key) == pm._pm_key,
             rows.version_id == pm._pm_version_id]
+    if "_pm_dt" in pm.columns:
+        cond.append(rows.dt == pm._pm_dt)
     return rows.join(pm, cond, how)
 
 

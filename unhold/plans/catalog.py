@@ -846,6 +846,69 @@ def q_next_previous_manifest(spark, d):
     return SR.read_previous_manifest(spark, path)
 
 
+RUN_ID_SQL = "substr(sha256(bucket || '/' || dt), 1, 16)"
+
+
+@register("rerun_resolves", O.with_ctes(O.INV, O.CLS, body=(
+    f"SELECT bucket, {O.enc('key')} AS key, version_id, object_lock_mode AS mode, {RUN_ID_SQL} AS run_id FROM classified "
+    "WHERE superseder_kinds = 1 AND superseder_is_delete_marker AND object_lock_mode IN ('COMPLIANCE', 'GOVERNANCE') "
+    f"AND (dt = '{fx.CUR_DT}' OR substr(md5(version_id), 1, 1) < '8')")))
+def q_rerun_resolves(spark, d):
+    """K1/K5: manifests of three attempts as readers resolve them. The first
+    commits every run; the second dies after writing half of the rows; the third
+    commits the prev runs again, with the other half."""
+    from ..sources import attempts as A
+    root, inv = _scratch(spark, "attempts"), _inv(spark, d)
+    runs = R.run_ids(inv)
+    rows = E.manifest_rows(E.eligible(inv, "delete")).join(runs, ["bucket", "dt"])
+    low = F.substring(F.md5("version_id"), 1, 1) < "8"
+    prev = F.col("dt") == fx.PREV_DT
+    for attempt, part, done in (("first", rows, runs), ("second", rows.where(~low), None), ("third", rows.where(low & prev), runs.where(prev))):
+        K.write_manifest(part, A.attempt_path(root, "manifests", attempt))
+        if done is not None:
+            A.commit(spark, root, attempt, done)
+    path = f"{root}/manifests"
+    return A.resolved(spark.read.schema(R.MANIFEST_SCHEMA).csv(path), path).select("bucket", "key", "version_id", "mode", "run_id")
+
+
+@register("dedup_replay", O.with_ctes(O.INV, O.CLS, O.eligible_dedup_ctes("delete"), body=(
+    f"SELECT bucket, {O.enc('key')} AS key, version_id, object_lock_mode AS mode FROM deduped")))
+def q_dedup_replay(spark, d):
+    """J4 by lineage: the prev runs publish the pointer, the cur runs move it on,
+    and the cur runs are replayed against it: each is compared with its
+    predecessor, never with itself."""
+    from ..sources import attempts as A
+    root, inv = _scratch(spark, "replay"), _inv(spark, d)
+    config = inv.select("bucket").distinct().select("bucket", F.lit("delete").alias("release_mode"), F.lit(False).alias("report_only"), F.lit(1 << 60).alias("safety_threshold"))
+    for dt in (fx.PREV_DT, fx.CUR_DT, fx.CUR_DT):
+        R.run_snapshot(spark, fx.snapshot(inv, dt), config, root, validate=False, pointer=f"{root}/previous")
+    rows = A.resolved(spark.read.schema(R.MANIFEST_SCHEMA).csv(f"{root}/manifests"), f"{root}/manifests")
+    cur = R.run_ids(fx.snapshot(inv, fx.CUR_DT)).select("run_id")
+    return rows.join(cur, "run_id", "left_semi").select("bucket", "key", "version_id", "mode")
+
+
+PART_LIMIT = 4096  # small files, so that the fixture's manifests have several
+
+
+@register("combined_parts", O.with_ctes(O.INV, O.CLS, body=f"""
+SELECT run_id, mode, part, count(*) AS row_count, sum(size)::BIGINT AS byte_count, min(line) AS first_line, max(line) AS last_line FROM (
+  SELECT run_id, mode, line, size, CAST(floor((sum(size) OVER (PARTITION BY run_id, mode ORDER BY bucket, key, version_id) - size) / {PART_LIMIT}) AS INTEGER) AS part FROM (
+    SELECT *, bucket || ',' || key || ',' || version_id AS line, strlen(bucket) + strlen(key) + strlen(version_id) + 3 AS size FROM (
+      SELECT bucket, {O.enc('key')} AS key, version_id, object_lock_mode AS mode, {RUN_ID_SQL} AS run_id FROM classified
+      WHERE superseder_kinds = 1 AND superseder_is_delete_marker AND object_lock_mode IN ('COMPLIANCE', 'GOVERNANCE'))))
+GROUP BY run_id, mode, part"""))
+def q_combined_parts(spark, d):
+    """K3: the combined manifests, cut into files of a byte size, written and
+    read back file by file."""
+    path, inv = _scratch(spark, "combined"), _inv(spark, d)
+    rows = E.manifest_rows(E.eligible(inv, "delete")).join(R.run_ids(inv), ["bucket", "dt"])
+    K.write_combined(rows, path, PART_LIMIT)
+    line = F.concat_ws(",", "bucket", "key", "version_id")
+    return (spark.read.schema(R.COMBINED_SCHEMA).csv(path).groupBy("run_id", "mode", "part")
+            .agg(F.count(F.lit(1)).alias("row_count"), F.sum(K.line_bytes()).cast("bigint").alias("byte_count"),
+                 F.min(line).alias("first_line"), F.max(line).alias("last_line")))
+
+
 def run_record_json(inv: DataFrame) -> DataFrame:
     """Query-complete records as JSON text, one per (bucket, dt) run, derived
     from the eligible counts. bucket-1's records lack the GOVERNANCE count;

@@ -19,8 +19,10 @@ from ..operators import classify as C
 from ..operators import decide as D
 from ..operators import eligibility as E
 from ..schemas import LOCK_MODES
+from ..sources import attempts as A
 from ..sources import sinks as K
-from ..sources.paths import clear_folders
+from ..sources.paths import table_exists
+from ..sources.records import read_published
 
 
 def run_ids(inv: DataFrame) -> DataFrame:
@@ -47,21 +49,40 @@ def combined_key():
 
 
 def manifests_ready(manifests: DataFrame) -> DataFrame:
-    """The manifests-ready record of the manifests as written: one row per
-    (run, mode) that has one."""
+    """The manifests-ready record of manifests without a combined form: one row
+    per (run, mode) that has rows."""
     return manifests.select("run_id", "mode").distinct().select(
         "run_id", "mode", combined_key().alias("manifest_key"), F.lit(True).alias("manifest_exists"), F.lit(True).alias("recounted"))
 
 
+def ready_record(combined: DataFrame) -> DataFrame:
+    """The manifests-ready record of combined manifests as written (K3): the key
+    and the list of parts, in order, with their rows and bytes."""
+    parts = combined.groupBy("run_id", "mode", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum(K.line_bytes()).alias("bytes"))
+    # a list has one entry for each file of a manifest
+    return (parts.groupBy("run_id", "mode").agg(F.array_sort(F.collect_list(F.struct("part", "rows", "bytes"))).alias("parts"))
+            .select("mode", combined_key().alias("manifest_key"), "parts", "run_id"))
+
+
+def ready_evidence(ready: DataFrame, combined: DataFrame) -> DataFrame:
+    """Whether each listed manifest is there: every part of its list is found
+    with as many rows as the list says."""
+    found = combined.groupBy("run_id", "mode", "part").agg(F.count(F.lit(1)).alias("found"))
+    listed = ready.select("run_id", "mode", "manifest_key", F.explode("parts").alias("p")).select("run_id", "mode", "manifest_key", F.col("p.part").alias("part"), F.col("p.rows").alias("rows"))
+    return (listed.join(found, ["run_id", "mode", "part"], "left").groupBy("run_id", "mode", "manifest_key")
+            .agg(F.every(F.coalesce(F.col("found") == F.col("rows"), F.lit(False))).alias("manifest_exists"))
+            .withColumn("recounted", F.lit(True)))
+
+
 def decision_inputs(inv: DataFrame, eligible_rows: DataFrame, config: DataFrame, manifests: DataFrame,
-                    ready: DataFrame | None = None) -> DataFrame:
+                    ready: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """Rows for D1: trigger counts from A4, verified counts re-counted from
     the manifests as written (J6), the manifests-ready record, per-bucket
     config. Where a manifest is not listed or gone there is nothing to count
     and its own rung reports it; a listed one whose re-count failed
     (``recounted`` false) has a NULL verified count."""
-    runs = run_ids(inv)
-    counts = E.eligible_counts(inv, eligible_rows).withColumnRenamed("object_lock_mode", "mode")
+    runs = run_ids(inv) if runs is None else runs
+    counts = E.eligible_counts(runs, eligible_rows).withColumnRenamed("object_lock_mode", "mode")
     per_run = counts.join(runs, ["bucket", "dt"])
     expected = per_run.select("run_id", "bucket", "dt", "mode", F.col("eligible_count").alias("trigger_count"))
     rec = (D.count_reconciliation(expected, manifests.select("run_id", "mode"))
@@ -101,35 +122,59 @@ def query_complete_records(runs: DataFrame, counts: DataFrame, withheld_counts:
                     F.map_from_entries(hashes).alias("count_query_hashes")))
 
 
+def lineage_manifest(spark: SparkSession, pointer: str, runs: DataFrame) -> DataFrame | None:
+    """The dedup rows of each run: the manifest of the published run of the same
+    (bucket, mode) with the latest snapshot before the run's own. A run is so
+    never compared with its own manifest, nor with a later one, when it is
+    replayed after the pointer went on. Rows carry the run's ``dt``."""
+    if not table_exists(spark, f"{pointer}_log"):
+        return None
+    log = spark.read.parquet(f"{pointer}_log").select("bucket", "mode", F.col("dt").alias("_dt"), F.col("run_id").alias("_of"))
+    before = (runs.select("bucket", "dt").join(log, "bucket").where(F.col("_dt") < F.col("dt"))
+              .groupBy("bucket", "dt", "mode").agg(F.max_by("_of", F.struct("_dt", "_of")).alias("run_id")))
+    return read_published(spark, pointer).join(before, ["bucket", "mode", "run_id"]).select("bucket", "key", "version_id", "mode", "dt")
+
+
+MANIFEST_SCHEMA = "bucket string, key string, version_id string, run_id string, mode string"
+COMBINED_SCHEMA = "bucket string, key string, version_id string, run_id string, mode string, part int"
+
+#: Each output's sub-folder of a run.
+FOLDERS = {"classified": "bucket={bucket}/dt={dt}", "eligible": "bucket={bucket}/dt={dt}", "manifests": "run_id={run_id}", "combined": "run_id={run_id}",
+           "ready": "run_id={run_id}", "withheld": "target={bucket}/dt={raw}"}
+
+
 def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_root: str,
                  previous_manifest: DataFrame | None = None, validate: bool = True,
-                 decide_inline: bool = True) -> dict:
+                 decide_inline: bool = True, pointer: str | None = None, part_bytes: int = K.PART_BYTES) -> dict:
     """The batch job of one cadence over every bucket/snapshot in ``inv``.
 
-    Writes under ``out_root``: classified/ (Parquet, the lineage cut),
-    manifests/ (CSV per run/mode), ready/ (which manifests are finished), withheld/ (CSV per bucket and raw dt), decisions/,
-    active_jobs/ (what completion waits for), previous/ (dedup pointer, created
-    modes only), runs/ (sentinel, last).
+    Writes under ``out_root``, each in a folder of this attempt: classified/
+    (Parquet, the lineage cut), eligible/, manifests/ (CSV per run/mode),
+    combined/ (the sorted manifest cut into files of ``part_bytes``), ready/
+    (which manifests are finished, with their parts), withheld/ (CSV per bucket
+    and raw dt); then the commit row, by which readers find them. After that:
+    records/, decisions/, active_jobs/ (what completion waits for), previous/
+    (dedup pointer, created modes only), runs/ (sentinel, last). A job that dies
+    leaves what was committed before; its replay is a new attempt.
+
+    ``previous_manifest`` holds versions not to be released again; ``pointer``
+    names a published dedup pointer, of which each run takes its predecessor.
     """
     D.validate_config(config)
     if validate:
         C.assert_unique_versions(inv)
     attempt = uuid.uuid4().hex
-    runs = run_ids(inv)
-    # one row per (bucket, snapshot): a re-run first clears what it replaces, so
-    # a partition that is empty this time does not keep its old rows
-    own = [(r.bucket, r.dt, r.run_id) for r in runs.collect()]
-    clear_folders(spark, f"{out_root}/classified", [f"bucket={b}/dt={d}" for b, d, _ in own])
-    clear_folders(spark, f"{out_root}/manifests", [f"run_id={r}" for _, _, r in own])
-    clear_folders(spark, f"{out_root}/ready", [f"run_id={r}" for _, _, r in own])
-    clear_folders(spark, f"{out_root}/withheld", [f"target={b}/dt={d[:10]}T{d[11:]}Z" for b, d, _ in own])
+
+    def at(name: str) -> str:
+        return A.attempt_path(out_root, name, attempt)
+
+    # one row per (bucket, snapshot) of this cadence; later steps read these, not the inventory
+    own = [(r.bucket, r.dt, r.run_id) for r in run_ids(inv).collect()]
+    runs = spark.createDataFrame(own, "bucket string, dt string, run_id string")
+    A.begin(out_root, attempt, runs)
     classified = C.classify_versions(inv)
-    # (bucket, dt) partitions: a run replaces exactly its own snapshots
-    (classified.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket", "dt").parquet(f"{out_root}/classified"))
-    snaps = sorted({d for _, d, _ in own})
-    cls = (spark.read.schema(classified.schema).parquet(f"{out_root}/classified").where(F.col("dt").isin(snaps))  # partition pruning
-           .join(runs.select("bucket", "dt"), ["bucket", "dt"], "left_semi"))
+    classified.write.partitionBy("bucket", "dt").parquet(at("classified"))
+    cls = spark.read.schema(classified.schema).parquet(at("classified"))
     # each bucket's own release mode, in one filter over the classified table
     # (it holds every candidate, so `either` needs no classification columns).
     # A bucket without a configuration selects nothing here and is withheld as
@@ -144,29 +189,39 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
             .select(*E.ELIGIBLE_COLS))
     if previous_manifest is not None:
         elig = E.dedup(elig, previous_manifest)
-    man = E.manifest_rows(elig).join(runs, ["bucket", "dt"])
-    K.write_manifest(man, f"{out_root}/manifests")
-    written = (spark.read.schema("bucket string, key string, version_id string, run_id string, mode string")
-               .csv(f"{out_root}/manifests").join(runs.select("run_id"), "run_id", "left_semi"))
+    lineage = lineage_manifest(spark, pointer, runs) if pointer else None
+    if lineage is not None:
+        elig = E.dedup(elig, lineage)
+    # manifests and counts read one stored result, so the dedup joins run once
+    elig.write.partitionBy("bucket", "dt").parquet(at("eligible"))
+    elig = spark.read.schema(elig.schema).parquet(at("eligible"))
+    K.write_manifest(E.manifest_rows(elig).join(runs, ["bucket", "dt"]), at("manifests"))
+    written = spark.read.schema(MANIFEST_SCHEMA).csv(at("manifests"))
+    K.write_combined(written, at("combined"), part_bytes)
+    combined = spark.read.schema(COMBINED_SCHEMA).csv(at("combined"))
     # what the manifest stage finished: the decision stream trusts no manifest that is not listed here
-    (manifests_ready(written).select("mode", "manifest_key", "run_id").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{out_root}/ready"))
+    ready = ready_record(combined)
+    ready.write.partitionBy("run_id").parquet(at("ready"))
     wh = E.withheld(inv, cls).withColumn(
         "dt_raw", F.regexp_replace("dt", r"^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$", "$1T$2-$3Z"))
-    K.write_withheld(wh, f"{out_root}/withheld")
+    K.write_withheld(wh, at("withheld"))
+    A.commit(spark, out_root, attempt, runs)
+
     # the stage's query-complete records (entry point 2 starts from them)
-    counts = E.eligible_counts(inv, elig)
-    query_complete_records(runs, counts, E.withheld_count(inv, cls)) \
+    counts = E.eligible_counts(runs, elig)
+    query_complete_records(runs, counts, E.withheld_count(runs, cls)) \
         .write.mode("append").json(f"{out_root}/records")
     if decide_inline:
-        inputs = decision_inputs(inv, elig, config, manifests=written)
+        evidence = ready_evidence(spark.read.schema(ready.schema).parquet(at("ready")), combined)
+        inputs = decision_inputs(inv, elig, config, manifests=written, ready=evidence, runs=runs)
         decisions = D.decide(inputs).withColumn("decided_at", F.current_timestamp().cast("timestamp_ntz"))
         K.append_decisions(decisions, f"{out_root}/decisions", attempt)
         dec = spark.read.parquet(f"{out_root}/decisions").where(F.col("attempt") == attempt)
         K.append_active_jobs(D.active_jobs(dec), f"{out_root}/active_jobs")
         K.publish_previous_manifest(written, dec, f"{out_root}/previous")
     K.mark_complete(spark, f"{out_root}/runs", runs)
-    return {"classified": f"{out_root}/classified", "manifests": f"{out_root}/manifests",
+    A.retire(spark, out_root, runs, FOLDERS)
+    return {"classified": f"{out_root}/classified", "manifests": f"{out_root}/manifests", "combined": f"{out_root}/combined",
             "decisions": f"{out_root}/decisions", "withheld": f"{out_root}/withheld",
             "records": f"{out_root}/records", "ready": f"{out_root}/ready", "active_jobs": f"{out_root}/active_jobs",
-            "previous": f"{out_root}/previous", "runs": f"{out_root}/runs"}
+            "previous": f"{out_root}/previous", "runs": f"{out_root}/runs", "commits": f"{out_root}/commits"}

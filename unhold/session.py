@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -77,9 +78,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder: a machine-local "
                                "scratch folder is not visible to the executors of a cluster")
         d = tempfile.mkdtemp(prefix="unhold-ckpt-", dir=os.environ.get("UNHOLD_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
     try:
         spark.sparkContext.setCheckpointDir(d)
     except Exception:  # noqa: BLE001 - Connect sessions have no SparkContext
         pass
     return d
+
+
+def scratch_table(df, name: str):
+    """``df`` written once as Parquet under the shared checkpoint folder and read
+    back: a result that every later use, and every retry, reads the same."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .paths import table_exists
 from ..functions.text import is_valid_raw_dt, is_valid_run_id
 from ..schemas import (DELIVERY_MANIFEST, LOCK_MODES, MANIFEST_CSV, OPTIONAL_INVENTORY_COLUMNS,
                        PARQUET_FIELD_PATTERN, QUERY_COMPLETE, REQUIRED_INVENTORY_COLUMNS,
@@ -59,14 +60,27 @@ def read_delivery_manifests(spark: SparkSession, root: str) -> DataFrame:
                      F.element_at(F.split(path, "/"), -2).alias("dt_raw"))
 
 
+_POINTER = T.StructType(MANIFEST_CSV.fields + [T.StructField("target", T.StringType()), T.StructField("mode", T.StringType())])
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """All manifests ever published to a pointer, with their ``run_id``."""
+    schema = T.StructType(_POINTER.fields + [T.StructField("run_id", T.StringType())])
+    return (spark.read.schema(schema).option("header", False).csv(path)
+            .where(F.col("mode").isin(LOCK_MODES)).drop("target"))
+
+
 def read_previous_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Headerless positional CSV (bucket, key, version_id) under
     ``mode=<MODE>/`` folders. The three-field schema is load-bearing: a
-    shorter one would bind bucket as key and silently match nothing."""
-    schema = T.StructType(MANIFEST_CSV.fields + [T.StructField("target", T.StringType()),
-                                                 T.StructField("mode", T.StringType())])
-    return (spark.read.schema(schema).option("header", False).csv(path)
-            .where(F.col("mode").isin(LOCK_MODES)).drop("target"))
+    shorter one would bind bucket as key and silently match nothing. Where a
+    pointer was published (its log lies beside it), the run that it names for
+    each (bucket, mode) counts."""
+    if not table_exists(spark, f"{path}_log"):
+        return (spark.read.schema(_POINTER).option("header", False).csv(path)
+                .where(F.col("mode").isin(LOCK_MODES)).drop("target"))
+    at = spark.read.parquet(f"{path}_log").groupBy("bucket", "mode").agg(F.max_by("run_id", F.struct("dt", "run_id")).alias("run_id"))
+    return read_published(spark, path).join(at, ["bucket", "mode", "run_id"], "left_semi").select("bucket", "key", "version_id", "mode")
 
 
 def read_withheld_history(spark: SparkSession, path: str, dts: list[str]) -> DataFrame:

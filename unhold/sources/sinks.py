@@ -68,28 +68,72 @@ def combine_manifest(spark: SparkSession, parts_path: str, out_path: str) -> boo
     return True
 
 
+PART_BYTES = 256 << 20  # a combined manifest is cut into files of about this size
+
+
+def line_bytes():
+    """Bytes of a manifest row as written: three values, two commas, a line end."""
+    return F.octet_length("bucket") + F.octet_length("key") + F.octet_length("version_id") + F.lit(3)
+
+
+def manifest_parts(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """K3: ``rows`` (bucket, key, version_id, run_id, mode) with ``part``: the
+    file of the sorted manifest that a row belongs to. A file begins where the
+    bytes before it reach another multiple of ``part_bytes``.
+
+    The running sum is distributed: rows are range-partitioned in manifest order,
+    summed within each range, and ranges are offset by the sums before them."""
+    from pyspark.sql import Window
+
+    from ..session import scratch_table
+    keys = ["run_id", "mode", "bucket", "key", "version_id"]
+    # stored, so that the ranges are the same for the sums and for the rows
+    dealt = scratch_table(rows.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+                          .withColumns({"_at": F.monotonically_increasing_id(), "_bytes": line_bytes().cast("bigint")}), "manifest-order")
+    dealt = dealt.withColumn("_range", F.shiftright("_at", 33))
+    past = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("run_id", "mode", "_range").agg(F.sum("_bytes").alias("_sum"))  # one row a range and manifest
+    sums = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(past("run_id", "mode").orderBy("_range")), F.lit(0))).drop("_sum")
+    begin = F.coalesce(F.sum("_bytes").over(past("run_id", "mode", "_range").orderBy("_at")), F.lit(0)) + F.col("_offset")
+    return dealt.join(sums, ["run_id", "mode", "_range"]).select(*keys, F.floor(begin / part_bytes).cast("int").alias("part"))
+
+
+def write_combined(rows: DataFrame, path: str, part_bytes: int = PART_BYTES) -> None:
+    """K3: the combined manifest of every (run_id, mode): one sorted file a part,
+    in ``run_id=/mode=/part=`` folders; read in part order they are the one
+    sorted object. A (run, mode) without rows has no manifest."""
+    order = ["bucket", "key", "version_id"]
+    out = manifest_parts(rows, part_bytes).select(*order, "run_id", "mode", "part").repartition("run_id", "mode", "part").sortWithinPartitions(*order)
+    _csv(out).partitionBy("run_id", "mode", "part").csv(path)
+
+
 def publish_previous_manifest(manifest_rows: DataFrame, decisions: DataFrame, path: str) -> None:
-    """K4: overwrite a (bucket, mode) dedup pointer only where a decision is
-    ``created``, with that bucket's latest created run; other pointers keep
-    their old content (dynamic partition overwrite replaces exactly the
-    partitions written). Folders are ``target=<bucket>/mode=<mode>/`` (the
-    CSV itself keeps its positional bucket column)."""
+    """K4: move a (bucket, mode) dedup pointer where a decision is ``created``,
+    to that bucket's latest created run; other pointers stay. Rows lie in
+    ``target=<bucket>/mode=<mode>/run_id=<run>/`` (the CSV itself keeps its
+    positional bucket column); the row in the log beside it is what moves the
+    pointer, so nothing is removed before, and what was published earlier stays
+    for the runs that follow it."""
     from pyspark.sql import Window
     spark = decisions.sparkSession
     created = decisions.where(F.col("outcome") == "created").select("run_id", "bucket", "dt", "mode")
     w = Window.partitionBy("bucket", "mode").orderBy(F.col("dt").desc(), F.col("run_id").desc())
     latest = created.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-    # the pointer never moves back: what was published, per (bucket, mode), is
-    # kept beside it, and an older run than that is passed over
+    # the pointer never moves back: an older run than the published one is passed over, and a published one is done
     log = f"{path}_log"
     if table_exists(spark, log):
-        at = spark.read.parquet(log).groupBy("bucket", "mode").agg(F.max("dt").alias("_at"))
-        latest = latest.join(at, ["bucket", "mode"], "left").where(F.col("_at").isNull() | (F.col("dt") >= F.col("_at"))).drop("_at")
+        at = spark.read.parquet(log).groupBy("bucket", "mode").agg(F.max(F.struct("dt", "run_id")).alias("_at"))
+        latest = (latest.join(at, ["bucket", "mode"], "left")
+                  .where(F.col("_at").isNull() | (F.struct("dt", "run_id") > F.col("_at"))).drop("_at"))
+    todo = [tuple(r) for r in latest.select("run_id", "bucket", "dt", "mode").collect()]  # one row a bucket and mode that moves
+    if not todo and table_exists(spark, log):
+        return
+    latest = spark.createDataFrame(todo, "run_id string, bucket string, dt string, mode string")
     rows = manifest_rows.join(latest.select("run_id", "bucket", "mode"), ["run_id", "bucket", "mode"], "left_semi")
-    _csv(rows.select("bucket", "key", "version_id", F.col("bucket").alias("target"), "mode")
+    _csv(rows.select("bucket", "key", "version_id", F.col("bucket").alias("target"), "mode", "run_id")
          .repartition("target", "mode", "key", "version_id")) \
-        .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target", "mode").csv(path)
-    latest.select("bucket", "mode", "dt", "run_id").write.mode("append").parquet(log)
+        .mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target", "mode", "run_id").csv(path)
+    latest.select("bucket", "mode", "dt", "run_id").coalesce(1).write.mode("append").parquet(log)
 
 
 def mark_complete(spark: SparkSession, runs_path: str, run_rows: DataFrame) -> None:
@@ -110,6 +154,16 @@ def append_active_jobs(active: DataFrame, path: str) -> None:
     active.write.mode("append").parquet(path)
 
 
+def append_once(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Append the rows whose ``keys`` the table does not hold yet (NULL-safe)."""
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates(keys)
+    if table_exists(spark, path):
+        held = spark.read.parquet(path).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        rows = rows.join(held, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+    rows.write.mode("append").parquet(path)
+
+
 def append_decisions(decisions: DataFrame, path: str, attempt: str) -> None:
     """K6: append-only decision history. Every decision has its own
     ``decision_id`` (of its token and the attempt that made it); a replay adds

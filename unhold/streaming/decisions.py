@@ -23,6 +23,7 @@ from ..operators import decide as D
 from ..plans.runs import manifests_ready
 from ..schemas import LOCK_MODES, QUERY_COMPLETE
 from ..sources import sinks as K
+from ..sources.attempts import resolved
 from ..sources.paths import table_exists
 from ..sources.records import validate_run_records
 
@@ -35,21 +36,22 @@ def _ready(spark: SparkSession, path: str | None, manifests: DataFrame) -> DataF
     if path is None:
         return manifests_ready(manifests).select("run_id", "mode", "manifest_key")
     schema = "mode string, manifest_key string, run_id string"
-    return spark.read.schema(schema).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], schema)
+    if not table_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return resolved(spark.read.schema(schema).parquet(path), path).select("run_id", "mode", "manifest_key")
 
 
 def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, config: DataFrame,
                    out_root: str, ready_path: str | None = None) -> None:
     checked = validate_run_records(batch)
-    checked.where(~F.col("valid")).select("run_id", "dt", F.array_join("problems", ",").alias("problems"),
-                                          "_corrupt_record") \
-        .write.mode("append").parquet(f"{out_root}/quarantine")
+    K.append_once(checked.where(~F.col("valid")).select("run_id", "dt", F.array_join("problems", ",").alias("problems"), "_corrupt_record"),
+                  f"{out_root}/quarantine", ["run_id", "dt", "problems", "_corrupt_record"])
     recs = checked.where(F.col("valid")).dropDuplicates(["run_id"])
     rows = recs.select(
         "run_id", F.col("target_bucket").alias("bucket"), raw_dt_to_dashed("dt").alias("dt"),
         F.explode(F.array(*[F.lit(m) for m in LOCK_MODES])).alias("mode"),
         "row_counts", "count_query_execution_ids", "count_query_hashes")
-    man = (spark.read.schema(MANIFEST_SCHEMA).csv(manifests_path)
+    man = (resolved(spark.read.schema(MANIFEST_SCHEMA).csv(manifests_path), manifests_path)
            .join(rows.select("run_id").distinct(), "run_id", "left_semi"))
     recount = man.groupBy("run_id", "mode").agg(F.count(F.lit(1)).alias("recount"))
     ready = _ready(spark, ready_path, man)
@@ -71,11 +73,12 @@ def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, c
     path = f"{out_root}/decisions"
     if table_exists(spark, path):
         dec = dec.join(spark.read.parquet(path).select("decision_token"), "decision_token", "left_anti")
-    attempt = uuid.uuid4().hex
-    K.append_decisions(dec, path, attempt)
-    new = spark.read.parquet(path).where(F.col("attempt") == attempt)
-    K.append_active_jobs(D.active_jobs(new), f"{out_root}/active_jobs")
-    K.publish_previous_manifest(man, new, f"{out_root}/previous")
+    K.append_decisions(dec, path, uuid.uuid4().hex)
+    # each step takes what the history holds for the batch's runs and its own
+    # output does not: whatever a killed attempt left undone, its replay does
+    held = spark.read.parquet(path).join(recs.select("run_id").distinct(), "run_id", "left_semi")
+    K.append_active_jobs(D.active_jobs(held), f"{out_root}/active_jobs")
+    K.publish_previous_manifest(man, held, f"{out_root}/previous")
 
 
 def start(spark: SparkSession, records_path: str, manifests_path: str, config: DataFrame, out_root: str,

@@ -21,8 +21,9 @@ from ..functions.text import is_valid_raw_dt, raw_dt_to_dashed
 from ..plans.runs import run_snapshot
 from ..schemas import DELIVERY_MANIFEST
 from ..sources.inventory import read_inventory
-from ..sources.paths import csv_exists, table_exists
-from ..sources.records import read_previous_manifest, schema_drift
+from ..sources.paths import table_exists
+from ..sources.records import schema_drift
+from ..sources.sinks import append_once
 
 
 def _parsed(batch: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def delivery_batch(spark: SparkSession, batch: DataFrame, data_root: str, config
     d = _parsed(batch)
     checked = schema_drift(d).withColumn("verdict", F.when(~F.coalesce(is_valid_raw_dt("dt_raw"), F.lit(False)), "invalid_dt").otherwise(F.col("verdict")))
     bad = checked.where(F.col("verdict") != "ok").select("path", "bucket", "dt_raw", "verdict", "missing_required")
-    bad.write.mode("append").parquet(f"{out_root}/delivery_quarantine")
+    append_once(bad, f"{out_root}/delivery_quarantine", ["path", "verdict"])  # also when the batch is replayed
     todo = checked.where(F.col("verdict") == "ok").select("bucket", raw_dt_to_dashed("dt_raw").alias("dt")).distinct()
     runs_path = f"{out_root}/runs"
     if table_exists(spark, runs_path):
@@ -55,9 +56,7 @@ def delivery_batch(spark: SparkSession, batch: DataFrame, data_root: str, config
                       .withColumn("bucket", F.lit(bucket)))
     inv = reduce(DataFrame.unionByName, frames)
     # versions whose release is in flight are not put into a manifest again
-    pointer = f"{out_root}/previous"
-    previous = read_previous_manifest(spark, pointer) if csv_exists(spark, pointer) else None
-    run_snapshot(spark, inv, config, out_root, previous_manifest=previous)
+    run_snapshot(spark, inv, config, out_root, pointer=f"{out_root}/previous")
 
 
 def start(spark: SparkSession, manifest_root: str, data_root: str, config: DataFrame, out_root: str,
