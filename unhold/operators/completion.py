@@ -80,8 +80,9 @@ def status_disagreement(routed: DataFrame) -> DataFrame:
 
 def first_terminal(routed: DataFrame) -> DataFrame:
     """T-6 batch twin: the first accepted event per (run, job) wins; repeats
-    are routed ``duplicate_event``. Groups are one job's repeats (small)."""
-    w = Window.partitionBy("run_id", "job_id").orderBy("event_time")
+    are routed ``duplicate_event``. Of events at one time, the status that comes
+    first by name wins. Groups are one job's repeats (small)."""
+    w = Window.partitionBy("run_id", "job_id").orderBy("event_time", "event_status")
     acc = routed.where(F.col("route") == "accepted").withColumn("_rn", F.row_number().over(w))
     return acc.withColumn("route", F.when(F.col("_rn") == 1, F.lit("accepted")).otherwise(F.lit("duplicate_event"))) \
         .drop("_rn")
@@ -159,25 +160,38 @@ def missing_record_alarm(routed: DataFrame, period: str = "5 minutes") -> DataFr
                     "missing_record_events"))
 
 
-def backlog_samples(jobs_df: DataFrame, events: DataFrame) -> DataFrame:
+def backlog_samples(jobs_df: DataFrame, events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Failed-run backlog samples: a failed job's first event adds depth 1 at
     its time and a 0 sample a day later (after redrive)."""
     f = (events.join(jobs_df.where(F.col("status") == "Failed").select("job_id"), "job_id", "left_semi")
          .groupBy("bucket", "job_id").agg(F.min("event_time").alias("t")))
-    return (f.select("bucket", F.col("t").alias("sample_time"), F.lit(1).alias("depth"))
-            .unionByName(f.select("bucket", (F.col("t") + F.expr("INTERVAL 1 DAY")).alias("sample_time"),
+    keys = keys or []
+    return (f.select("bucket", *keys, F.col("t").alias("sample_time"), F.lit(1).alias("depth"))
+            .unionByName(f.select("bucket", *keys, (F.col("t") + F.expr("INTERVAL 1 DAY")).alias("sample_time"),
                                   F.lit(0).alias("depth"))))
 
 
+def backlog_periods(samples: DataFrame, period: str = "5 minutes") -> DataFrame:
+    """Tumbling max depth per period and bucket, for periods with samples."""
+    return (samples.groupBy("bucket", F.window("sample_time", period).alias("w")).agg(F.max("depth").alias("max_depth"))
+            .select("bucket", F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"), "max_depth"))
+
+
 def backlog_alarm(samples: DataFrame, period: str = "5 minutes") -> DataFrame:
-    """T-9 + W4: tumbling max depth per period and bucket, ALARM when > 0,
-    and only the state changes (the first ALARM counts as a change from OK).
-    The lag runs per bucket over periods, so its groups are one bucket's
-    periods with samples, not rows."""
-    p = (samples.groupBy("bucket", F.window("sample_time", period).alias("w"))
-         .agg(F.max("depth").alias("max_depth"))
-         .select("bucket", F.col("w.start").alias("period_start"), "max_depth",
-                 F.when(F.col("max_depth") > 0, "ALARM").otherwise("OK").alias("state")))
+    """T-9 + W4: the state changes of each bucket's alarm: ALARM at the first of
+    consecutive periods whose max depth is above 0, OK at the period after the
+    last of them. A period without samples is not breaching, so an alarm ends
+    there as well, with a depth of 0.
+
+    Islands: a breaching period begins one where the bucket's breaching period
+    before it does not end at its start, and ends one likewise. The lag and lead
+    run per bucket over its breaching periods, not over rows."""
+    p = backlog_periods(samples, period)
     w = Window.partitionBy("bucket").orderBy("period_start")
-    prev = F.coalesce(F.lag("state").over(w), F.lit("OK"))
-    return p.withColumn("previous_state", prev).where(F.col("state") != F.col("previous_state"))
+    hot = p.where("max_depth > 0").withColumns({"_before": F.lag("period_end").over(w), "_after": F.lead("period_start").over(w)})
+    begins = hot.where(~F.col("_before").eqNullSafe(F.col("period_start"))).select(
+        "bucket", "period_start", "max_depth", F.lit("ALARM").alias("state"), F.lit("OK").alias("previous_state"))
+    ends = hot.where(~F.col("_after").eqNullSafe(F.col("period_end"))).select(
+        "bucket", F.col("period_end").alias("period_start"), F.lit(0).cast(p.schema["max_depth"].dataType).alias("max_depth"),
+        F.lit("OK").alias("state"), F.lit("ALARM").alias("previous_state"))
+    return begins.unionByName(ends)

@@ -8,7 +8,7 @@ classification with the inverted condition, so the two cannot drift.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import url_encode_key
@@ -116,21 +116,53 @@ def withheld_count(inv: DataFrame, classified: DataFrame | None = None) -> DataF
             .select("bucket", "dt", F.coalesce(F.col("withheld_count"), F.lit(0).cast("bigint")).alias("withheld_count")))
 
 
+#: Hash buckets of a snapshot that are compared by their sums.
+FINGERPRINT_BUCKETS = 256
+
+
+def _fingerprints(rows: DataFrame, times: Column) -> DataFrame:
+    """Order-free sums over the multiset of (key, version_id), each row ``times``
+    times, per (bucket, dt, hash bucket): rows, and sums of two halves of a hash
+    (of 32 bits, so that they do not overflow)."""
+    h = F.xxhash64(*KEY, "version_id")
+    slot = F.pmod(F.hash(*KEY, "version_id"), F.lit(FINGERPRINT_BUCKETS))
+    return (rows.select("bucket", "dt", slot.alias("slot"), h.alias("h"), times.cast("bigint").alias("t")).groupBy("bucket", "dt", "slot")
+            .agg(F.sum("t").alias("n"), F.sum(F.col("t") * F.col("h").bitwiseAND(0xFFFFFFFF)).alias("low"),
+                 F.sum(F.col("t") * F.shiftrightunsigned("h", 32)).alias("high")))
+
+
 def partition_check(inv: DataFrame, classified: DataFrame | None = None) -> DataFrame:
     """Eligible (delete or overwrite), withheld and unclassified are
     pairwise disjoint and their union is the candidate set.
 
     Returns the violations: rows of the candidate set missing from the union,
-    and rows of the union not in the candidate set or counted twice
-    (``exceptAll`` both ways). Empty means the invariant holds.
+    and rows of the union not in the candidate set or counted twice. Empty means
+    the invariant holds.
+
+    Both sides are reconciled by multiset fingerprints first, in one pass over the
+    candidates and one over the classification; rows are compared (``exceptAll``
+    both ways) only in the hash buckets whose sums differ.
     """
+    from ..session import scratch_table
     cls = classified if classified is not None else classify_versions(inv)
     in_modes = F.col("object_lock_mode").isin(LOCK_MODES)
     cand = candidates(inv).where(in_modes).select(*KEY, "version_id")
-    parts = (eligible(inv, "delete", classified=cls).select(*KEY, "version_id")
-             .unionByName(eligible(inv, "overwrite", classified=cls).select(*KEY, "version_id"))
-             .unionByName(withheld(inv, cls).where(in_modes).select(*KEY, "version_id"))
-             .unionByName(unclassified(inv, cls).where(in_modes).select(*KEY, "version_id")))
-    missing = cand.exceptAll(parts).withColumn("violation", F.lit("missing"))
-    extra = parts.exceptAll(cand).withColumn("violation", F.lit("extra_or_overlap"))
+    # how many of the parts a classified row is in
+    one, dm = F.col("superseder_kinds") == 1, F.col("superseder_is_delete_marker")
+    parts = [one & (dm == F.lit(True)), one & (dm == F.lit(False)), F.col("superseder_kinds") > 1, F.col("superseder_class") == "unclassified"]
+    times = sum((F.coalesce(p, F.lit(False)).cast("int") for p in parts), F.lit(0))
+    in_parts = cls.where(in_modes).select(*KEY, "version_id", times.alias("_times"))
+    sums = (_fingerprints(cand, F.lit(1)).withColumn("side", F.lit(1)).unionByName(_fingerprints(in_parts, F.col("_times")).withColumn("side", F.lit(-1))))
+    differ = scratch_table(sums.groupBy("bucket", "dt", "slot").agg(*[F.sum(F.col(c) * F.col("side")).alias(c) for c in ("n", "low", "high")])
+                           .where("n <> 0 OR low <> 0 OR high <> 0").select("bucket", "dt", "slot"), "differing-buckets")
+    if differ.limit(1).count() == 0:
+        return cand.limit(0).withColumn("violation", F.lit(None).cast("string"))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("slot", F.pmod(F.hash(*KEY, "version_id"), F.lit(FINGERPRINT_BUCKETS))).join(differ, ["bucket", "dt", "slot"], "left_semi").drop("slot")
+
+    union = inside(in_parts).withColumn("_t", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*KEY, "version_id")
+    cand = inside(cand).select(*KEY, "version_id")
+    missing = cand.exceptAll(union).withColumn("violation", F.lit("missing"))
+    extra = union.exceptAll(cand).withColumn("violation", F.lit("extra_or_overlap"))
     return missing.unionByName(extra)

@@ -6,7 +6,7 @@ collects rows to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .classify import KEY, classify_before_and_after
@@ -93,3 +93,42 @@ def prefix_shards(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     cut = rows.withColumn("_p", F.explode(F.array_distinct(F.array(*[F.substring("key", 1, n) for n in lengths]))))
     return (cut.join(s, (cut.bucket == s._sb) & (cut._p == s.shard))
             .where(F.length("key") >= F.length("shard")).drop("_sb", "_p"))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix of two strings."""
+    n = F.least(F.length(a), F.length(b))
+    same = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)))
+    first = F.array_position(same, F.lit(False))
+    return F.when(n == 0, 0).when(first == 0, n).otherwise(first - 1).cast("int")
+
+
+def shard_plan(inv: DataFrame, limit: int) -> DataFrame:
+    """P5: shards of each bucket's keys by prefix, none with more than ``limit``
+    versions unless it is a single key: (bucket, prefix, single_key, versions,
+    keys). A shard is all keys that start with its prefix, or the one key that
+    equals it; the shards are disjoint and cover all keys.
+
+    The key tree is descended from the whole bucket: a prefix above the limit is
+    split at the first character in which its keys differ (the common prefix of
+    its least and greatest key), the others are done. Versions are counted per key
+    once, so a hot key is one row; each step reads the keys of heavy prefixes."""
+    from ..session import scratch_table
+    at = ["bucket", "prefix", "single_key"]
+    keys = scratch_table(inv.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("n"))
+                         .withColumns({"prefix": F.lit(""), "single_key": F.lit(False)}), "shard-keys")
+    done = None
+    while True:
+        groups = scratch_table(keys.groupBy(*at).agg(F.sum("n").alias("versions"), F.count(F.lit(1)).alias("keys"), F.min("key").alias("_low"), F.max("key").alias("_high")), "shard-counts")
+        heavy = (F.col("versions") > limit) & (F.col("keys") > 1)
+        # one key is named by itself, so that its shard is that key and nothing else
+        alone = (F.col("versions") > limit) & (F.col("keys") == 1)
+        fine = groups.where(~heavy).select("bucket", F.when(alone, F.col("_low")).otherwise(F.col("prefix")).alias("prefix"),
+                                           (F.col("single_key") | alone).alias("single_key"), "versions", "keys")
+        done = fine if done is None else done.unionByName(fine)
+        split = groups.where(heavy).select(*at, _common(F.col("_low"), F.col("_high")).alias("_common"))
+        if split.limit(1).count() == 0:
+            return done
+        whole = F.length("key") <= F.col("_common")
+        keys = scratch_table(keys.join(split, at).select(
+            "bucket", "key", "n", F.when(whole, F.col("key")).otherwise(F.substring("key", F.lit(1), F.col("_common") + 1)).alias("prefix"), whole.alias("single_key")), "shard-keys")

@@ -246,6 +246,7 @@ def q_unclassified_gaps(spark, d):
 # --- decisions (D1 to D3, A7, J6) --------------------------------------------
 
 from ..operators import decide as D  # noqa: E402
+from ..schemas import TEXT_MODE_CREATE_FAILED, TEXT_MODE_UNSUPPORTED  # noqa: E402
 from . import runs as R  # noqa: E402
 
 DEC_COLS = ["run_id", "bucket", "dt", "mode", "outcome", "reason", "verified_count", "query_count",
@@ -281,10 +282,10 @@ def manifest_evidence(inv: DataFrame, sf_dir: str) -> tuple[DataFrame, DataFrame
             spark.read.schema("run_id string, mode string, manifest_key string, manifest_exists boolean, recounted boolean").parquet(f"{path}/ready"))
 
 
-def _decisions(spark, d, bucket1_threshold: int = 100):
+def _decisions(spark, d, bucket1_threshold: int = 100, submissions=None):
     inv = _inv(spark, d)
     elig = E.eligible(inv, "delete")
-    return D.decide(R.decision_inputs(inv, elig, R.fixture_config(inv, bucket1_threshold), *manifest_evidence(inv, d)))
+    return D.decide(R.decision_inputs(inv, elig, R.fixture_config(inv, bucket1_threshold), *manifest_evidence(inv, d), submissions=submissions))
 
 
 @register("decide", O.with_ctes(O.INV, O.CLS, O.decision_ctes(), body=f"SELECT {', '.join(DEC_COLS)} FROM decisions"))
@@ -297,6 +298,29 @@ def q_run_summary(spark, d):
     return D.run_summary(_decisions(spark, d))
 
 
+def submission_answers(inv: DataFrame) -> DataFrame:
+    """What the job service answered in the fixture: it lacks the hold parameter
+    for bucket-1, refuses the job of bucket-2's cur COMPLIANCE run, takes the rest."""
+    runs = R.run_ids(inv)
+    refused = (F.col("bucket") == "bucket-2") & (F.col("dt") == fx.CUR_DT) & (F.col("mode") == "COMPLIANCE")
+    return (E.with_both_modes(runs).withColumnRenamed("object_lock_mode", "mode").join(runs, ["bucket", "dt"])
+            .select("run_id", "mode", F.when(F.col("bucket") == "bucket-1", "event_hold_unsupported").when(refused, "AccessDenied").alias("submit_error")))
+
+
+@register("submission_errors", O.with_ctes(O.INV, O.CLS, O.decision_ctes(((1, 100000, 0),), submit_error=(
+    f"CASE WHEN r.bucket = 'bucket-1' THEN 'event_hold_unsupported' WHEN r.bucket = 'bucket-2' AND r.dt = '{fx.CUR_DT}' "
+    "AND m.mode = 'COMPLIANCE' THEN 'AccessDenied' END")), body=f"""
+SELECT run_id, mode, outcome, reason, printf(CASE reason
+       WHEN 'event_hold_unsupported_by_runtime' THEN '{O.quoted(TEXT_MODE_UNSUPPORTED)}'
+       ELSE '{O.quoted(TEXT_MODE_CREATE_FAILED.replace('(%s)', '(AccessDenied)'))}' END, mode) AS line
+FROM decisions WHERE outcome = 'withheld' AND reason IN ('event_hold_unsupported_by_runtime', 'create_job_failed')"""))
+def q_submission_errors(spark, d):
+    """F8 + D1: the two rungs of the job service, from its answers, with the
+    sentences of the run summary."""
+    dec = _decisions(spark, d, 100000, submission_answers(_inv(spark, d))).withColumn("line", D.mode_line())
+    return dec.where(F.col("reason").isin("event_hold_unsupported_by_runtime", "create_job_failed")).select("run_id", "mode", "outcome", "reason", "line")
+
+
 @register("active_jobs", O.with_ctes(O.INV, O.CLS, O.decision_ctes(), """
 jobs_made AS (SELECT run_id, bucket, mode, job_id FROM decisions WHERE outcome = 'created')""", body="""
 SELECT j.run_id, j.bucket, j.mode, j.job_id, n.jobs_expected
@@ -434,20 +458,46 @@ def q_missing_record_alarm(spark, d):
     return J.missing_record_alarm(_routed(spark, d))
 
 
-@register("backlog_alarm", O.with_ctes(O.EVENTS, """
-f AS (SELECT e.bucket, e.job_id, min(e.event_time) AS t FROM evs e
-      WHERE e.job_id IN (SELECT job_id FROM jobs WHERE status = 'Failed') GROUP BY e.bucket, e.job_id),
-s AS (SELECT bucket, t AS sample_time, 1 AS depth FROM f UNION ALL
-      SELECT bucket, t + INTERVAL 1 DAY, 0 FROM f),
+def _backlog_sql(samples: str) -> str:
+    """State changes of the alarm over the SQL ``samples`` (bucket, sample_time,
+    depth): states of a full calendar of periods, empty ones OK."""
+    return O.with_ctes(O.EVENTS, samples, """
 p AS (SELECT bucket, time_bucket(INTERVAL '5 minutes', sample_time) AS period_start, max(depth) AS max_depth
-      FROM s GROUP BY 1, 2),
-st AS (SELECT *, CASE WHEN max_depth > 0 THEN 'ALARM' ELSE 'OK' END AS state FROM p),
-tr AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY bucket ORDER BY period_start), 'OK') AS previous_state FROM st)""",
-    body="SELECT bucket, period_start, max_depth, state, previous_state FROM tr WHERE state <> previous_state"))
+      FROM samples GROUP BY 1, 2),
+near AS (SELECT bucket, period_start FROM p UNION SELECT bucket, period_start + INTERVAL '5 minutes' FROM p),
+filled AS (SELECT n.bucket, n.period_start, coalesce(p.max_depth, 0) AS max_depth,
+                  CASE WHEN coalesce(q.max_depth, 0) > 0 THEN 'ALARM' ELSE 'OK' END AS previous_state
+           FROM near n LEFT JOIN p ON p.bucket = n.bucket AND p.period_start = n.period_start
+                LEFT JOIN p q ON q.bucket = n.bucket AND q.period_start = n.period_start - INTERVAL '5 minutes'),
+st AS (SELECT *, CASE WHEN max_depth > 0 THEN 'ALARM' ELSE 'OK' END AS state FROM filled)""",
+                       body="SELECT bucket, period_start, max_depth, state, previous_state FROM st WHERE state <> previous_state")
+
+
+_FAILED_SQL = """
+f AS (SELECT e.bucket, e.job_id, min(e.event_time) AS t FROM evs e
+      WHERE e.job_id IN (SELECT job_id FROM jobs WHERE status = 'Failed') GROUP BY e.bucket, e.job_id)"""
+
+
+@register("backlog_alarm", _backlog_sql(_FAILED_SQL + """,
+samples AS (SELECT bucket, t AS sample_time, 1 AS depth FROM f UNION ALL SELECT bucket, t + INTERVAL 1 DAY, 0 FROM f)"""))
 def q_backlog_alarm(spark, d):
     return J.backlog_alarm(J.backlog_samples(_ev(spark, d, "jobs"), _ev(spark, d, "job_events")))
 
 
+@register("backlog_alarm_gaps", _backlog_sql(_FAILED_SQL + """,
+samples AS (SELECT bucket, t + CAST(k AS INTEGER) * INTERVAL 1 MINUTE AS sample_time,
+                   CASE WHEN k = 9 AND ascii(md5(job_id)) % 2 = 0 THEN 0 ELSE 1 END AS depth
+            FROM f, (VALUES (0), (4), (9), (17), (360)) v(k))"""))
+def q_backlog_alarm_gaps(spark, d):
+    """Samples of a sampler that fails for hours: at 0, 4, 9, 17 and 360 minutes
+    after a failure, so that alarms end in periods without any sample."""
+    f = J.backlog_samples(_ev(spark, d, "jobs"), _ev(spark, d, "job_events"), keys=["job_id"]).where("depth = 1")
+    rows = f.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (0, 4, 9, 17, 360)])))
+    cleared = (F.col("k") == 9) & (F.ascii(F.md5("job_id")) % 2 == 0)
+    return J.backlog_alarm(rows.select("bucket", (F.col("sample_time") + F.make_dt_interval(mins="k")).alias("sample_time"),
+                                       F.when(cleared, 0).otherwise(1).alias("depth")))
+
+
 # --- verification and projections (V1 to V6, W2) -----------------------------
 
 from ..operators import verify as V  # noqa: E402
@@ -659,6 +709,28 @@ from ..operators import artifacts as AR  # noqa: E402
 from ..schemas import RATE_CARD, RETENTION_RULES  # noqa: E402
 
 
+SHARD_LIMIT = 40  # versions of a shard of the fixture
+
+
+@register("shard_plan", O.with_ctes(O.INV, f"""
+k AS (SELECT bucket, key, count(*) AS n FROM inv GROUP BY bucket, key)""", body=f"""
+SELECT bucket, CASE WHEN versions > {SHARD_LIMIT} THEN low ELSE prefix END AS prefix, single_key OR versions > {SHARD_LIMIT} AS single_key, versions, keys FROM (
+  WITH RECURSIVE t AS (
+    SELECT 0 AS step, bucket, '' AS prefix, false AS single_key, key, n::BIGINT AS n FROM k
+    UNION ALL
+    SELECT step + 1, bucket, CASE WHEN length(key) > c THEN left(key, c + 1) ELSE key END, length(key) <= c, key, n FROM (
+      SELECT *, coalesce(nullif(list_position(list_transform(range(1, least(length(low), length(high)) + 1), lambda i: low[i] = high[i]), false), 0) - 1,
+                         least(length(low), length(high))) AS c FROM (
+        SELECT *, sum(n) OVER w AS total, min(key) OVER w AS low, max(key) OVER w AS high FROM t WINDOW w AS (PARTITION BY bucket, prefix, single_key))
+      WHERE total > {SHARD_LIMIT} AND low <> high))
+  SELECT bucket, prefix, single_key, sum(n)::BIGINT AS versions, count(*) AS keys, min(key) AS low FROM (
+    SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY step DESC) AS last FROM t) WHERE last = 1
+  GROUP BY bucket, prefix, single_key)"""))
+def q_shard_plan(spark, d):
+    """P5: prefixes that cut every bucket into shards of bounded size."""
+    return RV.shard_plan(_inv(spark, d), SHARD_LIMIT)
+
+
 def _values(rows, cols):
     def lit(v):
         return "NULL" if v is None else (f"'{v}'" if isinstance(v, str) else repr(v))

@@ -119,7 +119,12 @@ suppressed AS (
                 AND pm.key = {enc('e.key')} AND pm.version_id = e.version_id))"""
 
 
-def decision_ctes(passes=((1, 100, 0),)) -> str:
+def quoted(text: str) -> str:
+    """A Python text inside an SQL string literal."""
+    return text.replace("'", "''")
+
+
+def decision_ctes(passes=((1, 100, 0),), submit_error: str = "NULL") -> str:
     """Runs per (bucket, dt), fixture config, counts, ladder inputs and
     decisions (DuckDB twin of plans.runs.decision_inputs + decide). Each pass
     (pass, bucket-1 threshold, day offset) decides every run once."""
@@ -149,7 +154,7 @@ inp AS (
          e.bucket IS NOT NULL AS manifest_listed,
          CASE WHEN e.foreign_key THEN 'manifests/combined/elsewhere/' || m.mode || '/manifest.csv'
               WHEN e.bucket IS NOT NULL THEN 'manifests/combined/' || r.run_id || '/' || m.mode || '/manifest.csv' END AS manifest_key,
-         coalesce(e.there, false) AS manifest_exists, CAST(NULL AS VARCHAR) AS submit_error,
+         coalesce(e.there, false) AS manifest_exists, CAST({submit_error} AS VARCHAR) AS submit_error,
          r.bucket = 'bucket-2' AS report_only,
          CAST(CASE WHEN r.bucket = 'bucket-1' THEN p.b1_threshold ELSE 1000 END AS BIGINT) AS safety_threshold
   FROM runs r CROSS JOIN modes m CROSS JOIN passes p

@@ -75,12 +75,14 @@ def ready_evidence(ready: DataFrame, combined: DataFrame) -> DataFrame:
 
 
 def decision_inputs(inv: DataFrame, eligible_rows: DataFrame, config: DataFrame, manifests: DataFrame,
-                    ready: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+                    ready: DataFrame | None = None, runs: DataFrame | None = None,
+                    submissions: DataFrame | None = None) -> DataFrame:
     """Rows for D1: trigger counts from A4, verified counts re-counted from
     the manifests as written (J6), the manifests-ready record, per-bucket
     config. Where a manifest is not listed or gone there is nothing to count
     and its own rung reports it; a listed one whose re-count failed
-    (``recounted`` false) has a NULL verified count."""
+    (``recounted`` false) has a NULL verified count. ``submissions`` holds what the
+    job service answered (run_id, mode, submit_error: NULL where it took the job)."""
     runs = run_ids(inv) if runs is None else runs
     counts = E.eligible_counts(runs, eligible_rows).withColumnRenamed("object_lock_mode", "mode")
     per_run = counts.join(runs, ["bucket", "dt"])
@@ -88,6 +90,10 @@ def decision_inputs(inv: DataFrame, eligible_rows: DataFrame, config: DataFrame,
     rec = (D.count_reconciliation(expected, manifests.select("run_id", "mode"))
            .join(manifests_ready(manifests) if ready is None else ready, ["run_id", "mode"], "left"))
     there = F.coalesce("manifest_exists", F.lit(False))  # false too where no row lists it
+    if submissions is None:
+        rec = rec.withColumn("submit_error", F.lit(None).cast("string"))
+    else:
+        rec = rec.join(submissions.select("run_id", "mode", "submit_error"), ["run_id", "mode"], "left")
     return (rec.join(config, "bucket", "left").select(
         "run_id", "bucket", "dt", "mode", "trigger_count",
         F.concat(F.lit("q-"), F.col("run_id"), F.lit("-"), F.col("mode")).alias("count_query_id"),
@@ -97,7 +103,7 @@ def decision_inputs(inv: DataFrame, eligible_rows: DataFrame, config: DataFrame,
         F.col("manifest_exists").isNotNull().alias("manifest_listed"),
         "manifest_key",
         there.alias("manifest_exists"),
-        F.lit(None).cast("string").alias("submit_error"),
+        "submit_error",
         "report_only", "safety_threshold",
     ))
 
@@ -145,7 +151,8 @@ FOLDERS = {"classified": "bucket={bucket}/dt={dt}", "eligible": "bucket={bucket}
 
 def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_root: str,
                  previous_manifest: DataFrame | None = None, validate: bool = True,
-                 decide_inline: bool = True, pointer: str | None = None, part_bytes: int = K.PART_BYTES) -> dict:
+                 decide_inline: bool = True, pointer: str | None = None, part_bytes: int = K.PART_BYTES,
+                 submissions: DataFrame | None = None) -> dict:
     """The batch job of one cadence over every bucket/snapshot in ``inv``.
 
     Writes under ``out_root``, each in a folder of this attempt: classified/
@@ -159,6 +166,7 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
 
     ``previous_manifest`` holds versions not to be released again; ``pointer``
     names a published dedup pointer, of which each run takes its predecessor.
+    ``submissions``: the job service's answers, see ``decision_inputs``.
     """
     D.validate_config(config)
     if validate:
@@ -213,7 +221,7 @@ def run_snapshot(spark: SparkSession, inv: DataFrame, config: DataFrame, out_roo
         .write.mode("append").json(f"{out_root}/records")
     if decide_inline:
         evidence = ready_evidence(spark.read.schema(ready.schema).parquet(at("ready")), combined)
-        inputs = decision_inputs(inv, elig, config, manifests=written, ready=evidence, runs=runs)
+        inputs = decision_inputs(inv, elig, config, manifests=written, ready=evidence, runs=runs, submissions=submissions)
         decisions = D.decide(inputs).withColumn("decided_at", F.current_timestamp().cast("timestamp_ntz"))
         K.append_decisions(decisions, f"{out_root}/decisions", attempt)
         dec = spark.read.parquet(f"{out_root}/decisions").where(F.col("attempt") == attempt)

@@ -5,9 +5,9 @@ against the jobs, run records and record jobs as they are at that batch (pass
 functions that read them, and a job that ends later is seen), then:
 
 * ``missing_record_alarm`` (T-8): per micro-batch, the events without a run
-  record counted by 5-minute period, in a folder per batch that a replay writes
-  again. ``alarm_periods`` adds the batches up. There is no watermark, so an
-  event counts however late it comes.
+  record, and their count by 5-minute period, in folders per batch that a replay
+  writes again. ``alarm_periods`` adds the batches up, however late an event
+  comes; ``alarms.missing_record_windows`` is the event-time form.
 * ``completion`` (T-6 + T-7): ``foreachBatch`` keeps the first terminal event
   per (run, job) in a table (anti join: first wins across restarts and
   replays), recomputes the outcome of the runs touched by the batch, and
@@ -18,6 +18,8 @@ functions that read them, and a job that ends later is seen), then:
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,22 +35,38 @@ EVENT_SCHEMA = T.StructType([
 ])
 
 
+#: Run records, and so the jobs that events may refer to, expire after so many days.
+RECORD_DAYS = 90
+
+
+def _near(spark: SparkSession, path: str, days: tuple) -> DataFrame:
+    """Rows of a sink table in the day folders that rows of ``days`` can meet:
+    first events and completions of one run lie within a record's life."""
+    low, high = (d + timedelta(days=k) for d, k in zip(days, (-RECORD_DAYS, RECORD_DAYS)))
+    return spark.read.parquet(path).where(F.col("day").between(F.lit(low), F.lit(high)))
+
+
 def completion_batch(spark: SparkSession, batch: DataFrame, records: DataFrame, out_root: str) -> None:
     """One micro-batch of routed events: first-terminal table, outcomes,
-    one-time completion emission."""
+    one-time completion emission. Both tables lie in folders by the event's day;
+    a batch reads the folders within a record's life of its own events."""
     firsts_path, sent_path = f"{out_root}/first_terminal", f"{out_root}/completion_sent"
-    acc = J.first_terminal(batch).where(F.col("route") == "accepted").drop("route")
+    acc = J.first_terminal(batch).where(F.col("route") == "accepted").drop("route").withColumn("day", F.to_date("event_time"))
+    days = acc.agg(F.min("day"), F.max("day")).first()
+    if days[0] is None:
+        return
     if _exists(spark, firsts_path):
-        acc = acc.join(spark.read.parquet(firsts_path).select("run_id", "job_id"), ["run_id", "job_id"], "left_anti")
-    acc.write.mode("append").parquet(firsts_path)
+        acc = acc.join(_near(spark, firsts_path, days).select("run_id", "job_id"), ["run_id", "job_id"], "left_anti")
+    acc.write.mode("append").partitionBy("day").parquet(firsts_path)
     if not _exists(spark, firsts_path):
         return
     touched = batch.where(F.col("route") == "accepted").select("run_id").distinct()
-    firsts = spark.read.parquet(firsts_path).join(touched, "run_id", "left_semi")
+    firsts = _near(spark, firsts_path, days).join(touched, "run_id", "left_semi")
     done = J.run_outcome(firsts, records).where(F.col("complete"))
+    done = done.join(firsts.groupBy("run_id").agg(F.max("day").alias("day")), "run_id")
     if _exists(spark, sent_path):
-        done = done.join(spark.read.parquet(sent_path).select("run_id"), "run_id", "left_anti")
-    done.withColumn("sent_at", F.current_timestamp().cast("timestamp_ntz")).write.mode("append").parquet(sent_path)
+        done = done.join(_near(spark, sent_path, days).select("run_id"), "run_id", "left_anti")
+    done.withColumn("sent_at", F.current_timestamp().cast("timestamp_ntz")).write.mode("append").partitionBy("day").parquet(sent_path)
 
 
 def start(spark: SparkSession, events_path: str, jobs: DataFrame, records: DataFrame, record_jobs: DataFrame,
@@ -66,7 +84,10 @@ def start(spark: SparkSession, events_path: str, jobs: DataFrame, records: DataF
         return J.route_events(batch, now(jobs), now(records), now(record_jobs), our_tag)
 
     def alarm_batch(batch: DataFrame, batch_id: int) -> None:
-        (J.missing_record_alarm(route(batch)).withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+        routed = route(batch)
+        (routed.where(F.col("route") == "no_active_jobs_record").select("job_id", "event_status", F.col("event_time").cast("timestamp").alias("event_time"), F.lit(batch_id).alias("batch"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out_root}/missing_record_events"))
+        (J.missing_record_alarm(routed).withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out_root}/missing_record_alarm"))
 
     def outcome_batch(batch: DataFrame, _batch_id: int) -> None:

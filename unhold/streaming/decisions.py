@@ -42,7 +42,7 @@ def _ready(spark: SparkSession, path: str | None, manifests: DataFrame) -> DataF
 
 
 def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, config: DataFrame,
-                   out_root: str, ready_path: str | None = None) -> None:
+                   out_root: str, ready_path: str | None = None, submissions: DataFrame | None = None) -> None:
     checked = validate_run_records(batch)
     K.append_once(checked.where(~F.col("valid")).select("run_id", "dt", F.array_join("problems", ",").alias("problems"), "_corrupt_record"),
                   f"{out_root}/quarantine", ["run_id", "dt", "problems", "_corrupt_record"])
@@ -55,7 +55,9 @@ def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, c
            .join(rows.select("run_id").distinct(), "run_id", "left_semi"))
     recount = man.groupBy("run_id", "mode").agg(F.count(F.lit(1)).alias("recount"))
     ready = _ready(spark, ready_path, man)
-    inputs = (rows.join(recount, ["run_id", "mode"], "left").join(ready, ["run_id", "mode"], "left")
+    answers = (rows.select("run_id", "mode", F.lit(None).cast("string").alias("submit_error")) if submissions is None
+               else submissions.select("run_id", "mode", "submit_error"))
+    inputs = (rows.join(answers, ["run_id", "mode"], "left").join(recount, ["run_id", "mode"], "left").join(ready, ["run_id", "mode"], "left")
               .join(config, "bucket", "left").select(
         "run_id", "bucket", "dt", "mode",
         F.col("row_counts")[F.col("mode")].alias("trigger_count"),
@@ -67,7 +69,7 @@ def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, c
         F.col("manifest_key").isNotNull().alias("manifest_listed"),
         "manifest_key",
         F.col("recount").isNotNull().alias("manifest_exists"),
-        F.lit(None).cast("string").alias("submit_error"),
+        "submit_error",
         "report_only", "safety_threshold"))
     dec = D.decide(inputs).withColumn("decided_at", F.current_timestamp().cast("timestamp_ntz"))
     path = f"{out_root}/decisions"
@@ -82,11 +84,14 @@ def decision_batch(spark: SparkSession, batch: DataFrame, manifests_path: str, c
 
 
 def start(spark: SparkSession, records_path: str, manifests_path: str, config: DataFrame, out_root: str,
-          available_now: bool = True, ready_path: str | None = None):
+          available_now: bool = True, ready_path: str | None = None, submissions: DataFrame | None = None):
+    """``submissions``: the job service's answers (run_id, mode, submit_error), or
+    a function that reads them for every batch."""
     src = (spark.readStream.schema(QUERY_COMPLETE).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(records_path))
     trig = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
     return (src.writeStream
-            .foreachBatch(lambda df, _bid: decision_batch(spark, df, manifests_path, config, out_root, ready_path))
+            .foreachBatch(lambda df, _bid: decision_batch(spark, df, manifests_path, config, out_root, ready_path,
+                                                           submissions() if callable(submissions) else submissions))
             .option("checkpointLocation", f"{out_root}/_ckpt/decisions")
             .trigger(**trig).start())
