@@ -422,3 +422,47 @@ def test_language_query_folds_and_held_out_accuracy(spark):
         elif r.held_out and d.lang:
             unseen.append(r.lang_pred == d.lang)
     assert len(unseen) > 100 and np.mean(unseen) >= 0.9
+
+
+def test_scripts_are_those_of_code_points():
+    import unicodedata
+    kinds = {"A": "latin", "é": "latin", "Ω": "greek", "ж": "cyrillic", "א": "hebrew", "ع": "arabic", "क": "devanagari", "ক": "bengali", "த": "tamil", "ไ": "thai",
+             "ა": "georgian", "한": "hangul", "ひ": "hiragana", "カ": "katakana", "漢": "han", "ខ": "khmer", "𠀀": "han", "ﬃ": "latin", "ấ": "latin"}
+    for c, kind in kinds.items():
+        data = np.frombuffer(c.encode(), np.uint8)
+        assert language._NAMES[language._scripts(data, np.array([0]))[0]] == kind, unicodedata.name(c)
+
+
+def test_three_hundred_labels_are_all_learned(spark):
+    rows = [(300 * j + k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}q{chr(97 + (k * 7 + i) % 26)}" for i in range(12)), f"l{k:03d}") for k in range(300) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df)
+    assert len(model["names"]) == 300
+    got = {r.doc_id: r.lang_pred for r in language.label(df, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) >= 0.98
+
+
+def test_a_long_text_has_the_labels_of_a_short_one(spark, monkeypatch):
+    """Sections carry the search on: the path is that of the whole text at once."""
+    base = docs(spark).filter("lang is not null")
+    model = language.learn(base)
+    texts = [r.text for r in base.limit(40).collect()]
+    for text in (" ".join(texts), "\u201c" + "x" * 500 + " 1 " + "é" * 700):
+        part = words.as_texts(pa.array([text]))
+        whole = language._label(model, part)
+        for limit in (100, 1000, 1 << 20):
+            parts = language._label_long(model, part, limit)
+            assert (parts[0] == whole[0]).all() and (parts[1] == whole[1]).all()
+        monkeypatch.setattr(language, "SCORED", 64)
+        assert np.allclose(language._scores(model, *language._trigrams(part)[:5]), language._scores({**model}, *language._trigrams(part)[:5]))
+        monkeypatch.undo()
+    assert (language._label_long(model, words.as_texts(pa.array(["123 ..."])), 10)[0]).size == 0
+
+
+def test_a_text_of_many_megabytes_is_labelled(spark):
+    base = docs(spark).filter("lang is not null")
+    model = language.learn(base)
+    german = " ".join(r.text for r in base.filter("lang = 'de'").limit(20).collect())
+    big = (german + " ") * (3_000_000 // len(german.encode()) + 1)
+    got = language.label(spark.createDataFrame([(1, big), (2, "ab")], "doc_id long, text string"), model).filter("doc_id = 1").first()
+    assert got.lang_pred == "de" and got.score > 0.95

@@ -9,7 +9,10 @@ bytes; its score is their share.
 
 Results: ``und`` with score 0 and no span for a null text or one without a
 letter. Repeated rows are labelled each; a null id stays null. With nothing to
-learn from, every text is ``und``. Columns other than those named are not read.
+learn from, every text is ``und``. Ties go to the label that comes first by name.
+All labels are learned, however many. A text of any length is labelled whole: a
+long one in sections, with the state of the search carried on. An empty table
+gives an empty result. Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -21,19 +24,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .base import stored
 
 TABLE = 1 << 15  # hashed trigrams; the model has TABLE x languages numbers
-MAX_LANGUAGES = 256  # the most frequent labels; bounds the model
 SWITCH = 12.0  # log-probability cost of a change of language between words
 SCRIPT_SHARE = 0.002
+SCORED = 1 << 24  # numbers (bytes x languages) that are gathered at a time
 _BARRED = -60.0
 
-# Scripts by the first byte of a word's first letter (UTF-8 lead bytes): fixed ranges.
-_SCRIPT = np.zeros(256, np.int64)
-for _n, (_lo, _hi) in enumerate([(0xC2, 0xCD), (0xCE, 0xCF), (0xD0, 0xD4), (0xD5, 0xD6), (0xD7, 0xD7), (0xD8, 0xDF), (0xE0, 0xE0),
-                                 (0xE1, 0xE1), (0xE2, 0xE2), (0xE3, 0xE3), (0xE4, 0xE9), (0xEA, 0xED), (0xEE, 0xF7)]):
-    _SCRIPT[_lo:_hi + 1] = _n
-SCRIPTS = 13
+# The first code point of each Unicode block range and its script.
+_RANGES = [
+    (0x0000, "latin"), (0x0250, "other"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
+    (0x0600, "arabic"), (0x0700, "syriac"), (0x0750, "arabic"), (0x0780, "thaana"), (0x07C0, "nko"), (0x0800, "other"),
+    (0x0860, "syriac"), (0x08A0, "arabic"), (0x0900, "devanagari"), (0x0980, "bengali"), (0x0A00, "gurmukhi"),
+    (0x0A80, "gujarati"), (0x0B00, "oriya"), (0x0B80, "tamil"), (0x0C00, "telugu"), (0x0C80, "kannada"), (0x0D00, "malayalam"),
+    (0x0D80, "sinhala"), (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"),
+    (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "cherokee"), (0x1400, "canadian"), (0x1680, "other"), (0x1780, "khmer"),
+    (0x1800, "mongolian"), (0x18B0, "other"), (0x1C90, "georgian"), (0x1CC0, "other"), (0x1E00, "latin"), (0x1F00, "greek"),
+    (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "coptic"), (0x2D00, "georgian"), (0x2D30, "tifinagh"), (0x2D80, "ethiopic"),
+    (0x2DE0, "cyrillic"), (0x2E00, "other"), (0x2E80, "han"), (0x3000, "other"), (0x3040, "hiragana"), (0x30A0, "katakana"),
+    (0x3100, "bopomofo"), (0x3130, "hangul"), (0x3190, "other"), (0x31F0, "katakana"), (0x3200, "other"), (0x3400, "han"),
+    (0xA000, "yi"), (0xA4D0, "other"), (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"),
+    (0xA8E0, "devanagari"), (0xA900, "other"), (0xA960, "hangul"), (0xA980, "other"), (0xAB30, "latin"), (0xAB70, "cherokee"),
+    (0xABC0, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "armenian"),
+    (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "other"), (0xFE70, "arabic"), (0xFF00, "latin"), (0xFF66, "katakana"),
+    (0xFFA0, "hangul"), (0xFFE0, "other"), (0x1B000, "hiragana"), (0x1B170, "other"), (0x20000, "han"), (0x323B0, "other")]
+_FIRST = np.array([r for r, _ in _RANGES])
+_NAMES = sorted({n for _, n in _RANGES})
+_OF_RANGE = np.array([_NAMES.index(n) for _, n in _RANGES])
+SCRIPTS = len(_NAMES)
+
+
+def _scripts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The script of the code point at each place of UTF-8 data."""
+    padded = np.concatenate((data, np.zeros(3, np.uint8)))
+    b = [padded[starts + k].astype(np.int64) for k in range(4)]
+    tail = [x & 0x3F for x in b]
+    point = np.select([b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0],
+                      [b[0], (b[0] & 0x1F) << 6 | tail[1], (b[0] & 0x0F) << 12 | tail[1] << 6 | tail[2]],
+                      (b[0] & 0x07) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3])
+    return _OF_RANGE[np.searchsorted(_FIRST, point, side="right") - 1]
+
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -51,7 +82,7 @@ def _trigrams(texts: pa.Array):
     after[-1:], after[:-1] = 32, low[1:]
     before[starts], after[ends - 1] = 32, 32
     code = (before << 16 | low << 8 | after) * 0x9E3779B1 & 0xFFFFFFFF
-    return code >> 17, keep, starts, ends, _SCRIPT[data[starts]], np.searchsorted(offs, starts, side="right") - 1
+    return code >> 17, keep, starts, ends, _scripts(data, starts), np.searchsorted(offs, starts, side="right") - 1
 
 
 def _counts(batches):
@@ -76,17 +107,18 @@ def _counts(batches):
 
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict:
-    """A model of at most MAX_LANGUAGES x (TABLE + SCRIPTS) numbers from all rows with a label."""
+    """A model of languages x (TABLE + SCRIPTS) numbers from all rows with a label:
+    128 KB for each distinct label that has a word, however many rows there are."""
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(_counts, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    names = counted.filter(F.col("cell") >= TABLE).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    names = sorted(r["lang"] for r in names.collect())
-    table = np.zeros((len(names), TABLE + SCRIPTS))
-    if names:
-        got = counted.filter(F.col("lang").isin(names)).toPandas()
+    counted = stored(rows.mapInArrow(_counts, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "trigram-counts")
+    names = sorted(r["lang"] for r in counted.filter(F.col("cell") >= TABLE).select("lang").distinct().collect())
+    table = np.zeros((len(names), TABLE + SCRIPTS), np.float32)
+    for at in range(0, len(names), 64):  # some labels at a time, so that rows held besides the table are few
+        some = names[at:at + 64]
+        got = counted.filter(F.col("lang").isin(some)).toPandas()
         table[pd.Index(names).get_indexer(got["lang"]), got["cell"]] = got["n"]
-    grams, scripts = table[:, :TABLE] + 0.05, table[:, TABLE:]
-    logs = np.log(grams / grams.sum(1, keepdims=True)) if names else grams
+    grams, scripts = table[:, :TABLE] + np.float32(0.05), table[:, TABLE:]
+    logs = np.log(grams / grams.sum(1, keepdims=True, dtype=np.float64)) if names else grams
     allowed = scripts >= np.maximum(1, SCRIPT_SHARE * scripts.sum(1, keepdims=True))
     allowed |= ~allowed.any(0)  # a script that no language uses leaves all of them
     return {"names": names, "logs": np.ascontiguousarray(logs.T, np.float32), "barred": np.where(allowed, 0.0, _BARRED).T.astype(np.float32)}
@@ -129,15 +161,81 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, switch: float = SW
     return label
 
 
+def _scores(model: dict, cell, keep, starts, ends, script) -> np.ndarray:
+    """(words x languages) scores; bytes x languages are gathered in blocks."""
+    out = np.empty((len(starts), model["logs"].shape[1]), np.float32)
+    step = max(1, SCORED // out.shape[1])
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + step, side="right")))
+        s, e = starts[i], ends[j - 1]
+        if j == i + 1 and e - s > step:  # one word longer than a block
+            out[i] = sum(model["logs"][cell[k:min(k + step, e)]].sum(0) for k in range(s, e, step))
+        else:
+            each = model["logs"][cell[s:e]]
+            each[~keep[s:e]] = 0
+            out[i:j] = np.add.reduceat(each, starts[i:j] - s, axis=0)
+        i = j
+    return out + model["barred"][script]
+
+
 def _label(model: dict, part: pa.Array):
-    """(label per word, starts, ends, text of words) of a slice."""
+    """(label per word, bytes and text of words) of a slice."""
     cell, keep, starts, ends, script, doc = _trigrams(part)
     if not len(starts) or not model["names"]:
-        return np.zeros(0, np.int64), starts[:0], ends[:0], doc[:0]
-    each = model["logs"][cell]
-    each[~keep] = 0
-    scores = np.add.reduceat(each, starts, axis=0) + model["barred"][script]
-    return viterbi(scores, doc, len(part)), starts, ends, doc
+        return np.zeros(0, np.int64), starts[:0], doc[:0]
+    return viterbi(_scores(model, cell, keep, starts, ends, script), doc, len(part)), ends - starts, doc
+
+
+def _sections(text: pa.Array, limit: int):
+    """One long text as consecutive texts of about ``limit`` bytes, cut before a
+    byte that is no letter."""
+    data, _ = words.raw(text)
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + limit)
+        while end < len(data):
+            stop = np.flatnonzero(~_LETTER[data[end:end + limit]])
+            if len(stop):
+                end += int(stop[0])
+                break
+            end = min(len(data), end + limit)
+        yield pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, end - at])), pa.py_buffer(np.ascontiguousarray(data[at:end])))
+        at = end
+
+
+def _label_long(model: dict, text: pa.Array, limit: int):
+    """``_label`` of one long text: the same path, with the scores of one section
+    held at a time and one bit a word and language for the way back."""
+    k = len(model["names"])
+    value, ways, bests, sizes = None, [], [], []
+    for section in _sections(text, limit):
+        cell, keep, starts, ends, script, _ = _trigrams(section)
+        if not len(starts):
+            continue
+        scores = _scores(model, cell, keep, starts, ends, script)
+        way, best = np.zeros((len(starts), k), bool), np.zeros(len(starts), np.int32)
+        for i in range(len(starts)):
+            if value is None:
+                value = scores[i].copy()
+                continue
+            best[i] = value.argmax()
+            jump = value[best[i]] - np.float32(SWITCH)
+            way[i] = jump > value
+            value = np.maximum(value, jump) + scores[i]
+        ways.append(np.packbits(way, axis=1))
+        bests.append(best)
+        sizes.append(ends - starts)
+    if value is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    best, size = np.concatenate(bests), np.concatenate(sizes)
+    lab, now, n = np.zeros(len(best), np.int64), int(value.argmax()), len(best)
+    for way, first in zip(reversed(ways), reversed(np.cumsum([0, *map(len, ways)])[:-1].tolist())):
+        for i in range(len(way) - 1, -1, -1):
+            lab[first + i] = now
+            if way[i, now >> 3] >> (7 - (now & 7)) & 1:
+                now = int(best[first + i])
+    return lab, size, np.zeros(n, np.int64)
 
 
 def label(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
@@ -156,11 +254,12 @@ def label(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             pred, score = np.full(n, "und", object), np.zeros(n)
             spans: list = [[] for _ in range(n)]
             for first, part in words.slices(texts.take(pa.array(longest)), limit):
-                lab, starts, ends, doc = _label(model, part)
+                long = len(part) == 1 and len(model["names"]) and words.raw(part)[1][-1] > limit
+                lab, length, doc = _label_long(model, part, limit) if long else _label(model, part)
                 if not len(lab):
                     continue
                 m, k = len(part), len(model["names"])
-                size = np.bincount(doc * k + lab, weights=ends - starts, minlength=m * k).reshape(m, k)
+                size = np.bincount(doc * k + lab, weights=length, minlength=m * k).reshape(m, k)
                 rows_ = longest[first:first + m]
                 some = size.sum(1) > 0
                 pred[rows_[some]] = names[size[some].argmax(1)]
