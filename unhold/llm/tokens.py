@@ -15,7 +15,6 @@ longer than a piece.
 from __future__ import annotations
 
 import base64
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 
 VOCABULARY = "byte_bpe_50k"
-_PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]*\Z")
+_PLAIN = r"^[\x21-\x7e\x{a1}-\x{24f}]+$"
 _RUNS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 _CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])")
 PIECE_CHARS = 1 << 16  # text that the tokenizer's own objects are held for at a time
@@ -91,54 +90,50 @@ def _whole(texts: list[str], name: str) -> list[np.ndarray]:
     return [np.concatenate(parts[s:e]) for s, e in zip(bounds[:-1], bounds[1:])]
 
 
-def _distinct(words: list[str], name: str) -> list[np.ndarray]:
-    """Ids of each word with a space before it."""
+def _plain_ids(plain: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words with a space before each, one after another, and how many
+    each word has."""
+    if not len(plain):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     _, quick, size = _encoders(name)
-    out: list = [None] * len(words)
-    plain = [i for i, w in enumerate(words) if w and _PLAIN.match(w)]
-    if plain:
-        ids = np.array(quick.encode_ordinary(" " + " ".join(words[i] for i in plain)), np.uint32)
-        ends = np.cumsum([len(words[i].encode()) + 1 for i in plain])
-        cuts = np.searchsorted(np.cumsum(size[ids]), ends, side="left") + 1
-        for i, part in zip(plain, np.split(ids, cuts[:-1])):
-            out[i] = part
-    other = [i for i, x in enumerate(out) if x is None]
-    for i, ids in zip(other, _whole([" " + words[i] for i in other], name) if other else []):
-        out[i] = ids
-    return out
+    ids = np.array(quick.encode_ordinary(" " + " ".join(plain.to_pylist())), np.uint32)
+    ends = np.cumsum(pc.binary_length(plain).to_numpy() + 1)
+    return ids, np.diff(np.searchsorted(np.cumsum(size[ids]), ends, side="left") + 1, prepend=0)
 
 
 def encode(texts: pa.Array, name: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets of each text in them) of a large_string array."""
     n = len(texts)
+    if not n:
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64)
     odd = pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False)
     split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
     at = split.offsets.to_numpy() - split.offsets[0].as_py()
     coded = split.flatten().dictionary_encode()
-    parts = _distinct(coded.dictionary.to_pylist(), name)
-    # the first word of a text has no space before it; it is encoded by itself
-    own = [i for i in range(n) if not odd[i]]
+    known = coded.dictionary
+    # entries of the pool of ids: the distinct words, plain ones first, then first words and whole texts
+    plain = pc.match_substring_regex(known, _PLAIN).to_numpy(zero_copy_only=False)
+    order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+    n_plain = int(plain.sum())
+    entry = np.empty(len(known), np.int64)
+    entry[order] = np.arange(len(known))
+    pool, lens = _plain_ids(known.take(pa.array(order[:n_plain])), name)
+    parts = _whole([" " + w for w in known.take(pa.array(order[n_plain:])).to_pylist()], name) if n_plain < len(known) else []
     flat = coded.indices.to_numpy().astype(np.int64)
-    heads = coded.dictionary.take(pa.array(flat[at[:-1]])).to_pylist() if n else []
-    base = len(parts)
-    full = np.empty(len(flat), np.int64)
-    full[:] = flat
-    firsts: dict[str, int] = {}
-    for i in own:
-        w = heads[i]
-        if w not in firsts:
-            firsts[w] = base + len(firsts)
-        full[at[i]] = firsts[w]
-    if firsts:
-        parts += _whole(list(firsts), name)
+    full = entry[flat]
+    # the first word of a text has no space before it; it is encoded by itself
+    own = np.flatnonzero(~odd)
+    heads, which = np.unique(flat[at[own]], return_inverse=True)
+    full[at[own]] = n_plain + len(parts) + which
+    if len(heads):
+        parts += _whole(known.take(pa.array(heads)).to_pylist(), name)
     whole = np.flatnonzero(odd)
+    full[at[whole]] = n_plain + len(parts) + np.arange(len(whole))
     if len(whole):
-        for k, (i, ids) in enumerate(zip(whole, _whole([texts[int(i)].as_py() for i in whole], name))):
-            full[at[i]] = len(parts)
-            parts.append(ids)
-    lens = np.array([len(x) for x in parts], np.int64)
+        parts += _whole(texts.take(pa.array(whole)).to_pylist(), name)
+    lens = np.concatenate((lens, np.array([len(x) for x in parts], np.int64)))
     bounds = np.concatenate(([0], np.cumsum(lens)))
-    pool = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.uint32)))
-    ids = pool.take(pa.array(full)).flatten().to_numpy() if len(full) else np.zeros(0, np.uint32)
+    lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([pool, *parts])))
+    ids = lists.take(pa.array(full)).flatten().to_numpy()
     ends = np.concatenate(([0], np.cumsum(lens[full])))
-    return ids, ends[at] if n else np.zeros(1, np.int64)
+    return ids, ends[at]
