@@ -17,6 +17,9 @@ from .functions.text import url_encode_key
 PREV_DT, PREV_CUT = "2024-01-16-00-00", "2024-01-16 00:00:00"
 CUR_DT, CUR_CUT = "2024-02-01-00-00", "2024-02-01 00:00:00"
 SNAPSHOTS = [(PREV_DT, PREV_CUT), (CUR_DT, CUR_CUT)]
+# A longer series for the hold history; it starts and ends with the two above.
+SERIES = [(PREV_DT, PREV_CUT), ("2024-01-21-00-00", "2024-01-21 00:00:00"),
+          ("2024-01-26-00-00", "2024-01-26 00:00:00"), (CUR_DT, CUR_CUT)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,6 +139,25 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def held_series(inv: DataFrame) -> DataFrame:
+    """The inventory of ``SERIES`` as holds change from snapshot to snapshot, by
+    version id: released at the second one (one in 5) or for that one only (one in
+    5), not listed in the third (one in 7) or the fourth (one in 11), and the
+    retain-until date set back in the third (one in 13)."""
+    v = F.col("version_id").cast("bigint")
+    dts = [dt for dt, _ in SERIES]
+    dt, retain = F.col("dt"), F.col("object_lock_retain_until_date")
+    held = F.col("object_lock_event_hold_status") == "ON"
+    off = held & (((v % 5 == 0) & (dt >= dts[1])) | ((v % 5 == 1) & (dt == dts[1])))
+    back = held & (v % 13 == 6) & (dt == dts[2])
+    at_release = F.lit(PREV_CUT).cast("timestamp_ntz") + F.expr("INTERVAL 1 YEAR")
+    hidden = ((v % 7 == 3) & (dt == dts[2])) | ((v % 11 == 5) & (dt == dts[3]))
+    return (inv.where(~hidden).withColumn("_off", off).withColumn("_back", back)
+            .withColumn("object_lock_retain_until_date", F.when(F.col("_off") | F.col("_back"), at_release).otherwise(retain))
+            .withColumn("object_lock_event_hold_status", F.when(F.col("_off"), "OFF").otherwise(F.col("object_lock_event_hold_status")))
+            .drop("_off", "_back"))
+
+
 def snapshot(inv: DataFrame, dt: str) -> DataFrame:
     """Select one snapshot (partition pruning on a partitioned table)."""
     return inv.where(F.col("dt") == F.lit(dt))

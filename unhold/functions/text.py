@@ -28,8 +28,9 @@ def url_decode_key(key) -> Column:
 
 
 def path_part(path, index: int, sep: str = "/") -> Column:
-    """0-based path segment."""
-    return F.split(_c(path), sep).getItem(index)
+    """path segment, 0-based from the start, or from the end for a negative
+    index (-1 is the last); NULL where there is none."""
+    return F.try_element_at(F.split(_c(path), sep), F.lit(index if index < 0 else index + 1))
 
 
 def is_valid_raw_dt(dt) -> Column:

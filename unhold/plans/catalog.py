@@ -534,6 +534,57 @@ def q_rolling_retention(spark, d):
     return V.rolling_retention(fx.snapshot(inv, fx.PREV_DT), fx.snapshot(inv, fx.CUR_DT))
 
 
+_DTS = [dt for dt, _ in fx.SERIES]
+
+HOLD_HISTORY_SQL = O.with_ctes(O.inv_ctes(fx.SERIES), f"""
+seen AS (
+  SELECT bucket, key, version_id, dt, coalesce(object_lock_event_hold_status = 'ON', false) AS held, CAST(version_id AS BIGINT) AS v,
+         object_lock_event_hold_status AS st, object_lock_retain_until_date AS retain
+  FROM inv
+  WHERE NOT (CAST(version_id AS BIGINT) % 7 = 3 AND dt = '{_DTS[2]}') AND NOT (CAST(version_id AS BIGINT) % 11 = 5 AND dt = '{_DTS[3]}')),
+off AS (SELECT *, held AND ((v % 5 = 0 AND dt >= '{_DTS[1]}') OR (v % 5 = 1 AND dt = '{_DTS[1]}')) AS released FROM seen),
+snaps_n AS (SELECT bucket, dt, row_number() OVER (PARTITION BY bucket ORDER BY dt) AS n,
+                   count(*) OVER (PARTITION BY bucket) AS newest FROM (SELECT DISTINCT bucket, dt FROM off)),
+h AS (
+  SELECT bucket, key, version_id, dt, n, newest, CASE WHEN released THEN 'OFF' ELSE coalesce(st, 'none') END AS hold_status,
+         CASE WHEN released OR (held AND v % 13 = 6 AND dt = '{_DTS[2]}') THEN TIMESTAMP '{fx.PREV_CUT}' + INTERVAL 1 YEAR ELSE retain END AS retain
+  FROM off JOIN snaps_n USING (bucket, dt)),
+runs AS (SELECT *, n - row_number() OVER (PARTITION BY bucket, key, version_id, hold_status ORDER BY n) AS run FROM h),
+step AS (SELECT *, lag(retain) OVER (PARTITION BY bucket, key, version_id, hold_status, run ORDER BY n) AS was FROM runs),
+span AS (
+  SELECT bucket, key, version_id, hold_status, min(dt) AS first_dt, max(dt) AS last_dt, count(*) AS snapshots,
+         arg_min(struct_pack(r := retain), n).r AS first_retain, arg_max(struct_pack(r := retain), n).r AS last_retain,
+         count(*) FILTER (WHERE retain > was) AS advances, count(*) FILTER (WHERE retain < was) AS setbacks,
+         max(n) AS last_n, max(newest) AS newest
+  FROM step GROUP BY bucket, key, version_id, hold_status, run)""", body="""
+SELECT s.bucket, s.key, s.version_id, s.hold_status, s.first_dt, s.last_dt, s.snapshots, s.first_retain, s.last_retain, s.advances, s.setbacks,
+       CASE WHEN s.last_n = s.newest THEN NULL WHEN f.hold_status IS NULL THEN 'absent'
+            WHEN s.hold_status = 'ON' AND f.hold_status = 'OFF' THEN 'released'
+            WHEN s.hold_status = 'OFF' AND f.hold_status = 'ON' THEN 'hold_reapplied' ELSE 'status_changed' END AS ended_by
+FROM span s LEFT JOIN h f ON f.bucket = s.bucket AND f.key = s.key AND f.version_id = s.version_id AND f.n = s.last_n + 1""")
+
+
+def _series(spark, d):
+    """The inventory of several deliveries, with holds that change between them."""
+    return fx.held_series(fx.inventory_table(spark, d, fx.SERIES))
+
+
+@register("hold_history", HOLD_HISTORY_SQL)
+def q_hold_history(spark, d):
+    return V.hold_history(_series(spark, d))
+
+
+@register("hold_history_merged", HOLD_HISTORY_SQL)
+def q_hold_history_merged(spark, d):
+    """The same history, kept up one delivery at a time in stored tables."""
+    from ..sources.sinks import merge_hold_history, read_hold_history
+    inv, root = _series(spark, d), _scratch(spark, "hold-history")
+    for dt in _DTS:
+        rows = fx.snapshot(inv, dt)
+        merge_hold_history(rows, rows.select("bucket", "dt").distinct(), root, dt)
+    return read_hold_history(spark, root)
+
+
 @register("release_effect", O.with_ctes(O.INV, O.CLS, f"elig AS ({O._elig('delete')})", body=f"""
 SELECT e.bucket, e.dt, e.key, e.version_id, e.object_lock_mode, c.object_lock_retain_until_date,
        greatest(c.object_lock_retain_until_date, TIMESTAMP '{O.RELEASE_TIME}' + INTERVAL {O.HOLD_DAYS} DAY) AS retain_until_after_release

@@ -12,15 +12,18 @@ three replaces.
 
 from __future__ import annotations
 
-from ..fixtures import CUR_DT, PREV_DT, PREV_CUT, CUR_CUT
+from ..fixtures import CUR_DT, PREV_DT, SNAPSHOTS
 
 
 def enc(col: str) -> str:
     return f"replace(replace(replace(url_encode({col}), '%20', '+'), '~', '%7E'), '%2A', '*')"
 
 
-INV = f"""
-snaps(dt, cut) AS (VALUES ('{PREV_DT}', TIMESTAMP '{PREV_CUT}'), ('{CUR_DT}', TIMESTAMP '{CUR_CUT}')),
+def inv_ctes(snapshots) -> str:
+    """The inventory fixture of the given (dt, cut) snapshots."""
+    values = ", ".join(f"('{dt}', TIMESTAMP '{cut}')" for dt, cut in snapshots)
+    return f"""
+snaps(dt, cut) AS (VALUES {values}),
 ev AS (SELECT e.event_id, e.ts, e.user_id, e.event_type, e.value, s.dt, s.cut
        FROM events e JOIN snaps s ON e.ts < s.cut),
 inv AS (
@@ -40,6 +43,9 @@ inv AS (
          dt
   FROM ev)"""
 
+
+INV = inv_ctes(SNAPSHOTS)
+
 # Brute-force classification (an independent formulation, not the one-pass
 # plan): the next timestamp of a key is the minimum over all its later
 # timestamps; "the next group has a noncurrent row" is an EXISTS test.

@@ -19,9 +19,6 @@ from pyspark.sql import types as T
 
 from ..schemas import INVENTORY
 
-# A delivery lists hundreds of files, not millions; the path -> dt map is
-# broadcast only under this bound.
-
 
 def _unescaped(uri: Column) -> Column:
     """The path that a file URI of the scan stands for (a plus is itself)."""
@@ -42,7 +39,7 @@ def read_inventory(spark: SparkSession, root: str, dts: list[str], bucket: str |
     """The snapshots ``dts`` of a delivery layout, in one Parquet scan.
 
     The listed paths are gathered (file metadata, one row per file), the data
-    files are scanned once, and each row gets its dt from a broadcast join of
+    files are scanned once, and each row gets its dt from a join of
     ``_metadata.file_path`` to the listing. A missing listing raises
     (path not found): never a silent empty snapshot.
     """

@@ -171,3 +171,40 @@ def append_decisions(decisions: DataFrame, path: str, attempt: str) -> None:
     (decisions.withColumn("attempt", F.lit(attempt))
      .withColumn("decision_id", F.sha2(F.concat_ws("/", "decision_token", "attempt"), 256))
      .write.mode("append").parquet(path))
+
+
+def merge_hold_history(delivery: DataFrame, delivered: DataFrame, path: str, step: str) -> bool:
+    """Adds one delivery to the stored hold history (``verify.merge_delivery``).
+
+    ``lasting/step=<step>`` holds the spans that last up to a step, ``ended/step=``
+    those that ended in it, and a row of ``steps`` commits both, so a step that
+    died is written again and readers never see half of one. Steps ascend as
+    text (the snapshot's dt): one that is already committed does nothing and
+    returns False, an older one that is not raises."""
+    from ..operators.verify import merge_delivery
+    spark = delivery.sparkSession
+    steps = f"{path}/steps"
+    newest, lasting = None, None
+    if table_exists(spark, steps):
+        done = spark.read.parquet(steps)
+        newest = done.agg(F.max("step")).first()[0]
+        if done.where(F.col("step") == step).limit(1).count():
+            return False
+        if step < newest:
+            raise ValueError(f"step {step} is older than the history's newest, {newest}")
+        lasting = spark.read.parquet(f"{path}/lasting/step={newest}")
+    lasts, ended = merge_delivery(lasting, delivery, delivered)
+    lasts.write.mode("overwrite").parquet(f"{path}/lasting/step={step}")
+    ended.write.mode("overwrite").parquet(f"{path}/ended/step={step}")
+    spark.createDataFrame([(step,)], "step string").coalesce(1).write.mode("append").parquet(steps)
+    return True
+
+
+def read_hold_history(spark: SparkSession, path: str) -> DataFrame:
+    """All spans of the committed steps; ``ended_by`` is NULL while one lasts."""
+    steps = spark.read.parquet(f"{path}/steps")
+    newest = steps.agg(F.max("step")).first()[0]
+    lasting = spark.read.parquet(f"{path}/lasting/step={newest}")
+    text = lasting.withColumn("ended_by", F.lit(None).cast("string"))
+    ended = spark.read.schema(text.withColumn("step", F.lit("")).schema).parquet(f"{path}/ended")
+    return ended.join(steps, "step", "left_semi").drop("step").unionByName(text)

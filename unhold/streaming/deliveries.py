@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_valid_raw_dt, raw_dt_to_dashed
+from ..functions.text import is_valid_raw_dt, path_part, raw_dt_to_dashed
 from ..plans.runs import run_snapshot
 from ..schemas import DELIVERY_MANIFEST
 from ..sources.inventory import read_inventory
@@ -31,8 +31,7 @@ def _parsed(batch: DataFrame) -> DataFrame:
     path = F.col("path")
     return batch.select(
         path, j["fileFormat"].alias("fileFormat"), j["fileSchema"].alias("fileSchema"),
-        F.element_at(F.split(path, "/"), -4).alias("bucket"),
-        F.element_at(F.split(path, "/"), -2).alias("dt_raw"))
+        path_part(path, -4).alias("bucket"), path_part(path, -2).alias("dt_raw"))
 
 
 def delivery_batch(spark: SparkSession, batch: DataFrame, data_root: str, config: DataFrame, out_root: str) -> None:
