@@ -4,14 +4,16 @@ Vectors get one more component, sqrt(M^2 - |v|^2) with M the largest norm, so
 that the largest inner product is the smallest distance. Centroids are fitted
 on a bounded sample by k-means with a penalty on a cluster's size, which keeps
 lists balanced; their number follows the table's size. A vector goes to its
-nearest list and, as a boundary vector, to others almost as near. The centroids
-are searched through a neighbour graph held in memory (best first, a beam of
-candidates); where a beam's walk would look at more centroids than there are,
-they are all ranked instead. A query reads lists, nearest first, until they hold
-k + 1 vectors, and from there those within a ratio of the distance reached, up
-to a number of probes that grows with the number of lists. So it finds k rows
-whenever there are k candidates. A list's rows and queries meet in blocks of
-bounded size.
+nearest list and, if it lies between lists, to others almost as near; how near
+is set so that about a quarter of the sample lies so. The centroids are always
+searched through a neighbour graph held in memory (best first, a beam of
+candidates). A query reads lists, nearest first, until they hold k + 1 vectors,
+and from there those within a ratio of the distance reached. The ratio is the
+least one that finds the wanted share of the sample's true neighbours, so it is
+small where vectors form clusters and wide where they do not; no fixed number
+ends the probes. A query finds k rows whenever there are k candidates: only if
+a beam's lists hold too few are all lists put in order. A list's rows and queries
+meet in blocks of bounded size.
 
 Rows whose vector is null, zero or has null or non-finite components take no
 part; equal vectors are searched once and keep their smallest ids; ties go to
@@ -33,10 +35,14 @@ from .base import stored
 SAMPLE = 32768  # vectors that centroids are fitted on, at most
 LIST_ROWS = 128  # aim for the vectors of a list
 MAX_LISTS = 8192  # bounds what each task holds of the centroids
-REPLICAS, CLOSE = 4, 1.15  # lists of a boundary vector, and how much farther than the nearest
-PROBES, RATIO = 48, 1.45  # lists that a query reads beyond k + 1 vectors, and how much farther
-PROBED_LISTS = 256  # with more lists than these, probes grow with the power 2/3 of the lists
-BEAM, NEIGHBOURS = 48, 24  # a query's beam is so much wider than its probes
+REPLICAS, CLOSE = 4, 1.15  # lists of a boundary vector, and how much farther than the nearest at most
+BOUNDARY = 0.25  # share of the sample that lies between lists
+FOUND = 0.95  # share of the sample's true neighbours that the distance ratio has to find
+ASKED = 512  # vectors of the sample whose neighbours set the ratio
+NEIGHBOURS, RANDOM = 20, 4  # links of a centroid in the graph
+ROW_BEAM, MORE_BEAM = 24, 16  # beam of a vector's own lists; of a query, beyond the lists it may read
+BEAM_STEPS, WALK_CELLS = 24, 4 << 20  # a beam's steps at least; numbers that a step gathers at most
+WALK = 512  # points that walk the graph together at most
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
 ROUNDS = 12
 
@@ -73,7 +79,7 @@ def graph(centroids: np.ndarray, neighbours: int = NEIGHBOURS, seed: int = 2) ->
     n = len(centroids)
     rng = np.random.default_rng(seed)
     near = min(neighbours, n)
-    links = np.empty((n, near + min(8, n)), np.int64)
+    links = np.empty((n, near + min(RANDOM, n)), np.int64)
     for s in range(0, n, 2048):
         d = _squared(centroids[s:s + 2048], centroids)
         links[s:s + 2048, :near] = np.argpartition(d, near - 1, 1)[:, :near]
@@ -82,36 +88,45 @@ def graph(centroids: np.ndarray, neighbours: int = NEIGHBOURS, seed: int = 2) ->
 
 
 def nearest_lists(points: np.ndarray, centroids: np.ndarray, links: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lists, squared distances) of a beam of near centroids, nearest first:
-    all points walk the graph together, each from its best unvisited one."""
+    """(lists, squared distances) of a beam of near centroids, nearest first. A
+    wide beam visits several of its centroids at a step; as many points walk
+    together as keep a step's vectors in bounded memory."""
+    beam = min(beam, len(centroids))
+    visits = max(1, beam // BEAM_STEPS)
+    step = max(1, WALK_CELLS // (visits * links.shape[1] * centroids.shape[1]))
+    parts = [_walk(points[s:s + step], centroids, links, entry, beam, visits) for s in range(0, len(points), step)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _walk(points: np.ndarray, centroids: np.ndarray, links: np.ndarray, entry: np.ndarray, beam: int, visits: int) -> tuple[np.ndarray, np.ndarray]:
     n, m = len(points), len(centroids)
-    beam = min(beam, m)
     norms = (centroids * centroids).sum(1)
     square = (points * points).sum(1)[:, None]
+    rows = np.arange(n)[:, None]
     seen = np.zeros((n, m), bool)
     seen[:, entry] = True
     best = np.broadcast_to(entry, (n, len(entry)))
     dist = _squared(points, centroids[entry])
     done = np.zeros(best.shape, bool)
-    rows = np.arange(n)
-    for _ in range(2 * beam):
+    while True:
         open_ = np.where(done, np.inf, dist)
-        pick = open_.argmin(1)
-        going = np.isfinite(open_[rows, pick])
+        few = min(visits, open_.shape[1])
+        pick = np.argpartition(open_, few - 1, 1)[:, :few]
+        going = np.isfinite(np.take_along_axis(open_, pick, 1))
         if not going.any():
             break
-        done[rows, pick] = True
-        new = links[best[rows, pick]]
+        np.put_along_axis(done, pick, True, 1)
+        new = np.where(going[:, :, None], links[np.take_along_axis(best, pick, 1)], -1).reshape(n, -1)
+        new.sort(1)
+        known = (new < 0) | seen[rows, new]
+        known[:, 1:] |= new[:, 1:] == new[:, :-1]  # reached from several
         d = np.maximum(square + norms[new] - 2 * np.einsum("nd,nkd->nk", points, centroids[new]), 0)
-        d[seen[rows[:, None], new] | ~going[:, None]] = np.inf
-        srt = np.sort(new, 1)
-        if (srt[:, 1:] == srt[:, :-1]).any():  # a random link may repeat a near one
-            same = (new[:, :, None] == new[:, None, :]) & np.tri(new.shape[1], k=-1, dtype=bool)[None]
-            d[same.any(2)] = np.inf
-        seen[rows[:, None], new] = True
+        d[known] = np.inf
+        r, c = np.nonzero(~known)
+        seen[r, new[r, c]] = True
         dist = np.concatenate([dist, d], 1)
         best = np.concatenate([best, new], 1)
-        done = np.concatenate([done, ~np.isfinite(d)], 1)
+        done = np.concatenate([done, known], 1)
         if dist.shape[1] > beam:
             keep = np.argpartition(dist, beam - 1, 1)[:, :beam]
             dist, best, done = (np.take_along_axis(x, keep, 1) for x in (dist, best, done))
@@ -132,19 +147,70 @@ def ranked(points: np.ndarray, centroids: np.ndarray, beam: int) -> tuple[np.nda
     return lists, dist
 
 
-def probes_of(lists: int) -> int:
-    """Lists that a query reads at most beyond those that hold k + 1 vectors."""
-    return int(PROBES * max(1.0, lists / PROBED_LISTS) ** (2 / 3))
+def boundary(lifted: np.ndarray, centroids: np.ndarray) -> float:
+    """How much farther than its nearest list another one of a vector may be."""
+    if len(centroids) < 2:
+        return 1.0
+    apart = []
+    for s in range(0, min(len(lifted), 4096), 512):
+        d = np.sqrt(np.partition(_squared(lifted[s:s + 512], centroids), 1, 1)[:, :2])
+        apart.append(d[:, 1] / np.maximum(d[:, 0], 1e-300))
+    return min(CLOSE, float(np.quantile(np.concatenate(apart), BOUNDARY)))
+
+
+def calibrate(sample: np.ndarray, norm2: float, centroids: np.ndarray, close: float, home: np.ndarray, k: int, found: float = FOUND) -> tuple[float, int]:
+    """(ratio, most lists read) at which some of the sample's vectors, asked
+    against all of it, reach the lists of so many of their k true neighbours. In
+    the whole table neighbours are nearer than in a sample, and need no more."""
+    keep = min(k, len(sample) - 1)
+    if keep < 1 or len(centroids) < 2:
+        return 1.0, 1
+    lifted, asked = _lifted(sample, norm2), sample[:ASKED]
+    q = _scaled(asked, norm2)
+    needs, lists = [], []
+    for s in range(0, len(asked), 64):
+        score = asked[s:s + 64] @ sample.T
+        score[np.arange(len(score)), s + np.arange(len(score))] = -np.inf
+        near = np.argpartition(-score, keep - 1, 1)[:, :keep]
+        d = _squared(q[s:s + 64], centroids)
+        base = _reached(np.sort(d, 1), home[np.argsort(d, 1)], k + 1)
+        for i, line in enumerate(near):
+            own = _squared(lifted[line], centroids)
+            most = min(REPLICAS, len(centroids))
+            at = np.argpartition(own, most - 1, 1)[:, :most]
+            own = np.take_along_axis(own, at, 1)
+            theirs = np.where(own <= own.min(1, keepdims=True) * close * close, d[i][at], np.inf)
+            needs.append(theirs.min(1) / base[i])
+        lists.append((d / base).astype(np.float32))
+    square = max(1.0, float(np.quantile(np.concatenate(needs), found, method="higher")))
+    return float(np.sqrt(square)), int((np.concatenate(lists) <= square).sum(1).max())
+
+
+def _lifted(p: np.ndarray, norm2: float) -> np.ndarray:
+    return np.column_stack([p, np.sqrt(np.maximum(norm2 - (p * p).sum(1), 0))])
+
+
+def _scaled(p: np.ndarray, norm2: float) -> np.ndarray:
+    """Queries: their scale changes no order; at the rows' largest norm distance
+    ratios mean the same as theirs."""
+    return np.column_stack([p * np.sqrt(norm2 / np.maximum((p * p).sum(1, keepdims=True), 1e-300)), np.zeros(len(p))])
+
+
+def _reached(d: np.ndarray, held: np.ndarray, need: int) -> np.ndarray:
+    """Squared distance of the list at which those before it and it hold ``need``."""
+    reach = np.minimum((np.cumsum(held, 1) < need).sum(1), d.shape[1] - 1)[:, None]
+    return np.maximum(np.take_along_axis(d, reach, 1), 1e-12)
 
 
 def _taken(lists: np.ndarray, d: np.ndarray, most: int, ratio: float, home: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
     """(mask of the lists to take, rows whose lists hold fewer than ``need``
     vectors): those up to ``need`` and, from there, within a ratio."""
-    held = np.cumsum(home[lists], 1)
+    known = np.isfinite(d)  # a walk may reach fewer lists than its beam is wide
+    held = np.cumsum(np.where(known, home[lists], 0), 1)
     reach = np.minimum((held < need).sum(1), d.shape[1] - 1)[:, None]
     nth = np.arange(d.shape[1])[None]
     near = d <= np.maximum(np.take_along_axis(d, reach, 1) * ratio * ratio, 1e-12)
-    return (nth <= reach) | ((nth < most) & near), held[:, -1] < need
+    return known & ((nth <= reach) | ((nth < most) & near)), held[:, -1] < need
 
 
 def _assign(index: dict, most: int, ratio: float, beam: int, home: np.ndarray | None = None, need: int = 0):
@@ -155,17 +221,13 @@ def _assign(index: dict, most: int, ratio: float, beam: int, home: np.ndarray |
         c, links = index["centroids"], index["links"]
         held = np.zeros(len(c), np.int64) if home is None else home
         for frame in frames:
-            for s in range(0, len(frame), 2048):
-                part = frame.iloc[s:s + 2048]
-                p = vectors.matrix(part["v"], index["width"])
-                if index["lift"] == "row":
-                    p = np.column_stack([p, np.sqrt(np.maximum(index["norm2"] - (p * p).sum(1), 0))])
-                else:  # a query's scale changes no order; at the rows' largest norm its ratios mean the same as theirs
-                    p *= np.sqrt(index["norm2"] / np.maximum((p * p).sum(1, keepdims=True), 1e-300))
-                    p = np.column_stack([p, np.zeros(len(p))])
-                lists, d = ranked(p, c, beam) if beam * links.shape[1] >= len(c) else nearest_lists(p, c, links, index["entry"], beam)
+            for s in range(0, len(frame), WALK):
+                part = frame.iloc[s:s + WALK]
+                p = (_lifted if index["lift"] == "row" else _scaled)(vectors.matrix(part["v"], index["width"]), index["norm2"])
+                lists, d = nearest_lists(p, c, links, index["entry"], beam)
                 take, short = _taken(lists, d, most, ratio, held, need)
-                if lists.shape[1] < len(c) and short.any():  # the beam holds too little: all lists, in order
+                short &= (lists.shape[1] < len(c)) | ~np.isfinite(d).all(1)
+                if short.any():  # the beam holds too little: all lists, in order
                     take[short] = False
                     again = np.flatnonzero(short)
                     for t in range(0, len(again), 512):
@@ -217,18 +279,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = int(min(MAX_LISTS, max(1, total // LIST_ROWS)))
     sample = table.orderBy(F.xxhash64("key")).limit(SAMPLE).select("v").toPandas()["v"]  # bounded: SAMPLE vectors
-    p = vectors.matrix(sample, width)
-    p = np.column_stack([p, np.sqrt(np.maximum(norm2 - (p * p).sum(1), 0))])
-    centroids = fit(p, lists)
+    sample = vectors.matrix(sample, width)
+    centroids = fit(_lifted(sample, norm2), lists)
+    close = boundary(_lifted(sample, norm2), centroids)
     links, entry = graph(centroids)
     index = {"centroids": centroids, "links": links, "entry": entry, "norm2": norm2, "width": width, "lift": "row"}
-    posted = stored(table.mapInPandas(_assign(index, REPLICAS, CLOSE, max(REPLICAS, 24)), "key long, v array<double>, ids array<long>, list int, home boolean"), "postings")
+    posted = stored(table.mapInPandas(_assign(index, REPLICAS, close, ROW_BEAM), "key long, v array<double>, ids array<long>, list int, home boolean"), "postings")
     home = np.zeros(len(centroids), np.int64)  # vectors of which a list is the nearest, so that none counts twice
     for r in posted.filter("home").groupBy("list").count().collect():  # bounded: one row per list
         home[r["list"]] = r["count"]
-    probes = probes_of(len(centroids))
+    ratio, most = calibrate(sample, norm2, centroids, close, home, k)
     once = stored(asked.select("key", "v").dropDuplicates(["key"]).mapInPandas(
-        _assign(index | {"lift": "query"}, probes, RATIO, probes + BEAM, home, k + 1), "key long, v array<double>, list int"), "probes")
+        _assign(index | {"lift": "query"}, most, ratio, most + MORE_BEAM, home, k + 1), "key long, v array<double>, list int"), "probes")
     left, right, at = vectors.in_blocks(posted.drop("home"), once, "list", BLOCK_ROWS, BLOCK_QUERIES)
     hits = (right.groupBy(*at).cogroup(left.groupBy(*at)).applyInPandas(_search(k), "key long, found long, ids array<long>, score double"))
     return vectors.expand(asked, hits.dropDuplicates(["key", "found"]), k)
