@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import vectors
 from .base import stored
@@ -293,7 +294,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         _assign(index | {"lift": "query"}, most, ratio, most + MORE_BEAM, home, k + 1), "key long, v array<double>, list int"), "probes")
     left, right, at = vectors.in_blocks(posted.drop("home"), once, "list", BLOCK_ROWS, BLOCK_QUERIES)
     hits = (right.groupBy(*at).cogroup(left.groupBy(*at)).applyInPandas(_search(k), "key long, found long, ids array<long>, score double"))
-    return vectors.expand(asked, hits.dropDuplicates(["key", "found"]), k)
+    # a query's best rows are among its k + 1 best vectors, copies in other lists aside; each mapper keeps no more
+    nth = F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("score"), F.col("ids")[0]))
+    best = hits.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth").dropDuplicates(["key", "found"])
+    return vectors.expand(asked, best, k)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
