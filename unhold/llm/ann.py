@@ -290,7 +290,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     for r in posted.filter("home").groupBy("list").count().collect():  # bounded: one row per list
         home[r["list"]] = r["count"]
     ratio, most = calibrate(sample, norm2, centroids, close, home, k)
-    once = stored(asked.select("key", "v").dropDuplicates(["key"]).mapInPandas(
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a walk is long for its few bytes: not put together
+    once = stored(asked.select("key", "v").repartition(tasks, "key").dropDuplicates(["key"]).mapInPandas(
         _assign(index | {"lift": "query"}, most, ratio, most + MORE_BEAM, home, k + 1), "key long, v array<double>, list int"), "probes")
     left, right, at = vectors.in_blocks(posted.drop("home"), once, "list", BLOCK_ROWS, BLOCK_QUERIES)
     hits = (right.groupBy(*at).cogroup(left.groupBy(*at)).applyInPandas(_search(k), "key long, found long, ids array<long>, score double"))
