@@ -141,7 +141,7 @@ def test_every_search_walks_the_graph(monkeypatch):
     for n in (1, 3, 70, 400):
         c = ann.fit(ann._lifted(x, norm2), n)
         links, entry = ann.graph(c)
-        index = {"centroids": c, "links": links, "entry": entry, "norm2": norm2, "width": 8, "lift": "row"}
+        index = {"centroids": c, "links": links, "entry": entry, "norm2": norm2, "width": 8, "lift": "row", "sample": x[:500]}
         frame = pd.DataFrame({"key": np.arange(len(x)), "v": list(x)})
         out = pd.concat(ann._assign(index, 4, 1.02, ann.ROW_BEAM)([frame]))
         assert out[out["home"]].shape[0] == len(x)
@@ -150,12 +150,21 @@ def test_every_search_walks_the_graph(monkeypatch):
         assert asked["key"].nunique() == 50 and asked["list"].between(0, len(c) - 1).all() and not asked.duplicated(["key", "list"]).any()
 
 
+def test_floors_rule_out_no_result():
+    x = np.random.default_rng(7).normal(size=(4000, 16))
+    asked = x[:100]
+    floor = ann._floors(asked, x[2000:3000], 21)
+    best = np.sort(asked @ x.T, 1)[:, -21]
+    assert (floor <= best).all() and (floor > -np.inf).all()
+    assert (ann._floors(asked, x[:20], 21) == -np.inf).all()
+
+
 def test_a_walk_that_reaches_too_little_is_made_whole():
     """Centroids without links to most others: what the beam misses is ranked."""
     x = np.random.default_rng(6).normal(size=(200, 4))
     norm2 = (x * x).sum(1).max()
     c = ann.fit(ann._lifted(x, norm2), 40)
-    index = {"centroids": c, "links": np.arange(40)[:, None], "entry": np.array([0]), "norm2": norm2, "width": 4, "lift": "query"}
+    index = {"centroids": c, "links": np.arange(40)[:, None], "entry": np.array([0]), "norm2": norm2, "width": 4, "lift": "query", "sample": x[:50]}
     frame = pd.DataFrame({"key": np.arange(5), "v": list(x[:5])})
     out = pd.concat(ann._assign(index, 40, 1.0, 40, np.full(40, 5), 21)([frame]))
     assert (out.groupby("key").size() >= 5).all() and out["list"].between(0, 39).all()

@@ -11,7 +11,8 @@ candidates). A query reads lists, nearest first, until they hold k + 1 vectors,
 and from there those within a ratio of the distance reached. The ratio is the
 least one that finds the wanted share of the sample's true neighbours, so it is
 small where vectors form clusters and wide where they do not; no fixed number
-ends the probes. A query finds k rows whenever there are k candidates: only if
+ends the probes. Lists beyond those that hold k + 1 vectors return only what
+scores no less than the (k + 1)-th best of the sample. A query finds k rows whenever there are k candidates: only if
 a beam's lists hold too few are all lists put in order. A list's rows and queries
 meet in blocks of bounded size.
 
@@ -203,15 +204,30 @@ def _reached(d: np.ndarray, held: np.ndarray, need: int) -> np.ndarray:
     return np.maximum(np.take_along_axis(d, reach, 1), 1e-12)
 
 
+def _reach(lists: np.ndarray, d: np.ndarray, home: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the list at which those up to it hold ``need`` vectors, rows whose lists hold fewer)."""
+    held = np.cumsum(np.where(np.isfinite(d), home[lists], 0), 1)  # a walk may reach fewer lists than its beam is wide
+    return np.minimum((held < need).sum(1), d.shape[1] - 1)[:, None], held[:, -1] < need
+
+
+def _floors(asked: np.ndarray, sample: np.ndarray, need: int) -> np.ndarray:
+    """The ``need``-th best score among the sample's vectors: those of the whole
+    table are no worse, so nothing below it can be a result."""
+    if len(sample) < need:
+        return np.full(len(asked), -np.inf)
+    best = [np.partition(asked[s:s + 64] @ sample.T, -need, 1)[:, -need] for s in range(0, len(asked), 64)]
+    best = np.concatenate(best)
+    return best - 1e-9 * np.sqrt((asked * asked).sum(1) * (sample * sample).sum(1).max())  # sums may differ in their last bits
+
+
 def _taken(lists: np.ndarray, d: np.ndarray, most: int, ratio: float, home: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
     """(mask of the lists to take, rows whose lists hold fewer than ``need``
     vectors): those up to ``need`` and, from there, within a ratio."""
-    known = np.isfinite(d)  # a walk may reach fewer lists than its beam is wide
-    held = np.cumsum(np.where(known, home[lists], 0), 1)
-    reach = np.minimum((held < need).sum(1), d.shape[1] - 1)[:, None]
+    known = np.isfinite(d)
+    reach, short = _reach(lists, d, home, need)
     nth = np.arange(d.shape[1])[None]
     near = d <= np.maximum(np.take_along_axis(d, reach, 1) * ratio * ratio, 1e-12)
-    return known & ((nth <= reach) | ((nth < most) & near)), held[:, -1] < need
+    return known & ((nth <= reach) | ((nth < most) & near)), short
 
 
 def _assign(index: dict, most: int, ratio: float, beam: int, home: np.ndarray | None = None, need: int = 0):
@@ -224,7 +240,8 @@ def _assign(index: dict, most: int, ratio: float, beam: int, home: np.ndarray |
         for frame in frames:
             for s in range(0, len(frame), WALK):
                 part = frame.iloc[s:s + WALK]
-                p = (_lifted if index["lift"] == "row" else _scaled)(vectors.matrix(part["v"], index["width"]), index["norm2"])
+                raw = vectors.matrix(part["v"], index["width"])
+                p = (_lifted if index["lift"] == "row" else _scaled)(raw, index["norm2"])
                 lists, d = nearest_lists(p, c, links, index["entry"], beam)
                 take, short = _taken(lists, d, most, ratio, held, need)
                 short &= (lists.shape[1] < len(c)) | ~np.isfinite(d).all(1)
@@ -237,12 +254,16 @@ def _assign(index: dict, most: int, ratio: float, beam: int, home: np.ndarray |
                         row, col = np.nonzero(_taken(far, e, most, ratio, held, need)[0])
                         out = part.iloc[at[row]].copy()
                         out["list"] = far[row, col].astype(np.int32)
+                        if home is not None:
+                            out["floor"] = -np.inf
                         yield out
                 row, col = np.nonzero(take)
                 out = part.iloc[row].copy()
                 out["list"] = lists[row, col].astype(np.int32)
                 if home is None:
                     out["home"] = col == 0
+                else:
+                    out["floor"] = np.where(col <= _reach(lists, d, held, need)[0][row, 0], -np.inf, _floors(raw, index["sample"], need)[row])
                 yield out
     return run
 
@@ -255,7 +276,7 @@ def _search(k: int):
         width = max(q.shape[1], x.shape[1])
         q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
         found, keys = rows["key"].to_numpy(), asked["key"].to_numpy()
-        ids = rows["ids"].to_numpy()
+        ids, floor = rows["ids"].to_numpy(), asked["floor"].to_numpy()
         keep = min(k + 1, len(x))
         out = []
         for s in range(0, len(q), 512):
@@ -264,6 +285,7 @@ def _search(k: int):
             i = np.repeat(np.arange(len(best)), keep)
             j = best.reshape(-1)
             exact = (q[s + i] * x[j]).sum(1)  # the same sum for a pair wherever it is found
+            i, j, exact = (a[exact >= floor[s + i]] for a in (i, j, exact))
             out.append(pd.DataFrame({"key": keys[s + i], "found": found[j], "ids": ids[j], "score": exact}))
         return pd.concat(out)
     return run
@@ -292,7 +314,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     ratio, most = calibrate(sample, norm2, centroids, close, home, k)
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a walk is long for its few bytes: not put together
     once = stored(asked.select("key", "v").repartition(tasks, "key").dropDuplicates(["key"]).mapInPandas(
-        _assign(index | {"lift": "query"}, most, ratio, most + MORE_BEAM, home, k + 1), "key long, v array<double>, list int"), "probes")
+        _assign(index | {"lift": "query", "sample": sample}, most, ratio, most + MORE_BEAM, home, k + 1), "key long, v array<double>, list int, floor double"), "probes")
     left, right, at = vectors.in_blocks(posted.drop("home"), once, "list", BLOCK_ROWS, BLOCK_QUERIES)
     hits = (right.groupBy(*at).cogroup(left.groupBy(*at)).applyInPandas(_search(k), "key long, found long, ids array<long>, score double"))
     # a query's best rows are among its k + 1 best vectors, copies in other lists aside; each mapper keeps no more
