@@ -43,6 +43,45 @@ def test_exact_top_k(spark, odd_vectors):
         assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def annuli(x, n_pivots, n_cuts):
+    """(pivots, ring of each vector, bounds of the rings) as ``topk.search`` makes them."""
+    norm2 = (x * x).sum(1).max()
+    lifted = topk._lift(x, norm2)
+    pivots = topk.pivots_of(lifted, n_pivots)
+    d = topk._distances(lifted, pivots)
+    near = d.argmin(1)
+    cuts = {p: np.quantile(d[near == p, p], np.arange(1, n_cuts) / n_cuts) for p in np.unique(near)}
+    frame = next(topk._ringed(pivots, cuts, norm2, x.shape[1])(iter([pd.DataFrame({"v": list(x)})])))
+    wide = pd.concat([frame[["ring", "own"]], pd.DataFrame(np.stack(frame["at"])).add_prefix("d")], axis=1)
+    each = {f"{name}{p}": (f"d{p}", f) for p in range(min(topk.BOUNDS, len(pivots))) for name, f in (("low", "min"), ("high", "max"))}
+    return pivots, frame["ring"].to_numpy(), wide.groupby("ring", as_index=False).agg(low=("own", "min"), high=("own", "max"), **each)
+
+
+def share_read(x, k, n_pivots, n_cuts, bounds):
+    """Share of the vectors that queries read when the radius of the true k-th is known."""
+    pivots, ring, rings = annuli(x, n_pivots, n_cuts)
+    if not bounds:
+        rings = rings.assign(**{c: (-np.inf if c.startswith("low") else np.inf) for c in rings.columns if c[-1].isdigit()})
+    q = x[:60]
+    _, gap = topk._gaps(q, pivots, rings)
+    norm2 = (x * x).sum(1).max()
+    away = np.sqrt(np.maximum(norm2 + (q * q).sum(1)[:, None] - 2 * q @ x.T, 0))
+    at = np.searchsorted(rings["ring"].to_numpy(), ring)
+    assert (gap[:, at] <= away + 1e-6).all()  # no vector is nearer than its annulus' bound
+    rows = np.bincount(at, minlength=len(rings))
+    reach = np.sort(away, 1)[:, k]
+    return ((gap <= reach[:, None] + 1e-6) @ rows).mean() / len(x)
+
+
+def test_bounds_of_annuli_hold_and_more_intervals_prove_more():
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (40, 8))[rng.integers(40, size=4000)] + rng.normal(0, 0.05, (4000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one, more = (share_read(x, 10, 16, 8, bounds) for bounds in (False, True))
+    assert more < one and more < 0.1
+    share_read(rng.normal(0, 1, (500, 8)), 10, 16, 4, True)
+
+
 def test_nearest_neighbours(spark, odd_vectors):
     for df, every in ((odd_vectors, 3), (spark.read.parquet(f"{SF}/embeddings.parquet"), 10)):
         all_ = usable(df, True)

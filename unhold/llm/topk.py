@@ -4,12 +4,14 @@ Vectors are scaled and floored to integers. With one more component,
 sqrt(M^2 - |x|^2) for the largest norm M, the largest inner product is the
 smallest distance: |q' - x'|^2 = M^2 + |q|^2 - 2 q.x. Every vector is keyed by
 its nearest pivot and its distance to it, and the vectors of a pivot, sorted by
-that distance, are cut into annuli of bounded size. A query first reads the
-annulus that its own distance falls in at its nearest pivots; the k-th best
-score there gives a radius r, and by the triangle inequality only annuli that
-overlap [d(q, p) - r, d(q, p) + r] can hold anything better. Those are read;
-all others are proved to hold nothing. Pivots and bounds of annuli only steer
-the work: the result is exact whatever they are.
+that distance, are cut into annuli of bounded size. An annulus also knows the
+least and the largest distance of its vectors to each of ``BOUNDS`` pivots. A
+query first reads the annulus that its own distance falls in at its nearest
+pivots; the k-th best score there gives a radius r, and by the triangle
+inequality only annuli whose intervals all overlap [d(q, p) - r, d(q, p) + r]
+can hold anything better. Those are read; all others are proved to hold nothing.
+Pivots and bounds of annuli only steer the work: the result is exact whatever
+they are.
 
 Rows whose vector is null or has null or non-finite components take no part; a
 shorter vector is as one padded with zeros. Equal vectors are searched once and
@@ -34,6 +36,10 @@ SAMPLE, PIVOTS = 8192, 64  # pivots are chosen from a bounded sample
 RING_ROWS = 1024  # vectors of an annulus, about
 RINGS_PER_TASK_QUERIES = 4096
 FIRST_RINGS = 2  # annuli that a query reads first
+CUTS = 256  # annuli of a pivot, at most
+BOUNDS = 16  # pivots to which an annulus keeps the interval of its distances
+QUERY_ROWS = 256  # queries compared with all annuli at a time
+RINGED = "key long, v array<double>, ids array<long>, ring long, own double, at array<double>"
 
 
 def pivots_of(sample: np.ndarray, n: int, seed: int = 3) -> np.ndarray:
@@ -63,41 +69,67 @@ def _lift(p: np.ndarray, norm2: float) -> np.ndarray:
 
 
 def _keyed(pivots: np.ndarray, norm2: float, width: int):
+    """(pivot, dist) of each vector."""
     def run(frames):
         for frame in frames:
             if len(frame):
                 d = _distances(_lift(vectors.matrix(frame["v"], width), norm2), pivots)
                 near = d.argmin(1)
-                yield frame.assign(pivot=near.astype(np.int32), dist=d[np.arange(len(d)), near])
+                yield pd.DataFrame({"pivot": near.astype(np.int32), "dist": d[np.arange(len(d)), near]})
     return run
 
 
+def _ringed(pivots: np.ndarray, cuts: dict[int, np.ndarray], norm2: float, width: int):
+    """Each vector with its annulus and its distances to its own and the bounding pivots."""
+    def run(frames):
+        for frame in frames:
+            if len(frame):
+                d = _distances(_lift(vectors.matrix(frame["v"], width), norm2), pivots)
+                near = d.argmin(1)
+                own = d[np.arange(len(d)), near]
+                nth = np.zeros(len(d), np.int64)
+                for p in np.unique(near):
+                    rows = near == p
+                    nth[rows] = np.searchsorted(cuts[p], own[rows]) if p in cuts else 0
+                yield frame.assign(ring=near.astype(np.int64) * CUTS + nth, own=own, at=list(d[:, :BOUNDS]))
+    return run
+
+
+def _gaps(q: np.ndarray, pivots: np.ndarray, rings: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query and annulus: the query's distance to the annulus' pivot, and
+    the distance below which it holds no vector, the largest that any interval proves."""
+    d = _distances(np.column_stack([q, np.zeros(len(q))]), pivots)
+    at = d[:, rings["ring"].to_numpy() // CUTS]
+    gap = np.maximum(rings["low"].to_numpy() - at, at - rings["high"].to_numpy())
+    for p in range(min(BOUNDS, len(pivots))):
+        np.maximum(gap, rings[f"low{p}"].to_numpy() - d[:, p:p + 1], out=gap)
+        np.maximum(gap, d[:, p:p + 1] - rings[f"high{p}"].to_numpy(), out=gap)
+    return at, np.maximum(gap, 0, out=gap)
+
+
 def _wanted(pivots: np.ndarray, rings: pd.DataFrame, norm2: float, width: int, first: bool):
     """(key, v, ring, least) for each ring that a query has to read."""
-    ring_pivot, low, high = (rings[c].to_numpy() for c in ("pivot", "low", "high"))
     ids = rings["ring"].to_numpy()
 
     def run(frames):
-        for frame in frames:
-            if not len(frame):
-                continue
-            q = vectors.matrix(frame["v"], width)
-            d = _distances(np.column_stack([q, np.zeros(len(q))]), pivots)
-            at = d[:, ring_pivot]
-            gap = np.maximum(np.maximum(low - at, at - high), 0)  # no vector of the ring is nearer than this
-            if first:
-                # the ring nearest to the query's own distance, at its nearest pivots
-                near = np.argsort(at + gap, 1)[:, :FIRST_RINGS]
-                take = np.zeros(gap.shape, bool)
-                np.put_along_axis(take, near, True, 1)
-            else:
-                reach = np.sqrt(np.maximum(norm2 + (q * q).sum(1) - 2 * frame["least"].to_numpy(), 0))
-                reach = np.where(np.isnan(reach), np.inf, reach * (1 + 1e-9) + 1e-6 * (1 + np.sqrt(norm2)))
-                take = gap <= reach[:, None]
-            row, col = np.nonzero(take)
-            out = frame.iloc[row].copy()
-            out["ring"] = ids[col].astype(np.int64)
-            yield out
+        for whole in frames:
+            for s in range(0, len(whole), QUERY_ROWS):
+                frame = whole.iloc[s:s + QUERY_ROWS]
+                q = vectors.matrix(frame["v"], width)
+                at, gap = _gaps(q, pivots, rings)
+                if first:
+                    # the ring nearest to the query's own distance, at its nearest pivots
+                    near = np.argsort(at + gap, 1)[:, :FIRST_RINGS]
+                    take = np.zeros(gap.shape, bool)
+                    np.put_along_axis(take, near, True, 1)
+                else:
+                    reach = np.sqrt(np.maximum(norm2 + (q * q).sum(1) - 2 * frame["least"].to_numpy(), 0))
+                    reach = np.where(np.isnan(reach), np.inf, reach * (1 + 1e-9) + 1e-6 * (1 + np.sqrt(norm2)))
+                    take = gap <= reach[:, None]
+                row, col = np.nonzero(take)
+                out = frame.iloc[row].copy()
+                out["ring"] = ids[col].astype(np.int64)
+                yield out
     return run
 
 
@@ -138,19 +170,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample = table.orderBy(F.xxhash64("key")).limit(SAMPLE).select("v").toPandas()["v"]  # bounded: SAMPLE vectors
     pivots = pivots_of(_lift(vectors.matrix(sample, width), norm2), PIVOTS)
-    keyed = stored(table.mapInPandas(_keyed(pivots, norm2, width), "key long, v array<double>, ids array<long>, pivot int, dist double"), "keyed")
-
     # annuli: cut points from each pivot's quantiles, about RING_ROWS rows apart
-    cuts = (keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("dist", [i / 256 for i in range(1, 256)], 2560).alias("at"))
-            .withColumn("step", F.greatest(F.lit(1), F.ceil(F.lit(256) * RING_ROWS / F.col("n"))).cast("int"))
-            .select("pivot", F.filter("at", lambda x, i: (i + 1) % F.col("step") == 0).alias("at")))  # PIVOTS rows
-    nth = F.size(F.filter("at", lambda x: x < F.col("dist")))
-    ringed = stored(keyed.join(cuts, "pivot").withColumn("ring", F.col("pivot").cast("long") * 256 + nth).drop("at"), "rings")
-    rings = ringed.groupBy("ring", "pivot").agg(F.min("dist").alias("low"), F.max("dist").alias("high")).toPandas()  # at most 256 per pivot
+    cuts = (table.mapInPandas(_keyed(pivots, norm2, width), "pivot int, dist double").groupBy("pivot")
+            .agg(F.count("*").alias("n"), F.percentile_approx("dist", [i / CUTS for i in range(1, CUTS)], 10 * CUTS).alias("at"))
+            .withColumn("step", F.greatest(F.lit(1), F.ceil(F.lit(CUTS) * RING_ROWS / F.col("n"))).cast("int"))
+            .select("pivot", F.filter("at", lambda x, i: (i + 1) % F.col("step") == 0).alias("at")))
+    cuts = {r.pivot: np.array(r.at) for r in cuts.collect()}  # bounded: PIVOTS rows of CUTS - 1 numbers
+    ringed = stored(table.mapInPandas(_ringed(pivots, cuts, norm2, width), RINGED), "rings")
+    each = [f(F.col("at")[p]).alias(f"{name}{p}") for p in range(min(BOUNDS, len(pivots))) for name, f in (("low", F.min), ("high", F.max))]
+    rings = ringed.groupBy("ring").agg(F.min("own").alias("low"), F.max("own").alias("high"), *each).toPandas()  # at most CUTS per pivot
 
     once = asked.select("key", "v").dropDuplicates(["key"])
-    scan = lambda want, cols: _scanned(ringed, want, k, width)
-    first = stored(scan(once.mapInPandas(_wanted(pivots, rings, norm2, width, True), "key long, v array<double>, ring long"), None), "first")
+    first = stored(_scanned(ringed, once.mapInPandas(_wanted(pivots, rings, norm2, width, True), "key long, v array<double>, ring long"), k, width), "first")
     # the score of the (k+1)-th best of each query's first annuli (its own row may be one); none when they hold fewer
     ranked = first.withColumn("n", F.sum(F.size("ids")).over(Window.partitionBy("key").orderBy(F.desc("score"), "found").rowsBetween(Window.unboundedPreceding, 0)))
     least = ranked.filter(F.col("n") >= k + 1).groupBy("key").agg(F.max("score").cast("double").alias("least"))
