@@ -5,7 +5,7 @@ import shutil
 import corpus_pipeline as P
 from llm_fixtures import SF, no_docs, odd_docs  # noqa: F401
 from pyspark.sql import functions as F
-from unhold.llm import mixing, neardup, pii, quality
+from unhold.llm import mixing, neardup, packing, pii, quality
 from unhold.llm.base import stored, table
 
 
@@ -41,6 +41,29 @@ def test_a_pair_of_082_loses_one(spark):
     assert neardup.bands_for(80) == 29 and neardup.bands_for(85) == 20
 
 
+def test_the_mix_survives_packing(spark, tmp):
+    """Windows and sequences follow the schedule, although Spark reads the largest file first."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('word ', CASE WHEN id % 5 = 0 THEN 900 ELSE 30 + id % 60 END) AS text",
+                                        "concat('s', CASE WHEN id % 3 = 0 THEN 0 ELSE id % 7 END) AS source")
+    mixed = mixing.ordered(docs, block_chars=4000, period=100)
+    for n, part in enumerate(mixed.randomSplit([1.0, 2.0, 6.0], 1)):  # files that grow, and one order for each
+        mixing.ordered(part, block_chars=4000, period=100).coalesce(1).write.mode("append").parquet(f"{tmp}/mixed/part={n}")
+    back = spark.read.parquet(f"{tmp}/mixed")
+    want = [r.doc_id for r in back.select("doc_id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")).orderBy("f", "n").collect()]
+    cut = stored(packing.pieces(back).withColumn("uid", F.monotonically_increasing_id()), "t")
+    rows = packing._windows(cut.select("uid", "length", "file", "split"), 200).join(cut.select("uid", "doc_id"), "uid").orderBy("at").collect()
+    assert [r["at"] for r in rows] == list(range(4000)) and [r.doc_id for r in rows] == want
+    assert [r.doc_id for r in rows] != [r.doc_id for r in cut.orderBy("uid").collect()]  # the tasks' order is another
+    at = {r.doc_id: (r["at"], r.shard) for r in rows}
+    placed = packing.place(cut.select("uid", "length", "file", "split"), shard_pieces=200).join(cut.select("uid", "doc_id"), "uid").collect()
+    inside = {}
+    for r in placed:
+        inside.setdefault(r.sequence_id, []).append(at[r.doc_id])
+    assert all(min(a for a, _ in v) == s for s, v in inside.items())
+    mixed_windows = sum(len({w for _, w in v}) > 1 for v in inside.values())
+    assert mixed_windows < 0.1 * len(inside)  # only badly filled sequences are packed anew
+
+
 def test_odd_and_empty_documents(spark, tmp, odd_docs, no_docs):
     for name, df in (("odd", odd_docs), ("none", no_docs)):
         df.write.parquet(f"{tmp}/{name}/documents.parquet")

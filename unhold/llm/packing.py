@@ -2,7 +2,8 @@
 
 Documents are tokenised whole, an end id is added, and only documents longer
 than a sequence are cut (full pieces, the first may be shorter). Shards of
-bounded size are windows of the input order. In a shard, pieces are placed
+bounded size are windows of the input order: files by name, their splits, their
+rows, in whatever order Spark's tasks read them. In a shard, pieces are placed
 best-fit in decreasing order, then underfull sequences exchange one piece for
 one, two for one, or move one or two, until no exchange raises the sum of squared
 fills. The pieces of all badly filled sequences are dealt anew by hash, into
@@ -32,18 +33,20 @@ SHARD_PIECES = 16384
 BADLY_FILLED = 64  # sequences with more than 1/64 of their length free are packed again
 LEAST_GAIN = 256   # as long as that saves more than 1/256 of them
 
-PIECES = "doc_id {id}, piece int, start long, length long, ids binary"
-PLACED = "uid long, length long, sequence_id long, offset long, open boolean"
+PIECES = "doc_id {id}, piece int, start long, length long, file string, split long, ids binary"
+PLACED = "uid long, length long, at long, sequence_id long, offset long, open boolean"
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
            vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """One row per piece: ids are little-endian unsigned 32-bit integers."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """One row per piece: ids are little-endian unsigned 32-bit integers. ``file``
+    and ``split`` say where the row was read (empty, -1: not from a file)."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       F.input_file_name().alias("file"), F.input_file_block_start().alias("split"))
 
     def run(batches):
         for batch in batches:
-            ids_of, texts = batch.column(0), words.as_texts(batch.column(1))
+            ids_of, texts, file, split = batch.column(0), words.as_texts(batch.column(1)), batch.column(2), batch.column(3)
             for first, part in words.slices(texts):
                 ids, ends = tokens.encode(part, vocabulary)
                 sizes = np.diff(ends) + 1
@@ -58,8 +61,10 @@ def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, id_col:
                 # pieces lie one after another in all_ids
                 offs = np.append(began, began[-1] + size[-1]) * 4
                 blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(all_ids)])
-                yield pa.RecordBatch.from_arrays([ids_of.take(pa.array(first + doc)), pa.array(nth, pa.int32()), pa.array(start, pa.int64()),
-                                                  pa.array(size, pa.int64()), blob.cast(pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+                row = pa.array(first + doc)
+                yield pa.RecordBatch.from_arrays([ids_of.take(row), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()),
+                                                  file.take(row), split.take(row), blob.cast(pa.binary())],
+                                                 ["doc_id", "piece", "start", "length", "file", "split", "ids"])
 
     return docs.mapInArrow(run, PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
@@ -208,8 +213,8 @@ def _shift(source: dict[int, list[int]], target: dict[int, list[int]], sizes: tu
 
 def _pack_shard(length: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "uid"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        sizes, uid = frame["length"].to_numpy(), frame["uid"].to_numpy()
+        frame = frame.sort_values(["length", "at"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        sizes, at = frame["length"].to_numpy(), frame["at"].to_numpy()
         where = local_search(sizes, length)
         order = np.argsort(where, kind="stable")
         first = np.searchsorted(where[order], np.arange(where.max() + 1))
@@ -218,28 +223,36 @@ def _pack_shard(length: int):
         offset = np.empty(len(sizes), np.int64)
         offset[order] = starts - starts[first][where[order]]
         fill = np.add.reduceat(sizes[order], first)
-        named = np.minimum.reduceat(uid[order], first)  # a sequence is named by its first piece in input order
+        named = np.minimum.reduceat(at[order], first)  # a sequence is named by its first piece in input order
         bad = (length - fill) * BADLY_FILLED > length
-        return pd.DataFrame({"uid": uid, "length": sizes, "sequence_id": named[where], "offset": offset, "open": bad[where]})
+        return pd.DataFrame({"uid": frame["uid"], "length": sizes, "at": at, "sequence_id": named[where], "offset": offset, "open": bad[where]})
     return run
 
 
 def _windows(sized: DataFrame, shard_pieces: int) -> DataFrame:
-    """``sized`` with the number of its window of ``shard_pieces`` rows in uid order."""
-    part = F.shiftright("uid", 33)
-    # one row for each input partition
-    parts = sized.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.col("before") + F.col("uid").bitwiseAND((1 << 33) - 1)
-    return sized.withColumn("part", part).join(parts, "part").select("uid", "length", F.floor(place / shard_pieces).alias("shard"))
+    """``sized`` with each row's place in the input (from 0) and the window of
+    ``shard_pieces`` rows that it falls in. A task's rows of one split of a file
+    follow one another, so a place is the split's first place and the row's
+    distance in uid from the split's first row."""
+    where = ["file", "split", "part"]
+    sized = sized.withColumn("part", F.shiftright("uid", 33))
+    # one row for each split of a file
+    parts = sized.groupBy(*where).agg(F.count("*").alias("n"), F.min("uid").alias("least"))
+    by_name = Window.orderBy(F.length("file"), *where)  # part-99999 before part-100000
+    before = F.sum("n").over(by_name.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*where, "least", F.coalesce(before, F.lit(0)).alias("before"))
+    return (sized.join(parts, where).withColumn("at", F.col("before") + F.col("uid") - F.col("least"))
+            .select("uid", "length", "at", F.floor(F.col("at") / shard_pieces).alias("shard")))
 
 
 def place(sized: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """(uid, sequence_id, offset) of rows (uid, length) with 0 < length <= ``length``
-    and uid as monotonically_increasing_id() gives it to the stored rows. A
-    sequence is named by its smallest uid, so that sequences in order of their
-    ids follow the input, window by window."""
+    """(uid, sequence_id, offset) of rows (uid, length, file, split) with 0 < length <=
+    ``length`` and uid as monotonically_increasing_id() gives it to the rows as they
+    are read; rows without file and split are in order of uid. A sequence is named
+    by the place in the input of its first piece, so that sequences in order of
+    their ids follow the input, window by window."""
+    if "file" not in sized.columns:
+        sized = sized.withColumns({"file": F.lit(""), "split": F.lit(-1).cast("long")})
     dealt, turn = _windows(sized, shard_pieces), 0
     done = kept = None
     while True:
@@ -253,14 +266,14 @@ def place(sized: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIEC
         if shards <= 1 or bad < 2 or (turn and (before - bins) * LEAST_GAIN < before):
             return done.unionByName(kept)
         before, turn = bad, turn + 1
-        dealt = placed.filter("open").select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(-(-left // shard_pieces))).alias("shard"))
+        dealt = placed.filter("open").select("uid", "length", "at", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(-(-left // shard_pieces))).alias("shard"))
 
 
 def pack(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """Pieces with their ids, sequence and place: doc_id, piece, start, length,
     ids, sequence_id, offset."""
     cut = stored(pieces(docs, length, **options).withColumn("uid", F.monotonically_increasing_id()), "pieces", "zstd")
-    return cut.join(place(cut.select("uid", "length"), length), "uid").drop("uid")
+    return cut.join(place(cut.select("uid", "length", "file", "split"), length), "uid").drop("uid", "file", "split")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
