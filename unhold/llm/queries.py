@@ -10,7 +10,7 @@ REGISTRY = {
     "op3_language": (language.query, None),
     "op4_nearest_neighbours": (ann.query, None),
     "op5_exact_top_k": (topk.query, topk.SQL),
-    "op6_near_duplicates": (neardup.query, None),
+    "op6_near_duplicates": (neardup.query, neardup.SQL),
     "op7_token_counts": (attribution.query, None),
     "op8_source_mixing": (mixing.query, mixing.SQL),
     "op9_quality": (quality.query, None),
