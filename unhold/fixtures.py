@@ -39,24 +39,25 @@ def inventory(spark: SparkSession, sf_dir: str, snapshots=SNAPSHOTS) -> DataFram
     One scan of ``events``; each event is exploded into the snapshots whose
     cut follows it (their number is a parameter). `is_latest` comes from a per-key
     max over a partial (hash) aggregation joined back, not a window, so a key
-    holding a third of all rows does not land in one task.
+    holding a third of all rows does not land in one task. The join takes each
+    event once, with every snapshot's maximum of its key; rows multiply after it.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    # each event belongs to every snapshot cut after it: a per-row explode over
-    # the (few) snapshots, no join
-    specs = F.array(*[F.struct(F.lit(dt).alias("dt"), F.lit(cut).cast("timestamp_ntz").alias("cut"))
-                      for dt, cut in snapshots])
-    rows = (ev.withColumn("_s", F.explode(F.filter(specs, lambda s: F.col("ts") < s["cut"])))
-            .select("event_id", "ts", "user_id", "event_type", "value", "_s.dt", "_s.cut"))
     # latest = greatest (ts, event_id); packed into one decimal(38,0) so the
     # per-key maximum is a hash aggregate (micros * 10^20 + event_id + 2^63:
     # the offset id stays below 10^20, so it never crosses timestamps)
     order = (F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(38,0)")
              * F.lit(str(10 ** 20)).cast("decimal(38,0)")
              + (F.col("event_id").cast("decimal(38,0)") + F.lit(str(2 ** 63)).cast("decimal(38,0)")))
-    rows = rows.withColumn("_order", order)
-    latest = rows.groupBy("dt", "user_id").agg(F.max("_order").alias("_latest"))
-    rows = rows.join(latest, ["dt", "user_id"], "inner")
+    cuts = [F.lit(cut).cast("timestamp_ntz") for _, cut in snapshots]
+    latest = ev.groupBy("user_id").agg(*[F.max(F.when(F.col("ts") < cut, order)).alias(f"_latest{i}") for i, cut in enumerate(cuts)])
+    # each event belongs to every snapshot cut after it: a per-row explode over
+    # the (few) snapshots, no join
+    specs = F.array(*[F.struct(F.lit(dt).alias("dt"), cut.alias("cut"), F.col(f"_latest{i}").alias("latest"))
+                      for i, ((dt, _), cut) in enumerate(zip(snapshots, cuts, strict=True))])
+    rows = (ev.join(latest, "user_id").withColumn("_s", F.explode(F.filter(specs, lambda s: F.col("ts") < s["cut"])))
+            .select("event_id", "ts", "user_id", "event_type", "value", "_s.dt", "_s.cut",
+                    order.alias("_order"), F.col("_s.latest").alias("_latest")))
     is_error = F.col("event_type") == "error"
     hold = (F.when(is_error, F.lit(None).cast("string"))
             .when(F.col("event_type") == "view", F.lit("OFF"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import classify as C
 from ..operators import eligibility as E
+from ..session import scratch_table
 from . import oracle as O
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -253,17 +254,26 @@ DEC_COLS = ["run_id", "bucket", "dt", "mode", "outcome", "reason", "verified_cou
             "trigger_count", "safety_threshold", "report_only", "manifest_key", "decision_token", "job_id"]
 
 
-def manifest_evidence(inv: DataFrame, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def eligible_once(inv: DataFrame) -> DataFrame:
+    """The ``delete`` eligible rows, classified once and stored, as the batch job
+    does (``runs.run_snapshot``): manifests, counts and reports read these rows
+    and do not each classify the inventory again."""
+    return scratch_table(E.eligible(inv, "delete"), "eligible")
+
+
+def manifest_evidence(inv: DataFrame, sf_dir: str, elig: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The manifests of every run as written by K1, and their manifests-ready
     record, stored once per input and read back. Some are damaged, so that the
     ladder's rungs have real evidence: bucket-0's prev COMPLIANCE manifest is
     truncated, its prev GOVERNANCE one was never made and its cur GOVERNANCE
     one is listed but gone; bucket-2's prev COMPLIANCE record names a foreign
-    key and its prev GOVERNANCE re-count failed."""
+    key and its prev GOVERNANCE re-count failed. ``elig``: the eligible rows, where
+    the caller has them stored."""
     spark = inv.sparkSession
     path = fx.fixture_path(spark, sf_dir, f"manifest_evidence|{fx.SNAPSHOTS}|{_code_hash()}")
     if not fx._committed(spark, f"{path}/ready"):
-        rows = E.manifest_rows(E.eligible(inv, "delete")).join(R.run_ids(inv), ["bucket", "dt"])
+        elig = eligible_once(inv) if elig is None else elig
+        rows = E.manifest_rows(elig).join(R.run_ids(inv), ["bucket", "dt"])
 
         def at(bucket, dt, mode):
             return (F.col("bucket") == bucket) & (F.col("dt") == dt) & (F.col("mode") == mode)
@@ -282,10 +292,10 @@ def manifest_evidence(inv: DataFrame, sf_dir: str) -> tuple[DataFrame, DataFrame
             spark.read.schema("run_id string, mode string, manifest_key string, manifest_exists boolean, recounted boolean").parquet(f"{path}/ready"))
 
 
-def _decisions(spark, d, bucket1_threshold: int = 100, submissions=None):
+def _decisions(spark, d, bucket1_threshold: int = 100, submissions=None, elig=None):
     inv = _inv(spark, d)
-    elig = E.eligible(inv, "delete")
-    return D.decide(R.decision_inputs(inv, elig, R.fixture_config(inv, bucket1_threshold), *manifest_evidence(inv, d), submissions=submissions))
+    elig = eligible_once(inv) if elig is None else elig
+    return D.decide(R.decision_inputs(inv, elig, R.fixture_config(inv, bucket1_threshold), *manifest_evidence(inv, d, elig), submissions=submissions))
 
 
 @register("decide", O.with_ctes(O.INV, O.CLS, O.decision_ctes(), body=f"SELECT {', '.join(DEC_COLS)} FROM decisions"))
@@ -331,8 +341,9 @@ def q_active_jobs(spark, d):
     from ..operators import completion as J
     from ..sources import sinks as K
     path = _scratch(spark, "active_jobs")
+    elig = eligible_once(_inv(spark, d))
     for _ in range(2):
-        K.append_active_jobs(D.active_jobs(_decisions(spark, d)), path)
+        K.append_active_jobs(D.active_jobs(_decisions(spark, d, elig=elig)), path)
     rows = spark.read.parquet(path)
     return rows.join(J.active_records(rows), ["run_id", "bucket"]).select("run_id", "bucket", "mode", "job_id", "jobs_expected")
 
@@ -341,11 +352,11 @@ def q_active_jobs(spark, d):
     "SELECT run_id, mode, trigger_count, file_count AS verified_count, trigger_count = file_count AS count_matches FROM inp")))
 def q_count_reconciliation(spark, d):
     inv = _inv(spark, d)
-    elig = E.eligible(inv, "delete")
+    elig = eligible_once(inv)
     runs = R.run_ids(inv)
     expected = (E.eligible_counts(inv, elig).join(runs, ["bucket", "dt"])
                 .select("run_id", F.col("object_lock_mode").alias("mode"), F.col("eligible_count").alias("trigger_count")))
-    rec = D.count_reconciliation(expected, manifest_evidence(inv, d)[0].select("run_id", "mode"))
+    rec = D.count_reconciliation(expected, manifest_evidence(inv, d, elig)[0].select("run_id", "mode"))
     return rec.select("run_id", "mode", "trigger_count",
                       F.coalesce("verified_count", F.lit(0).cast("bigint")).alias("verified_count"),
                       (F.col("trigger_count") == F.coalesce("verified_count", F.lit(0))).alias("count_matches"))
@@ -671,10 +682,12 @@ def q_audit_trail_decided(spark, d):
     decisions; the report covers what was eligible, less some rows that were
     never reported."""
     inv = _inv(spark, d)
+    elig = eligible_once(inv)
     c = F.substring(F.md5("version_id"), 1, 1)
-    report = (E.manifest_rows(E.eligible(inv, "delete")).join(R.run_ids(inv), ["bucket", "dt"]).where(c != "5")
+    report = (E.manifest_rows(elig).join(R.run_ids(inv), ["bucket", "dt"]).where(c != "5")
               .withColumn("task_status", F.when(c < "d", "Succeeded").otherwise("PermanentFailure")))
-    return V.audit_trail(manifest_evidence(inv, d)[0], report, _decisions(spark, d).where(F.col("outcome") == "created"))
+    decisions = _decisions(spark, d, elig=elig).where(F.col("outcome") == "created")
+    return V.audit_trail(manifest_evidence(inv, d, elig)[0], report, decisions)
 
 
 # --- reviews (C7 to C9, P5) ---------------------------------------------------
@@ -899,9 +912,9 @@ def q_schema_drift(spark, d):
 def _decision_history(spark, d):
     """Two passes over every run: the scheduled one, and a replay a day later
     after bucket-1's threshold was raised (the documented remedy)."""
-    out = None
+    out, elig = None, eligible_once(_inv(spark, d))
     for p, thr, off in ((1, 100, 0), (2, 100000, 1)):
-        dec = (_decisions(spark, d, thr)
+        dec = (_decisions(spark, d, thr, elig=elig)
                .withColumn("pass", F.lit(p))
                .withColumn("decision_id", F.concat(F.col("run_id"), F.lit(f"-{p}")))
                .withColumn("decided_at", F.to_timestamp_ntz(F.regexp_replace("dt", r"^(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{2})$", "$1 $2:$3:00"))
@@ -965,7 +978,8 @@ def q_next_previous_manifest(spark, d):
     """K4: publish the dedup pointer from decisions and read it back."""
     path = _scratch(spark, "previous")
     inv = _inv(spark, d)
-    K.publish_previous_manifest(manifest_evidence(inv, d)[0], _decisions(spark, d), path)
+    elig = eligible_once(inv)
+    K.publish_previous_manifest(manifest_evidence(inv, d, elig)[0], _decisions(spark, d, elig=elig), path)
     return SR.read_previous_manifest(spark, path)
 
 
