@@ -170,16 +170,30 @@ def _run_id(col):
     return F.lpad(F.lower(F.hex(F.floor(col / 2))), 8, "0")
 
 
+def _mode(col):
+    return F.when(col % 2 == 0, "GOVERNANCE").otherwise("COMPLIANCE")
+
+
+def _job_id(col):
+    return F.concat(F.lit("job-"), col.cast("string"))
+
+
+def _status(col):
+    return F.when(col == "F", "Complete").when(col == "O", "Failed").otherwise("Active")
+
+
+def _task_status(col):
+    return F.when(col == "R", "PermanentFailure").otherwise("Succeeded")
+
+
 def job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One job per order: run = order pair, mode by parity, status by o_orderstatus."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
     return o.select(
         _run_id(F.col("o_orderkey")).alias("run_id"),
-        F.when(F.col("o_orderkey") % 2 == 0, "GOVERNANCE").otherwise("COMPLIANCE").alias("mode"),
-        F.concat(F.lit("job-"), F.col("o_orderkey").cast("string")).alias("job_id"),
-        F.when(F.col("o_orderstatus") == "F", "Complete")
-         .when(F.col("o_orderstatus") == "O", "Failed")
-         .otherwise("Active").alias("status"),
+        _mode(F.col("o_orderkey")).alias("mode"),
+        _job_id(F.col("o_orderkey")).alias("job_id"),
+        _status(F.col("o_orderstatus")).alias("status"),
         F.col("o_orderkey"),
         F.col("o_orderdate").alias("event_time"),
     )
@@ -190,13 +204,13 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     return li.select(
         _run_id(F.col("l_orderkey")).alias("run_id"),
-        F.when(F.col("l_orderkey") % 2 == 0, "GOVERNANCE").otherwise("COMPLIANCE").alias("mode"),
-        F.concat(F.lit("job-"), F.col("l_orderkey").cast("string")).alias("job_id"),
+        _mode(F.col("l_orderkey")).alias("mode"),
+        _job_id(F.col("l_orderkey")).alias("job_id"),
         F.concat(F.lit("bucket-"), (F.floor(F.col("l_orderkey") / 2) % 3).cast("string")).alias("bucket"),
         url_encode_key(F.concat(F.lit("order "), F.col("l_orderkey").cast("string"),
                                 F.lit("/line~"), F.col("l_linenumber").cast("string"))).alias("key"),
         F.col("l_linenumber").cast("string").alias("version_id"),
-        F.when(F.col("l_returnflag") == "R", "PermanentFailure").otherwise("Succeeded").alias("task_status"),
+        _task_status(F.col("l_returnflag")).alias("task_status"),
     )
 
 
@@ -214,19 +228,26 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run_id, job_id, mode) listed by each run record."""
+    """(run_id, job_id, mode) listed by each run record. Orders meet the records
+    by their number and the run it gives; job id and mode are spelled after."""
     rec = run_records(spark, sf_dir).select("run_id")
-    return job_rows(spark, sf_dir).select("run_id", "job_id", "mode").join(rec, "run_id", "left_semi")
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    o = o.join(rec, _run_id(o["o_orderkey"]) == rec["run_id"], "left_semi")
+    return o.select(_run_id(F.col("o_orderkey")).alias("run_id"), _job_id(F.col("o_orderkey")).alias("job_id"), _mode(F.col("o_orderkey")).alias("mode"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authoritative job state: status by o_orderstatus, task totals from the
     completion report (A8), the creator tag (foreign for every 11th order) and
-    the run tag (not hex for every 13th)."""
+    the run tag (not hex for every 13th). Jobs and report rows are counted and
+    meet by the order's number, which shuffles smaller than the texts made of it."""
     from .operators.completion import report_totals
-    j = job_rows(spark, sf_dir)
-    totals = report_totals(report_rows(spark, sf_dir))
-    return (j.join(totals, "job_id", "left").select(
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), _task_status(F.col("l_returnflag")).alias("task_status"))
+    totals = report_totals(li).withColumnRenamed("job_id", "o_orderkey")
+    j = o.join(totals, "o_orderkey", "left").withColumns({
+        "job_id": _job_id(F.col("o_orderkey")), "run_id": _run_id(F.col("o_orderkey")), "status": _status(F.col("o_orderstatus"))})
+    return (j.select(
         "job_id", "status",
         F.coalesce("succeeded", F.lit(0).cast("bigint")).alias("succeeded"),
         F.coalesce("failed", F.lit(0).cast("bigint")).alias("failed"),

@@ -8,6 +8,9 @@ tag, run record, job listed in the record, first terminal event per job.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,31 +47,54 @@ def terminal_events(events: DataFrame) -> DataFrame:
     return events.where(F.col("job_id").isNotNull() & F.col("event_status").isin(TERMINAL_STATUSES))
 
 
+def _passes(steps: list[tuple[Column, str]]) -> Column:
+    return reduce(and_, [~F.coalesce(cond, F.lit(False)) for cond, _ in steps])
+
+
+def _by_run(rows: DataFrame, record_jobs: DataFrame) -> DataFrame:
+    """Rows of accepted events (run_id, job_id, ...) with what the run's record
+    says of their job: the join on (run_id, job_id), once for each listing.
+
+    Only the run is a join key, the job a condition (``between`` itself): with the
+    job as a key, rows that lie by run would be dealt out by (run, job) and for the
+    next step by run again. A record lists a job per lock mode and accepted rows have
+    a record's run id, so few rows meet in a run."""
+    listed = record_jobs.withColumnRenamed("job_id", "_listed")
+    return rows.join(listed, "run_id").where(F.col("job_id").between(F.col("_listed"), F.col("_listed"))).drop("_listed")
+
+
 def route_events(events: DataFrame, jobs: DataFrame, records: DataFrame, record_jobs: DataFrame,
-                 our_tag: str) -> DataFrame:
+                 our_tag: str, accepted_only: bool = False) -> DataFrame:
     """T-4 + T-5: each event with the authoritative job state and a route.
 
     ``jobs`` (job_id, status, succeeded, failed, total, failure_reason,
     tag_created_by, tag_run_id), ``records`` (run_id, ...) and
     ``record_jobs`` (run_id, job_id) are static tables joined on equi keys.
+
+    ``accepted_only`` gives the accepted rows alone, for callers that drop the
+    others: events and jobs that a step turns away are left out before they are
+    shuffled, and what is left meets by the run alone (``_by_run``).
     """
+    of_event = [(F.col("job_id").isNull() | ~F.coalesce(F.col("event_status").isin(TERMINAL_STATUSES), F.lit(False)), "non_terminal_event")]
+    of_job = [(F.col("job_status").isNull(), "job_not_found"),
+              (~F.col("job_status").isin(TERMINAL_STATUSES), "job_not_terminal"),
+              (F.coalesce(F.col("tag_created_by") != F.lit(our_tag), F.lit(True)), "not_this_solution"),
+              (F.col("run_id").isNull() | (F.col("run_id") == ""), "missing_run_id_tag"),
+              (~is_valid_run_id("run_id"), "invalid_run_id_tag")]
+    of_record = [(F.col("_has_record").isNull(), "no_active_jobs_record"), (F.col("_in_record").isNull(), "job_not_in_record")]
     j = jobs.select("job_id", F.col("status").alias("job_status"), "succeeded", "failed", "total",
                     "failure_reason", "tag_created_by", F.col("tag_run_id").alias("run_id"))
+    if accepted_only:
+        e = events.where(_passes(of_event)).join(j.where(_passes(of_job)), "job_id")
+        e = e.join(records.select("run_id"), "run_id")
+        return _by_run(e, record_jobs.select("run_id", "job_id")).withColumn("route", F.lit("accepted"))
     e = events.join(j, "job_id", "left")
     e = e.join(records.select("run_id", F.lit(True).alias("_has_record")), "run_id", "left")
     e = e.join(record_jobs.select("run_id", "job_id", F.lit(True).alias("_in_record")), ["run_id", "job_id"], "left")
-    route = (
-        F.when(F.col("job_id").isNull() | ~F.coalesce(F.col("event_status").isin(TERMINAL_STATUSES), F.lit(False)),
-               "non_terminal_event")
-        .when(F.col("job_status").isNull(), "job_not_found")
-        .when(~F.col("job_status").isin(TERMINAL_STATUSES), "job_not_terminal")
-        .when(F.coalesce(F.col("tag_created_by") != F.lit(our_tag), F.lit(True)), "not_this_solution")
-        .when(F.col("run_id").isNull() | (F.col("run_id") == ""), "missing_run_id_tag")
-        .when(~is_valid_run_id("run_id"), "invalid_run_id_tag")
-        .when(F.col("_has_record").isNull(), "no_active_jobs_record")
-        .when(F.col("_in_record").isNull(), "job_not_in_record")
-        .otherwise("accepted"))
-    return e.withColumn("route", route).drop("_has_record", "_in_record")
+    route = F  # the first step that holds
+    for cond, name in [*of_event, *of_job, *of_record]:
+        route = route.when(cond, name)
+    return e.withColumn("route", route.otherwise("accepted")).drop("_has_record", "_in_record")
 
 
 def status_disagreement(routed: DataFrame) -> DataFrame:
@@ -135,7 +161,7 @@ def completion_recap(accepted: DataFrame, records: DataFrame, record_jobs: DataF
             .otherwise(fmt(X.TEXT_RECAP_ENDED, "mode", "job_id", "job_status",
                            F.coalesce("failure_reason", F.lit(X.TEXT_RECAP_NO_REASON)))))
     lines = (accepted.select("run_id", "job_id", "job_status", "succeeded", "failed", "total", "failure_reason")
-             .join(record_jobs.select("run_id", "job_id", "mode"), ["run_id", "job_id"])
+             .transform(_by_run, record_jobs.select("run_id", "job_id", "mode"))
              .select("run_id", F.lit(0).alias("_ord"), "mode", "job_id", line.alias("line")))
     if decisions is not None:
         order = F.when(F.col("outcome") == "suspended", 1).when(F.col("outcome") == "skipped", 2).otherwise(3)

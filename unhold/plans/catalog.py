@@ -381,9 +381,9 @@ def _ev(spark, d, name):
     return fx.stored(spark, d, name, getattr(fx, name))
 
 
-def _routed(spark, d):
+def _routed(spark, d, accepted_only: bool = False):
     return J.route_events(_ev(spark, d, "job_events"), _ev(spark, d, "jobs"), _ev(spark, d, "run_records"),
-                          _ev(spark, d, "record_jobs"), fx.OUR_TAG)
+                          _ev(spark, d, "record_jobs"), fx.OUR_TAG, accepted_only)
 
 
 def nested_events(events: DataFrame) -> DataFrame:
@@ -428,12 +428,12 @@ def q_status_disagreement(spark, d):
 @register("first_terminal", O.with_ctes(O.EVENTS, body=(
     "SELECT run_id, job_id, event_time, first_route AS route FROM firsts")))
 def q_first_terminal(spark, d):
-    return J.first_terminal(_routed(spark, d)).select("run_id", "job_id", "event_time", "route")
+    return J.first_terminal(_routed(spark, d, accepted_only=True)).select("run_id", "job_id", "event_time", "route")
 
 
 @register("run_outcome", O.run_outcome_sql())
 def q_run_outcome(spark, d):
-    acc = J.first_terminal(_routed(spark, d)).where(F.col("route") == "accepted")
+    acc = J.first_terminal(_routed(spark, d, accepted_only=True)).where(F.col("route") == "accepted")
     return J.run_outcome(acc, _ev(spark, d, "run_records"))
 
 
@@ -451,7 +451,7 @@ o AS (SELECT r.run_id, r.bucket, strftime(r.snapshot_ts, '%Y-%m-%dT%H-%MZ') AS d
 SELECT run_id, bucket, dt, jobs_terminal,
        'Run ' || run_id || ' against ' || bucket || ' (inventory ' || dt || ') -- active mode, all jobs finished. ' || lines AS recap FROM o"""))
 def q_completion_recap(spark, d):
-    acc = J.first_terminal(_routed(spark, d)).where(F.col("route") == "accepted")
+    acc = J.first_terminal(_routed(spark, d, accepted_only=True)).where(F.col("route") == "accepted")
     records = _ev(spark, d, "run_records").withColumn("dt", F.date_format("snapshot_ts", "yyyy-MM-dd'T'HH-mm'Z'"))
     return J.completion_recap(acc, records, _ev(spark, d, "record_jobs"))
 
