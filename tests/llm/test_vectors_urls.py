@@ -3,12 +3,13 @@
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from llm_fixtures import SF, no_docs, odd_docs  # noqa: F401
-from unhold.llm import ann, topk, urlfilter
+from unhold.llm import ann, topk, urlfilter, vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, key string, v string, id string"
 
@@ -217,6 +218,90 @@ def test_few_and_no_vectors(spark, odd_vectors):
         assert search(odd_vectors, none, 10).count() == 0
 
 
+def test_queries_of_many_lists_stay_bounded():
+    """A frame held a row, with its vector, for each of 512 queries and their lists: 4 million rows."""
+    rng = np.random.default_rng(3)
+    c, x = rng.normal(size=(8192, 5)), rng.normal(size=(80, 4))
+    links, entry = ann.graph(c)
+    index = {"centroids": c, "links": links, "entry": entry, "norm2": (x * x).sum(1).max(), "width": 4, "lift": "query", "sample": x}
+    assign = ann._assign(index, 8192, 1e9, 8192, np.full(8192, 50), 21)
+    frame = pd.DataFrame({"key": np.arange(80), "v": list(x)})
+    frames = list(assign([frame]))
+    assert max(map(len, frames)) <= 1 << 18 and sum(map(len, frames)) >= 0.99 * 80 * 8192
+    packed = pd.concat(ann._packed(assign, 8192)([frame]))
+    assert packed["key"].tolist() == list(range(80)) and {len(b) for b in packed["others"]} == {1024}
+    bits = np.unpackbits(np.frombuffer(b"".join(packed["nearest"]) + b"".join(packed["others"]), np.uint8)).sum()
+    assert bits == sum(map(len, frames)) and (packed["floor"] > -np.inf).all()
+
+
+def test_what_is_stored_follows_rows_and_queries(spark, monkeypatch):
+    """One row a query, whatever it reads, and about a quarter of the rows in more than one list."""
+    x = np.random.default_rng(12).normal(size=(12000, 24))
+    stored, rows = ann.stored, {}
+
+    def counted(df, name, *a, **b):
+        out = stored(df, name, *a, **b)
+        rows[name] = out.count()
+        return out
+    for name, value in (("SAMPLE", 2000), ("LIST_ROWS", 16), ("stored", counted)):
+        monkeypatch.setattr(ann, name, value)
+    counts, right = found_and_right(spark, x, np.arange(0, 12000, 60), 20)
+    assert set(counts) == {20} and right >= 0.9
+    assert rows["vectors"] == 12000 and rows["probes"] == 200 and rows["postings"] < 1.8 * 12000  # 100,000 probes, 3.5 lists a row
+
+
+def test_chunks_of_queries_change_nothing(spark, monkeypatch, odd_vectors):
+    ask = odd_vectors.where("vec_id % 3 = 0")
+    want = sorted(map(tuple, ann.search(odd_vectors, ask, 20).collect()))
+    monkeypatch.setattr(ann, "CHUNK_BYTES", 4000)
+    assert sorted(map(tuple, ann.search(odd_vectors, ask, 20).collect())) == want
+
+
+def test_readers_keep_the_best(monkeypatch):
+    """Cut again and again, with copies in several lists and ties."""
+    rng = np.random.default_rng(13)
+    x, q, k = rng.integers(-3, 4, (900, 4)).astype(float), rng.integers(-3, 4, (30, 4)).astype(float), 4
+    q[(q == 0).all(1)] = 1
+    monkeypatch.setattr(ann, "HITS", 40)
+    home = np.sort(np.append(rng.integers(0, 20, 900), np.arange(20)))
+    row = np.append(np.arange(900), rng.integers(0, 900, 20))[rng.permutation(920)]
+    batches = [pa.RecordBatch.from_pydict({"key": row[s:s + 100] * 7, "v": pa.array(list(x[row[s:s + 100]])), "ids": pa.array([[int(r)] for r in row[s:s + 100]], pa.list_(pa.int64())), "list": pa.array(home[s:s + 100], pa.int32())}) for s in range(0, 920, 100)]
+    takes = rng.random((30, 20)) < 0.6
+    bits = np.packbits(takes, axis=1).T
+    length = np.sqrt((q * q).sum(1))
+    floor = np.full(30, 6.0)
+    asked = {"key": np.arange(30), "q": q, "unit": (q / length[:, None]).astype(np.float32), "scale": length * 6, "floor": floor, "nearest": bits * 0, "others": bits}
+    for near in (False, True):
+        if near:
+            asked |= {"nearest": bits, "others": bits * 0}
+        got = {i: set() for i in range(30)}
+        for b in ann._read(asked, k, 4, 6.0)(batches):
+            for i, found, ids, score in zip(*(b[n].to_pylist() for n in ("key", "found", "ids", "score"))):
+                assert found == 7 * ids[0]
+                got[i].add((-score, found))
+        for i in range(30):
+            there = {int(r) for r, h in zip(row, home) if takes[i, h]}
+            best = sorted((-(q[i] @ x[r]), 7 * r) for r in there if near or q[i] @ x[r] >= 6)[:k + 1]
+            assert [g for g in sorted(got[i])][:k + 1] == best if not near else [g[0] for g in sorted(got[i])][:k + 1] == [b[0] for b in best]
+
+
+def test_sample_is_the_first_by_hash(spark, monkeypatch):
+    table = spark.range(4000).select(F.xxhash64("id").alias("key"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("v"))
+    monkeypatch.setattr(ann, "SAMPLE", 50)
+    monkeypatch.setattr(ann, "HELD_OUT", 20)
+    sample, spread = ann._sampled(table, 4000, 2)
+    want = [r.v for r in table.orderBy(F.xxhash64("key")).limit(70).collect()]
+    assert sample.tolist() == want[:50] and spread.tolist() == want[50:]
+    sample, spread = ann._sampled(table.limit(30), 30, 2)
+    assert len(sample) == 30 and spread.tolist() == sample[:20].tolist()
+
+
+def test_arrow_columns_of_lists():
+    column = pa.array([[1.0, 2.0], [3.0], [], [4.0, 5.0, 6.0]], pa.list_(pa.float32()))
+    assert vectors.flat(column, 3).tolist() == vectors.matrix(column.to_pylist(), 3).tolist()
+    assert vectors.flat(pa.chunked_array([column[:2], column[2:]]), 2).tolist() == [[1, 2], [3, 0], [0, 0], [4, 5]]
+
+
 def test_walk_finds_near_lists():
     rng = np.random.default_rng(1)
     c = rng.normal(0, 1, (500, 16))

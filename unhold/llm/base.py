@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +19,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, so
-    a lost executor never causes more than one step to be computed again."""
-    path = scratch(df.sparkSession, name)
+def stored(df: DataFrame, name: str, codec: str = "snappy", place: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder (to ``place``, if given) and read
+    back: cuts lineage, so a lost executor never causes more than one step to be
+    computed again."""
+    path = place or scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, place: str) -> None:
+    """Removes a folder that ``stored`` has written and nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Jobs run inside leave no shuffle files once they end: what they keep is stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

@@ -4,14 +4,18 @@ with their smallest ids, and blocks of lists that bound a task's work."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def usable(rows: DataFrame, id_col: str, vector_col: str, nonzero: bool) -> DataFrame:
-    """(id, v) of rows whose vector has finite components only; the others take no part."""
-    v = F.col(vector_col).cast("array<double>")
+def usable(rows: DataFrame, id_col: str, vector_col: str, nonzero: bool, floats: bool = False) -> DataFrame:
+    """(id, v) of rows whose vector has finite components only; the others take no
+    part. ``floats`` stay half as wide as doubles."""
+    v = F.col(vector_col)
+    if not floats or rows.schema[vector_col].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("v").isNotNull() & ~bad & F.col("id").isNotNull())
     return rows.filter(F.exists("v", lambda x: x != 0)) if nonzero else rows
@@ -36,6 +40,20 @@ def matrix(column, width: int | None = None) -> np.ndarray:
     return out
 
 
+def flat(column, width: int) -> np.ndarray:
+    """As ``matrix``, of an Arrow column of lists; a longer vector is cut."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if (sizes == width).all():
+        return values.reshape(-1, width)
+    out, row = np.zeros((len(sizes), width)), np.repeat(np.arange(len(sizes)), sizes)
+    nth = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[row[nth < width], nth[nth < width]] = values[nth < width]
+    return out
+
+
 def in_blocks(lists: DataFrame, asked: DataFrame, at: str, list_rows: int, asked_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides dealt so that rows of one list meet in blocks of bounded size:
     a list's rows go to ``ceil(rows / list_rows)`` parts, its queries likewise,
