@@ -56,7 +56,7 @@ NEIGHBOURS, RANDOM = 20, 4  # links of a centroid in the graph
 ROW_BEAM, MORE_BEAM = 24, 16  # beam of a vector's own lists; of a query, beyond the lists it may read
 VISITS = 6  # centroids that a step of a narrow beam visits
 WALK, CELLS = 512, 1 << 20  # points that walk the graph together at most; numbers of a block held at once, about
-CHUNK_BYTES = 64 << 20  # queries that all readers of lists hold at a time, with their bits
+CHUNK_BYTES = 32 << 20  # queries that all readers of lists hold at a time, with their bits
 HITS = 1 << 19  # of a task, before they are cut to the best
 TASKS = 2  # reading tasks for each core; each returns up to k + 1 rows for a query
 ROUNDS = 12
